@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, secret_scan, simhash_dedup, source_mixing, token_counts
+from . import (
+    context_tree_lm,
+    decontamination,
+    language_id,
+    quality_classifier,
+    secret_scan,
+    simhash_dedup,
+    source_mixing,
+    token_counts,
+    toxicity,
+    vector_search,
+)
 
-MODULES = (token_counts, source_mixing, language_id, decontamination, simhash_dedup, secret_scan)
+MODULES = (token_counts, context_tree_lm, source_mixing, vector_search, language_id, quality_classifier, decontamination, simhash_dedup, secret_scan, toxicity)
 
 
 def queries() -> dict:
