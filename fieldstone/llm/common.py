@@ -85,16 +85,18 @@ class WordTable:
     """Values of words, worked out once for each distinct word and kept for up to `limit` words."""
 
     def __init__(self, values: Callable[[list], np.ndarray], limit: int = 300_000):
-        self.make, self.limit, self.index, self.parts, self.all = values, limit, {}, [], None
+        self.make, self.limit, self.index, self.held = values, limit, {}, values([])
 
     def rows(self, words: list) -> np.ndarray:
         """One row of values for each of words."""
-        if not words:
-            return self.make([])
         if len(self.index) > self.limit:
-            self.index, self.parts, self.all = {}, [], None
+            self.index = {}
         if new := list(set(words) - self.index.keys()):
-            self.parts = ([self.all] if self.all is not None else []) + [self.make(new)]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.all = np.concatenate(self.parts)
-        return self.all[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+            n, more = len(self.index), self.make(new)
+            if n + len(new) > len(self.held):
+                room = np.zeros((2 * (n + len(new)), *more.shape[1:]), more.dtype)
+                room[:n] = self.held[:n]
+                self.held = room
+            self.held[n : n + len(new)] = more
+            self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        return self.held[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, kept, slices, table
+from .common import SLICE_ROWS, WordTable, flat, kept, slices, table
 
-SHINGLE_WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 18, 8
+SHINGLE_WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 17, 6
 #: Items that go to the executors at once, and their text; a larger benchmark is searched in parts.
 MOST_ITEMS, MOST_ITEM_BYTES = 50_000, 64 << 20
 
@@ -65,18 +65,20 @@ class BlockIndex:
     """Fingerprints within a radius: by the values of each block within floor(radius / blocks) bits."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.prints, self.radius, self.width = prints, radius, 64 // blocks
-        near = [v for v in range(1 << self.width) if v.bit_count() <= radius // blocks]
-        flips = np.array(near, np.uint64)
+        self.prints, self.radius = prints, radius
+        self.edges = [round(64 * i / blocks) for i in range(blocks + 1)]
         self.tables = []
         for block in range(blocks):
-            values = (self.block(prints, block)[:, None] ^ flips).ravel()
+            values = np.arange(1 << (self.edges[block + 1] - self.edges[block]), dtype=np.uint64)
+            flips = values[np.bitwise_count(values) <= radius // blocks]
+            near = (self.block(prints, block)[:, None] ^ flips).ravel()
             items = np.repeat(np.arange(len(prints)), len(flips))
-            by = np.argsort(values, kind="stable")
-            self.tables.append((np.searchsorted(values[by], np.arange((1 << self.width) + 1, dtype=np.uint64)), items[by]))
+            by = np.argsort(near, kind="stable")
+            self.tables.append((np.searchsorted(near[by], np.arange(len(values) + 1, dtype=np.uint64)), items[by]))
 
     def block(self, prints: np.ndarray, block: int) -> np.ndarray:
-        return (prints >> np.uint64(block * self.width)) & np.uint64((1 << self.width) - 1)
+        lo, hi = self.edges[block], self.edges[block + 1]
+        return (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item) of all pairs within the radius."""
@@ -111,46 +113,59 @@ class Benchmark:
         self.known = np.sort(np.array(list(holders), np.uint64))
         self.shelf = np.zeros(1 << 20, bool)
         self.shelf[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.classes = []
-        for length, found in sorted(by_length.items()):
-            prints = np.concatenate([window_prints(np.array(list(c.elements()), np.uint64), np.zeros(1, np.int64), length) for _, c in found])
-            self.classes.append((length, [x for x, _ in found], [c for _, c in found], BlockIndex(prints, radius, blocks)))
+        every = [(length, item_id, counts) for length, found in sorted(by_length.items()) for item_id, counts in found]
+        self.lengths = np.array([x for x, _, _ in every], np.int64)
+        self.ids, self.counts = [x for _, x, _ in every], [x for _, _, x in every]
+        prints = [window_prints(np.array(list(c.elements()), np.uint64), np.zeros(1, np.int64), x) for x, _, c in every]
+        self.index = BlockIndex(np.concatenate(prints) if prints else np.zeros(0, np.uint64), radius, blocks)
 
     def similarity(self, a: Counter, b: Counter) -> float:
         weight, other = self.weight, self.other
         both = sum(min(n, b[x]) * weight.get(x, other) for x, n in a.items() if x in b)
         return both / (sum(n * weight.get(x, other) for x, n in a.items()) + sum(n * weight.get(x, other) for x, n in b.items()) - both)
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item_id, similarity, first word, words, differing bits) of each item that some window of the text matches, at its best window."""
-        words = split_words(text)
-        if len(words) < SHINGLE_WORDS or not len(self.known):
-            return []
+    def matches(self, texts: Iterable[str | None]) -> list[list[tuple[int, float, int, int, int]]]:
+        """For each text, (item_id, similarity, first word, words, differing bits) of each item that some window of it matches, at its best window."""
+        words, offsets = flat([split_words(x) for x in texts])
+        out: list[list[tuple]] = [[] for _ in range(len(offsets) - 1)]
         shingles = shingle_hashes(self.words.rows(words))
+        if not len(shingles) or not len(self.known):
+            return out
         maybe = np.flatnonzero(self.shelf[(shingles >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe):
-            return []
         at = np.minimum(np.searchsorted(self.known, shingles[maybe]), len(self.known) - 1)
         hits = maybe[self.known[at] == shingles[maybe]]
-        if not len(hits):
-            return []
-        best: dict[int, tuple] = {}
-        for length, ids, counts, index in self.classes:
-            if length > len(shingles):
-                continue
+        own = np.searchsorted(offsets, hits, side="right") - 1
+        inside = hits + SHINGLE_WORDS <= offsets[own + 1]  # not over the end of a text
+        hits, own = hits[inside], own[inside]
+        for i in np.unique(own).tolist():
+            lo, hi = offsets[i], offsets[i + 1] - SHINGLE_WORDS + 1
+            out[i] = self.best_windows(shingles[lo:hi], hits[own == i] - lo)
+        return out
+
+    def best_windows(self, shingles: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """matches() of one text from its shingles and the places of those that items have."""
+        places, lengths, prints = [], [], []
+        for length in np.unique(self.lengths[self.lengths <= len(shingles)]).tolist():
             open_at = np.zeros(len(shingles) + 1, np.int32)
             np.add.at(open_at, np.maximum(hits - length + 1, 0), 1)
             np.add.at(open_at, hits + 1, -1)
             starts = np.flatnonzero(np.cumsum(open_at[: len(shingles) - length + 1]) > 0)
             for part in np.split(starts, range(1 << 14, len(starts), 1 << 14)):
-                if not len(part):
-                    continue
-                prints = window_prints(shingles, part, length)
-                for who, item in zip(*(x.tolist() for x in index.search(prints)), strict=True):
-                    start = int(part[who])
-                    score = self.similarity(Counter(shingles[start : start + length].tolist()), counts[item])
-                    if score >= self.threshold and (ids[item] not in best or score > best[ids[item]][0]):
-                        best[ids[item]] = (score, start, length + SHINGLE_WORDS - 1, int(prints[who] ^ index.prints[item]).bit_count())
+                if len(part):
+                    places.append(part)
+                    lengths.append(np.full(len(part), length))
+                    prints.append(window_prints(shingles, part, length))
+        best: dict[int, tuple] = {}
+        for part in range(len(places)) if sum(map(len, places)) > 1 << 16 else ([None] if places else []):
+            some = slice(None) if part is None else slice(part, part + 1)
+            starts, sizes, found = (np.concatenate(x[some]) for x in (places, lengths, prints))
+            who, items = self.index.search(found)
+            same = self.lengths[items] == sizes[who]
+            for w, item in zip(who[same].tolist(), items[same].tolist(), strict=True):
+                start, length, item_id = int(starts[w]), int(sizes[w]), self.ids[item]
+                score = self.similarity(Counter(shingles[start : start + length].tolist()), self.counts[item])
+                if score >= self.threshold and (item_id not in best or score > best[item_id][0]):
+                    best[item_id] = (score, start, length + SHINGLE_WORDS - 1, int(found[w] ^ self.index.prints[item]).bit_count())
         return [(x, *found) for x, found in sorted(best.items())]
 
 
@@ -182,8 +197,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             found = ready()
             for batch in slices(batches):
                 who, rows = [], []
-                for i, x in enumerate(batch.column(1).to_pylist()):
-                    got = found.matches(x)
+                for i, got in enumerate(found.matches(batch.column(1).to_pylist())):
                     who += [i] * len(got)
                     rows += got
                 if rows:
@@ -206,7 +220,7 @@ def holds_item(ready: Callable[[], Benchmark]) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
         found = ready()
-        return pd.Series([bool(found.matches(x)) for x in texts], dtype=bool)
+        return pd.Series([bool(x) for at in range(0, len(texts), SLICE_ROWS) for x in found.matches(texts.iloc[at : at + SLICE_ROWS])], dtype=bool)
 
     return holds
 
