@@ -71,16 +71,18 @@ def designation_profile(matches: DataFrame) -> DataFrame:
 def borough_rates(spine: DataFrame, cases: DataFrame) -> DataFrame:
     """site_id, as_of and, of cases of its borough and template decided by the day: share positive, number, and median days to decision (whole).
 
-    A running sum per borough and template over both tables would need every group together; the join is cut to decided cases of the same keys instead.
+    Sites that share borough, template and day share one row of the join; the rest is an equi-join on borough and template.
     """
-    on = [spine[c] == cases[c] for c in ("borough_id", "template")]
-    met = spine.join(cases.drop("site_id") if "site_id" in cases.columns else cases, [*on, decided_by(cases["decision_date"], spine["as_of"])])
-    met = met.where(F.col("label_class").isin(APPROVED, REFUSED))
-    days = F.datediff(cases["decision_date"], cases["valid_date"])
-    return met.groupBy(spine["site_id"], spine["as_of"]).agg(
-        N.round_half_up(F.avg(F.when(F.col("label_class") == APPROVED, 1.0).otherwise(0.0)), 4).alias("borough_template_positive_rate"),
-        F.count("*").alias("borough_template_case_count"), F.floor(F.median(days)).cast("int").alias("borough_template_median_days_to_decision"),
+    keys = ["borough_id", "template", "as_of"]
+    days = spine.select(*keys).distinct()
+    decided = cases.where(F.col("label_class").isin(APPROVED, REFUSED) & F.col("decision_date").isNotNull())
+    decided = decided.select("borough_id", "template", "decision_date", (F.col("label_class") == APPROVED).alias("won"), F.datediff("decision_date", "valid_date").alias("days"))
+    met = days.join(decided, ["borough_id", "template"]).where(decided_by(F.col("decision_date"), F.col("as_of")))
+    rates = met.groupBy(*keys).agg(
+        N.round_half_up(F.avg(F.when(F.col("won"), 1.0).otherwise(0.0)), 4).alias("borough_template_positive_rate"),
+        F.count("*").alias("borough_template_case_count"), F.floor(F.median("days")).cast("int").alias("borough_template_median_days_to_decision"),
     )
+    return spine.join(rates, keys).select("site_id", "as_of", *(c for c in rates.columns if c not in keys))
 
 
 def snapshot(spine: DataFrame, families: list[DataFrame], counts: tuple[str, ...] = ()) -> DataFrame:

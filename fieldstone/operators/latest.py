@@ -76,5 +76,5 @@ def conflicts(new: DataFrame, held: DataFrame, path: str, hash_column: str) -> D
 
 def page(rows: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
     """One page, with the number of all rows as total_rows."""
-    total = rows.agg(F.count("*").alias("total_rows"))
-    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy(*order).offset(offset).limit(limit).withColumn("total_rows", total)

@@ -50,8 +50,9 @@ def candidates(sites: DataFrame, support: DataFrame | None = None, manual_seed:
 
     sites: site_id, area, has_geometry, has_rulepack, citations_ok, extant_active, geom_confidence, missing_flags, stale_codes. support: site_id, template, units, strong.
     """
-    few = F.broadcast(templates(sites.sparkSession))  # three rows
-    both = sites.crossJoin(few)
+    names = [x.split()[0] for x in TEMPLATE_SCHEMA.split(", ")]
+    each = F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(names, t, strict=True))) for t in TEMPLATES])
+    both = sites.withColumn("__t", F.explode(each)).select(*sites.columns, "__t.*")
     both = both.join(support.select("site_id", "template", F.col("units").alias("support_units"), "strong"), ["site_id", "template"], "left") if support is not None else both.withColumns({"support_units": F.lit(None).cast("int"), "strong": F.lit(False)})
     area, seed = F.col("area"), F.lit(manual_seed)
     units = F.when(F.col("support_units").isNotNull(), F.greatest("min_units", F.least("max_units", "support_units"))).otherwise(capacity(area))

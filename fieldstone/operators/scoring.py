@@ -152,17 +152,32 @@ def calibration(rows: DataFrame, p: str = "probability", y: str = "label") -> Da
 
 def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
     """The value at place round((n - 1) share) of the sorted values, halves to the even place: a row number on a total order."""
-    n = rows.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"))
+    n = rows.where(F.col(value).isNotNull()).agg(F.count("*")).scalar()
     spread = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("times"))
     upto = spread.withColumn("upto", F.sum("times").over(Window.orderBy(value)))
-    return upto.crossJoin(F.broadcast(n)).where(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(share), 0)).agg(F.min(value).alias("percentile"))
-
-
-def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
-    """key and the distance to the nearest training vector of another id. The training set of one template is small by nature and is sent to all rows' tasks by Spark's own choice."""
-    a, b = rows.select(F.col(key), F.col(vector).alias("a")), training.select(F.col(key).alias("__other"), F.col(vector).alias("b"))
-    gap = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return a.join(b, F.col(key) != F.col("__other")).groupBy(key).agg(F.min(gap).alias("nearest_distance"))
+    return upto.where(F.col("upto") > F.bround((n - 1) * F.lit(share), 0)).agg(F.min(value).alias("percentile"))
+
+
+def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vector: str = "vector", block: int = 5_000) -> DataFrame:
+    """key and the distance to the nearest training vector of another id, by blocks of rows against blocks of training rows."""
+    cut = lambda df, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    n_a, n_b = max(1, -(-rows.count() // block)), max(1, -(-training.count() // block))
+    a = rows.select(key, vector, cut(rows, n_a).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("other"))
+    b = training.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))).alias("part"), cut(training, n_b).alias("other"))
+
+    def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({key: [], "nearest_distance": []})
+        x, y, ids = np.array(left[vector].tolist(), float), np.array(right[vector].tolist(), float), right[key].to_numpy()
+        found = []
+        for own, v in zip(left[key], x, strict=True):
+            gap = np.sqrt(((y - v) ** 2).sum(axis=1))
+            gap[ids == own] = np.inf
+            found.append(gap.min())
+        return pd.DataFrame({key: left[key], "nearest_distance": found})
+
+    met = a.groupBy("part", "other").cogroup(b.groupBy("part", "other")).applyInPandas(least, f"{key} {rows.schema[key].dataType.simpleString()}, nearest_distance double")
+    return met.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")).where("nearest_distance < double('infinity')")
 
 
 def support_status(distance: Column, template_support: Column, borough_support: Column, medium: float = MEDIUM_DISTANCE, high: float = HIGH_DISTANCE) -> Column:

@@ -220,7 +220,8 @@ SELECT CASE WHEN n_nationkey IS NOT NULL THEN 'BOROUGH' ELSE 'CITY' END AS scope
 def active_release_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("template"), (F.col("o_custkey") % 25).cast("int").alias("borough_id"))
     kinds = asked.select("template").distinct()
-    own = kinds.crossJoin(F.broadcast(table(spark, sf_dir, "nation").where(F.col("n_nationkey") % 2 == 0).select(F.col("n_nationkey").alias("borough_id"), F.col("n_nationkey").alias("release_id"))))
+    some = table(spark, sf_dir, "nation").where(F.col("n_nationkey") % 2 == 0).select(F.col("n_nationkey").alias("borough_id"), F.col("n_nationkey").alias("release_id"))
+    own = asked.distinct().join(some, "borough_id").select("template", "borough_id", "release_id")
     city = kinds.select("template", F.lit(None).cast("int").alias("borough_id"), F.lit(-1).alias("release_id"))
     return scoring.active_release(asked, own.unionByName(city).withColumn("state", F.lit("ACTIVE"))).groupBy("scope", "release_id").agg(F.count("*").alias("request_count"))
 
