@@ -113,11 +113,11 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: Rules | None = None, text:
         return F.struct(F.when(start >= done["at"], more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], end).alias("at"))
 
     cuts = F.aggregate(ends, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda done: F.concat(done["out"], F.substr(whole, done["at"] + 1)))
-    marked = docs.withColumn("__sha", F.sha2(content(text), 256)).join(rows, "__sha", "left")
-    changed = {text: F.when(F.col("__spans").isNull(), whole).otherwise(cuts)}
+    # the new text gets a name of its own: in one select, lambdas would read a new column "text" for the old one
+    marked = docs.withColumn("__sha", F.sha2(content(text), 256)).join(rows, "__sha", "left").withColumn("__cut", F.when(F.col("__spans").isNotNull(), cuts))
+    changed = {text: F.coalesce("__cut", whole)}
     if "n_chars" in docs.columns:
-        size = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(cuts).cast(size))
+        changed["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
     return marked.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
