@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
 A token has a fixed sparse vector of signs from its hash. The vector of a hash bucket of tokens is the sum of the sparse vectors of the tokens
-beside them, over every document of the corpus. A document is the mean of its tokens' vectors (frequent tokens weigh less), the
-mean over its different tokens, and its length and variety. The network is fitted on a bounded sample of labelled rows; a
+beside them, over every document of the corpus. A document is the mean of its tokens' vectors (frequent tokens weigh less), its
+length and its share of different tokens. The network is fitted on a bounded sample of labelled rows; a
 part of it kept apart sets the temperature.
 
 Null and empty texts have zero vectors and get a score like any other. Without labels of both kinds every score is the share of label 1 (1/2 if
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_sample, flat, fold, kept, segment_sum, slices, table, written
+from .common import WordTable, bounded_sample, flat, fold, kept, slices, table, written
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Size of the vectors, signs in a sparse vector, buckets of tokens: the vectors of all words take BUCKETS * SIZE * 4 bytes at any input.
@@ -109,15 +109,17 @@ class Vectors:
 
     def features(self, texts: list[str | None], codes: WordTable) -> np.ndarray:
         found = [tokens(x) for x in texts]
-        out = []
-        for some in (found, [list(dict.fromkeys(x)) for x in found]):
-            every, offsets = flat(some)
+        every, offsets = flat(found)
+        n = np.diff(offsets)
+        different = np.fromiter((len(set(x)) for x in found), np.float64, len(found))
+        out = np.zeros((len(found), SIZE + 2))
+        some = np.flatnonzero(n)
+        if len(some):
             bucket = codes.rows(every)[:, 0]
-            weight = segment_sum(self.weights[bucket], offsets)
-            out.append(segment_sum(self.vectors[bucket], offsets) / np.maximum(weight, 1e-9)[:, None])
-            out.append(np.diff(offsets)[:, None].astype(float))
-        n, different = out[1], out[3]
-        return np.concatenate([out[0], out[2], np.log1p(n), different / np.maximum(n, 1)], axis=1)
+            weight = np.add.reduceat(self.weights[bucket], offsets[some])
+            out[some, :SIZE] = np.add.reduceat(self.vectors[bucket], offsets[some], axis=0) / np.maximum(weight, 1e-9)[:, None]
+        out[:, SIZE], out[:, SIZE + 1] = np.log1p(n), different / np.maximum(n, 1)
+        return out
 
 
 @dataclass
@@ -194,10 +196,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", k
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["row_key", "label", "x"])
 
     sample = labelled(docs, labels, label, most, key, text).select("row_key", "label", "text")
-    rows = sample.mapInArrow(describe, "row_key string, label double, x array<float>").orderBy("row_key", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, 2 * SIZE + 2)
-    y = np.round(rows.column("label").to_numpy().astype(float))
-    apart = np.array([zlib.crc32(f"apart {k}".encode()) % 5 == 0 for k in rows.column("row_key").to_pylist()], bool)
+    rows = sorted(sample.mapInArrow(describe, "row_key string, label double, x array<float>").toArrow().to_pylist(), key=lambda r: (r["row_key"], r["x"]))
+    x = np.array([r["x"] for r in rows], float).reshape(-1, SIZE + 2)
+    y = np.round(np.array([r["label"] for r in rows], float))
+    apart = np.array([zlib.crc32(f"apart {r['row_key']}".encode()) % 5 == 0 for r in rows], bool)
     net = spark.sparkContext.broadcast(Network.fitted(x, y, apart))
 
     @F.pandas_udf("double")
