@@ -9,7 +9,7 @@ from ..sources.scratch import written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and root (the smallest node of its component) of the nodes of edges (a, b).
+    """node and root (the smallest node of its component) of the nodes of edges (a, b) that are no roots.
 
     Each round is joins and aggregations on the edges, whose number never grows; rounds grow with the logarithm of the longest chain.
     Loops and repeated edges are fine. Nodes of one type that can be ordered are meant.

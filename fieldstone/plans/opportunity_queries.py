@@ -39,7 +39,7 @@ runs AS (
     CASE WHEN o_orderkey % 11 = 0 THEN 'ABSTAIN' ELSE 'PASS' END AS eligibility, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 101) / 100.0::DOUBLE END AS probability,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH' WHEN o_orderpriority = '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS quality, o_orderkey % 7 = 0 AS manual_review,
     CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'LOW' WHEN o_orderkey % 3 = 1 THEN 'MEDIUM' ELSE 'HIGH' END AS valuation_quality,
-    floor((o_orderkey % 101) / 100.0::DOUBLE * CAST(coalesce(cents, 0) - CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) / 100.0::DOUBLE) AS expected_uplift, coalesce(support_count, 0) AS support_count
+    floor((o_orderkey % 101) / 100.0::DOUBLE * CAST(coalesce(cents, 0) - CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) / 100.0::DOUBLE) + 0.0::DOUBLE AS expected_uplift, coalesce(support_count, 0) AS support_count
   FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS support_count FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 sites AS (
   SELECT c_custkey AS site_id, c_name AS display_name, n_name AS borough, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS price_gbp,
