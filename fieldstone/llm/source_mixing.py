@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 MOST_EPOCHS, SEED = 3, 11
 WEIGHTS = (1, 2, 3)
@@ -69,6 +69,7 @@ def ordered(rows: DataFrame, cells: int) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """key, text_hash, size, source_size, target and taken of each row of docs."""
     rows = docs.select(F.col(key).alias("row_key"), F.xxhash64(F.col(text).cast("string")).alias("tie"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    rows = written(rows, "sizes")  # the texts are read once; what follows needs ids and sizes only
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     n_rows, n_sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     goal = targets(sizes.drop("n"), weights, most_epochs)
