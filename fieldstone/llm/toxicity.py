@@ -43,6 +43,8 @@ SAMPLE_DOCS, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 4_000, 20_000
 BEGINNINGS, LEAST_DOCS, LEAST_DEVIATION, LEAST_SHARE = (5, 6, 7), 4, 5.0, 0.6
 #: Documents that are not toxic around an exception, and their share, at least.
 EXCEPTION_DOCS, EXCEPTION_SHARE = 4, 0.8
+#: Terms that a task counts before it hands them on: this bounds its memory.
+MOST_HELD = 100_000
 #: Words that a text counts as at least, when its weight is put against its length.
 SHORT = 20.0
 
@@ -127,7 +129,7 @@ def tally(sample: DataFrame, terms) -> DataFrame:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for term in terms(folded(text)):
                     counts.setdefault(term, [0, 0])[int(label >= 0.5)] += 1
-            if len(counts) > 1_000_000:
+            if len(counts) > MOST_HELD:
                 yield rows(counts)
                 counts = {}
         yield rows(counts)
