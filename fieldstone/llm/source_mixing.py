@@ -12,6 +12,8 @@ fall in the order of id and text hash; rows equal in all of these are interchang
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from .common import table, written
 
 MOST_EPOCHS, SEED = 3, 11
 WEIGHTS = (1, 2, 3)
-#: Rows aimed at in a cell.
-CELL_ROWS = 20_000
+#: Rows aimed at in a cell: the root of their number, so that neither a cell nor a source's list of cells grows long, and at least so many.
+CELL_ROWS = 1_000
 #: Sources whose targets go to every executor; more are joined by shuffle.
 MOST_BROADCAST = 20_000
 
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     n_rows, n_sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     goal = targets(sizes.drop("n"), weights, most_epochs)
     goal = F.broadcast(goal) if n_sources <= MOST_BROADCAST else goal
-    placed = ordered(rows, max(1, n_rows // CELL_ROWS)).withColumnRenamed("source", "own")
+    placed = ordered(rows, max(1, n_rows // max(CELL_ROWS, math.isqrt(n_rows)))).withColumnRenamed("source", "own")
     joined = placed.join(goal, F.col("own").eqNullSafe(F.col("source")))
     budget, whole = F.floor("target"), F.greatest(F.col("source_size"), F.lit(1))
     epochs = F.floor(budget / whole).cast("long")
