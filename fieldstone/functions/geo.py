@@ -162,6 +162,32 @@ def polygon_overlap(a: list, b: list) -> float:
     return shared if shared > 1e-6 else 0.0  # less is rounding where edges touch
 
 
+def is_box(ring: Column) -> Column:
+    """Whether a polygon fills its bounds."""
+    b = bounds(ring)
+    whole = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"])
+    return (F.size(ring) >= 3) & (F.abs(area(ring) - whole) <= 1e-9 * whole)
+
+
+def box_distance(box: Column, p: Column) -> Column:
+    dx = F.greatest(F.lit(0.0), box["minx"] - p["x"], p["x"] - box["maxx"])
+    dy = F.greatest(F.lit(0.0), box["miny"] - p["y"], p["y"] - box["maxy"])
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def pair_overlap() -> Column:
+    """Shared square metres of a row of near_pairs(): built in for two boxes, else by overlap_area()."""
+    boxes = F.col("left_is_box") & F.col("right_is_box")
+    other = overlap_area(F.when(~boxes, F.col("left_ring")), F.when(~boxes, F.col("right_ring")))
+    return F.when(boxes, box_overlap(F.col("left_box"), F.col("right_box"))).otherwise(other)
+
+
+def pair_distance() -> Column:
+    """Metres from the left polygon of a row of near_pairs() to the right point."""
+    p = F.get("right_ring", F.lit(0))
+    return F.when(F.col("left_is_box"), box_distance(F.col("left_box"), p)).otherwise(distance_to(F.col("left_ring"), p))
+
+
 @F.pandas_udf(DoubleType())
 def overlap_area(left: pd.Series, right: pd.Series) -> pd.Series:
     """Shared square metres of two polygons; 0 if either is a point."""
@@ -225,8 +251,8 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, w
 
     A pair is taken in the one cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct.
     """
-    a = left.select(F.col(left_id).alias("left_id"), F.col("ring").alias("left_ring"), bounds(F.col("ring")).alias("left_box")).where(F.size("left_ring") >= 1)
-    b = right.select(F.col(right_id).alias("right_id"), F.col("ring").alias("right_ring"), bounds(F.col("ring")).alias("right_box")).where(F.size("right_ring") >= 1)
+    a = left.select(F.col(left_id).alias("left_id"), F.col("ring").alias("left_ring"), bounds(F.col("ring")).alias("left_box"), is_box(F.col("ring")).alias("left_is_box")).where(F.size("left_ring") >= 1)
+    b = right.select(F.col(right_id).alias("right_id"), F.col("ring").alias("right_ring"), bounds(F.col("ring")).alias("right_box"), is_box(F.col("ring")).alias("right_is_box")).where(F.size("right_ring") >= 1)
     a = a.withColumn("cell", F.explode(cells(F.col("left_box"), cell, within)))
     b = b.withColumn("cell", F.explode(cells(F.col("right_box"), cell)))
     pairs = a.join(b, "cell")

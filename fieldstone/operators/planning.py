@@ -34,11 +34,10 @@ def spatial_matches(sites: DataFrame, features: DataFrame, near_m: float = 0.0,
     """
     pairs = G.near_pairs(sites, features, site_id, feature_id, max(near_m, 0.001))
     own, other = F.col("left_ring"), F.col("right_ring")
-    spot = F.get(other, F.lit(0))
-    polygons = pairs.where(~G.is_point(other) & ~G.is_point(own)).withColumn("sqm", G.overlap_area(own, other)).withColumn("distance_m", F.lit(0.0))
+    polygons = pairs.where(~G.is_point(other) & ~G.is_point(own)).withColumn("sqm", G.pair_overlap()).withColumn("distance_m", F.lit(0.0))
     corners = F.exists(own, lambda p: G.distance_to(other, p) <= 0.001) | F.exists(other, lambda p: G.distance_to(own, p) <= 0.001)
     touching = polygons.where((F.col("sqm") > 0) | corners).withColumn("link_type", F.lit("POLYGON_INTERSECTS"))
-    points = pairs.where(G.is_point(other)).withColumn("sqm", F.lit(0.0)).withColumn("distance_m", G.distance_to(own, spot))
+    points = pairs.where(G.is_point(other)).withColumn("sqm", F.lit(0.0)).withColumn("distance_m", G.pair_distance())
     points = points.where(F.col("distance_m") <= near_m).withColumn("link_type", F.when(F.col("distance_m") == 0, "POINT_WITHIN_SITE").otherwise("POINT_NEAR_SITE"))
     out = touching.unionByName(points)
     share = F.coalesce(F.try_divide(F.col("sqm"), G.area(own)), F.lit(0.0))
@@ -211,7 +210,8 @@ def stronger_cases(weaker: DataFrame, stronger: DataFrame) -> DataFrame:
     Same borough, units and route (the join key), valid within 45 days, and overlapping by half of the smaller polygon, or, with a point on either
     side, within 30 m or of the same description.
     """
-    a, b = weaker.alias("a"), stronger.alias("b")
+    sized = lambda df: df.withColumns({"box": G.bounds(F.col("ring")), "is_box": G.is_box(F.col("ring"))})
+    a, b = sized(weaker).alias("a"), sized(stronger).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("borough_id", "units", "route")]
     near = a.join(b, [*on, N.dates_close(F.col("a.valid_date"), F.col("b.valid_date"), CASE_DAYS)])
     points = (F.size("a.ring") == 1) | (F.size("b.ring") == 1)
@@ -219,7 +219,9 @@ def stronger_cases(weaker: DataFrame, stronger: DataFrame) -> DataFrame:
     same_text = F.col("a.signature") == F.col("b.signature")
     both = near.where(F.col("a.ring").isNotNull() & F.col("b.ring").isNotNull())
     spots = both.where(points & ((gap <= CASE_M) | same_text))
-    shapes = both.where(~points).withColumn("shared", G.overlap_area(F.col("a.ring"), F.col("b.ring")))
+    boxes = F.col("a.is_box") & F.col("b.is_box")
+    other = G.overlap_area(F.when(~boxes, F.col("a.ring")), F.when(~boxes, F.col("b.ring")))
+    shapes = both.where(~points).withColumn("shared", F.when(boxes, G.box_overlap(F.col("a.box"), F.col("b.box"))).otherwise(other))
     shapes = shapes.where((F.col("shared") > 0) & ((F.col("shared") >= 0.5 * F.least(G.area(F.col("a.ring")), G.area(F.col("b.ring")))) | same_text)).drop("shared")
     bare = near.where((F.col("a.ring").isNull() | F.col("b.ring").isNull()) & same_text)
     columns = [F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("stronger_id"), F.col("b.priority").alias("p"), F.col("b.valid_date").alias("v"), F.col("b.external_ref").alias("x")]

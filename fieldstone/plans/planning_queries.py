@@ -114,7 +114,7 @@ def lpa_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lx, ly = s % 20 * 250.0, F.floor(s / 20) % 20 * 200.0
     lpas = table(spark, sf_dir, "supplier").select(s.alias("lpa_id"), G.box_ring(lx, ly, lx + 250, ly + 200).alias("ring"))
     pairs = G.near_pairs(own, lpas, "site_id", "lpa_id", 0.0, cell=250.0)
-    found = pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), F.col("right_id").cast("string").alias("lpa_name"), G.overlap_area(F.col("left_ring"), F.col("right_ring")).alias("sqm"), G.area(F.col("left_ring")).alias("area"))
+    found = pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), F.col("right_id").cast("string").alias("lpa_name"), G.pair_overlap().alias("sqm"), G.area(F.col("left_ring")).alias("area"))
     shares = planning.lpa_shares(found.where("sqm > 0").withColumn("pct", F.col("sqm") / F.col("area")))
     return shares.select("site_id", "lpa_id", N.round_half_up(F.col("sqm"), 2).alias("sqm"), "is_primary", "crossing", "borough_id")
 
