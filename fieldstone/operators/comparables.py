@@ -21,7 +21,8 @@ def similarity(s: str = "s", c: str = "c", as_of: str = "as_of") -> Column:
     a, b = (lambda x: F.col(f"{s}.{x}")), (lambda x: F.col(f"{c}.{x}"))
     flag = lambda hit: F.when(F.coalesce(hit, F.lit(False)), 1.0).otherwise(0.0)
     share = lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(x - y) / F.greatest(x, F.lit(1.0)))
-    years = F.coalesce(F.greatest(F.datediff(a(as_of), b("decision_date")), F.lit(0)) / 365.25, F.lit(UNDATED_YEARS))
+    days = F.datediff(a(as_of), b("decision_date"))
+    years = F.when(days.isNull(), UNDATED_YEARS).otherwise(F.greatest(days, F.lit(0)) / 365.25)
     parts = {
         "borough": flag(a("borough_id") == b("borough_id")), "form": flag(a("form") == b("form")),
         "units": share(a("units").cast("double"), b("units").cast("double")), "area": F.when(F.coalesce(b("area"), F.lit(0.0)) <= 0, 0.5).otherwise(share(a("area"), b("area"))),

@@ -30,8 +30,9 @@ def citations_complete(citations: Column) -> Column:
 
 
 def capacity(area: Column) -> Column:
-    """Whole homes that fit, within the template's range."""
-    return F.greatest(F.col("min_units"), F.least(F.col("max_units"), F.floor(area * F.col("net_pct") / F.col("sqm_per_home")))).cast("int")
+    """Whole homes that fit, within the template's range; null without an area."""
+    homes = F.floor(area * F.col("net_pct") / F.col("sqm_per_home"))
+    return F.when(homes.isNotNull(), F.greatest(F.col("min_units"), F.least(F.col("max_units"), homes))).cast("int")
 
 
 def exclusion(area: Column, manual_seed: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import opportunity_queries, planning_queries, valuation_queries  # noqa: F401
+from . import control_queries, opportunity_queries, planning_queries, valuation_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
