@@ -1,8 +1,8 @@
 """Language ID: one interpolated Kneser-Ney character model per language, in sorted hash arrays.
 
 A text is its runs of letters in lower case; each run is read between two boundaries. The language with the lowest cross-entropy
-per character wins. Each language's spread on texts kept apart from training says how high the cross-entropy of a text of
-its length may be; a text above that, or without a letter, is rejected.
+per character wins. Texts kept apart from training say how far above its language's mean the cross-entropy of a text of
+its length may be; a text beyond that, or without a letter, is rejected.
 
 Null texts and texts without a letter are `und` with score 0 and rejected. Ties go to the language that sorts first. Without any
 labelled text every document is `und`. Repeated rows are scored row by row; further columns are left alone.
@@ -28,8 +28,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 4
 #: The models are fitted on at most about so many labelled documents, and hold so many character sequences of each length.
 SAMPLE_DOCS, MOST_GRAMS = 20_000, 1 << 19
-#: Times the largest excess seen on texts kept apart.
-SLACK = 1.5
+#: A text is rejected beyond so many times the largest excess seen on texts kept apart, and beyond this excess at least.
+SLACK, LEAST_LIMIT = 1.5, 40.0
 #: Characters beyond which a longer text isn't judged more strictly.
 LONG = 400
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +91,8 @@ class Models:
     def judge(self, texts: Iterable[str | None], words: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per character in each language, characters, and words of each text."""
         runs, offsets = flat([letter_runs(x) for x in texts])
+        if not self.languages:
+            return np.zeros((len(offsets) - 1, 0)), np.zeros(len(offsets) - 1), np.diff(offsets)
         chars = segment_sum(np.fromiter(map(len, runs), np.float64, len(runs)) + 1, offsets)
         return -segment_sum(words.rows(runs), offsets) / np.maximum(chars, 1)[:, None], chars, np.diff(offsets)
 
@@ -163,7 +165,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
                 padded = f" {word} "
                 for end in range(2, len(padded) + 1):
                     n[padded[max(0, end - order) : end]] += times
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(n)), pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "gram", "n"])
 
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -171,16 +173,16 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, most: int = SAMPLE_DOCS) -> Models:
     """Models of the languages of labelled rows, from a bounded sample; a tenth of it sets the limits and the score's sharpness."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("row_key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sample = bounded_sample(rows, "row_key", most).withColumn("apart", F.coalesce(fold("row_key", 10), F.lit(1)) == 0)
+    sample = bounded_sample(rows, "row_key", most).withColumn("apart", F.pmod(F.xxhash64(F.lit(13), "row_key"), F.lit(10)) == 0)
     grams = written(count_grams(sample.where(~F.col("apart")).select("lang", "text"), order), "grams")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for batch in grams.orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow().to_batches():
         for language, gram, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             counts[language][gram] = n
+    if not counts:
+        return Models([], order, 1.0, [], [])
     models = estimate(counts, sorted(counts), order)
     width = len(models.languages)
-    if not width:
-        return models
     shared, version, place = sample.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex, {x: i for i, x in enumerate(models.languages)}
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +199,17 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for i in range(width):
         if (own := truth == i).sum() >= 5:
             models.mean[i] = np.average(entropy[own, i], weights=np.minimum(chars[own], LONG))
-            excess = (entropy[own, i] - models.mean[i]) * np.sqrt(np.minimum(chars[own], LONG))
-            models.limit[i] = SLACK * max(excess.max(), 2.0) + 2.0
     if len(seen):
+        # one limit for all languages: a language with few texts kept apart says little about its own
+        excess = (entropy[np.arange(len(seen)), truth] - models.mean[truth]) * np.sqrt(np.minimum(chars, LONG))
+        models.limit[:] = max(LEAST_LIMIT, SLACK * excess.max())
+
         def loss(sharpness: float) -> float:
             z = -entropy * np.minimum(chars, LONG)[:, None] * sharpness
             z -= z.max(axis=1, keepdims=True)
             return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]))
 
-        models.sharpness = min((0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0), key=loss)
+        models.sharpness = min((0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0), key=loss)
     return models
 
 
