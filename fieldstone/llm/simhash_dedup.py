@@ -112,6 +112,8 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, most: int = MOST_IN_BUCK
                 pairs += bucket_links(own[starts[k] : starts[k] + sizes[k]], radius)
             if pairs:
                 yield rows(*(np.concatenate(x) for x in zip(*pairs, strict=True)), False)
+            for k in np.flatnonzero(sizes > most):
+                yield rows(*[own[starts[k] : starts[k] + sizes[k]]] * 2, True)
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the last bucket, which the next batch may go on with
         over: tuple[int, int] | None = None  # the bucket whose rows are handed on
@@ -164,7 +166,7 @@ def point_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) of the nodes of edges (a, b), by alternating large-star and small-star rounds."""
+    """node, root (the smallest node of its component) of the nodes of edges (a, b) that are no roots, by alternating large-star and small-star rounds."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
