@@ -63,25 +63,27 @@ def usable(vector: Column, size: int | None = None) -> Column:
 
 
 def scan(queries: np.ndarray, candidates: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query, candidates among which its k nearest are with high probability, by rotated vectors."""
+    """For each query, its k nearest candidates (more if they tie) with high probability, by rotated vectors."""
     size, out = queries.shape[1], []
     first = min(COLUMNS, size)
     head = ((queries[:, None, :first] - candidates[None, :, :first]) ** 2).sum(axis=2) if len(queries) * len(candidates) * first <= 1 << 22 else None
     for i, q in enumerate(queries):
         part = head[i] if head is not None else ((candidates[:, :first] - q[:first]) ** 2).sum(axis=1)
-        # the k that look nearest give the bound
-        look = np.argpartition(part, k - 1)[:k] if len(part) > k else np.arange(len(part))
-        bound = ((candidates[look] - q) ** 2).sum(axis=1).max() if len(part) > k else np.inf
-        live, done = np.arange(len(part)), first
-        while True:
-            stay = part * (size / done) <= bound * (1 + DOUBT / np.sqrt(done)) ** 2 if done < size else part <= bound + 1e-9
+        live, done, bound = np.arange(len(part)), first, np.inf
+        while done < size and len(live) > k:
+            # the k that look nearest so far give a bound; who looks too far beyond it is abandoned
+            look = live[np.argpartition(part, k - 1)[:k]]
+            bound = min(bound, ((candidates[look] - q) ** 2).sum(axis=1).max())
+            stay = part * (size / done) <= bound * (1 + DOUBT / np.sqrt(done)) ** 2
             live, part = live[stay], part[stay]
-            if done >= size or not len(live):
-                break
             to = min(size, done + COLUMNS)
             part = part + ((candidates[live, done:to] - q[done:to]) ** 2).sum(axis=1)
             done = to
-        out.append(np.union1d(live, look))
+        if done < size:
+            part = ((candidates[live] - q) ** 2).sum(axis=1)
+        if len(live) > k:
+            live = live[part <= np.partition(part, k - 1)[k - 1] + 1e-9]
+        out.append(live)
     return out
 
 

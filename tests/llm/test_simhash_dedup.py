@@ -80,7 +80,7 @@ def test_links_join_what_brute_force_joins(spark, most, monkeypatch):
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (1, 2), (2, 1)]
     found = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(found[i] == 0 for i in range(201)) and all(found[i] == 1000 for i in range(1000, 1100)) and 5000 not in found
+    assert found == {i: 0 for i in range(1, 201)} | {i: 1000 for i in range(1001, 1100)}
 
 
 def test_query_matches_brute_force(spark):
