@@ -12,7 +12,7 @@ from ..functions import html as H
 from ..functions import numeric as N
 from ..functions import text as T
 from .components import connected_components
-from .latest import latest_per_key
+from .latest import latest_per_key, top_per_key
 
 #: Fixed values.
 ALIASES = {
@@ -209,3 +209,31 @@ def first_per_id(rows: DataFrame, key: str, position: str) -> DataFrame:
 def surplus_rows(rows: DataFrame, before: Column, policy: Column, key: str = "id", position: str = "position") -> DataFrame:
     """A register's rows: the first of each id that passes `before`, if it passes the policy too; a first row that fails it still blocks later ones."""
     return first_per_id(rows.where(before), key, position).where(policy)
+
+
+def crawl_candidates(pages: DataFrame, sitemaps: DataFrame, allow: str, most: int) -> DataFrame:
+    """source, url and position of pages to fetch: links of seed pages (source, url, html), then locations of sitemaps (source, xml), that match a pattern.
+
+    Each URL once, at its first place; at most `most` of a source.
+    """
+    linked = H.links(pages).select(F.col("url").alias("seed"), "target", "position").join(pages.select("source", F.col("url").alias("seed")), "seed")
+    linked = linked.select("source", F.col("target").alias("url"), F.lit(0).alias("part"), "seed", "position")
+    listed = sitemaps.select("source", F.posexplode(H.sitemap_urls(F.col("xml"))).alias("position", "url"))
+    listed = listed.select("source", T.normalize_url(F.col("url")).alias("url"), F.lit(1).alias("part"), F.lit("").alias("seed"), "position")
+    every = linked.unionByName(listed).where(F.col("url").rlike(allow))
+    first = latest_per_key(every, ["source", "url"], F.asc("part"), F.asc("seed"), F.asc("position"))
+    kept = top_per_key(first, ["source"], most, F.asc("part"), F.asc("seed"), F.asc("position"), F.asc("url"), rank="place")
+    return kept.select("source", "url", "place")
+
+
+def relinked(sites: DataFrame, members: DataFrame) -> DataFrame:
+    """sites (site_id, cluster_id, current_listing_id) whose current listing has moved on to another cluster follow it."""
+    now = members.select(F.col("listing_id").alias("current_listing_id"), F.col("cluster_id").alias("__now"))
+    joined = sites.join(now, "current_listing_id", "left")
+    moved = F.coalesce(F.col("__now") != F.col("cluster_id"), F.lit(False))
+    return joined.select(*(F.col(c) for c in sites.columns if c != "cluster_id"), F.coalesce("__now", "cluster_id").alias("cluster_id"), moved.alias("moved"))
+
+
+def obsolete(held: DataFrame, fresh: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """Keys that a rebuild no longer has."""
+    return held.select(key).distinct().join(fresh.select(key).distinct(), key, "left_anti")

@@ -303,3 +303,30 @@ def test_streams(spark, tmp_path):
     last = jobs.last_seen(jobs.read(spark, str(tmp_path / "in"), schema), ["job_type"], "created_at")
     jobs.drain(last.writeStream.format("memory").queryName("sightings").outputMode("complete"))
     assert {r.job_type: r.times_seen for r in spark.table("sightings").collect()} == {"pull": 3, "push": 1}
+
+
+def test_crawl_and_relink(spark):
+    pages = spark.createDataFrame([("s", "http://a/list", '<a href="/lot/2">x</a><a href="/about">y</a><a href="/lot/1#f">z</a><a href="/lot/2/">again</a>')], "source string, url string, html string")
+    maps = spark.createDataFrame([("s", "<loc>http://a/lot/9</loc><loc>http://a/lot/1</loc><loc>http://a/lot/8</loc>")], "source string, xml string")
+    found = listings.crawl_candidates(pages, maps, r"/lot/\d+$", 3).orderBy("place").collect()
+    assert [r.url for r in found] == ["http://a/lot/2", "http://a/lot/1", "http://a/lot/9"]
+    own = spark.createDataFrame([("x", "c1", 1), ("y", "c2", 2), ("z", "c3", 9)], "site_id string, cluster_id string, current_listing_id int")
+    members = spark.createDataFrame([(1, "c7"), (2, "c2")], "listing_id int, cluster_id string")
+    assert {r.site_id: (r.cluster_id, r.moved) for r in listings.relinked(own, members).collect()} == {"x": ("c7", True), "y": ("c2", False), "z": ("c3", False)}
+    assert [r.cluster_id for r in listings.obsolete(own, members).orderBy("cluster_id").collect()] == ["c1", "c3"]
+
+
+def test_schedule(spark):
+    from fieldstone.operators import schedule
+
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    sources = spark.createDataFrame([("a", True, "COMPLIANT_AUTOMATED", 6), ("b", True, "COMPLIANT_AUTOMATED", 2), ("c", True, "COMPLIANT_AUTOMATED", 1), ("d", False, "COMPLIANT_AUTOMATED", 1), ("e", True, "MANUAL_ONLY", 1)], "source_id string, is_active boolean, mode string, interval_hours int")
+    runs = spark.createDataFrame([("a", t(8)), ("b", t(1)), ("b", t(9))], "source_id string, created_at timestamp")
+    assert sorted(r.source_id for r in schedule.due_sources(sources, runs, now).collect()) == ["b", "c"]
+    rows = [(1, "QUEUED", t(11), None, t(1), "x", "k"), (2, "QUEUED", t(13), None, t(1), "x", "m"), (3, "RUNNING", t(9), t(9), t(1), "x", "k"), (4, "RUNNING", t(9), t(12), t(1), "x", "n"), (5, "DEAD", t(1), None, t(1), "x", "k")]
+    queue = spark.createDataFrame(rows, "job_id int, status string, next_run_at timestamp, locked_at timestamp, created_at timestamp, job_type string, dedupe_key string")
+    assert [r.job_id for r in schedule.claimable(queue, now).collect()] == [3, 1]
+    assert sorted(r.job_id for r in schedule.deduplicated(queue).collect()) == [1, 2, 4]
+    after = queue.where("job_id <= 2").select("job_id", schedule.after_failure(F.col("job_id") + 1, now).alias("s")).orderBy("job_id").collect()
+    assert [r.s.status for r in after] == ["QUEUED", "DEAD"] and after[1].s.next_run_at is None
