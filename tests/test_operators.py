@@ -330,3 +330,37 @@ def test_schedule(spark):
     assert sorted(r.job_id for r in schedule.deduplicated(queue).collect()) == [1, 2, 4]
     after = queue.where("job_id <= 2").select("job_id", schedule.after_failure(F.col("job_id") + 1, now).alias("s")).orderBy("job_id").collect()
     assert [r.s.status for r in after] == ["QUEUED", "DEAD"] and after[1].s.next_run_at is None
+
+
+def test_site_candidates_of_clusters(spark):
+    rows = [("c1", "1", 5, 0.9, "LAND", "LIVE", 51.0, 0.1, None), ("c1", "2", 6, 0.9, "LAND", "SOLD_STC", 51.0, 0.1, None), ("c2", "3", 5, 0.9, "LAND", "AUCTION", None, None, "x road"), ("c3", "4", 5, 1.0, "GARAGE_COURT", "LIVE", 51.0, 0.1, None), ("c4", "5", 5, 1.0, "LAND", "LIVE", 51.0, None, None)]
+    df = spark.createDataFrame(rows, "cluster_root string, id string, last_seen_at int, confidence double, listing_type string, status string, lat double, lon double, normalized_address string")
+    assert [r.cluster_root for r in listings.build_candidates(df).collect()] == ["c2"]
+
+
+def test_citations(spark):
+    kind = "array<struct<label:string,source_family:string,effective_date:date,url:string>>"
+    for value, want in (([("a", "b", DAY, "u")], True), ([("a", "b", DAY, "u"), ("a", "b", None, "u")], False), ([("", "b", DAY, "u")], False), ([], False), (None, False)):
+        assert spark.createDataFrame([(value,)], f"c {kind}").select(scenarios.citations_complete(F.col("c"))).first()[0] == want
+
+
+def test_gold_set_and_stale_marks(spark):
+    labels = spark.createDataFrame([(1, "PENDING", "t", DAY, None, None), (2, "PENDING", "t", None, DAY, None), (3, "CONFIRMED", "u", DAY, DAY, None)], "case_id int, review_status string, template string, valid_date date, first_decision_date date, notes string")
+    assert [r.case_id for r in readback.gold_set(labels).collect()] == [3, 1, 2] and [r.case_id for r in readback.gold_set(labels, "PENDING").collect()] == [1, 2]
+    done = readback.reviewed(labels, spark.createDataFrame([(1, 1, "EXCLUDED", "old", 1), (1, 2, "CONFIRMED", "new", 2)], "case_id int, review_id int, review_status string, notes string, reviewed_at int"))
+    assert {r.case_id: (r.review_status, r.notes) for r in done.collect()} == {1: ("CONFIRMED", "new"), 2: ("PENDING", None), 3: ("CONFIRMED", None)}
+    s = spark.createDataFrame([(1, "a", "b1", "t", "g1", "r1", False), (2, "b", "b2", "t", "g1", "r1", False)], "scenario_id int, site_id string, borough_id string, template string, geometry_hash string, rulepack_hash string, is_stale boolean")
+    moved = scenarios.stale_for_geometry(s, spark.createDataFrame([("a", "g2"), ("b", "g1")], "site_id string, geometry_hash string"))
+    assert {r.scenario_id: r.is_stale for r in moved.collect()} == {1: True, 2: False}
+    ruled = scenarios.stale_for_rulepacks(s, spark.createDataFrame([("b2", "t", "r2")], "borough_id string, template string, rulepack_hash string"))
+    assert {r.scenario_id: r.is_stale for r in ruled.collect()} == {1: False, 2: True}
+
+
+def test_permissions(spark):
+    rows = [("FULL", "FULL_RESIDENTIAL", "ACTIVE", "C3", None, None, True), ("FULL", "FULL_RESIDENTIAL", "ACTIVE", "C3", days(-1), None, False), ("FULL", "COMMERCIAL", "ACTIVE", "C3", None, None, False), ("FULL", "FULL_RESIDENTIAL", "APPROVED", "resi", days(0), True, True), (None, None, None, None, None, None, False), ("FULL", "FULL_RESIDENTIAL", "ACTIVE", "C3", None, False, False)]
+    df = spark.createDataFrame(rows, "r string, d string, s string, u string, x date, a boolean, want boolean")
+    assert df.where(planning.active_permission(*(F.col(c) for c in "rdsuxa"), F.lit(DAY)) != F.col("want")).count() == 0
+    brown = spark.createDataFrame([("PART_1", "ACTIVE", "ACTIVE", None, False), ("PART_2", "ACTIVE", None, None, True), ("PART_2", None, "active", days(1), True), ("PART_2", "ACTIVE", None, days(-1), False), ("PART_2", None, None, None, False)], "p string, i string, t string, e date, want boolean")
+    assert brown.where(planning.active_brownfield(F.col("p"), F.col("i"), F.col("t"), F.lit(None).cast("date"), F.col("e"), F.lit(DAY)) != F.col("want")).count() == 0
+    over = spark.createDataFrame([(0.1, 1.0, True), (0.05, 100.0, True), (0.05, 99.0, False), (None, None, False)], "p double, s double, want boolean")
+    assert over.where(planning.material_overlap(F.col("p"), F.col("s"), F.lit(None).cast("boolean"), F.lit(False)) != F.col("want")).count() == 0
