@@ -23,13 +23,15 @@ MOST_EPOCHS, SEED = 3, 11
 WEIGHTS = (1, 2, 3)
 #: Rows aimed at in a cell: the root of their number, so that neither a cell nor a source's list of cells grows long, and at least so many.
 CELL_ROWS = 1_000
+#: White space besides the blank.
+WHITE = "\t\n\x0b\x0c\r"
 #: Sources whose targets go to every executor; more are joined by shuffle.
 MOST_BROADCAST = 20_000
 
 
 def word_count(text: str) -> Column:
     """Runs of other characters than ASCII white space; 0 for null."""
-    spaced = F.translate(F.col(f"`{text}`").cast("string"), "\t\n\x0b\x0c\r", "     ")
+    spaced = F.translate(F.col(f"`{text}`").cast("string"), WHITE, " " * len(WHITE))
     words = F.length(F.regexp_replace(F.concat(F.lit(" "), spaced), "(?s) +[^ ]?[^ ]*", "x"))
     return F.coalesce(F.when(F.trim(spaced) == "", F.lit(0)).otherwise(words - F.when(spaced.endswith(" "), 1).otherwise(0)), F.lit(0)).cast("long")
 
@@ -86,14 +88,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """docs as the mix takes them: a row for each time that a document is taken, with epoch (from 1) and taken, the words taken then."""
+    """docs as the mix takes them: a row for each time that a document is taken, with epoch (from 1) and taken, the words taken then.
+
+    The one row of a source at which its budget ends has its text cut to these words (with single blanks; n_chars follows).
+    """
     taken = mix(docs, key, text, source, weights, most_epochs).where("taken > 0").select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     taken = taken.groupBy("__key", "__hash").agg(F.max("__size").alias("__size"), F.max("__taken").alias("__taken"))
     own = docs.withColumn("__text_hash", F.xxhash64(F.col(text).cast("string")))
     joined = own.join(taken, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash")))
     epoch = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")))
     rows = joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__size", "__taken", epoch.alias("epoch"))
-    return rows.withColumn("taken", F.least(F.col("__size"), F.col("__taken") - (F.col("epoch") - 1) * F.col("__size"))).drop("__size", "__taken")
+    rows = rows.withColumn("__now", F.least(F.col("__size"), F.col("__taken") - (F.col("epoch") - 1) * F.col("__size")))
+    words = F.split(F.trim(F.translate(F.col(f"`{text}`").cast("string"), WHITE, " " * len(WHITE))), " +")
+    rows = rows.withColumn("__cut", F.when(F.col("__now") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__now").cast("int")), " ")))
+    changed = {text: F.coalesce("__cut", F.col(f"`{text}`"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns), "epoch", F.col("__now").alias("taken"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

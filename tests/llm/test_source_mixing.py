@@ -81,3 +81,12 @@ def test_mixture_repeats_epochs(spark):
     rows = M.mixture(docs).orderBy("doc_id", "epoch").collect()
     assert [(r.doc_id, r.epoch, r.taken) for r in rows if r.source == "b"] == [(2, 1, 2), (2, 2, 2), (2, 3, 2), (3, 1, 1), (3, 2, 1), (3, 3, 1)]
     assert sum(r.taken for r in rows) == pytest.approx(303, abs=1)
+
+
+def test_texts_hold_the_words_taken(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = M.mixture(docs).collect()
+    assert all(words(r.text) == r.taken for r in rows)
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    cut = [r for r in rows if r.text != whole[r.doc_id]]
+    assert 0 < len(cut) <= 20 and all(r.n_chars == len(r.text) and whole[r.doc_id].split()[: r.taken] == r.text.split() for r in cut)
