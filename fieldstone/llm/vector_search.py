@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by adaptive dimension scan in inverted lists.
 
-Vectors are scaled to length one, rotated by a fixed random rotation and put into the list of the nearest centroid. A query looks through its
-nearest lists. In a list, distances grow column block by column block; after each block a hypothesis test abandons candidates
-whose distance, estimated from the columns so far, is too far beyond the present k-th best. What is left is compared by cosine in double
-precision on the original vectors.
+Vectors are scaled to length one, rotated by a fixed random rotation and put into the list of the nearest centroid. A query first looks through
+its nearest lists, which gives it a k-th best. From that and from each other list's size and spread it expects how many nearer vectors the list
+holds, and looks through lists until those left should hold few: a query with close neighbours is done soon, one without any goes on.
+In a list, distances grow column block by column block; after each block a hypothesis test abandons candidates whose distance, estimated
+from the columns so far, is too far beyond the present k-th best. What is left is compared by cosine in double precision on the
+original vectors.
 
 Equal vectors are one class with its smallest ids, as many as an answer can need, so copies don't fill a list. Lists are cut into
 pieces of bounded size. Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part,
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, table, written
 
 NEIGHBOURS, SEED = 5, 3
-#: Vectors that the centroids are fitted on, at most about; classes aimed at in a list; lists at most; lists that a query looks through.
-SAMPLE, LIST_SIZE, MOST_LISTS, PROBES = 20_000, 400, 4096, 24
+#: Vectors that the centroids are fitted on, at most about; classes aimed at in a list; lists at most; lists that a query looks through first.
+SAMPLE, LIST_SIZE, MOST_LISTS, PROBES = 20_000, 400, 4096, 8
+#: Share of the k nearest that the lists left out may be expected to hold.
+MISSED = 0.03
 #: Candidates and queries that are held against each other in one piece.
 PIECE, QUERY_PIECE = 4096, 512
 #: Columns in a block, and how many standard deviations too far a candidate must look to be abandoned.
@@ -62,31 +66,47 @@ def usable(vector: Column, size: int | None = None) -> Column:
     return F.coalesce(right & (F.size(vector) == size) if size is not None else right, F.lit(False))
 
 
-def scan(queries: np.ndarray, candidates: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query, its k nearest candidates (more if they tie) with high probability, by rotated vectors."""
+def scan(queries: np.ndarray, candidates: np.ndarray, k: int, bounds: np.ndarray) -> list[np.ndarray]:
+    """For each query, its k nearest candidates within its bound (a squared distance) with high probability, more if they tie, by rotated vectors."""
     size, out = queries.shape[1], []
     first = min(COLUMNS, size)
-    head = ((queries[:, None, :first] - candidates[None, :, :first]) ** 2).sum(axis=2) if len(queries) * len(candidates) * first <= 1 << 22 else None
-    for i, q in enumerate(queries):
-        part = head[i] if head is not None else ((candidates[:, :first] - q[:first]) ** 2).sum(axis=1)
-        live, done, bound = np.arange(len(part)), first, np.inf
-        while done < size and len(live) > k:
-            # the k that look nearest so far give a bound; who looks too far beyond it is abandoned
-            look = live[np.argpartition(part, k - 1)[:k]]
-            bound = min(bound, ((candidates[look] - q) ** 2).sum(axis=1).max())
-            stay = part * (size / done) <= bound * (1 + DOUBT / np.sqrt(done)) ** 2
+    q, c = queries[:, :first], candidates[:, :first]
+    head = np.maximum((q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * q @ c.T, 0)
+    for q, part, bound in zip(queries, head, bounds.tolist(), strict=True):
+        live, done = np.arange(len(part)), first
+        while True:
+            if len(live) > k:  # the k that look nearest so far tighten the bound
+                look = live[np.argpartition(part, k - 1)[:k]]
+                bound = min(bound, ((candidates[look] - q) ** 2).sum(axis=1).max())
+            if done == size:
+                break
+            stay = part * (size / done) <= bound * (1 + DOUBT / np.sqrt(done)) ** 2 + 1e-9
             live, part = live[stay], part[stay]
             to = min(size, done + COLUMNS)
             part = part + ((candidates[live, done:to] - q[done:to]) ** 2).sum(axis=1)
             done = to
-        if done < size:
-            part = ((candidates[live] - q) ** 2).sum(axis=1)
-        if len(live) > k:
-            live = live[part <= np.partition(part, k - 1)[k - 1] + 1e-9]
-        out.append(live)
+        out.append(live[part <= bound + 1e-9])
     return out
 
 
+def tail(z: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution beyond z."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    density = np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+    beyond = density * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, beyond, 1 - beyond)
+
+
+def expected_nearer(closeness: np.ndarray, kth: np.ndarray, n: np.ndarray, mean: np.ndarray, spread: np.ndarray, size: int) -> np.ndarray:
+    """For each query and list, the vectors of the list that should be nearer than the query's k-th best: directions around a centroid are taken as random.
+
+    closeness: cosine of query and centroid. n, mean, spread: a list's vectors and their cosines with the centroid.
+    """
+    own = np.clip(mean + np.where(closeness >= 0, 1, -1) * spread, -1, 1)
+    sd = np.sqrt(np.maximum((1 - own**2) * (1 - closeness**2), 1e-6) / max(1, size - 1))
+    return n * tail((kth[:, None] - own * closeness) / sd)
+
+
 def classes_of(vectors: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, int]:
     """class_id (its smallest id), vector and ids (its k + 1 smallest) of each different usable vector; and their size."""
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -121,60 +141,93 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
         middle, _ = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = unit(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x @ middle.T).argmax(axis=1), pa.int32()), batch.column(1), batch.column(2)], names=["class_no", "list", "vector", "ids"])
+                closeness = unit(batch.column(1).to_pylist()) @ middle.T
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(closeness.argmax(axis=1), pa.int32()), pa.array(closeness.max(axis=1)), batch.column(1), batch.column(2)], names=["class_no", "list", "closeness", "vector", "ids"])
 
     kind = vectors.schema[key].dataType.simpleString()
-    placed = written(classes.select("class_no", "vector", "ids").mapInArrow(place, f"class_no long, list int, vector array<double>, ids array<{kind}>"), "lists")
-    sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each of at most MOST_LISTS lists
-    pieces = {i: -(-sizes[i] // PIECE) for i in sizes}
-    plan = spark.sparkContext.broadcast((np.array([sizes.get(i, 0) for i in range(lists)]), np.array([pieces.get(i, 0) for i in range(lists)])))
+    placed = written(classes.select("class_no", "vector", "ids").mapInArrow(place, f"class_no long, list int, closeness double, vector array<double>, ids array<{kind}>"), "lists")
+    # a row for each of at most MOST_LISTS lists
+    found = {r["list"]: r for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("closeness").alias("mean"), F.stddev_pop("closeness").alias("spread")).collect()}
+    about = np.array([(found[i]["n"], found[i]["mean"], found[i]["spread"]) if i in found else (0, 0.0, 0.0) for i in range(lists)], float)
+    cuts = -(-about[:, 0].astype(int) // PIECE)
+    plan = spark.sparkContext.broadcast((about, cuts))
 
     asked = vectors.where(is_query & F.col(key).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
     asked = asked.where(usable(F.col("vector"), size)).select("query_id", F.transform("vector", lambda x: x + 0.0).alias("vector")).distinct()
-    # copies among the queries are searched once
     asked = written(asked, "queries")
-    query_classes = asked.groupBy("vector").agg(F.min("query_id").alias("q"))
+    # copies among the queries are searched once
+    query_classes = asked.groupBy("vector").agg(F.min("query_id").alias("q")).select("q", "vector", F.lit(-2.0).alias("kth"))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, _ = shared.value
-        amount, cuts = plan.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            who, lists_of, cut = [], [], []
-            for i, near in enumerate(np.argsort(-(unit(batch.column(1).to_pylist()) @ middle.T), axis=1, kind="stable")):
-                enough = max(probes, int(np.searchsorted(np.cumsum(amount[near]), k + 1)) + 1)  # lists that hold k candidates
-                for j in near[:enough]:
-                    who += [i] * int(cuts[j])
-                    lists_of += [j] * int(cuts[j])
-                    cut += range(int(cuts[j]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(lists_of, pa.int32()), pa.array(cut, pa.int32()), batch.column(1).take(pa.array(who, pa.int64()))], names=["q", "list", "piece", "vector"])
-
-    probed = query_classes.select("q", "vector").mapInArrow(probe, f"q {kind}, list int, piece int, vector array<double>")
-    # a list's pieces by hash, and queries in parts, so that both sides of a group stay small
-    many = F.create_map(*[F.lit(x) for pair in sorted((i, c) for i, c in pieces.items() if c > 1) for x in pair]) if any(c > 1 for c in pieces.values()) else None
-    cut_of = F.pmod(F.xxhash64("class_no"), F.coalesce(many[F.col("list")], F.lit(1))).cast("int") if many is not None else F.lit(0)
-    candidates = placed.withColumn("piece", cut_of)
+    def first_lists(closeness: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
+        amount = plan.value[0][:, 0]
+        near = np.argsort(-closeness, axis=1, kind="stable")
+        enough = [max(probes, int(np.searchsorted(np.cumsum(amount[x]), k + 1)) + 1) for x in near]  # lists that hold k candidates
+        return [x[:n] for x, n in zip(near, enough, strict=True)]
+
+    def more_lists(closeness: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
+        n, mean, spread = plan.value[0].T
+        expected = expected_nearer(closeness, kth, n, mean, spread, size)
+        out = []
+        for done, row in zip(first_lists(closeness, kth), expected, strict=True):
+            row[done] = 0
+            order = np.argsort(-row, kind="stable")
+            left = row.sum() - np.cumsum(row[order])  # what the lists after each one should hold
+            out.append(order[: int((left > MISSED * k).sum()) + 1] if row.sum() > MISSED * k else order[:0])
+        return out
+
+    def probing(choose):
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            middle, _ = shared.value
+            pieces = plan.value[1]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                chosen = choose(unit(batch.column(1).to_pylist()) @ middle.T, batch.column(2).to_numpy())
+                who = np.repeat(np.arange(batch.num_rows), [int(pieces[x].sum()) for x in chosen])
+                every = np.concatenate(chosen) if len(chosen) else np.zeros(0, int)
+                where = np.repeat(every, pieces[every])
+                piece = np.concatenate([np.arange(n) for n in pieces[every]]) if len(every) else np.zeros(0, int)
+                names = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(names), pa.array(where, pa.int32()), pa.array(piece, pa.int32()), batch.column(1).take(names), batch.column(2).take(names)], names=["q", "list", "piece", "vector", "kth"])
+
+        return probe
+
+    # a long list's pieces by hash, so that a group stays small
+    long = [(i, int(n)) for i, n in enumerate(cuts) if n > 1]
+    many = F.create_map(*[F.lit(x) for pair in long for x in pair])[F.col("list")] if long else F.lit(1)
+    candidates = placed.withColumn("piece", F.pmod(F.xxhash64("class_no"), F.coalesce(many, F.lit(1))).cast("int"))
 
     def hold(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": [], "ids": [], "score": []})
         if not len(queries) or not len(found):
-            return empty
+            return pd.DataFrame({"q": pd.Series([], dtype=object), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         _, turning = shared.value
         a, b = np.array(queries["vector"].tolist(), dtype=np.float64), np.array(found["vector"].tolist(), dtype=np.float64)
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         ra, rb = a / la[:, None] @ turning, b / lb[:, None] @ turning
-        out = []
+        bounds = 2 - 2 * queries["kth"].to_numpy(float)
+        who, which, scores = [], [], []
         for at in range(0, len(a), QUERY_PIECE):
-            for i, near in enumerate(scan(ra[at : at + QUERY_PIECE], rb, k + 1), at):
+            to = at + QUERY_PIECE
+            for i, near in enumerate(scan(ra[at:to], rb, k + 1, bounds[at:to]), at):
                 score = (b[near] * a[i]).sum(axis=1) / (lb[near] * la[i])
-                best = near[np.argsort(-score, kind="stable")[: 2 * k + 2]]
-                score = np.sort(score)[::-1][: 2 * k + 2]
-                out.append(pd.DataFrame({"q": queries["q"].iloc[i], "ids": found["ids"].iloc[best].tolist(), "score": score}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    met = probed.groupBy("list", "piece").cogroup(candidates.groupBy("list", "piece")).applyInPandas(hold, f"q {kind}, ids array<{kind}>, score double")
+                best = np.argsort(-score, kind="stable")[: 2 * k + 2]
+                who.append(np.full(len(best), i))
+                which.append(near[best])
+                scores.append(score[best])
+        who, which, scores = (np.concatenate(x) for x in (who, which, scores))
+        return pd.DataFrame({"q": queries["q"].to_numpy()[who], "ids": found["ids"].iloc[which].tolist(), "score": scores}).astype({"ids": object})
+
+    def search(queries: DataFrame, choose) -> DataFrame:
+        probed = queries.mapInArrow(probing(choose), f"q {kind}, list int, piece int, vector array<double>, kth double")
+        met = probed.groupBy("list", "piece").cogroup(candidates.groupBy("list", "piece")).applyInPandas(hold, f"q {kind}, ids array<{kind}>, score double")
+        return written(met, "met")
+
+    first = search(query_classes, first_lists)
+    order = Window.partitionBy("q").orderBy(F.desc("score"))
+    each = first.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(order))
+    kth = each.where(F.col("n") == k + 1).select("q", F.col("score").alias("kth"))
+    rest = query_classes.drop("kth").join(kth, "q", "left").select("q", "vector", F.coalesce("kth", F.lit(-1.0)).alias("kth"))
+    met = first.unionByName(search(rest, more_lists))
     best = met.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = written(best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("q", "vec_id", "score"), "top")

@@ -58,6 +58,22 @@ def test_many_lists_and_pieces_keep_recall(spark, monkeypatch):
     assert recall(found(M.nearest(df, F.col("vec_id") % 100 == 0)), want) >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["random", "half"])
+def test_vectors_without_structure_are_found_too(spark, monkeypatch, shape):
+    chance = np.random.default_rng(4)
+    x = chance.normal(size=(6000, 64))
+    if shape == "half":
+        x[::2] = chance.normal(size=(10, 64))[chance.integers(0, 10, 3000)] + 0.05 * chance.normal(size=(3000, 64))
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    monkeypatch.setattr(M, "LIST_SIZE", 60)
+    want = brute(rows, lambda i: i % 50 == 0)
+    assert recall(found(M.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 50 == 0)), want) >= 0.93
+
+
+def test_normal_tail():
+    assert M.tail(np.array([-3.0, 0.0, 1.0, 2.5, 4.0])) == pytest.approx([0.99865, 0.5, 0.158655, 0.0062097, 3.167e-5], rel=1e-3)
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(40)] + [(100, [2.0, 1.0]), (101, None), (102, [0.0, 0.0]), (103, [1.0, None]), (104, [1.0, float("nan")]), (105, [float("inf"), 1.0]), (106, []), (None, [1.0, 2.0]), (7, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
@@ -79,7 +95,7 @@ def test_scan_abandons_only_far_candidates():
     middles = chance.normal(size=(40, 64))
     x = M.unit(middles[chance.integers(0, 40, 2000)] + 0.6 * chance.normal(size=(2000, 64))) @ M.rotation(64)
     hits = total = 0
-    for i, near in enumerate(M.scan(x[:50], x, 6)):
+    for i, near in enumerate(M.scan(x[:50], x, 6, np.full(50, 4.0))):
         best = np.argsort(((x - x[i]) ** 2).sum(axis=1))[:6]
         hits += len(np.intersect1d(near, best))
         total += 6
