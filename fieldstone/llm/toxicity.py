@@ -28,12 +28,12 @@ from .common import fold, kept, slices, table, written
 from .quality_classifier import labelled
 
 WORD = re.compile(r"[^\W_]+")
-#: Characters read as the letter after them.
+#: Characters read as the letter after them. 1 stands for i and for l, so these two are one letter in folded text.
 LOOK_ALIKES = {
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i",
+    "0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "п": "n",
     "α": "a", "ο": "o", "ι": "i", "ρ": "p", "υ": "u", "τ": "t", "κ": "k", "ν": "v", "ε": "e", "σ": "o", "η": "n", "χ": "x",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l", "ø": "o", "ł": "l", "đ": "d",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "i", "ø": "o", "ł": "i", "đ": "d",
 }
 #: Words that are in the lexicon whatever the labels say.
 WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -53,19 +53,25 @@ def _table() -> dict[int, str]:
     table = {ord(k): v for k, v in LOOK_ALIKES.items()}
     for code in range(0xC0, 0x250):  # letters with marks stand for the plain letter
         if code not in table and (plain := unicodedata.normalize("NFKD", chr(code))[0].lower()).isascii() and plain.isalpha():
-            table[code] = plain
+            table[code] = table.get(ord(plain), plain)
     for code in range(0xFF01, 0xFF5F):  # full-width forms
-        table[code] = unicodedata.normalize("NFKC", chr(code)).lower()
+        plain = unicodedata.normalize("NFKC", chr(code)).lower()
+        table[code] = table.get(ord(plain), plain)
     for code in (*range(0x300, 0x370), *range(0x200B, 0x2010), 0xAD, 0xFEFF):  # marks and invisible characters
         table[code] = ""
     return table
 
 
 FOLDS = _table()
+BEFORE_LETTER = re.compile(r"[@$](?=[^\W_])")
 
 
 def folded(text: str | None) -> str:
-    return (text or "").lower().translate(FOLDS)
+    """Lower case, look-alikes as plain letters; @ and $ only before a letter or digit, as they also end words."""
+    text = (text or "").lower()
+    if "$" in text or "@" in text:
+        text = BEFORE_LETTER.sub(lambda m: "s" if m[0] == "$" else "a", text)
+    return text.translate(FOLDS)
 
 
 @dataclass
@@ -150,7 +156,8 @@ def fit(sample: DataFrame) -> Lexicon:
     """Lexicon, exceptions and curve from labelled rows (row_key, label, text)."""
     sample = written(sample, "toxic-sample")
     toxic, n = sample.agg(F.coalesce(F.sum((F.col("label") >= 0.5).cast("long")), F.lit(0)), F.count("*")).first()
-    lexicon = Lexicon(dict.fromkeys(WORDS, 1.0), {})
+    base = [folded(w) for w in WORDS]
+    lexicon = Lexicon(dict.fromkeys(base, 1.0), {})
     if not 0 < toxic < n:
         return lexicon
     share = toxic / n
@@ -160,7 +167,7 @@ def fit(sample: DataFrame) -> Lexicon:
     chosen = tally(sample, word_terms).where((F.col("toxic") >= LEAST_DOCS) & (deviation >= LEAST_DEVIATION) & (F.col("toxic") >= seen * LEAST_SHARE))
     rows = chosen.select("term", odds.alias("odds"), deviation.alias("deviation")).orderBy(F.desc("deviation"), "term").limit(MOST_TERMS).collect()
     words = {r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}
-    lexicon = Lexicon(dict.fromkeys(WORDS, max([1.0, *words.values()])) | words, {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*")})
+    lexicon = Lexicon(dict.fromkeys(base, max([1.0, *words.values()])) | words, {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*")})
     shared, version = sample.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
 
     def phrases(text: str) -> set[str]:

@@ -133,12 +133,13 @@ def test_toxicity_query(spark):
 
 
 def test_folding_and_matching():
-    lexicon = T.Lexicon({"idiot": 2.0, "scum": 1.0}, {"achl": 3.0}, frozenset({"scum lake", "achlich"}))
+    assert T.folded("Lo$er 1oser LOSER$$$ a@b ＬＯＳＥＲ") == "ioser ioser ioser$$$ aab ioser"
+    lexicon = T.Lexicon({"idiot": 2.0, "scum": 1.0}, {T.folded("achl"): 3.0}, frozenset({T.folded("scum lake"), T.folded("achlich")}))
     automaton = lexicon.automaton()
     found = lambda text: {T.folded(text)[a:b]: w for (a, b), w in lexicon.matches(T.folded(text), automaton).items()}
     assert found("an 1D10T, an іdіоt, an ÍDIÓT and an ｉｄｉｏｔ") == {"idiot": 2.0}
     assert len(lexicon.matches(T.folded("an 1D10T, an іdіоt, an ÍDIÓT and an ｉｄｉｏｔ"), automaton)) == 4
-    assert found("idiotic scumbag xscum") == {} and found("achlung scum") == {"achlung": 3.0, "scum": 1.0}
+    assert found("idiotic scumbag xscum") == {} and found("achlung scum$$$") == {T.folded("achlung"): 3.0, "scum": 1.0}
     assert lexicon.features(T.folded("at scum lake"), automaton) == (0.0, 0.0) and lexicon.features(T.folded("achlich"), automaton) == (0.0, 0.0)
     assert lexicon.features(T.folded("scum"), automaton) > lexicon.features(T.folded("scum " + "word " * 500), automaton)
 
