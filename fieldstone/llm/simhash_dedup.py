@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import slices, table, written
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
@@ -165,30 +166,10 @@ def point_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return points.join(least, "point").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) of the nodes of edges (a, b) that are no roots, by alternating large-star and small-star rounds."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-
-
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, component_id (the smallest row_key reachable) of each different fingerprint of prints (row_key, fp)."""
     fps = written(prints.groupBy("fp").agg(F.min("row_key").alias("least")), "fps")
-    roots = components(links(fps, fps.count(), radius))
+    roots = connected_components(links(fps, fps.count(), radius))
     joined = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return written(joined.join(ids, "root").select("fp", "component_id"), "classes")

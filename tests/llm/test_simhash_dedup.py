@@ -72,14 +72,14 @@ def test_links_join_what_brute_force_joins(spark, most, monkeypatch):
     monkeypatch.setattr(M, "AIM", 8)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    roots = {r.node: r.root for r in M.components(M.links(df, len(fps), most=most)).collect()}
+    roots = {r.node: r.root for r in M.connected_components(M.links(df, len(fps), most=most)).collect()}
     want = brute_components(list(zip(signed, fps, strict=True)), lambda a, b: (a ^ b).bit_count() <= 4)
     assert [roots.get(x, x) for x in signed] == want
 
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (1, 2), (2, 1)]
-    found = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.root for r in M.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {i: 1000 for i in range(1001, 1100)}
 
 
