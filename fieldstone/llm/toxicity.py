@@ -186,9 +186,10 @@ def fit(sample: DataFrame) -> Lexicon:
             x = [final.value.features(folded(t), automaton) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x]), pa.array([b for _, b in x])], names=["label", "a", "b"])
 
-    found = sample.select("label", "text").mapInArrow(describe, "label double, a double, b double").orderBy("label", "a", "b").toArrow()
-    x = np.stack([np.ones(len(found)), found.column("a").to_numpy(), found.column("b").to_numpy()], axis=1)
-    y = (found.column("label").to_numpy() >= 0.5).astype(float)
+    found = sample.select("label", "text").mapInArrow(describe, "label double, a double, b double").toArrow()
+    rows = np.stack([found.column(c).to_numpy() for c in ("a", "b", "label")], axis=1)
+    rows = rows[np.lexsort(rows.T)]  # one order in every run; the sample is bounded
+    x, y = np.concatenate([np.ones((len(rows), 1)), rows[:, :2]], axis=1), (rows[:, 2] >= 0.5).astype(float)
     lexicon.curve = logistic(x, y)
     return lexicon
 
