@@ -4,8 +4,10 @@ A byte is eight binary decisions. For each decision and each context of 0 to DEP
 estimate, and a context's estimate is mixed with that of its longer contexts by the evidence of the training text:
 P(s) = w KT(s) + (1 - w) P(longer). The sum of log P over a text is its code length.
 
-Sequence counts are gathered over the whole training text by Spark. The tree keeps the most frequent contexts of each length, at most
-MOST_CONTEXTS of them; the rarer ones below a kept context share one further leaf, and nothing is left uncounted.
+Sequence counts are gathered over the whole training text by Spark, and the tree keeps every context: it grows with the text. Contexts of
+TOP bytes are dealt out with all the longer ones below them, so that a task grows whole branches; only the shorter ones pass through the
+driver, from sums. Each sequence's score is a row of a written table. The most frequent go to all executors; the others are joined by
+shuffle, and so are sequences that training never had, which are scored in the branch they would belong to.
 
 A text is its words in lower case (A-Z), each followed by a space, the last by the end mark. Null and empty texts are the end mark alone.
 Without training text each decision has probability 1/2. The word model that scores are held against counts every training token; words
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 from .common import fold, kept, segment_sum, slices, table, written
 
 DEPTH = 6
-#: Contexts of each length that the tree keeps, at most: the most frequent ones.
+#: Contexts of each length that a tree from fit_tree() keeps, at most: the most frequent ones. The query's tree has no such bound.
 MOST_CONTEXTS = 1 << 15
+#: Length of the contexts whose branches are dealt out, and sequences of which a task grows the branches at once (more if one branch has more).
+TOP, MOST_GROWN = 3, 100_000
+#: Sequences whose scores go to all executors, at most: the most frequent ones.
+MOST_SENT = 1 << 21
 #: Words that go to all executors, at most: the most frequent ones.
 MOST_WORDS = 1 << 17
 #: A task hands its counts on when it holds about so many different sequences or words.
@@ -202,8 +208,8 @@ class Tree:
     scores: list[Slots]
 
     @staticmethod
-    def grown(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-        """From the kept sequences and counts of each depth, from 0 on."""
+    def branches(counts: list[tuple[np.ndarray, np.ndarray]], first: int = 0) -> tuple[list[Level], tuple[np.ndarray, ...]]:
+        """The levels from the kept sequences and counts of each depth from `first` on, and the first one's keys, zeros, ones and total logs."""
         found = []
         for seq, n in counts:
             keys, bits = node_keys(seq)
@@ -216,7 +222,7 @@ class Tree:
             found.append((unique, every - ones, ones))
         levels: list[Level] = []
         below = None
-        for depth in range(len(counts) - 1, -1, -1):
+        for depth in range(first + len(counts) - 1, first - 1, -1):
             keys, zeros, ones = found.pop()
             own = log_kt(zeros, ones)
             mask = np.uint64((1 << (8 * depth + 8)) - 1)
@@ -232,9 +238,14 @@ class Tree:
                 weight = np.exp(own + np.log(0.5) - total)
                 rest = (less[1] + 0.5) / (less[0] + less[1] + 1)
             below = (keys, zeros, ones, total)
-            contexts = np.unique(counts[depth][0] >> np.uint64(8))
+            contexts = np.unique(counts[depth - first][0] >> np.uint64(8))
             levels.insert(0, Level(keys, weight.astype(np.float32), ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), rest.astype(np.float32), contexts, mask))
-        tree = Tree(levels, [])
+        return levels, below
+
+    @staticmethod
+    def grown(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+        """From the kept sequences and counts of each depth, from 0 on."""
+        tree = Tree(Tree.branches(counts)[0], [])
         tree.scores = [Slots(seq, tree.log2(seq, depth)) for depth, (seq, _) in enumerate(counts)]
         return tree
 
@@ -288,7 +299,7 @@ def least_count(times: DataFrame, column: str, most: int, at_least: int = 1) ->
 
 
 def fit_tree(counts: DataFrame, depth: int = DEPTH, most: int = MOST_CONTEXTS) -> Tree:
-    """The tree from counts (seq, n) of whole sequences. What comes to the driver is bounded by `most` contexts of each length.
+    """A tree in memory from counts (seq, n) of whole sequences. What comes to the driver is bounded by `most` contexts of each length.
 
     Shorter sequences are summed from the next longer ones. A context is only kept with the shorter ones it ends in, so the least count never falls.
     """
@@ -308,23 +319,98 @@ def fit_tree(counts: DataFrame, depth: int = DEPTH, most: int = MOST_CONTEXTS) -
     return Tree.grown(levels)
 
 
+def whole_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """seq and n of whole branches from rows (branch, seq, n) in order of branch."""
+    held: list[tuple[np.ndarray, ...]] = []
+    limit = MOST_GROWN
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+        if sum(len(x[0]) for x in held) >= limit:
+            branch, seq, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(branch, branch[-1]))
+            if cut:
+                yield seq[:cut].view(np.uint64), n[:cut]
+            held, limit = [(branch[cut:], seq[cut:], n[cut:])], max(MOST_GROWN, 2 * (len(seq) - cut))
+    if sum(len(x[0]) for x in held):
+        _, seq, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield seq.view(np.uint64), n
+
+
+def branch_levels(seq: np.ndarray, n: np.ndarray) -> tuple[list[Level], tuple[np.ndarray, ...]]:
+    """Tree.branches() of whole branches, from TOP on."""
+    return Tree.branches([merged(seq & np.uint64((1 << (8 * d + 8)) - 1), n) for d in range(TOP, DEPTH + 1)], TOP)
+
+
+def dealt(seqs: DataFrame) -> DataFrame:
+    """branch, seq and n, each branch in one task and in order."""
+    branch = F.col("seq").bitwiseAND(F.lit((1 << (8 * TOP + 8)) - 256)).alias("branch")
+    return seqs.select(branch, "seq", "n").repartition("branch").sortWithinPartitions("branch")
+
+
+def top_levels(counts: DataFrame) -> list[Level]:
+    """The levels of contexts of fewer than TOP bytes. To the driver come the decisions of the longest of these, whose number has a bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, n in whole_branches(batches):
+            keys, *sums = branch_levels(seq, n)[1]
+            unique, place = np.unique(keys & np.uint64((1 << (8 * TOP)) - 1), return_inverse=True)
+            columns = [np.bincount(place, x, len(unique)) for x in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *(pa.array(x) for x in columns)], names=["key", "zeros", "ones", "longer"])
+
+    found = dealt(counts).mapInArrow(run, "key long, zeros double, ones double, longer double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer"))).toArrow()
+    keys, zeros, ones, longer = (found.column(i).to_numpy() for i in range(4))
+    by = np.argsort(keys)
+    keys, zeros, ones, longer = keys[by].view(np.uint64), zeros[by], ones[by], longer[by]
+    levels: list[Level] = []
+    for depth in range(TOP - 1, -1, -1):
+        own = log_kt(zeros, ones)
+        total = np.logaddexp(own, longer) + np.log(0.5)
+        weight = np.exp(own + np.log(0.5) - total)
+        mask = np.uint64((1 << (8 * depth + 8)) - 1)
+        levels.insert(0, Level(keys, weight.astype(np.float32), ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), np.full(len(keys), 0.5, np.float32), np.unique(keys >> np.uint64(8)), mask))
+        keys, place = np.unique(keys & (mask >> np.uint64(8)), return_inverse=True)
+        zeros, ones, longer = (np.bincount(place, x, len(keys)) for x in (zeros, ones, total))
+    return levels
+
+
+def sequence_scores(counts: DataFrame, top: list[Level], asked: DataFrame | None = None) -> DataFrame:
+    """seq, n and score (binary log probability) of each training sequence, or those of `asked` (seq), none of which is in training."""
+    shared, unseen = counts.sparkSession.sparkContext.broadcast(top), asked is not None
+    seqs = counts if asked is None else counts.unionByName(asked.select("seq", F.lit(0).cast("long").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, n in whole_branches(batches):
+            wanted = n == 0 if unseen else n > 0
+            if wanted.any():
+                levels, _ = branch_levels(seq[n > 0], n[n > 0])
+                score = Tree([*shared.value, *levels], []).log2(seq[wanted], DEPTH).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(seq[wanted].view(np.int64)), pa.array(n[wanted]), pa.array(score)], names=["seq", "n", "score"])
+
+    return written(dealt(seqs).mapInArrow(run, "seq long, n long, score float"), "scores")
+
+
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held-back columns of docs named __*, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row."""
     spark = docs.sparkSession
     counts = written(count_corpus(training, text), "counts")
     sequence_counts, word_counts = counts.where("seq is not null").select("seq", "n"), counts.where("word is not null").select("word", "n")
     n, v = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = fit_tree(sequence_counts)
+    top = top_levels(sequence_counts)
+    scores = sequence_scores(sequence_counts, top)
+    least_sent = least_count(scores, "n", MOST_SENT)
+    sent = scores.where(F.col("n") >= least_sent).select("seq", "score").toArrow()
+    hot = Slots(sent.column("seq").to_numpy().view(np.uint64), sent.column("score").to_numpy())
+    del sent
     least = least_count(word_counts, "n", MOST_WORDS)
     frequent = word_counts.where(F.col("n") >= least).toArrow()
     common = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True))
     total = n + 0.5 * (v + 1)
-    shared, version = spark.sparkContext.broadcast((tree, common)), uuid.uuid4().hex
-    del tree, common
+    shared, version = spark.sparkContext.broadcast((hot, common)), uuid.uuid4().hex
+    del hot, common
     extra = [c for c in docs.columns if c.startswith("__")]
     kind = docs.schema[key].dataType.simpleString()
-    names = ["row_id", "row_key", *extra, "n_tokens", "known", "base", "score", "bits_per_byte", "rare"]
-    schema = ", ".join(["row_id long", f"row_key {kind}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra), "n_tokens long, known long, base double, score double, bits_per_byte double, rare array<binary>"])
+    names = ["row_id", "row_key", *extra, "n_tokens", "known", "base", "bits", "n_bytes", "rare", "rare_seqs"]
+    schema = ", ".join(["row_id long", f"row_key {kind}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra), "n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>, rare_seqs array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, times = shared.value
@@ -343,9 +429,10 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 base.append(sum(y for y in found if y is not None) if unknown else sum(found))
                 rare.append(unknown)
             seq, begins = sequences(coded, DEPTH)
-            bits = segment_sum(model.score(seq), begins)
-            score = bits * np.log10(2.0)
-            columns = [pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(score), pa.array(-bits / np.diff(begins)), pa.array(rare, pa.list_(pa.binary()))]
+            value, missing = model.find(seq)
+            bits = segment_sum(np.where(missing, 0, value), begins)
+            left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)])[begins].astype(np.int32)), pa.array(seq[missing].view(np.int64)))
+            columns = [pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(bits), pa.array(np.diff(begins)), pa.array(rare, pa.list_(pa.binary())), left]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2 + len(extra))), *columns], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("row_key"), *extra, F.col(text).cast("string").alias("text"))
@@ -353,9 +440,15 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     rare = scored.where(F.size("rare") > 0).select("row_id", F.explode("rare").alias("word"))
     found = rare.join(word_counts.where(F.col("n") < least), "word", "left")
     sums = found.groupBy("row_id").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total))).alias("rare_base"), F.count("n").alias("rare_known"))
-    return scored.join(sums, "row_id", "left").select(
+    rare_seqs = scored.where(F.size("rare_seqs") > 0).select("row_id", F.explode("rare_seqs").alias("seq"))
+    others = scores.where(F.col("n") < least_sent).select("seq", "score")
+    unseen = sequence_scores(sequence_counts, top, rare_seqs.select("seq").distinct().join(others, "seq", "left_anti"))
+    seq_sums = rare_seqs.join(others.unionByName(unseen.select("seq", "score")), "seq").groupBy("row_id").agg(F.sum(F.col("score").cast("double")).alias("rare_bits"))
+    bits = F.col("bits") + F.coalesce("rare_bits", F.lit(0.0))
+    return scored.join(sums, "row_id", "left").join(seq_sums, "row_id", "left").select(
         F.col("row_key").alias(key), *extra, "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (bits * F.lit(float(np.log10(2.0)))).alias("score"), (-bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

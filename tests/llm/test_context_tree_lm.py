@@ -146,3 +146,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     untrained = M.score_texts(odd_docs, no_docs).collect()
     assert {r.doc_id: r.score for r in untrained}[2] == pytest.approx(-8 * math.log10(2)) and all(r.n_known == 0 for r in untrained)
     assert M.score_texts(no_docs, odd_docs).count() == 0
+
+
+def test_query_tree_keeps_every_context(spark, monkeypatch):
+    """More contexts than any bound had: scores are those of a tree that leaves none out, with few sequences sent and many joined."""
+    chance = random.Random(3)
+    words = ["".join(chance.choice("abcdefghij") for _ in range(8)) for _ in range(12_000)] * 3
+    chance.shuffle(words)
+    texts = [" ".join(words[i::30]) for i in range(30)]  # long contexts tell much, and most are rare
+    docs = spark.createDataFrame(list(enumerate([*texts, "zebra abba", "", None])), "doc_id long, text string")
+    training = docs.where("doc_id < 25")
+    whole = M.fit_tree(M.count_corpus(training, "text").where("seq is not null"), M.DEPTH, 1 << 30)
+    assert len(whole.levels[M.DEPTH].contexts) > 1 << 16
+    monkeypatch.setattr(M, "MOST_GROWN", 5_000)
+    for sent in (1 << 21, 1_000):
+        monkeypatch.setattr(M, "MOST_SENT", sent)
+        got = {r.doc_id: r for r in M.score_texts(docs, training).collect()}
+        for i, text in enumerate([*texts, "zebra abba", "", None]):
+            bits = whole.score(M.sequences([M.encoded(text)[1]], M.DEPTH)[0]).astype(float).sum()
+            assert got[i].score == pytest.approx(bits * math.log10(2), rel=1e-4)
