@@ -28,8 +28,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 4
 #: The models are fitted on at most about so many labelled documents, and hold so many character sequences of each length.
 SAMPLE_DOCS, MOST_GRAMS = 20_000, 1 << 19
-#: A text is rejected beyond so many times the largest excess seen on texts kept apart, and beyond this excess at least.
-SLACK, LEAST_LIMIT = 1.5, 40.0
+#: A text is rejected beyond so many times this quantile of the excess of texts kept apart, by classes of length (so many characters and more).
+SLACK, QUANTILE, CLASSES = 2.0, 0.995, np.array([50, 100, 200, 400])
+#: Few texts say little about a high quantile: the limit of all counts as so many texts more of each class and language; the one before any text as so many more of all.
+SHRINK, PRIOR, PRIOR_TEXTS = 1000, 40.0, 100
 #: Characters beyond which a longer text isn't judged more strictly.
 LONG = 400
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +108,22 @@ class Models:
         score = 1 / np.exp(z).sum(axis=1)
         excess = (entropy.min(axis=1) - self.mean[best]) * np.sqrt(np.minimum(chars, LONG))
         names = np.array([*self.languages, "und"], dtype=object)
-        return pd.DataFrame({"lang_pred": names[np.where(none, len(self.languages), best)], "score": np.where(none, 0.0, score), "rejected": none | (excess > self.limit[best])})
+        return pd.DataFrame({"lang_pred": names[np.where(none, len(self.languages), best)], "score": np.where(none, 0.0, score), "rejected": none | (excess > self.limit[length_class(chars), best])})
+
+
+def length_class(chars: np.ndarray) -> np.ndarray:
+    return np.searchsorted(CLASSES, chars, side="right")
+
+
+def limits(excess: np.ndarray, chars: np.ndarray, truth: np.ndarray, width: int) -> np.ndarray:
+    """The largest excess allowed in each class of length (rows) and language, from texts of known language."""
+
+    def drawn(own: np.ndarray, to: float, weight: int) -> float:
+        return (len(own) * SLACK * max(0.0, np.quantile(own, QUANTILE)) + weight * to) / (len(own) + weight) if len(own) else to
+
+    of_all, lengths = drawn(excess, PRIOR, PRIOR_TEXTS), length_class(chars)
+    of_class = [drawn(excess[lengths == k], of_all, SHRINK) for k in range(len(CLASSES) + 1)]
+    return np.array([[drawn(excess[(lengths == k) & (truth == i)], x, SHRINK) for i in range(width)] for k, x in enumerate(of_class)])
 
 
 def look_up(arrays: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, other: float) -> np.ndarray:
@@ -192,7 +209,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(entropy.astype(float)), pa.list_(pa.float64())), pa.array(chars), pa.array(n)], names=["lang", "entropy", "chars", "n"])
 
     seen = [r for r in sample.where("apart").select("lang", "text").mapInArrow(tell, "lang string, entropy array<double>, chars double, n long").where("n > 0").toArrow().to_pylist() if r["lang"] in place]
-    models.mean, models.limit = np.full(width, np.log(64.0)), np.full(width, np.inf)
+    models.mean, models.limit = np.full(width, np.log(64.0)), np.full((len(CLASSES) + 1, width), np.inf)
     truth = np.array([place[r["lang"]] for r in seen], int)
     entropy = np.array([r["entropy"] for r in seen]).reshape(-1, width)
     chars = np.array([r["chars"] for r in seen])
@@ -200,9 +217,8 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         if (own := truth == i).sum() >= 5:
             models.mean[i] = np.average(entropy[own, i], weights=np.minimum(chars[own], LONG))
     if len(seen):
-        # one limit for all languages: a language with few texts kept apart says little about its own
         excess = (entropy[np.arange(len(seen)), truth] - models.mean[truth]) * np.sqrt(np.minimum(chars, LONG))
-        models.limit[:] = max(LEAST_LIMIT, SLACK * excess.max())
+        models.limit = limits(excess, chars, truth, width)
 
         def loss(sharpness: float) -> float:
             z = -entropy * np.minimum(chars, LONG)[:, None] * sharpness

@@ -151,3 +151,14 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs, score, label):
         rows = score(odd_docs, known).collect()
         assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows)
         assert score(no_docs, known).count() == 0
+
+
+@pytest.mark.parametrize("left_out", ["fr", "en"])
+def test_an_unlearned_language_is_rejected(spark, left_out):
+    """Of the same script; the learned ones are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    predict = L.predictor(spark, L.fit(L.trained_part(docs.where(F.col("lang") != left_out))))
+    other = (F.col("lang") == left_out).alias("other")
+    rows = docs.where(L.fold("doc_id", 5) == 0).select(other, predict(F.col("text"))["rejected"].cast("int").alias("rejected"))
+    share = {r.other: r.share for r in rows.groupBy("other").agg(F.avg("rejected").alias("share")).collect()}
+    assert share[True] > 0.9 and share[False] < 0.005
