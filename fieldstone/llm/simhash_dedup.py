@@ -167,25 +167,25 @@ def point_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, component_id (the smallest row_key reachable) of each different fingerprint of prints (row_key, fp)."""
+    """fp, root (a fingerprint for each class) and component_id (the smallest row_key reachable) of each different fingerprint of prints (row_key, fp)."""
     fps = written(prints.groupBy("fp").agg(F.min("row_key").alias("least")), "fps")
     roots = connected_components(links(fps, fps.count(), radius))
     joined = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(joined.join(ids, "root").select("fp", "component_id"), "classes")
+    return written(joined.join(ids, "root").select("fp", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """key, text_hash, fingerprint (16 hex digits) and component_id of each row."""
+    """key, text_hash, fingerprint (16 hex digits), component_id and root of each row; root tells classes apart that have no id."""
     prints = written(fingerprints(docs, key, text, shingle_words), "prints")
     found = classes(prints, radius)
-    return prints.join(found, "fp").select(F.col("row_key").alias(key), "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(found, "fp").select(F.col("row_key").alias(key), "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, one of each class of near duplicates: the one with the smallest key (of equal keys, the smallest text hash)."""
     found = written(near_duplicates(docs, key, text, shingle_words, radius), "marked")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("row_key"), "text_hash")).alias("first"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("row_key"), "text_hash")).alias("first"))
     first = first.select(F.col("first.row_key").alias("__first_key"), F.col("first.text_hash").alias("__first_hash"))
     again = not found.groupBy(key, "text_hash").count().where("count > 1").isEmpty()
     own = docs.withColumn("__text_hash", F.xxhash64(F.col(text).cast("string")))

@@ -109,3 +109,9 @@ def test_keep_one_takes_one_of_each_class(spark):
     for r in M.near_duplicates(docs).collect():
         classes[r.component_id].append(r.doc_id)
     assert sorted(r.doc_id for r in M.keep_one(docs).select("doc_id").collect()) == sorted(map(min, classes.values()))
+
+
+def test_different_texts_without_an_id_all_stay(spark):
+    texts = ["the cat sat on the mat and slept", "an entirely different row of many other words", "an entirely different row of many other words"]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(4, "a text that has an id of its own here")], "doc_id long, text string")
+    assert sorted(r.text for r in M.keep_one(docs).collect()) == sorted({*texts, "a text that has an id of its own here"})
