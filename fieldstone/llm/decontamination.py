@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming search, exact check.
 
-Every window of a document that has as many words as an item is a candidate place for it. A window that shares no shingle with any item has
+Every window of a document that has as many words as an item is a candidate place for it; for items longer than the document, the whole
+document is. A window that shares no shingle with any item has
 similarity 0 and gets no fingerprint. The others do; the blocks of an item's fingerprint index it under all values within
 floor(radius / blocks) bits, which finds every fingerprint within the radius. Candidates are then compared by weighted
 Jaccard similarity of their five-word shingles (a shingle weighs more the fewer items have it).
@@ -145,7 +146,10 @@ class Benchmark:
     def best_windows(self, shingles: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """matches() of one text from its shingles and the places of those that items have."""
         places, lengths, prints = [], [], []
-        for length in np.unique(self.lengths[self.lengths <= len(shingles)]).tolist():
+        sizes = self.lengths[self.lengths <= len(shingles)]
+        if len(sizes) < len(self.lengths):  # some items are longer: they are held against the whole text
+            sizes = np.append(sizes, len(shingles))
+        for length in np.unique(sizes).tolist():
             open_at = np.zeros(len(shingles) + 1, np.int32)
             np.add.at(open_at, np.maximum(hits - length + 1, 0), 1)
             np.add.at(open_at, hits + 1, -1)
@@ -160,7 +164,7 @@ class Benchmark:
             some = slice(None) if part is None else slice(part, part + 1)
             starts, sizes, found = (np.concatenate(x[some]) for x in (places, lengths, prints))
             who, items = self.index.search(found)
-            same = self.lengths[items] == sizes[who]
+            same = (self.lengths[items] == sizes[who]) | ((sizes[who] == len(shingles)) & (self.lengths[items] > len(shingles)))
             for w, item in zip(who[same].tolist(), items[same].tolist(), strict=True):
                 start, length, item_id = int(starts[w]), int(sizes[w]), self.ids[item]
                 score = self.similarity(Counter(shingles[start : start + length].tolist()), self.counts[item])

@@ -100,3 +100,22 @@ def test_large_benchmarks_are_searched_in_parts(spark, odd_docs, monkeypatch):
     benchmark = spark.createDataFrame([(i, f"item number {i} has these words") for i in range(9)] + [(99, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
     assert len(M.parts_of(benchmark, "item_id", "text")) == 10
     assert {r.item_id for r in M.find_matches(odd_docs, benchmark).collect()} == {99}
+
+
+def test_documents_that_are_cut_items_are_found():
+    """A document of 80 to 99% of an item has no window of the item's size."""
+    chance = random.Random(11)
+    items = [(i, texts(chance, chance.choice([12, 24, 36, 60]))) for i in range(200)]
+    benchmark = M.Benchmark(items)
+    found = wanted = 0
+    for i, item in items:
+        words = item.split()
+        cut = words[: len(words) - chance.randint(1, max(1, len(words) // 6))]
+        own, whole = (M.shingle_hashes(M.word_hashes(M.split_words(" ".join(x)))).tolist() for x in (cut, words))
+        score = benchmark.similarity(M.Counter(own), M.Counter(whole))
+        got = {m[0]: m[1:4] for m in benchmark.matches([" ".join(cut)])[0]}
+        assert i not in got or got[i] == (pytest.approx(score), 0, len(cut))
+        wanted += score >= M.SIMILARITY
+        found += i in got
+    assert wanted > 120 and found >= 0.97 * wanted
+    assert benchmark.matches([" ".join(items[0][1].split()[:5])]) == [[]]
