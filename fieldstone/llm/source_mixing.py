@@ -13,10 +13,13 @@ fall in the order of id and text hash; rows equal in all of these are interchang
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 from .common import table, written
 
 MOST_EPOCHS, SEED = 3, 11
@@ -41,20 +44,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: i
 
     In order of cap / weight the sources that stop at their cap come first; the rest share what is left by weight.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    numbered = sizes.withColumn("place", F.row_number().over(by_name) - 1)
+    n, everything = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    numbered = running(sizes.select("source", "source_size"), [F.col("source").isNull(), F.encode("source", "UTF-8")], {"place": F.lit(1)}, n)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     numbered = numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most_epochs)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    sharing = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = numbered.withColumn("level", left / sharing)
-    open_level = F.max(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.col("level"))).over(everything)
-    first_open = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct(F.col("cap") / F.col("weight"), F.col("place"), F.col("level")))).over(everything)["level"]
-    return level.withColumn("open", F.coalesce(first_open, open_level)).select(
-        "source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * F.col("open"), F.col("cap").cast("double"))).alias("target")
-    )
+    reach = F.col("cap") / F.col("weight")
+    before = running(numbered, [reach, F.col("place")], {"caps": F.col("cap"), "weights": F.col("weight")}, n)
+    all_weights = sum(weights) * (n // len(weights)) + sum(weights[: n % len(weights)])
+    level = (F.lit(everything) - F.col("caps")) / (F.lit(all_weights) - F.col("weights"))
+    # the first source in this order that its cap doesn't stop has the level of all that follow
+    first_open = before.select(F.min(F.when(reach > level, F.struct(reach.alias("reach"), "place", level.alias("level"))))).first()[0]
+    target = F.col("cap").cast("double")
+    if first_open is not None:
+        target = F.least(target, F.col("weight") * F.lit(first_open["level"]))
+    return numbered.select("source", "source_size", "weight", target.alias("target"))
 
 
 def ordered(rows: DataFrame, cells: int) -> DataFrame:
@@ -71,7 +74,7 @@ def ordered(rows: DataFrame, cells: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """key, text_hash, size, source_size, target and taken of each row of docs."""
+    """key, text_hash, source_name, size, source_size, target and taken of each row of docs."""
     rows = docs.select(F.col(key).alias("row_key"), F.xxhash64(F.col(text).cast("string")).alias("tie"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
     rows = written(rows, "sizes")  # the texts are read once; what follows needs ids and sizes only
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -84,31 +87,64 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     epochs = F.floor(budget / whole).cast("long")
     rest = budget - epochs * whole
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("begins")))
-    return joined.select(F.col("row_key").alias(key), F.col("tie").alias("text_hash"), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select(F.col("row_key").alias(key), F.col("tie").alias("text_hash"), F.col("own").alias("source_name"), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """docs as the mix takes them: a row for each time that a document is taken, with epoch (from 1) and taken, the words taken then.
 
-    The one row of a source at which its budget ends has its text cut to these words (with single blanks; n_chars follows).
+    The one row of a source at which its budget ends has its text cut to these words (with single blanks; n_chars follows). Where docs have
+    columns epoch or taken, these stay and the new ones are called epoch_ and taken_ (and so on).
     """
-    taken = mix(docs, key, text, source, weights, most_epochs).where("taken > 0").select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    taken = taken.groupBy("__key", "__hash").agg(F.max("__size").alias("__size"), F.max("__taken").alias("__taken"))
-    own = docs.withColumn("__text_hash", F.xxhash64(F.col(text).cast("string")))
-    joined = own.join(taken, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash")))
-    epoch = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")))
-    rows = joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__size", "__taken", epoch.alias("epoch"))
-    rows = rows.withColumn("__now", F.least(F.col("__size"), F.col("__taken") - (F.col("epoch") - 1) * F.col("__size")))
+    kinds = mix(docs, key, text, source, weights, most_epochs).groupBy(F.col(key).alias("__mix_key"), F.col("text_hash").alias("__mix_hash"), F.col("source_name").alias("__mix_source"))
+    totals = [F.max("size").alias("__mix_size"), F.max("taken").alias("__mix_most"), F.min("taken").alias("__mix_least"), F.sum("taken").alias("__mix_total"), F.count("*").alias("__mix_n")]
+    kinds = written(kinds.agg(*totals).where("__mix_total > 0"), "taken")
+    own = docs.withColumn("__mix_text", F.xxhash64(F.col(text).cast("string")))
+    match = F.col(f"`{key}`").eqNullSafe(F.col("__mix_key")) & (F.col("__mix_text") == F.col("__mix_hash")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__mix_source"))
+    columns = [*(F.col(f"`{c}`") for c in docs.columns), F.col("__mix_size")]
+    rows = own.join(kinds.where("__mix_least = __mix_most"), match).select(*columns, F.col("__mix_most").alias("__mix_taken"))
+    cut = kinds.where("__mix_least < __mix_most")
+    if not cut.isEmpty():  # repeated rows at which a budget ends: some are taken once more than others
+        rows = rows.unionByName(cut_copies(own.join(cut, match)).select(*columns, "__mix_taken"))
+    rows = rows.where("__mix_taken > 0")
+    epoch, taken = unused("epoch", docs.columns), unused("taken", docs.columns)
+    rows = rows.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))))
+    rows = rows.withColumn("__mix_now", F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_epoch") - 1) * F.col("__mix_size")))
     words = F.split(F.trim(F.translate(F.col(f"`{text}`").cast("string"), WHITE, " " * len(WHITE))), " +")
-    rows = rows.withColumn("__cut", F.when(F.col("__now") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__now").cast("int")), " ")))
-    changed = {text: F.coalesce("__cut", F.col(f"`{text}`"))}
+    rows = rows.withColumn("__mix_cut", F.when(F.col("__mix_now") < F.col("__mix_size"), F.array_join(F.slice(words, F.lit(1), F.col("__mix_now").cast("int")), " ")))
+    changed = {text: F.coalesce("__mix_cut", F.col(f"`{text}`"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns), "epoch", F.col("__now").alias("taken"))
+        changed["n_chars"] = F.when(F.col("__mix_cut").isNull(), F.col("n_chars")).otherwise(F.length("__mix_cut").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns), F.col("__mix_epoch").alias(epoch), F.col("__mix_now").alias(taken))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many lines after it as make it differ from all columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def cut_copies(rows: DataFrame) -> DataFrame:
+    """rows (copies with the totals of their kind) with __mix_taken: the first copies get a whole epoch more, the next what is left.
+
+    Copies are numbered within the parts of a written table, and parts by their counts, so that no task gets all copies.
+    """
+    rows = written(rows.withColumn("__mix_no", F.monotonically_increasing_id()), "cut")
+    part = F.shiftright("__mix_no", 33)
+    kind = ["__mix_key", "__mix_hash", "__mix_source", "__mix_part"]
+    rows = rows.withColumn("__mix_part", part)
+    before = Window.partitionBy(*kind[:-1]).orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*kind).count().select(*(F.col(c).alias(f"{c}_of") for c in kind), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_start"))
+    placed = rows.withColumn("__mix_inside", F.row_number().over(Window.partitionBy(*kind).orderBy("__mix_no")) - 1)
+    placed = placed.join(starts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in kind]))
+    size, whole = F.col("__mix_size"), F.floor(F.col("__mix_least") / F.col("__mix_size")) * F.col("__mix_size")
+    more = F.col("__mix_total") - F.col("__mix_n") * whole - (F.col("__mix_start") + F.col("__mix_inside")) * size
+    return placed.withColumn("__mix_taken", (whole + F.greatest(F.lit(0), F.least(size, more))).cast("long"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash", "source_name")
 
 
 QUERIES = {"op3_source_mixing": op3_source_mixing}

@@ -90,3 +90,33 @@ def test_texts_hold_the_words_taken(spark):
     whole = {r.doc_id: r.text for r in docs.collect()}
     cut = [r for r in rows if r.text != whole[r.doc_id]]
     assert 0 < len(cut) <= 20 and all(r.n_chars == len(r.text) and whole[r.doc_id].split()[: r.taken] == r.text.split() for r in cut)
+
+
+def test_columns_that_the_mixture_adds_too(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 7, "x", 1.5), (2, "d e", "s", 8, "y", 2.5)], "doc_id long, text string, source string, epoch int, taken string, __key double")
+    out = M.mixture(docs)
+    assert out.columns == [*docs.columns, "epoch_", "taken_"]
+    assert sorted((r.doc_id, r.epoch, r.taken, r.epoch_, r.taken_) for r in out.collect()) == [(1, 7, "x", 1, 3), (2, 8, "y", 1, 2)]
+
+
+@pytest.mark.parametrize("copies", [7, 400])
+def test_copies_at_the_cut_keep_to_the_budget(spark, copies):
+    """All rows of two sources are one row each time: the words taken still sum up to the targets."""
+    rows = [(1, "a b c d e", "big")] * copies + [(2, "x y z", "small")] * (copies // 3) + [(2, "x y z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    target = brute_targets({"big": 5 * copies, "small": 3 * (copies // 3), None: 3})
+    out, taken = M.mixture(docs).collect(), defaultdict(int)
+    for r in out:
+        assert words(r.text) == r.taken
+        taken[r.source] += r.taken
+    assert all(target[s] - 1 < taken[s] <= target[s] for s in target)
+    assert taken["big"] < 5 * copies and len(out) < 3 * len(rows)
+
+
+def test_targets_of_very_many_sources(spark, monkeypatch):
+    from fieldstone.operators import ranges
+
+    sizes = {f"s{i}": (i * 7919) % 101 for i in range(300)} | {None: 5_000}
+    monkeypatch.setattr(ranges, "FEW_ROWS", 10)
+    got = {r.source: r.target for r in M.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
