@@ -1,11 +1,12 @@
 """Secret scans over an incremental ledger of blobs.
 
-A blob is one version of a text, addressed by its SHA-256. The ledger has one row for each blob and rule version that was ever scanned. A scan
+A blob is one version of a text, addressed by its SHA-256. A ledger is a folder with two tables that only grow: `blobs` has a row for each blob and
+rule version that was ever scanned, `versions` one for each path and blob that the path ever held. A scan
 takes the blobs of its input, leaves out those that the ledger has under the present rules, scans each of the rest once however
-many paths carry it, appends to the ledger and joins findings back to all paths.
+many paths carry it, appends to both tables and joins findings back to all paths, or to all versions of all paths.
 
 Null texts count as empty. Repeated rows and copies share one blob. Spans are in code points with exclusive ends. An empty table or
-ledger is fine; further columns are left alone.
+ledger is fine; further columns are left alone. Rows that a broken run appended twice count once.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import shared_dir, slices, table
 
 LEDGER = "sha string, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+FINDINGS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+VERSIONS = "path string, sha string"
 BASE = ("assign", "access", "hex")
 #: Patterns by kind; those of BASE come first. Fixed values.
 PATTERNS = {
     "assign": r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?s:.*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|.*)",
     "code_host": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
     "chat": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "web_token": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
@@ -84,26 +87,57 @@ def content(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: Rules | None = None, text: str = "text") -> DataFrame:
-    """The ledger with the blobs of docs that it did not have under these rules; each is scanned once."""
-    rules = rules or Rules()
-    blobs = docs.select(F.sha2(content(text), 256).alias("sha"), content(text).alias("text")).dropDuplicates(["sha"])
-    if ledger is None:
-        return written(scan_blobs(blobs, rules), "ledger")
-    unseen = blobs.join(ledger.where(F.col("rules") == rules.version).select("sha"), "sha", "left_anti")
-    return ledger.unionByName(written(scan_blobs(unseen, rules), "ledger"))
+@dataclass(frozen=True)
+class Ledger:
+    """The ledger in a folder that all executors share; one writer at a time."""
+
+    spark: SparkSession
+    path: str
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        folder = f"{self.path}/{name}"
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return self.spark.read.schema(schema).parquet(folder) if there else self.spark.createDataFrame([], schema)
+
+    def blobs(self, rules: Rules | None = None) -> DataFrame:
+        """The rows scanned under these rules, one for each blob."""
+        return self._table("blobs", LEDGER).where(F.col("rules") == (rules or Rules()).version).dropDuplicates(["sha"])
+
+    def versions(self) -> DataFrame:
+        """path and sha, once for each blob that a path ever held."""
+        return self._table("versions", VERSIONS).distinct()
+
+    def update(self, docs: DataFrame, rules: Rules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """Scans the blobs of docs that are not in the ledger under these rules, and appends them and new versions; gives blobs()."""
+        rules = rules or Rules()
+        own = docs.select(F.sha2(content(text), 256).alias("sha"), content(text).alias("text"))
+        unseen = own.dropDuplicates(["sha"]).join(self.blobs(rules).select("sha"), "sha", "left_anti")
+        scan_blobs(unseen, rules).write.mode("append").parquet(f"{self.path}/blobs")
+        paths = docs.select(F.col(key).cast("string").alias("path"), F.sha2(content(text), 256).alias("sha")).where("path is not null").distinct()
+        paths.join(self.versions(), ["path", "sha"], "left_anti").write.mode("append").parquet(f"{self.path}/versions")
+        return self.blobs(rules)
+
+    def history(self, rules: Rules | None = None) -> DataFrame:
+        """Each version (path, sha) that a path ever held with its blob's findings; versions not yet scanned under these rules have nulls."""
+        return self.versions().join(self.blobs(rules).drop("rules"), "sha", "left").select("path", "sha", *FINDINGS)
+
+
+def ledger_of(spark: SparkSession, corpus: str) -> Ledger:
+    """The ledger of a corpus, by its location: in the folder that fieldstone.secret.ledger names, else in the shared folder."""
+    home = spark.conf.get("fieldstone.secret.ledger", None) or f"{shared_dir(spark)}/secret-ledger"
+    return Ledger(spark, f"{home}/{hashlib.sha256(corpus.encode()).hexdigest()[:16]}")
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: Rules | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each path (row) of docs with its blob's ledger row."""
-    present = ledger.where(F.col("rules") == (rules or Rules()).version)
+def findings(docs: DataFrame, blobs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each path (row) of docs with its blob's row of the ledger."""
     paths = docs.select(F.col(key), F.sha2(content(text), 256).alias("sha"))
-    return paths.join(present, "sha").select(key, "sha", *(x.split()[0] for x in LEDGER.split(", ")[1:]))
+    return paths.join(blobs.drop("rules"), "sha").select(key, "sha", *FINDINGS)
 
 
-def redact(docs: DataFrame, ledger: DataFrame, rules: Rules | None = None, text: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, blobs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each secret replaced by a mark; texts without one, and all other columns, stay as they are (n_chars follows the text)."""
-    rows = ledger.where((F.col("rules") == (rules or Rules()).version) & (F.col("spans") != "")).select(F.col("sha").alias("__sha"), F.col("spans").alias("__spans"))
+    rows = blobs.where("spans != ''").select(F.col("sha").alias("__sha"), F.col("spans").alias("__spans"))
     whole = F.col(f"`{text}`").cast("string")
     ends = F.transform(F.split("__spans", ","), lambda x: F.transform(F.slice(F.split(x, ":"), 2, 2), lambda y: y.cast("int")))
 
@@ -123,7 +157,7 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: Rules | None = None, text:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = findings(docs, update_ledger(docs))
+    found = findings(docs, ledger_of(spark, f"{sf_dir}/documents").update(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

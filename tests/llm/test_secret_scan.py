@@ -40,24 +40,57 @@ def test_query_matches_brute_force(spark):
         assert {x[2] for x in base} <= set(row.spans.split(","))
 
 
-def test_each_blob_is_scanned_once_per_rule_version(spark):
+def test_each_blob_is_scanned_once_per_rule_version(spark, tmp_path):
+    ledger = M.Ledger(spark, str(tmp_path))
+    scanned = lambda: spark.read.parquet(f"{tmp_path}/blobs").count()
     rows = spark.createDataFrame([(1, "password=abcdefgh"), (2, "password=abcdefgh"), (3, "plain")], "doc_id long, text string")
-    ledger = M.update_ledger(rows)
-    assert ledger.count() == 2
-    more = rows.unionByName(spark.createDataFrame([(4, "token=abcdefgh"), (5, None)], rows.schema))
-    second = M.update_ledger(more, ledger)
-    assert second.count() == 4 and second.select("sha").distinct().count() == 4
+    assert ledger.update(rows).count() == 2
+    more = rows.where("doc_id > 1").unionByName(spark.createDataFrame([(1, "a new version"), (4, "token=abcdefgh"), (5, None)], rows.schema))
+    second = ledger.update(more)
+    assert second.count() == 5 == scanned() and second.select("sha").distinct().count() == 5
+    assert ledger.update(more).count() == 5 == scanned()  # nothing unseen: nothing is scanned
+    assert {r.doc_id: r.n_assign for r in M.findings(more, second).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+    assert sorted((r.path, r.n_assign) for r in ledger.history().collect()) == [("1", 0), ("1", 1), ("2", 1), ("3", 0), ("4", 1), ("5", 0)]
     other = M.Rules({"hex": M.PATTERNS["hex"]})
-    third = M.update_ledger(more, second, other)
-    assert third.count() == 8 and third.groupBy("sha", "rules").count().where("count > 1").count() == 0
-    assert {r.doc_id: r.n_assign for r in M.findings(more, third).collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+    assert ledger.update(more, other).count() == 5 and scanned() == 10
+    assert {r.n_assign for r in ledger.history(other).where("path = '1'").collect()} == {0, None}
 
 
-def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
-    assert M.findings(odd_docs, M.update_ledger(odd_docs)).count() == 9
-    assert M.findings(no_docs, M.update_ledger(no_docs)).count() == 0
+def test_a_second_run_of_the_query_scans_nothing(spark, tmp_path):
+    spark.conf.set("fieldstone.secret.ledger", str(tmp_path))
+    try:
+        d = "/root/testdata/sf0.001"
+        first = M.op9_secret_scan(spark, d).collect()
+        blobs = M.ledger_of(spark, f"{d}/documents").path + "/blobs"
+        n = spark.read.parquet(blobs).count()
+        assert sorted(M.op9_secret_scan(spark, d).collect()) == sorted(first) and spark.read.parquet(blobs).count() == n
+    finally:
+        spark.conf.unset("fieldstone.secret.ledger")
+
+
+def test_rows_appended_twice_count_once(spark, tmp_path):
+    ledger = M.Ledger(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "password=abcdefgh"), (2, "plain")], "doc_id long, text string")
+    ledger.update(docs)
+    again = spark.read.parquet(f"{tmp_path}/blobs").collect()
+    spark.createDataFrame(again, M.LEDGER).write.mode("append").parquet(f"{tmp_path}/blobs")
+    assert M.findings(docs, ledger.blobs()).count() == 2
+
+
+def test_private_keys_go_whole(spark, tmp_path):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow" + "Q" * 40 + "\nabcd==\n-----END RSA PRIVATE KEY-----"
+    open_key = "-----BEGIN PRIVATE KEY-----\nMIIEvQ" + "Z" * 40
+    docs = spark.createDataFrame([(1, f"before {key} after"), (2, f"{key} and {key} end"), (3, f"left open {open_key}")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in M.redact(docs, M.Ledger(spark, str(tmp_path)).update(docs)).collect()}
+    assert out == {1: "before [secret] after", 2: "[secret] and [secret] end", 3: "left open [secret]"}
+
+
+def test_odd_rows_and_redaction(spark, odd_docs, no_docs, tmp_path):
+    ledger = M.Ledger(spark, str(tmp_path))
+    assert M.findings(no_docs, ledger.update(no_docs)).count() == 0
+    assert M.findings(odd_docs, ledger.update(odd_docs)).count() == 9
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars int")
-    out = {r.doc_id: r for r in M.redact(docs, M.update_ledger(docs)).collect()}
+    out = {r.doc_id: r for r in M.redact(docs, ledger.update(docs)).collect()}
     compiled = [(k, re.compile(p)) for k, p in M.PATTERNS.items()]
     for i, text in enumerate(TEXTS):
         want, at = "", 0
@@ -66,5 +99,5 @@ def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
                 want += text[at : int(start)] + "[secret]"
             at = max(at, int(end))
         assert out[i].text == want + text[at:] and out[i].n_chars == len(out[i].text)
-    same = M.redact(odd_docs, M.update_ledger(odd_docs))
+    same = M.redact(odd_docs, ledger.update(odd_docs))
     assert same.columns == odd_docs.columns and same.exceptAll(odd_docs).count() == 0
