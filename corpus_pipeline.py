@@ -31,7 +31,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in place of each secret; n_chars follows."""
-    return secret_scan.redact(docs, secret_scan.update_ledger(docs))
+    return secret_scan.redact(docs, secret_scan.ledger_of(spark, f"{sf_dir}/documents").update(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
