@@ -6,15 +6,15 @@ similarity 0 and gets no fingerprint. The others do; the blocks of an item's fin
 floor(radius / blocks) bits, which finds every fingerprint within the radius. Candidates are then compared by weighted
 Jaccard similarity of their five-word shingles (a shingle weighs more the fewer items have it).
 
-Words are in lower case (A-Z) and split at ASCII white space. Items with fewer than five words have no shingle and take no part. Null and empty
-texts match nothing. Equal items each match. An empty benchmark leaves all documents alone. Repeated rows are judged row by row.
+Words are in lower case (A-Z) and split at ASCII white space. Items with fewer than five words have no shingle: they match where the same words
+follow each other. Null and empty texts match nothing. Equal items each match. An empty benchmark leaves all documents alone. Repeated rows are judged row by row.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WordTable, flat, kept, slices, table
+from .common import SLICE_ROWS, WordTable, flat, kept, slices, table, written
 
 SHINGLE_WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 17, 6
 #: Items that go to the executors at once, and their text; a larger benchmark is searched in parts.
-MOST_ITEMS, MOST_ITEM_BYTES = 50_000, 64 << 20
+MOST_ITEMS, MOST_ITEM_BYTES = 50_000, 16 << 20
+#: Pairs of fingerprints that a search holds at once.
+MOST_PAIRS = 1 << 20
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -73,7 +75,7 @@ class BlockIndex:
             values = np.arange(1 << (self.edges[block + 1] - self.edges[block]), dtype=np.uint64)
             flips = values[np.bitwise_count(values) <= radius // blocks]
             near = (self.block(prints, block)[:, None] ^ flips).ravel()
-            items = np.repeat(np.arange(len(prints)), len(flips))
+            items = np.repeat(np.arange(len(prints), dtype=np.int32), len(flips))
             by = np.argsort(near, kind="stable")
             self.tables.append((np.searchsorted(near[by], np.arange(len(values) + 1, dtype=np.uint64)), items[by]))
 
@@ -83,16 +85,21 @@ class BlockIndex:
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item) of all pairs within the radius."""
-        found = []
+        found = [np.zeros(0, np.int64)]
         for block, (offsets, items) in enumerate(self.tables):
             value = self.block(prints, block).astype(np.int64)
-            n = offsets[value + 1] - offsets[value]
-            who = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[value], n)
-            item = items[at]
-            near = np.bitwise_count(prints[who] ^ self.prints[item]) <= self.radius
-            found.append(who[near] * len(self.prints) + item[near])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            first, n = offsets[value], offsets[value + 1] - offsets[value]
+            ends = np.cumsum(n)
+            lo = 0
+            while lo < len(prints):  # as many fingerprints at once as have MOST_PAIRS candidates, one at least
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MOST_PAIRS, side="right")))
+                who = np.repeat(np.arange(lo, hi), n[lo:hi])
+                at = np.arange(len(who)) - np.repeat(ends[lo:hi] - n[lo:hi] - (ends[lo - 1] if lo else 0), n[lo:hi]) + np.repeat(first[lo:hi], n[lo:hi])
+                item = items[at]
+                near = np.bitwise_count(prints[who] ^ self.prints[item]) <= self.radius
+                found.append(who[near] * len(self.prints) + item[near])
+                lo = hi
+        pairs = np.unique(np.concatenate(found))
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
 
@@ -101,35 +108,68 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str | None]], threshold: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS):
         self.threshold, self.words = threshold, WordTable(word_hashes)
-        by_length: dict[int, list] = defaultdict(list)
-        holders: Counter = Counter()
+        every: list[tuple[int, object, np.ndarray]] = []
+        short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
-            shingles = shingle_hashes(self.words.rows(split_words(text)))
-            if len(shingles):
-                by_length[len(shingles)].append((item_id, Counter(shingles.tolist())))
-                holders.update(set(shingles.tolist()))
-        n = sum(map(len, by_length.values()))
-        self.weight = {x: math.log(1 + n / holders[x]) for x in holders}
-        self.other = math.log(1 + n)
-        self.known = np.sort(np.array(list(holders), np.uint64))
+            hashes = self.words.rows(split_words(text))
+            if len(hashes) >= SHINGLE_WORDS:
+                every.append((len(hashes) - SHINGLE_WORDS + 1, item_id, shingle_hashes(hashes)))
+            elif len(hashes):
+                short[len(hashes)][int(shingle_hashes(hashes, len(hashes))[0])].append(item_id)
+        every.sort(key=lambda x: x[0])
+        #: By number of words, the hashes of items too short for a shingle, in order, and their ids.
+        self.short = {size: (np.sort(np.array(list(found), np.uint64)), found) for size, found in sorted(short.items())}
+        self.lengths, self.ids = np.array([x for x, _, _ in every], np.int64), [x for _, x, _ in every]
+        sets = [np.unique(x, return_counts=True) for _, _, x in every]
+        self.hashes, self.times = (np.concatenate([np.zeros(0, kind), *(x[i] for x in sets)]) for i, kind in ((0, np.uint64), (1, np.int64)))
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in sets])]).astype(np.int64)
+        self.known, holders = np.unique(self.hashes, return_counts=True)
+        self.weights, self.other = np.log(1 + len(every) / holders), math.log(1 + len(every))
+        self.totals = np.add.reduceat(self.times * self.weights_of(self.hashes), self.ends[:-1]) if every else np.zeros(0)
         self.shelf = np.zeros(1 << 20, bool)
         self.shelf[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        every = [(length, item_id, counts) for length, found in sorted(by_length.items()) for item_id, counts in found]
-        self.lengths = np.array([x for x, _, _ in every], np.int64)
-        self.ids, self.counts = [x for _, x, _ in every], [x for _, _, x in every]
-        prints = [window_prints(np.array(list(c.elements()), np.uint64), np.zeros(1, np.int64), x) for x, _, c in every]
+        prints = [window_prints(x, np.zeros(1, np.int64), length) for length, _, x in every]
         self.index = BlockIndex(np.concatenate(prints) if prints else np.zeros(0, np.uint64), radius, blocks)
 
-    def similarity(self, a: Counter, b: Counter) -> float:
-        weight, other = self.weight, self.other
-        both = sum(min(n, b[x]) * weight.get(x, other) for x, n in a.items() if x in b)
-        return both / (sum(n * weight.get(x, other) for x, n in a.items()) + sum(n * weight.get(x, other) for x, n in b.items()) - both)
+    def weights_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The weight of each shingle: the more the fewer items have it."""
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        return np.where(self.known[at] == hashes, self.weights[at], self.other) if len(self.known) else np.full(len(hashes), self.other)
+
+    def similarities(self, window: np.ndarray, items: np.ndarray) -> list[float]:
+        """Weighted Jaccard similarity of a window's shingles with each of some items."""
+        own, times = np.unique(window, return_counts=True)
+        weights = self.weights_of(own)
+        total, out = float((times * weights).sum()), []
+        for item in items.tolist():
+            theirs = slice(self.ends[item], self.ends[item + 1])
+            at = np.minimum(np.searchsorted(self.hashes[theirs], own), self.ends[item + 1] - self.ends[item] - 1)
+            same = self.hashes[theirs][at] == own
+            both = float((np.minimum(times, self.times[theirs][at]) * weights)[same].sum())
+            out.append(both / (total + self.totals[item] - both))
+        return out
+
+    def short_matches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, tuple[int, float, int, int, int]]]:
+        """(text, match) of the first place in each text of each item that is too short for a shingle."""
+        for size, (keys, ids) in self.short.items():
+            runs = shingle_hashes(hashes, size)
+            hits = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs)
+            own = np.searchsorted(offsets, hits, side="right") - 1
+            inside = hits + size <= offsets[own + 1]
+            seen = set()
+            for at, i in zip(hits[inside].tolist(), own[inside].tolist(), strict=True):
+                if (i, runs[at]) not in seen:
+                    seen.add((i, runs[at]))
+                    yield from ((i, (item_id, 1.0, at - int(offsets[i]), size, 0)) for item_id in ids[int(runs[at])])
 
     def matches(self, texts: Iterable[str | None]) -> list[list[tuple[int, float, int, int, int]]]:
         """For each text, (item_id, similarity, first word, words, differing bits) of each item that some window of it matches, at its best window."""
         words, offsets = flat([split_words(x) for x in texts])
         out: list[list[tuple]] = [[] for _ in range(len(offsets) - 1)]
-        shingles = shingle_hashes(self.words.rows(words))
+        hashes = self.words.rows(words)
+        for i, match in self.short_matches(hashes, offsets):
+            out[i].append(match)
+        shingles = shingle_hashes(hashes)
         if not len(shingles) or not len(self.known):
             return out
         maybe = np.flatnonzero(self.shelf[(shingles >> np.uint64(44)).astype(np.int64)])
@@ -140,7 +180,7 @@ class Benchmark:
         hits, own = hits[inside], own[inside]
         for i in np.unique(own).tolist():
             lo, hi = offsets[i], offsets[i + 1] - SHINGLE_WORDS + 1
-            out[i] = self.best_windows(shingles[lo:hi], hits[own == i] - lo)
+            out[i] += self.best_windows(shingles[lo:hi], hits[own == i] - lo)
         return out
 
     def best_windows(self, shingles: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int, int]]:
@@ -165,11 +205,14 @@ class Benchmark:
             starts, sizes, found = (np.concatenate(x[some]) for x in (places, lengths, prints))
             who, items = self.index.search(found)
             same = (self.lengths[items] == sizes[who]) | ((sizes[who] == len(shingles)) & (self.lengths[items] > len(shingles)))
-            for w, item in zip(who[same].tolist(), items[same].tolist(), strict=True):
-                start, length, item_id = int(starts[w]), int(sizes[w]), self.ids[item]
-                score = self.similarity(Counter(shingles[start : start + length].tolist()), self.counts[item])
-                if score >= self.threshold and (item_id not in best or score > best[item_id][0]):
-                    best[item_id] = (score, start, length + SHINGLE_WORDS - 1, int(found[w] ^ self.index.prints[item]).bit_count())
+            who, items = who[same], items[same]
+            edges = np.flatnonzero(np.diff(who, prepend=-1))  # pairs come in order of their windows
+            for w, own in zip(who[edges].tolist(), np.split(items, edges[1:]) if len(edges) else [], strict=True):
+                start, length = int(starts[w]), int(sizes[w])
+                for item, score in zip(own.tolist(), self.similarities(shingles[start : start + length], own), strict=True):
+                    item_id = self.ids[item]
+                    if score >= self.threshold and (item_id not in best or score > best[item_id][0]):
+                        best[item_id] = (score, start, length + SHINGLE_WORDS - 1, int(found[w] ^ self.index.prints[item]).bit_count())
         return [(x, *found) for x, found in sorted(best.items())]
 
 
@@ -215,8 +258,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, all columns."""
-    for ready in shelves(docs, benchmark, item, item_text):
+    every = list(shelves(docs, benchmark, item, item_text))
+    for n, ready in enumerate(every, 1):
         docs = docs.where(~holds_item(ready)(F.col(text).cast("string")))
+        if n < len(every):  # a worker holds one part of a large benchmark at a time
+            docs = written(docs, "clean")
     return docs
 
 
