@@ -5,8 +5,8 @@ share of toxic training documents stands out, with their log odds as weights; th
 around matches that keep to documents that are not toxic. A document's features are its summed weight, and that weight per
 word; a logistic curve fitted on the same bounded sample makes it a probability.
 
-Null and empty texts have no match and get the score of such texts. Without labels of both kinds the built-in words weigh 1 and the score rises
-with them. Labels that disagree about a document count by their mean. Repeated rows are scored row by row.
+Null and empty texts have no match and get the score of such texts. Without labels of both kinds there is no lexicon, and every score is the
+share of toxic labels (1/2 if there are none). Labels that disagree about a document count by their mean. Repeated rows are scored row by row.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +36,8 @@ LOOK_ALIKES = {
     "α": "a", "ο": "o", "ι": "i", "ρ": "p", "υ": "u", "τ": "t", "κ": "k", "ν": "v", "ε": "e", "σ": "o", "η": "n", "χ": "x",
     "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "i", "ø": "o", "ł": "i", "đ": "d",
 }
-#: Words that are in the lexicon whatever the labels say.
-WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-#: Labelled documents that lexicon and curve are fitted on, at most about; entries of the lexicon and exceptions, at most.
-SAMPLE_DOCS, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 4_000, 20_000
+#: Labelled documents that lexicon and curve are fitted on, at most about. Every term of theirs that stands out is an entry.
+SAMPLE_DOCS = 20_000
 #: Lengths of word beginnings; toxic documents with a term, its deviation from the overall share, and share of toxic ones, at least.
 BEGINNINGS, LEAST_DOCS, LEAST_DEVIATION, LEAST_SHARE = (5, 6, 7), 4, 5.0, 0.6
 #: Documents that are not toxic around an exception, and their share, at least.
@@ -109,21 +108,28 @@ class Lexicon:
 
     def features(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, float]:
         found = self.matches(text, automaton)
-        weight = sum(w for place, w in found.items() if not self.exceptions or self.exceptions.isdisjoint(around(text, *place)))
+        if not found:
+            return 0.0, 0.0
+        words = word_places(text) if self.exceptions else []
+        weight = sum(w for place, w in found.items() if not self.exceptions or self.exceptions.isdisjoint(around(text, words, *place)))
         if not weight:
             return 0.0, 0.0
-        return float(np.log1p(weight)), float(np.log1p(100 * weight / max(SHORT, text.count(" ") + 1)))
+        return float(np.log1p(weight)), float(np.log1p(100 * weight / max(SHORT, len(text.split()))))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ np.array(self.curve[1:]), -30, 30)))
 
 
-def around(text: str, start: int, end: int) -> list[str]:
-    """The matched word, and it with the word before and the word after."""
+def word_places(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WORD.finditer(text)]
+
+
+def around(text: str, words: list[tuple[int, int]], start: int, end: int) -> list[str]:
+    """The matched word, and it with the word before and the word after, from the places of all words."""
     word = text[start:end]
-    before = WORD.findall(text[max(0, start - 40) : start])
-    after = WORD.search(text, end, min(len(text), end + 40))
-    return [word, *([f"{before[-1]} {word}"] if before else []), *([f"{word} {after[0]}"] if after else [])]
+    before, after = bisect_right(words, start, key=lambda x: x[1]) - 1, bisect_left(words, end, key=lambda x: x[0])
+    pairs = [f"{text[slice(*words[before])]} {word}"] if before >= 0 else []
+    return [word, *pairs, *([f"{word} {text[slice(*words[after])]}"] if after < len(words) else [])]
 
 
 def tally(sample: DataFrame, terms) -> DataFrame:
@@ -156,27 +162,27 @@ def fit(sample: DataFrame) -> Lexicon:
     """Lexicon, exceptions and curve from labelled rows (row_key, label, text)."""
     sample = written(sample, "toxic-sample")
     toxic, n = sample.agg(F.coalesce(F.sum((F.col("label") >= 0.5).cast("long")), F.lit(0)), F.count("*")).first()
-    base = [folded(w) for w in WORDS]
-    lexicon = Lexicon(dict.fromkeys(base, 1.0), {})
     if not 0 < toxic < n:
-        return lexicon
+        level = min(max(toxic / n if n else 0.5, 1e-6), 1 - 1e-6)
+        return Lexicon({}, {}, curve=(float(np.log(level / (1 - level))), 0.0, 0.0))
     share = toxic / n
     seen = F.col("toxic") + F.col("other")
     deviation = (F.col("toxic") - seen * share) / F.sqrt(seen * share * (1 - share))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (n - toxic + 1))
     chosen = tally(sample, word_terms).where((F.col("toxic") >= LEAST_DOCS) & (deviation >= LEAST_DEVIATION) & (F.col("toxic") >= seen * LEAST_SHARE))
-    rows = chosen.select("term", odds.alias("odds"), deviation.alias("deviation")).orderBy(F.desc("deviation"), "term").limit(MOST_TERMS).collect()
-    words = {r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}
-    lexicon = Lexicon(dict.fromkeys(base, max([1.0, *words.values()])) | words, {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*")})
+    # what is collected is bounded by the sample: an entry is in LEAST_DOCS of its documents at least
+    rows = chosen.select("term", odds.alias("odds")).collect()
+    lexicon = Lexicon({r["term"]: r["odds"] for r in rows if not r["term"].endswith("*")}, {r["term"][:-1]: r["odds"] for r in rows if r["term"].endswith("*")})
     shared, version = sample.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
 
     def phrases(text: str) -> set[str]:
         automaton = kept("lexicon", version, shared.value.automaton)
-        return {x for place in shared.value.matches(text, automaton) for x in around(text, *place)}
+        found = shared.value.matches(text, automaton)
+        words = word_places(text) if found else []
+        return {x for place in found for x in around(text, words, *place)}
 
     harmless = tally(sample, phrases).where((F.col("other") >= EXCEPTION_DOCS) & (F.col("other") >= seen * EXCEPTION_SHARE))
-    exceptions = harmless.orderBy(F.desc("other"), "term").limit(MOST_EXCEPTIONS).select("term").collect()
-    lexicon.exceptions = frozenset(r["term"] for r in exceptions)
+    lexicon.exceptions = frozenset(r["term"] for r in harmless.select("term").collect())
     shared, version = sample.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
     final, final_version = shared, version
 
