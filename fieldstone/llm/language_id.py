@@ -10,24 +10,25 @@ labelled text every document is `und`. Repeated rows are scored row by row; furt
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, bounded_sample, flat, fold, kept, segment_sum, slices, table, written
+from .common import WordTable, flat, fold, kept, segment_sum, slices, table, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with their marks; digits, fractions and other numbers are none.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDER = 4
-#: The models are fitted on at most about so many labelled documents, and hold so many character sequences of each length.
-SAMPLE_DOCS, MOST_GRAMS = 20_000, 1 << 19
+#: The models are fitted on at most about so many labelled documents and characters, the same for each language; they hold all sequences found there.
+SAMPLE_DOCS, SAMPLE_CHARS = 20_000, 1 << 26
 #: A text is rejected beyond so many times this quantile of the excess of texts kept apart, by classes of length (so many characters and more).
 SLACK, QUANTILE, CLASSES = 2.0, 0.995, np.array([50, 100, 200, 400])
 #: Few texts say little about a high quantile: the limit of all counts as so many texts more of each class and language; the one before any text as so many more of all.
@@ -70,6 +71,8 @@ class Models:
     mean: np.ndarray | None = None
     limit: np.ndarray | None = None
     sharpness: float = 1.0
+    #: Share of the texts kept apart that the limits reject, by class of length, and how many there are.
+    kept_apart: list[tuple[float, int]] = field(default_factory=list)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word in each language, boundaries included."""
@@ -187,13 +190,23 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def sample_of_each(rows: DataFrame, most: int, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """rows (row_key, lang, text), of each language as large a part by a hash of row_key as its equal share of documents and characters allows."""
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    rate = [(r["lang"], int(min(1.0, most / len(sizes) / r["n"], most_chars / len(sizes) / max(1, r["chars"])) * (1 << 30))) for r in sizes]
+    if not rate:
+        return rows
+    rates = F.broadcast(rows.sparkSession.createDataFrame(rate, "lang string, rate long"))  # a row for each language
+    return rows.join(rates, "lang").where(F.pmod(F.xxhash64(F.lit(7), "row_key"), F.lit(1 << 30)) < F.col("rate")).drop("rate")
+
+
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, most: int = SAMPLE_DOCS) -> Models:
     """Models of the languages of labelled rows, from a bounded sample; a tenth of it sets the limits and the score's sharpness."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("row_key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    sample = bounded_sample(rows, "row_key", most).withColumn("apart", F.pmod(F.xxhash64(F.lit(13), "row_key"), F.lit(10)) == 0)
+    sample = sample_of_each(rows, most).withColumn("apart", F.pmod(F.xxhash64(F.lit(13), "row_key"), F.lit(10)) == 0)
     grams = written(count_grams(sample.where(~F.col("apart")).select("lang", "text"), order), "grams")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for batch in grams.orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow().to_batches():
+    for batch in grams.toArrow().to_batches():
         for language, gram, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             counts[language][gram] = n
     if not counts:
@@ -219,6 +232,9 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if len(seen):
         excess = (entropy[np.arange(len(seen)), truth] - models.mean[truth]) * np.sqrt(np.minimum(chars, LONG))
         models.limit = limits(excess, chars, truth, width)
+        lengths = length_class(chars)
+        beyond = excess > models.limit[lengths, truth]
+        models.kept_apart = [(float(beyond[own].mean()) if own.any() else 0.0, int(own.sum())) for own in (lengths == k for k in range(len(CLASSES) + 1))]
 
         def loss(sharpness: float) -> float:
             z = -entropy * np.minimum(chars, LONG)[:, None] * sharpness
