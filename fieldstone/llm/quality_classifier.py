@@ -28,8 +28,8 @@ from .common import WordTable, bounded_sample, flat, fold, kept, slices, table,
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Size of the vectors, signs in a sparse vector, buckets of tokens: the vectors of all words take BUCKETS * SIZE * 4 bytes at any input.
 SIZE, SIGNS, BUCKETS = 32, 2, 1 << 14
-#: Buckets in one row of the table of sums.
-BLOCK = 1 << 10
+#: Buckets in one row of the table of sums, and rows that a task adds up.
+BLOCK, FAN_IN = 1 << 10, 64
 #: Labelled documents that the network is fitted on, at most about.
 SAMPLE_DOCS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 24, 250, 0.01, 1e-4, 5
@@ -81,13 +81,16 @@ def context_sums(docs: DataFrame, text: str) -> DataFrame:
         total = np.zeros(BLOCK * (SIZE + 1))
         for x in rows["sums"]:
             total += np.frombuffer(x)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "sums": [total.tobytes()]})
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "sums": [total.tobytes()], "part": rows["part"].iloc[:1]})
 
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "block int, sums binary")
-    # two steps, so that no task gets more than some dozens of the parts of a block
-    spread = parts.withColumn("part", F.spark_partition_id() % 64)
-    once = spread.groupBy("block", "part").applyInPandas(lambda rows: add(rows[["block", "sums"]]), "block int, sums binary")
-    return once.groupBy("block").applyInPandas(add, "block int, sums binary")
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "block int, sums binary").withColumn("part", F.spark_partition_id())
+    parts = written(parts, "contexts")
+    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while n > 1:  # a tree of sums: no task gets more than FAN_IN parts of a block, however many there are
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInPandas(add, "block int, sums binary, part int")
+        n = -(-n // FAN_IN)
+        parts = written(parts, "contexts") if n > 1 else parts
+    return parts.select("block", "sums")
 
 
 @dataclass
@@ -175,11 +178,13 @@ class Network:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row_key, label, text of about `most` labelled documents at most; only the labels travel."""
+    """row_key, label, text of about `most` labelled documents at most; of the documents only these travel."""
     truth = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("row_key")).agg(F.avg(F.col(label).cast("double")).alias("label"))
     sample = written(bounded_sample(truth, "row_key", most), "labels")
-    own = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return own.join(F.broadcast(sample), "row_key")
+    own = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "row_key")
+    # of rows with one id, one teaches, so that the result is bounded like the labels
+    one = own.groupBy("row_key").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    return one.select("row_key", "label", F.col("one.text").alias("text"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> DataFrame:

@@ -80,6 +80,34 @@ def test_foreign_text_is_rejected(spark):
     assert [r.p.lang_pred for r in rows[3:]] == ["und", "und"] and rows[3].p.score == 0
 
 
+def test_numbers_are_no_letters(spark):
+    predict = L.predictor(spark, L.fit(L.trained_part(spark.read.parquet(f"{SF}/documents.parquet"))))
+    rows = spark.createDataFrame([("½ ²",), ("Ⅷ ٣ ①",), ("x²",), ("हिन्दी",)], "text string").select("text", predict(F.col("text")).alias("p")).collect()
+    assert [r.p.lang_pred == "und" for r in rows] == [True, True, False, False]
+    assert L.letter_runs("हिन्दी e\u0301t\u00e9 a1b") == ["हिन्दी", "e\u0301t\u00e9", "a", "b"]
+
+
+def test_small_languages_are_learned(spark):
+    """A language with one document in a thousand gets as large a share of the sample as any."""
+    rows = [(i, f"the cat and the dog number {i % 7} sat", "en") for i in range(3000)] + [(9000 + i, "der hund und die katze schliefen", "de") for i in range(30)]
+    models = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=200)
+    assert models.languages == ["de", "en"]
+    assert models.word_scores(["und"])[0].argmax() == 0 and models.word_scores(["and"])[0].argmax() == 1
+
+
+def test_rejection_keeps_to_its_rate(spark):
+    """Of texts kept apart under 1% of each class of length; junk goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = L.fit(L.trained_part(docs))
+    assert sum(n for _, n in models.kept_apart) > 500 and all(share < 0.01 for share, n in models.kept_apart if n > 100)
+    chance = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz      "))
+    junk = [("".join(chance.choice(letters, n)),) for n in (60, 150, 400, 2000) for _ in range(50)]
+    predict = L.predictor(spark, models)
+    rejected = [r[0] for r in spark.createDataFrame(junk, "text string").select(predict(F.col("text"))["rejected"]).collect()]
+    assert np.mean(rejected[50:]) > 0.99 and np.mean(rejected[:50]) > 0.9
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     for training in (odd_docs, no_docs, odd_docs.withColumn("lang", F.lit(None).cast("string"))):
         predict = L.predictor(spark, L.fit(training))
@@ -123,6 +151,19 @@ def test_context_sums_match_brute_force(spark):
     assert np.array_equal(got[:, :-1], sums) and np.array_equal(got[:, -1], n)
 
 
+def test_context_sums_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FAN_IN", 3)
+    texts = spark.createDataFrame([(f"the cat {i} sat on the mat",) for i in range(60)], "text string")
+    few, many = ({r.block: r.sums for r in Q.context_sums(x, "text").collect()} for x in (texts.coalesce(1), texts.repartition(20)))
+    assert few == many
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(2, "other"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert sorted((r.row_key, r.label) for r in Q.labelled(docs, labels, "quality", 100).collect()) == [(1, 0.5), (2, 1.0)]
+
+
 def test_toxicity_query(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = T.op10_toxicity(spark, SF).collect()
@@ -132,6 +173,30 @@ def test_toxicity_query(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in known]) > 0.95
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Rows that the lexicon was not learned from, on the largest of the small tables."""
+    d = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in T.op10_toxicity(spark, d).where("held_out").collect() if r.doc_id in truth]
+    toxic = [r.predicted for r in rows if truth[r.doc_id]]
+    harmless = [r.predicted for r in rows if not truth[r.doc_id]]
+    assert len(toxic) > 30 and np.mean(toxic) > 0.9 and np.mean(harmless) < 0.02
+
+
+def test_words_are_counted_by_any_white_space():
+    lexicon = T.Lexicon({"scum": 1.0}, {})
+    automaton = lexicon.automaton()
+    blank, lines = (lexicon.features("scum" + f"{x}word" * 300, automaton) for x in (" ", "\n"))
+    assert blank == lines
+
+
+def test_exceptions_look_at_the_next_word_however_far():
+    text = "scum" + " " * 90 + "lake, and " + "-" * 70 + " old scum"
+    words = T.word_places(text)
+    assert T.around(text, words, 0, 4) == ["scum", "scum lake"]
+    assert T.around(text, words, len(text) - 4, len(text)) == ["scum", "old scum"]
+
+
 def test_folding_and_matching():
     assert T.folded("Lo$er 1oser LOSER$$$ a@b ＬＯＳＥＲ") == "ioser ioser ioser$$$ aab ioser"
     lexicon = T.Lexicon({"idiot": 2.0, "scum": 1.0}, {T.folded("achl"): 3.0}, frozenset({T.folded("scum lake"), T.folded("achlich")}))
