@@ -1,21 +1,26 @@
-"""Plane geometry on columns: rings as arrays of struct(x, y) in metres, boxes, area, distance, containment, overlap.
+"""Plane geometry on columns: shapes as arrays of rings of struct(x, y) in metres; boxes, area, distance, containment, overlap, repair, union.
 
-Simple polygons without holes are meant; the ring may be closed or open, in either direction. Everything but the overlap of two general polygons is a
-built-in expression. That overlap splits both polygons into signed triangles and adds the signed areas of the triangles' overlaps, which
-is exact for any simple polygon; it runs on Arrow batches of candidate pairs only.
+A point is one ring of one corner. A polygon is its outer ring and its holes, a multipolygon the rings of all its parts: outer rings run
+counter-clockwise and holes clockwise (a single ring may run either way); rings are open or closed. The readers below and repair() give shapes of
+this form. Measures are built-in expressions. The overlap of two general polygons splits both into signed triangles and adds the signed areas of the
+triangles' overlaps; that, repair and union run on Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-RING = "array<struct<x:double,y:double>>"
+from .shapes import dissolve, overlaps, repair
+
+SHAPE = "array<array<struct<x:double,y:double>>>"
+SHAPE_TYPE = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
 POLYGON_SOURCES_HIGH, POLYGON_SOURCES_MEDIUM = ("SOURCE_POLYGON", "ANALYST_DRAWN"), ("SOURCE_MAP_DIGITISED", "TITLE_UNION")
 
 
@@ -23,59 +28,106 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def box_ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    return F.array(point(minx, miny), point(maxx, miny), point(maxx, maxy), point(minx, maxy))
+def point_shape(p: Column) -> Column:
+    return F.when(p.isNotNull(), F.array(F.array(p)))
 
 
-def ring_from_wkt(wkt: Column) -> Column:
-    """The outer ring of a POLYGON text, or the one point of a POINT; null for anything else."""
-    inner = F.regexp_extract(wkt, r"(?is)^\s*(?:POLYGON\s*\(\s*\(([^()]*)\)|POINT\s*\(([^()]*)\))", 1)
-    single = F.regexp_extract(wkt, r"(?is)^\s*POINT\s*\(([^()]*)\)", 1)
-    pairs = F.split(F.when(inner != "", inner).otherwise(single), ",")
-    number = lambda pair, i: F.split(F.trim(pair), r"\s+")[i].try_cast("double")
-    ring = F.transform(pairs, lambda p: point(number(p, 0), number(p, 1)))
-    return F.when((inner != "") | (single != ""), ring)
+def box_shape(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    return F.array(F.array(point(minx, miny), point(maxx, miny), point(maxx, maxy), point(minx, maxy)))
 
 
-def ring_from_geojson(geometry: Column) -> Column:
-    """The outer ring of a Polygon, or the one point of a Point, from its JSON text."""
-    kind = F.get_json_object(geometry, "$.type")
-    outer = F.from_json(F.get_json_object(geometry, "$.coordinates[0]"), "array<array<double>>")
+def oriented(rings: Column) -> Column:
+    """Rings (struct of outer and ring) with outer ones counter-clockwise and holes clockwise, open, those of under three corners left out."""
+    def turned(r: Column) -> Column:
+        ring = r["ring"]
+        opened = F.when((F.size(ring) > 1) & (ring[0] == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+        return F.when((ring_area(ring) >= 0) == r["outer"], opened).otherwise(F.reverse(opened))
+
+    return F.filter(F.transform(rings, turned), lambda r: F.size(r) >= 3)
+
+
+def sound(shape: Column) -> Column:
+    """The shape, or null if it has no ring or a corner without numbers."""
+    return F.when((F.size(shape) > 0) & F.forall(F.flatten(shape), lambda p: p["x"].isNotNull() & p["y"].isNotNull()), shape)
+
+
+def shape_from_wkt(wkt: Column) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON, those of a GEOMETRYCOLLECTION's polygons, or the first point of a POINT; null for anything else and empty ones."""
+    bare = F.regexp_replace(wkt, r"(?is)\b(?:MULTI)?(?:POINT|LINESTRING)\s*(?:[ZM]+\s*)?\((?:[^()]|\([^()]*\))*\)", "")
+    pattern = r"(\(?)\s*\(([^()]*)\)"
+    found = F.arrays_zip(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)).alias("open"), F.regexp_extract_all(bare, F.lit(pattern), F.lit(2)).alias("text"))
+    number = lambda pair, i: F.get(F.split(F.trim(pair), r"\s+"), F.lit(i)).try_cast("double")
+    corners = lambda text: F.transform(F.split(text, ","), lambda p: point(number(p, 0), number(p, 1)))
+    rings = F.transform(found, lambda r: F.struct((r["open"] == "(").alias("outer"), corners(r["text"]).alias("ring")))
+    spot = F.regexp_extract(wkt, r"(?is)\bPOINT\s*(?:[ZM]+\s*)?\(\s*([^()]*)\)", 1)
+    polygon = bare.rlike(r"(?i)POLYGON")
+    return F.when(polygon, sound(oriented(rings))).when((spot != "") & ~F.upper(wkt).contains("MULTIPOINT"), sound(F.array(corners(spot))))
+
+
+def shape_from_geojson(geometry: Column) -> Column:
+    """All rings of a Polygon, MultiPolygon or of a GeometryCollection's polygons, or the one point of a Point, from its JSON text; null for anything else."""
+    corners = lambda ring: F.transform(ring, lambda p: point(p[0], p[1]))
+    polygon = lambda rings: F.transform(rings, lambda ring, i: F.struct((i == 0).alias("outer"), corners(ring).alias("ring")))
+
+    def polygons(text: Column) -> Column:
+        kind, coordinates = F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates")
+        one = polygon(F.from_json(coordinates, "array<array<array<double>>>"))
+        many = F.flatten(F.transform(F.from_json(coordinates, "array<array<array<array<double>>>>"), polygon))
+        return F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+
+    parts = F.from_json(F.get_json_object(geometry, "$.geometries"), "array<string>")
+    gathered = F.flatten(F.filter(F.transform(parts, polygons), lambda r: r.isNotNull()))
     single = F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<double>")
-    return F.when(kind == "Polygon", F.transform(outer, lambda p: point(p[0], p[1]))).when(kind == "Point", F.array(point(single[0], single[1])))
+    kind = F.get_json_object(geometry, "$.type")
+    return F.when(kind == "Point", sound(F.array(F.array(point(single[0], single[1]))))).otherwise(sound(oriented(F.when(kind == "GeometryCollection", gathered).otherwise(polygons(geometry)))))
+
 
+def is_point(shape: Column) -> Column:
+    return (F.size(shape) == 1) & (F.size(F.get(shape, F.lit(0))) == 1)
 
-def is_point(ring: Column) -> Column:
-    return F.size(ring) == 1
 
+def first_corner(shape: Column) -> Column:
+    """The corner of a point, or a polygon's first one."""
+    return F.get(F.get(shape, F.lit(0)), F.lit(0))
 
-def edges(ring: Column) -> Column:
+
+def ring_edges(ring: Column) -> Column:
     """Each corner with the next one, around."""
     nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     return F.arrays_zip(ring.alias("a"), nexts.alias("b"))
 
 
-def signed_area(ring: Column) -> Column:
-    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+def edges(shape: Column) -> Column:
+    return F.flatten(F.transform(shape, ring_edges))
+
 
+def doubled_area(edge_list: Column) -> Column:
+    return F.aggregate(edge_list, F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
 
-def area(ring: Column) -> Column:
-    """Square metres; 0 for points and lines."""
-    return F.when(F.size(ring) >= 3, F.abs(signed_area(ring))).otherwise(0.0)
 
+def ring_area(ring: Column) -> Column:
+    """Positive for a ring that runs counter-clockwise."""
+    return doubled_area(ring_edges(ring)) / 2
 
-def perimeter(ring: Column) -> Column:
+
+def area(shape: Column) -> Column:
+    """Square metres without holes; 0 for points and lines."""
+    return F.abs(doubled_area(edges(shape))) / 2
+
+
+def perimeter(shape: Column) -> Column:
+    """Metres around all rings."""
     step = lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2))
-    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + step(e))
+    return F.aggregate(edges(shape), F.lit(0.0), lambda s, e: s + step(e))
 
 
-def compactness(ring: Column) -> Column:
+def compactness(shape: Column) -> Column:
     """4 pi area / perimeter^2: 1 for a circle."""
-    return F.when(perimeter(ring) > 0, 4 * math.pi * area(ring) / F.pow(perimeter(ring), 2))
+    return F.when(perimeter(shape) > 0, 4 * math.pi * area(shape) / F.pow(perimeter(shape), 2))
 
 
-def bounds(ring: Column) -> Column:
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+def bounds(shape: Column) -> Column:
+    xs, ys = F.transform(F.flatten(shape), lambda p: p["x"]), F.transform(F.flatten(shape), lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
@@ -83,15 +135,15 @@ def point_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))
 
 
-def contains(ring: Column, p: Column) -> Column:
-    """Whether a point is inside, by crossings of a ray; false for rings that are points."""
+def contains(shape: Column, p: Column) -> Column:
+    """Whether a point is inside, by crossings of a ray with all rings; false for shapes that are points and inside holes."""
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         apart = (a["y"] > p["y"]) != (b["y"] > p["y"])
         at = F.try_divide((b["x"] - a["x"]) * (p["y"] - a["y"]), b["y"] - a["y"]) + a["x"]
         return apart & (p["x"] < at)
 
-    return (F.size(ring) >= 3) & (F.size(F.filter(edges(ring), crosses)) % 2 == 1)
+    return F.size(F.filter(edges(shape), crosses)) % 2 == 1
 
 
 def segment_distance(p: Column, a: Column, b: Column) -> Column:
@@ -101,20 +153,24 @@ def segment_distance(p: Column, a: Column, b: Column) -> Column:
     return F.sqrt(F.pow(p["x"] - (a["x"] + t * dx), 2) + F.pow(p["y"] - (a["y"] + t * dy), 2))
 
 
-def distance_to(ring: Column, p: Column) -> Column:
+def distance_to(shape: Column, p: Column) -> Column:
     """Metres from a point to a polygon (0 inside) or to a point."""
-    nearest = F.aggregate(edges(ring), F.lit(float("inf")), lambda s, e: F.least(s, segment_distance(p, e["a"], e["b"])))
-    return F.when(contains(ring, p), 0.0).otherwise(nearest)
+    nearest = F.aggregate(edges(shape), F.lit(float("inf")), lambda s, e: F.least(s, segment_distance(p, e["a"], e["b"])))
+    return F.when(contains(shape, p), 0.0).otherwise(nearest)
+
+
+def geometry_hash(shape: Column) -> Column:
+    """SHA-256 of the rings rounded to millimetres, each begun at its least corner and all in one order, so that equal shapes agree."""
+    alone = (F.size(shape) == 1) & (doubled_area(edges(shape)) < 0)
 
+    def canonical(ring: Column) -> Column:
+        milli = F.transform(ring, lambda p: F.struct(F.round(p["x"] * 1000).cast("long").alias("x"), F.round(p["y"] * 1000).cast("long").alias("y")))
+        opened = F.when((F.size(milli) > 1) & (milli[0] == F.element_at(milli, -1)), F.slice(milli, 1, F.size(milli) - 1)).otherwise(milli)
+        turned = F.when(alone, F.reverse(opened)).otherwise(opened)
+        start = F.array_position(turned, F.array_min(turned)).cast("int")
+        return F.concat(F.slice(turned, start, F.size(turned)), F.slice(turned, F.lit(1), start - 1))
 
-def geometry_hash(ring: Column) -> Column:
-    """SHA-256 of the ring rounded to millimetres, begun at its least corner and run in one direction, so that equal shapes agree."""
-    milli = F.transform(ring, lambda p: F.struct(F.round(p["x"] * 1000).cast("long").alias("x"), F.round(p["y"] * 1000).cast("long").alias("y")))
-    opened = F.when((F.size(milli) > 1) & (milli[0] == F.element_at(milli, -1)), F.slice(milli, 1, F.size(milli) - 1)).otherwise(milli)
-    turned = F.when(signed_area(ring) < 0, F.reverse(opened)).otherwise(opened)
-    start = F.array_position(turned, F.array_min(turned)).cast("int")
-    ordered = F.concat(F.slice(turned, start, F.size(turned)), F.slice(turned, F.lit(1), start - 1))
-    return F.sha2(F.to_json(ordered), 256)
+    return F.sha2(F.to_json(F.array_sort(F.transform(shape, canonical))), 256)
 
 
 def box_overlap(a: Column, b: Column) -> Column:
@@ -124,49 +180,11 @@ def box_overlap(a: Column, b: Column) -> Column:
     return F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))
 
 
-def clip_triangle(corners: np.ndarray, triangle: np.ndarray) -> float:
-    """Area that a convex polygon shares with a triangle (both counter-clockwise)."""
-    out = corners
-    for i in range(3):
-        a, b = triangle[i], triangle[(i + 1) % 3]
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        kept = []
-        for j in range(len(out)):
-            k = (j + 1) % len(out)
-            if side[j] >= 0:
-                kept.append(out[j])
-            if (side[j] > 0) != (side[k] > 0) and side[j] != side[k]:
-                kept.append(out[j] + (out[k] - out[j]) * (side[j] / (side[j] - side[k])))
-        if len(kept) < 3:
-            return 0.0
-        out = np.array(kept)
-    x, y = out[:, 0], out[:, 1]
-    return 0.5 * abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1)))
-
-
-def signed_triangles(ring: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """A polygon as triangles around its first corner, each with the sign of its direction."""
-    out = []
-    for i in range(1, len(ring) - 1):
-        t = ring[[0, i, i + 1]]
-        double = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (t[1, 1] - t[0, 1])
-        if double:
-            out.append((math.copysign(1.0, double), t if double > 0 else t[::-1]))
-    return out
-
-
-def polygon_overlap(a: list, b: list) -> float:
-    first, second = (np.array([(p["x"], p["y"]) for p in ring], float) for ring in (a, b))
-    origin = first.min(axis=0)
-    shared = abs(sum(s * t * clip_triangle(u, v) for s, u in signed_triangles(first - origin) for t, v in signed_triangles(second - origin)))
-    return shared if shared > 1e-6 else 0.0  # less is rounding where edges touch
-
-
-def is_box(ring: Column) -> Column:
-    """Whether a polygon fills its bounds."""
-    b = bounds(ring)
+def is_box(shape: Column) -> Column:
+    """Whether a polygon of one ring fills its bounds."""
+    b = bounds(shape)
     whole = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"])
-    return (F.size(ring) >= 3) & (F.abs(area(ring) - whole) <= 1e-9 * whole)
+    return (F.size(shape) == 1) & (F.size(F.get(shape, F.lit(0))) >= 3) & (whole > 0) & (F.abs(area(shape) - whole) <= 1e-9 * whole)
 
 
 def box_distance(box: Column, p: Column) -> Column:
@@ -178,20 +196,63 @@ def box_distance(box: Column, p: Column) -> Column:
 def pair_overlap() -> Column:
     """Shared square metres of a row of near_pairs(): built in for two boxes, else by overlap_area()."""
     boxes = F.col("left_is_box") & F.col("right_is_box")
-    other = overlap_area(F.when(~boxes, F.col("left_ring")), F.when(~boxes, F.col("right_ring")))
+    other = overlap_area(F.when(~boxes, F.col("left_shape")), F.when(~boxes, F.col("right_shape")))
     return F.when(boxes, box_overlap(F.col("left_box"), F.col("right_box"))).otherwise(other)
 
 
 def pair_distance() -> Column:
     """Metres from the left polygon of a row of near_pairs() to the right point."""
-    p = F.get("right_ring", F.lit(0))
-    return F.when(F.col("left_is_box"), box_distance(F.col("left_box"), p)).otherwise(distance_to(F.col("left_ring"), p))
+    p = first_corner(F.col("right_shape"))
+    return F.when(F.col("left_is_box"), box_distance(F.col("left_box"), p)).otherwise(distance_to(F.col("left_shape"), p))
 
 
-@F.pandas_udf(DoubleType())
-def overlap_area(left: pd.Series, right: pd.Series) -> pd.Series:
+def corners(rings: Iterable | None) -> list[np.ndarray]:
+    """The rings of a value of a shape column as arrays of corners; points and lines left out."""
+    found = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in (rings if rings is not None else [])]
+    return [r for r in found if len(r) > 2]
+
+
+def as_shapes(found: Iterable[list[np.ndarray]]) -> pa.Array:
+    rows = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings] or None for rings in found]
+    return pa.array(rows, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+
+@F.arrow_udf(DoubleType())
+def overlap_area(left: pa.Array, right: pa.Array) -> pa.Array:
     """Shared square metres of two polygons; 0 if either is a point."""
-    return pd.Series([polygon_overlap(a, b) if a is not None and b is not None and len(a) > 2 and len(b) > 2 else 0.0 for a, b in zip(left, right, strict=True)], dtype=float)
+    return pa.array(overlaps([corners(x) for x in left.to_pylist()], [corners(x) for x in right.to_pylist()]))
+
+
+@F.arrow_udf(SHAPE_TYPE)
+def dissolved(shapes: pa.Array) -> pa.Array:
+    return as_shapes(dissolve(corners(x)) for x in shapes.to_pylist())
+
+
+@F.arrow_udf(SHAPE_TYPE)
+def made_simple(shapes: pa.Array) -> pa.Array:
+    return as_shapes(repair(corners(x)) for x in shapes.to_pylist())
+
+
+def repaired(shape: Column) -> Column:
+    """The shape with crossing or overlapping rings made simple; null if nothing of it has an area. Points, boxes and triangles stay as they are."""
+    plain = is_point(shape) | is_box(shape)
+    return F.when(plain, shape).otherwise(made_simple(F.when(~plain, shape)))
+
+
+def union_shapes(rows: DataFrame, key: str, shape: str = "shape", parts: int = 16) -> DataFrame:
+    """key and the union of its shapes, in two steps, so that a key's many shapes don't meet in one task."""
+    split = rows.where(F.col(shape).isNotNull() & ~is_point(F.col(shape))).select(key, repaired(F.col(shape)).alias("shape"), F.pmod(F.xxhash64(shape), F.lit(parts)).alias("part"))
+    gathered = lambda df, *keys: df.groupBy(*keys).agg(dissolved_all(F.col("shape")).alias("shape"))
+    return gathered(gathered(split, key, "part").where("shape is not null"), key)
+
+
+def dissolved_all(shape: Column) -> Column:
+    return dissolved(F.flatten(F.collect_list(shape)))
+
+
+def within(inner: Column, outer: Column) -> Column:
+    """Whether a polygon lies inside another one."""
+    return F.abs(overlap_area(inner, outer) - area(inner)) <= 1e-6 * F.greatest(area(inner), F.lit(1.0))
 
 
 def to_grid(lon: Column, lat: Column) -> Column:
@@ -225,9 +286,9 @@ def to_grid(lon: Column, lat: Column) -> Column:
     return point(east, north)
 
 
-def confidence(source_type: Column, ring: Column) -> Column:
+def confidence(source_type: Column, shape: Column) -> Column:
     return (
-        F.when(is_point(ring) | (source_type == "POINT_ONLY"), "INSUFFICIENT")
+        F.when(is_point(shape) | (source_type == "POINT_ONLY"), "INSUFFICIENT")
         .when(source_type.isin(*POLYGON_SOURCES_HIGH), "HIGH")
         .when(source_type.isin(*POLYGON_SOURCES_MEDIUM), "MEDIUM")
         .when(source_type == "APPROXIMATE_BBOX", "LOW")
@@ -247,18 +308,22 @@ def cells(box: Column, size: float, margin: float = 0.0) -> Column:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, within: float, cell: float = 1000.0) -> DataFrame:
-    """Candidate pairs of rows (each with a column ring) whose boxes come within a distance: an equi-join on grid cells, each pair once.
+    """Candidate pairs of rows (each with a column shape) whose boxes come within a distance: an equi-join on grid cells, each pair once.
 
-    A pair is taken in the one cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct.
+    A pair is taken in the one cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct. Ids and boxes
+    meet in the cells; shapes are joined to the pairs that are left. Ids must be unique on each side.
     """
-    a = left.select(F.col(left_id).alias("left_id"), F.col("ring").alias("left_ring"), bounds(F.col("ring")).alias("left_box"), is_box(F.col("ring")).alias("left_is_box")).where(F.size("left_ring") >= 1)
-    b = right.select(F.col(right_id).alias("right_id"), F.col("ring").alias("right_ring"), bounds(F.col("ring")).alias("right_box"), is_box(F.col("ring")).alias("right_is_box")).where(F.size("right_ring") >= 1)
-    a = a.withColumn("cell", F.explode(cells(F.col("left_box"), cell, within)))
-    b = b.withColumn("cell", F.explode(cells(F.col("right_box"), cell)))
-    pairs = a.join(b, "cell")
-    corner = [F.floor(F.greatest(F.col(f"left_box.{v}") - within, F.col(f"right_box.{v}")) / cell) for v in ("minx", "miny")]
+    def described(df: DataFrame, key: str, side: str) -> DataFrame:
+        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), F.col("shape").alias(f"{side}_shape"))
+        return own.withColumns({f"{side}_box": bounds(F.col(f"{side}_shape")), f"{side}_is_box": is_box(F.col(f"{side}_shape"))})
+
+    a, b = described(left, left_id, "left"), described(right, right_id, "right")
     meet = [
         (F.col("left_box.minx") - within <= F.col("right_box.maxx")) & (F.col("right_box.minx") <= F.col("left_box.maxx") + within),
         (F.col("left_box.miny") - within <= F.col("right_box.maxy")) & (F.col("right_box.miny") <= F.col("left_box.maxy") + within),
     ]
-    return pairs.where(meet[0] & meet[1] & (F.col("cell.cx") == corner[0]) & (F.col("cell.cy") == corner[1])).drop("cell")
+    corner = [F.floor(F.greatest(F.col(f"left_box.{v}") - within, F.col(f"right_box.{v}")) / cell) for v in ("minx", "miny")]
+    in_cells = a.drop("left_shape").withColumn("cell", F.explode(cells(F.col("left_box"), cell, within)))
+    others = b.drop("right_shape").withColumn("cell", F.explode(cells(F.col("right_box"), cell)))
+    pairs = in_cells.join(others, "cell").where(meet[0] & meet[1] & (F.col("cell.cx") == corner[0]) & (F.col("cell.cy") == corner[1])).drop("cell")
+    return pairs.join(a.select("left_id", "left_shape"), "left_id").join(b.select("right_id", "right_shape"), "right_id")

@@ -5,16 +5,28 @@ These are columns and not a DOM: nested or broken markup is read as it stands.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import filled, normalize_space, normalize_url
+from .text import coordinates, filled, normalize_space, normalize_url
 
 #: Entities that text content turns back.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&pound;": "£", "&amp;": "&"}
-#: Link texts that say nothing about a document.
-GENERIC_LABELS = ("", "click here", "here", "download", "pdf", "read more", "view")
-MAP_WORDS = "(map|plan)"
+#: Marks of documents that belong to no single listing, marks of documents, and marks of maps.
+GENERIC_MARKERS = ("common_conditions", "common auction conditions", "auction_notices", "auction notices", "terms_and_conditions")
+DOCUMENT_MARKERS, MAP_MARKERS = (".pdf", "pdf.php"), ("map", "site plan", "floor plan", "floorplan")
+#: Headlines that say nothing about a listing.
+GENERIC_HEADLINES = ("login to see times and book a viewing", "local information", "legal documents", "epc rating", "guide prices and common auction conditions", "addendums")
+#: Places in JSON, in attributes, in a call and in a map's link; latitude, then longitude.
+PLACE_PATTERNS = (
+    r"""(?i)long_lat"\s*:\s*"\{\\?"lat\\?":(-?\d+\.\d+),\\?"lng\\?":(-?\d+\.\d+)\}""",
+    r"""(?i)data-lat="\s*(-?\d+\.\d+)\s*"[^>]+data-l(?:ng|on)="\s*(-?\d+\.\d+)\s*\"""",
+    r"""(?i)data-lat='\s*(-?\d+\.\d+)\s*'[^>]+data-l(?:ng|on)='\s*(-?\d+\.\d+)\s*'""",
+    r"""(?i)loadMap\([^)]*'(-?\d+\.\d+)'[^)]*'(-?\d+\.\d+)'""",
+    r"""(?i)[?&]q=(-?\d+\.\d+),(-?\d+\.\d+)""",
+)
 
 
 def unescape(col: Column) -> Column:
@@ -44,9 +56,23 @@ def meta_content(html: Column, name: str) -> Column:
 
 
 def json_ld(html: Column) -> Column:
-    """The page's JSON-LD blocks as JSON texts."""
+    """The page's JSON-LD records as JSON texts: all blocks, and the elements of those that are arrays; blocks that are no JSON give none."""
     pattern = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.trim)
+    records = F.transform(blocks, lambda b: F.when(b.startswith("["), F.from_json(b, "array<string>")).otherwise(F.array(b)))
+    return F.filter(F.flatten(F.filter(records, lambda r: r.isNotNull())), lambda r: r.startswith("{") & F.json_object_keys(r).isNotNull())
+
+
+def first_field(records: Column, *paths: str) -> Column:
+    """The first filled text at the paths (joined with blanks) of JSON records."""
+    texts = F.transform(records, lambda r: normalize_space(F.concat_ws(" ", *(F.get_json_object(r, p) for p in paths))))
+    return F.get(F.filter(texts, lambda t: t.isNotNull()), F.lit(0))
+
+
+def place(html: Column) -> Column:
+    """struct(lat, lon) from the first pattern that occurs in the page's source, else from its text."""
+    found = [[F.regexp_extract(html, pattern, i).try_cast("double") for i in (1, 2)] for pattern in PLACE_PATTERNS]
+    return F.coalesce(*(F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))) for lat, lon in found), coordinates(html))
 
 
 def absolute_url(link: Column, base: Column) -> Column:
@@ -65,16 +91,24 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
     found = pages.select(F.col(url).alias("url"), F.posexplode(anchors).alias("position", "anchor"))
     href = F.trim(F.regexp_extract("anchor", r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))
-    return found.select("url", "position", normalize_url(absolute_url(unescape(href), F.col("url"))).alias("target"), inner_text(F.col("anchor")).alias("label"))
+    link = F.struct(normalize_url(absolute_url(unescape(href), F.col("url"))).alias("target"), inner_text(F.col("anchor")).alias("label"))
+    # unfolded as a row of its own, so that tests on it don't repeat the expressions that make it
+    return found.select("url", "position", F.explode(F.array(link)).alias("link")).select("url", "position", "link.target", "link.label")
 
 
 def document_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, target, label and kind (MAP or BROCHURE) of each page's PDF links; repeated targets once, with the first label that says something."""
-    found = links(pages, url, html).where(F.lower(F.regexp_replace("target", r"\?.*$", "")).endswith(".pdf"))
-    saying = F.when(~F.lower(F.coalesce("label", F.lit(""))).isin(*GENERIC_LABELS), F.col("label"))
-    merged = found.groupBy("url", "target").agg(F.min("position").alias("position"), F.min_by(saying, F.when(saying.isNotNull(), F.col("position"))).alias("label"))
-    named = F.lower(F.concat_ws(" ", "label", F.element_at(F.split("target", "/"), -1)))
-    return merged.select("url", "position", "target", "label", F.when(named.rlike(rf"\b{MAP_WORDS}\b"), "MAP").otherwise("BROCHURE").alias("kind"))
+    """url, target, label and kind (MAP or BROCHURE) of each page's document links: those with a document's mark in target or label.
+
+    A repeated target comes once: a map if any of its links is one, with that link's label, else with the first label that says something.
+    """
+    has = lambda marks: F.lower(F.concat_ws(" ", "target", "label")).rlike("|".join(re.escape(m) for m in marks))
+    found = links(pages, url, html).where(has(DOCUMENT_MARKERS) & ~has(GENERIC_MARKERS)).withColumn("is_map", has(MAP_MARKERS))
+    said = F.col("label").isNotNull()
+    merged = found.groupBy("url", "target").agg(
+        F.min("position").alias("position"), F.bool_or("is_map").alias("is_map"), F.min_by("label", F.when(said, F.col("position"))).alias("first_label"),
+        F.min_by("label", F.when(F.col("is_map"), F.col("position"))).alias("map_label"),
+    )
+    return merged.select("url", "position", "target", F.coalesce("map_label", "first_label").alias("label"), F.when(F.col("is_map"), "MAP").otherwise("BROCHURE").alias("kind"))
 
 
 def sitemap_urls(xml: Column) -> Column:
@@ -82,9 +116,19 @@ def sitemap_urls(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), unescape)
 
 
+def saying(headline_text: Column) -> Column:
+    return F.when(~F.lower(headline_text).isin(*GENERIC_HEADLINES), headline_text)
+
+
+def first_heading(html: Column) -> Column:
+    """Text of the first h1 that says something."""
+    texts = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), inner_text)
+    return F.get(F.filter(texts, lambda t: t.isNotNull() & ~F.lower(t).isin(*GENERIC_HEADLINES)), F.lit(0))
+
+
 def headline(html: Column) -> Column:
-    """og:title, else the first h1, else the title."""
-    return F.coalesce(meta_content(html, "og:title"), element_text(html, "h1"), element_text(html, "title"))
+    """og:title, else the first h1, else the title; those that say nothing are passed over."""
+    return F.coalesce(saying(meta_content(html, "og:title")), first_heading(html), saying(element_text(html, "title")))
 
 
 def description(html: Column) -> Column:

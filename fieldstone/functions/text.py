@@ -33,8 +33,10 @@ TYPE_RULES = (
     (("plot",), "LAND"),
     (("site",), "LAND"),
 )
+#: Months, and words that a description's signature leaves out.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 SIGNATURE_STOPWORDS = ("the", "and", "of", "to", "provide", "residential", "units", "unit", "site", "with", "at")
+#: Patterns of prices, dates, postcodes and places.
 PRICE_PATTERN = r"(?i)£\s*([0-9][0-9,]*(?:\.[0-9]+)?)(million|mn|m|thousand|k)?"
 DATE_PATTERN = r"(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4})"
 POSTCODE_PATTERN = r"\b([A-Z]{1,2}\d[A-Z\d]?)\s*(\d[A-Z]{2})\b"

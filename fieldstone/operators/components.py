@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import superseded, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        superseded(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -15,9 +15,33 @@ REFUSED, APPROVED = "NEGATIVE", "POSITIVE"
 
 
 def geometry_features(sites: DataFrame) -> DataFrame:
-    """site_id, site_area_sqm, site_perimeter_m and site_compactness of sites with a ring."""
-    ring = F.col("ring")
-    return sites.select("site_id", N.round_half_up(G.area(ring), 3).alias("site_area_sqm"), N.round_half_up(G.perimeter(ring), 3).alias("site_perimeter_m"), N.round_half_up(G.compactness(ring), 6).alias("site_compactness"))
+    """site_id, site_area_sqm, site_perimeter_m and site_compactness of sites with a shape."""
+    shape = F.col("shape")
+    return sites.select("site_id", N.round_half_up(G.area(shape), 3).alias("site_area_sqm"), N.round_half_up(G.perimeter(shape), 3).alias("site_perimeter_m"), N.round_half_up(G.compactness(shape), 6).alias("site_compactness"))
+
+
+def site_features(sites: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Morphology, location and access of sites (site_id, shape, borough_id, geom_confidence, source_type, manual_review) under their scenario.
+
+    scenarios: site_id, template, units, net_pct, form, route, mix (a JSON text), manual_review, status, is_stale, access_assumption. No transport data is
+    kept, so bucket and distance of stations are null.
+    """
+    s = scenarios.select(
+        "site_id", F.col("template").alias("scenario_template_key"), F.col("units").alias("scenario_units_assumed"), N.round_half_up(F.col("net_pct"), 4).alias("scenario_net_developable_area_pct"),
+        F.col("form").alias("scenario_proposal_form"), F.col("route").alias("scenario_route_assumed"), F.col("mix").alias("scenario_housing_mix_assumed_json"), F.col("manual_review").alias("scenario_manual_review_required"),
+        F.col("status").alias("scenario_status"), F.col("is_stale").alias("scenario_is_stale"), F.coalesce(F.trim("access_assumption") != "", F.lit(False)).alias("access_assumption_present"),
+    )
+    own = geometry_features(sites).join(sites.select("site_id", "borough_id", "geom_confidence", F.col("source_type").alias("geom_source_type"), F.col("manual_review").alias("site_manual_review_required")), "site_id")
+    return own.join(s, "site_id", "left").withColumns({"ptal_bucket": F.lit(None).cast("string"), "distance_to_station_m": F.lit(None).cast("double")})
+
+
+def asking_price_features(listings: DataFrame) -> DataFrame:
+    """site_id and what its current listing (price_gbp, price_basis) asks."""
+    known = F.coalesce(F.col("price_basis"), F.lit("UNKNOWN")) != "UNKNOWN"
+    return listings.select(
+        "site_id", F.col("price_gbp").isNotNull().alias("asking_price_present"), (F.col("price_gbp").isNotNull() & known).alias("asking_price_basis_complete"),
+        F.col("price_gbp").alias("current_price_gbp"), F.col("price_basis").alias("current_price_basis_type"),
+    )
 
 
 def on_site_history(links: DataFrame) -> DataFrame:
@@ -45,7 +69,7 @@ def band_counts(pairs: DataFrame) -> DataFrame:
 
 
 def nearby_history(sites: DataFrame, cases: DataFrame, linked: DataFrame | None = None) -> DataFrame:
-    """band_counts() of labelled cases (case_id, ring, label_class, template, decision_date) within 500 m of sites (site_id, ring, as_of, template), linked ones left out."""
+    """band_counts() of labelled cases (case_id, shape, label_class, template, decision_date) within 500 m of sites (site_id, shape, as_of, template), linked ones left out."""
     near = G.near_pairs(sites, cases, "site_id", "case_id", 500.0, cell=1000.0)
     pairs = near.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("case_id"), G.pair_distance().alias("distance_m"))
     if linked is not None:
@@ -60,9 +84,10 @@ def designation_profile(matches: DataFrame) -> DataFrame:
     live = matches.where(effective_on(F.col("effective_from"), F.col("effective_to"), F.col("as_of")))
     has = lambda test: F.coalesce(F.bool_or(F.coalesce(test, F.lit(False))), F.lit(False))
     family = F.lower("family")
+    heritage = lambda kind: (family == "heritage") & (F.lower("subtype") == kind)
     return live.groupBy("site_id", "as_of").agg(
-        F.array_sort(F.collect_set("family")).alias("families"), has(family == "article4").alias("has_article4"), has(family == "flood_zone").alias("has_flood_zone"),
-        has(family == "conservation_area").alias("has_conservation_area"), has(family == "listed_building").alias("has_listed_building_nearby"), has(family == "site_allocation").alias("has_site_allocation"),
+        F.array_sort(F.collect_set("family")).alias("families"), has(family == "article4").alias("has_article4"), has(family.isin("flood", "flood_zone")).alias("has_flood_zone"),
+        has((family == "conservation_area") | heritage("conservation_area")).alias("has_conservation_area"), has((family == "listed_building") | heritage("listed_building")).alias("has_listed_building_nearby"), has(family == "site_allocation").alias("has_site_allocation"),
         has(F.col("part") == "PART_1").alias("brownfield_part1"), has((F.col("part") == "PART_2") & ((F.col("pip") == "ACTIVE") | (F.col("tdc") == "ACTIVE"))).alias("brownfield_part2_active"),
         has(F.col("pip") == "ACTIVE").alias("pip_active"), has(F.col("tdc") == "ACTIVE").alias("tdc_active"), F.count(F.when(family == "policy_area", 1)).alias("policy_area_count"),
     )
@@ -71,16 +96,33 @@ def designation_profile(matches: DataFrame) -> DataFrame:
 def borough_rates(spine: DataFrame, cases: DataFrame) -> DataFrame:
     """site_id, as_of and, of cases of its borough and template decided by the day: share positive, number, and median days to decision (whole).
 
-    Sites that share borough, template and day share one row of the join; the rest is an equi-join on borough and template.
+    Cases are counted by day and by days to decision first. Shares and numbers are running sums over days; the median meets each day with the
+    different numbers of days to decision of the cases before, with their counts.
     """
     keys = ["borough_id", "template", "as_of"]
     days = spine.select(*keys).distinct()
     decided = cases.where(F.col("label_class").isin(APPROVED, REFUSED) & F.col("decision_date").isNotNull())
     decided = decided.select("borough_id", "template", "decision_date", (F.col("label_class") == APPROVED).alias("won"), F.datediff("decision_date", "valid_date").alias("days"))
-    met = days.join(decided, ["borough_id", "template"]).where(decided_by(F.col("decision_date"), F.col("as_of")))
-    rates = met.groupBy(*keys).agg(
-        N.round_half_up(F.avg(F.when(F.col("won"), 1.0).otherwise(0.0)), 4).alias("borough_template_positive_rate"),
-        F.count("*").alias("borough_template_case_count"), F.floor(F.median("days")).cast("int").alias("borough_template_median_days_to_decision"),
+    # the first day of the spine that counts a case: what happened between two such days is one sum
+    spans = days.groupBy("borough_id", "template").agg(F.array_sort(F.collect_set("as_of")).alias("ends"))
+    at = F.expr("get(filter(ends, d -> d >= decision_date), 0)")
+    counted = decided.groupBy("borough_id", "template", "decision_date", "days").agg(F.count("*").alias("n"), F.count_if("won").alias("won"))
+    first = counted.join(spans, ["borough_id", "template"]).withColumn("as_of", at).where("as_of is not null")
+    first = first.groupBy(*keys, "days").agg(F.sum("n").alias("n"), F.sum("won").alias("won"))
+    upto = Window.partitionBy("borough_id", "template").orderBy("as_of")
+    sums = days.join(first.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("won").alias("won")), keys, "left")
+    sums = sums.select(*keys, F.sum("n").over(upto).alias("n"), F.sum("won").over(upto).alias("won")).where("n > 0")
+    # of each number of days to decision, the cases up to each day
+    kinds = first.where("days is not null").select("borough_id", "template", "days").distinct()
+    spread = kinds.join(days, ["borough_id", "template"]).join(first.drop("won"), [*keys, "days"], "left")
+    spread = spread.select(*keys, "days", F.sum("n").over(Window.partitionBy("borough_id", "template", "days").orderBy("as_of")).alias("n")).where("n > 0")
+    order = Window.partitionBy(*keys).orderBy("days")
+    ranked = spread.select(*keys, "days", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    middle = ranked.groupBy(*keys).agg(((F.min(F.when(F.col("upto") >= low, F.col("days"))) + F.min(F.when(F.col("upto") >= high, F.col("days")))) / 2).alias("median"))
+    rates = sums.join(middle, keys, "left").select(
+        *keys, N.round_half_up(F.col("won") / F.col("n"), 4).alias("borough_template_positive_rate"), F.col("n").alias("borough_template_case_count"),
+        F.floor("median").cast("int").alias("borough_template_median_days_to_decision"),
     )
     return spine.join(rates, keys).select("site_id", "as_of", *(c for c in rates.columns if c not in keys))
 
@@ -97,7 +139,7 @@ def snapshot(spine: DataFrame, families: list[DataFrame], counts: tuple[str, ...
 
 def historical_spine(cases: DataFrame) -> DataFrame:
     """Cases as sites on the day of their validity: the same features then make training rows."""
-    return cases.where("valid_date is not null").select(F.col("case_id").alias("site_id"), F.col("valid_date").alias("as_of"), "borough_id", "template", "ring", "label_class")
+    return cases.where("valid_date is not null").select(F.col("case_id").alias("site_id"), F.col("valid_date").alias("as_of"), "borough_id", "template", "shape", "label_class")
 
 
 def coverage_note(status: Column, freshness: Column) -> Column:

@@ -53,13 +53,13 @@ def from_table(rows: DataFrame, source: str) -> DataFrame:
 def from_pages(pages: DataFrame) -> DataFrame:
     """Listings from pages (url, html): JSON-LD, then metadata, then headings, then text."""
     whole = H.text_content(F.col("html"))
-    ld = F.element_at(F.concat(H.json_ld(F.col("html")), F.array(F.lit("{}"))), 1)
-    field = lambda path: T.normalize_space(F.get_json_object(ld, path))
-    place = T.coordinates(whole)
+    ld = H.json_ld(F.col("html"))
+    field = lambda *paths: H.first_field(ld, *paths)
+    place = H.place(F.col("html"))
     out = pages.select(
         T.normalize_url(F.col("url")).alias("source_listing_id"), T.normalize_url(F.col("url")).alias("url"),
-        F.coalesce(field("$.name"), H.headline(F.col("html"))).alias("headline"), F.coalesce(field("$.description"), H.description(F.col("html"))).alias("description"),
-        F.coalesce(field("$.address.streetAddress"), field("$.address")).alias("address"),
+        F.coalesce(H.saying(field("$.name")), H.headline(F.col("html"))).alias("headline"), F.coalesce(field("$.description"), H.description(F.col("html"))).alias("description"),
+        F.coalesce(field("$.address.streetAddress", "$.address.addressLocality", "$.address.postalCode"), T.postcode(whole)).alias("address"),
         F.coalesce(field("$.geo.latitude").try_cast("double"), place["lat"]).alias("lat"), F.coalesce(field("$.geo.longitude").try_cast("double"), place["lon"]).alias("lon"),
         F.coalesce(field("$.offers.price").try_cast("double").cast("long"), T.parse_price(whole)).alias("price_gbp"), T.price_basis(whole).alias("price_basis"),
     )
@@ -117,10 +117,10 @@ def compliance(job: Column, mode: Column, active: Column) -> Column:
     return F.when(~F.coalesce(active, F.lit(False)), "SOURCE_INACTIVE").when(~F.coalesce(allowed, F.lit(False)), "MODE_NOT_ALLOWED")
 
 
-def merge_observations(seen: DataFrame, keys: tuple[str, ...] = ("source_id", "source_listing_id"), at: str = "observed_at") -> DataFrame:
-    """One item for each key: first and last time seen, in any order of arrival, and the columns of the last."""
-    rest = [c for c in seen.columns if c not in (*keys, at)]
-    return seen.groupBy(*keys).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), *(F.max_by(c, at).alias(c) for c in rest))
+def merge_observations(seen: DataFrame, keys: tuple[str, ...] = ("source_id", "source_listing_id"), at: str = "observed_at", tie: str | None = None) -> DataFrame:
+    """One item for each key: first and last time seen, in any order of arrival, and the columns of the last (of several at one time, the one with the greatest tie)."""
+    rest, last = [c for c in seen.columns if c not in (*keys, at)], F.struct(at, tie) if tie else F.col(at)
+    return seen.groupBy(*keys).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), *(F.max_by(c, last).alias(c) for c in rest))
 
 
 def pair_score(l: str = "l", r: str = "r") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import numeric as N
 from ..functions import text as T
-from ..sources.scratch import written
+from ..sources.scratch import superseded, written
 from .latest import effective_on, latest_per_key
 
 #: Fixed values.
@@ -28,14 +28,14 @@ TITLE_SCORE = 0.75
 
 
 def spatial_matches(sites: DataFrame, features: DataFrame, near_m: float = 0.0, site_id: str = "site_id", feature_id: str = "feature_id") -> DataFrame:
-    """site_id, feature_id, link_type, overlap_sqm, overlap_pct and distance_m of features (column ring) that meet a site or lie near it.
+    """site_id, feature_id, link_type, overlap_sqm, overlap_pct and distance_m of features (column shape) that meet a site or lie near it.
 
     Polygons match where they meet, even if they only touch; points within the site or within near_m of it.
     """
     pairs = G.near_pairs(sites, features, site_id, feature_id, max(near_m, 0.001))
-    own, other = F.col("left_ring"), F.col("right_ring")
+    own, other = F.col("left_shape"), F.col("right_shape")
     polygons = pairs.where(~G.is_point(other) & ~G.is_point(own)).withColumn("sqm", G.pair_overlap()).withColumn("distance_m", F.lit(0.0))
-    corners = F.exists(own, lambda p: G.distance_to(other, p) <= 0.001) | F.exists(other, lambda p: G.distance_to(own, p) <= 0.001)
+    corners = F.exists(F.flatten(own), lambda p: G.distance_to(other, p) <= 0.001) | F.exists(F.flatten(other), lambda p: G.distance_to(own, p) <= 0.001)
     touching = polygons.where((F.col("sqm") > 0) | corners).withColumn("link_type", F.lit("POLYGON_INTERSECTS"))
     points = pairs.where(G.is_point(other)).withColumn("sqm", F.lit(0.0)).withColumn("distance_m", G.pair_distance())
     points = points.where(F.col("distance_m") <= near_m).withColumn("link_type", F.when(F.col("distance_m") == 0, "POINT_WITHIN_SITE").otherwise("POINT_NEAR_SITE"))
@@ -67,7 +67,7 @@ def title_candidates(sites: DataFrame, titles: DataFrame) -> DataFrame:
     Part addresses meet through their shared words' prefixes: an address within another one shares its first three words somewhere in it.
     """
     s = sites.select("site_id", "address", "spot").withColumn("words", F.split("address", " "))
-    t = titles.select("title_number", "address", "ring").withColumn("words", F.split("address", " "))
+    t = titles.select("title_number", "address", "shape").withColumn("words", F.split("address", " "))
     equal = s.join(t, "address").select("site_id", "title_number", F.lit(0.95).alias("score"))
 
     def starts(df: DataFrame) -> DataFrame:
@@ -79,16 +79,16 @@ def title_candidates(sites: DataFrame, titles: DataFrame) -> DataFrame:
 
     inner = starts(s).alias("s").join(runs(t).alias("t"), "key").where(F.col("t.address").contains(F.col("s.address"))).select("site_id", "title_number", F.lit(0.8).alias("score"))
     outer = starts(t).alias("t").join(runs(s).alias("s"), "key").where(F.col("s.address").contains(F.col("t.address"))).select("site_id", "title_number", F.lit(0.8).alias("score"))
-    spots = G.near_pairs(s.where("spot is not null").withColumn("ring", F.array("spot")), t.where("ring is not null"), "site_id", "title_number", 0.001)
-    within = spots.where(G.contains(F.col("right_ring"), F.get("left_ring", F.lit(0)))).select(F.col("left_id").alias("site_id"), F.col("right_id").alias("title_number"), F.lit(1.0).alias("score"))
+    spots = G.near_pairs(s.where("spot is not null").withColumn("shape", G.point_shape(F.col("spot"))), t.where("shape is not null"), "site_id", "title_number", 0.001)
+    within = spots.where(G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))).select(F.col("left_id").alias("site_id"), F.col("right_id").alias("title_number"), F.lit(1.0).alias("score"))
     every = equal.unionByName(inner).unionByName(outer).unionByName(within)
     return every.groupBy("site_id", "title_number").agg(F.max("score").alias("score")).where(F.col("score") >= TITLE_SCORE)
 
 
 def cluster_geometry(polygon: Column, box: Column, official: Column, titles: Column, spot: Column) -> Column:
-    """struct(ring, source_type) of the best geometry there is: polygon, box, official titles, title candidates, point."""
-    chain = ((polygon, "SOURCE_POLYGON"), (box, "APPROXIMATE_BBOX"), (official, "TITLE_UNION"), (titles, "TITLE_UNION"), (F.when(spot.isNotNull(), F.array(spot)), "POINT_ONLY"))
-    return F.coalesce(*(F.when(ring.isNotNull(), F.struct(ring.alias("ring"), F.lit(kind).alias("source_type"))) for ring, kind in chain))
+    """struct(shape, source_type) of the best geometry there is: polygon, box, official titles, title candidates, point."""
+    chain = ((polygon, "SOURCE_POLYGON"), (box, "APPROXIMATE_BBOX"), (official, "TITLE_UNION"), (titles, "TITLE_UNION"), (G.point_shape(spot), "POINT_ONLY"))
+    return F.coalesce(*(F.when(shape.isNotNull(), F.struct(shape.alias("shape"), F.lit(kind).alias("source_type"))) for shape, kind in chain))
 
 
 def latest_coverage(coverage: DataFrame, keys: tuple[str, ...] = ("borough_id", "source_family")) -> DataFrame:
@@ -207,23 +207,26 @@ def case_class(duplicate: Column, irrelevant: Column, template: Column, decision
 def stronger_cases(weaker: DataFrame, stronger: DataFrame) -> DataFrame:
     """case_id and stronger_id: of each weaker case the first labelled stronger one that is the same case.
 
-    Same borough, units and route (the join key), valid within 45 days, and overlapping by half of the smaller polygon, or, with a point on either
+    Same borough, units and route (with a span of days the join key), valid within 45 days, and overlapping by half of the smaller polygon, or, with a point on either
     side, within 30 m or of the same description.
     """
-    sized = lambda df: df.withColumns({"box": G.bounds(F.col("ring")), "is_box": G.is_box(F.col("ring"))})
-    a, b = sized(weaker).alias("a"), sized(stronger).alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("borough_id", "units", "route")]
+    sized = lambda df: df.withColumns({"box": G.bounds(F.col("shape")), "is_box": G.is_box(F.col("shape"))})
+    # the span of days is a key too: a case looks into its own span and those before and after
+    span = F.floor(F.unix_date("valid_date") / CASE_DAYS)
+    a = sized(weaker).withColumn("span", F.explode(F.array(span - 1, span, span + 1))).alias("a")
+    b = sized(stronger).withColumn("span", span).alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("borough_id", "units", "route", "span")]
     near = a.join(b, [*on, N.dates_close(F.col("a.valid_date"), F.col("b.valid_date"), CASE_DAYS)])
-    points = (F.size("a.ring") == 1) | (F.size("b.ring") == 1)
-    gap = F.least(G.distance_to(F.col("a.ring"), F.get("b.ring", F.lit(0))), G.distance_to(F.col("b.ring"), F.get("a.ring", F.lit(0))))
+    points = G.is_point(F.col("a.shape")) | G.is_point(F.col("b.shape"))
+    gap = F.least(G.distance_to(F.col("a.shape"), G.first_corner(F.col("b.shape"))), G.distance_to(F.col("b.shape"), G.first_corner(F.col("a.shape"))))
     same_text = F.col("a.signature") == F.col("b.signature")
-    both = near.where(F.col("a.ring").isNotNull() & F.col("b.ring").isNotNull())
+    both = near.where(F.col("a.shape").isNotNull() & F.col("b.shape").isNotNull())
     spots = both.where(points & ((gap <= CASE_M) | same_text))
     boxes = F.col("a.is_box") & F.col("b.is_box")
-    other = G.overlap_area(F.when(~boxes, F.col("a.ring")), F.when(~boxes, F.col("b.ring")))
+    other = G.overlap_area(F.when(~boxes, F.col("a.shape")), F.when(~boxes, F.col("b.shape")))
     shapes = both.where(~points).withColumn("shared", F.when(boxes, G.box_overlap(F.col("a.box"), F.col("b.box"))).otherwise(other))
-    shapes = shapes.where((F.col("shared") > 0) & ((F.col("shared") >= 0.5 * F.least(G.area(F.col("a.ring")), G.area(F.col("b.ring")))) | same_text)).drop("shared")
-    bare = near.where((F.col("a.ring").isNull() | F.col("b.ring").isNull()) & same_text)
+    shapes = shapes.where((F.col("shared") > 0) & ((F.col("shared") >= 0.5 * F.least(G.area(F.col("a.shape")), G.area(F.col("b.shape")))) | same_text)).drop("shared")
+    bare = near.where((F.col("a.shape").isNull() | F.col("b.shape").isNull()) & same_text)
     columns = [F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("stronger_id"), F.col("b.priority").alias("p"), F.col("b.valid_date").alias("v"), F.col("b.external_ref").alias("x")]
     found = spots.select(*columns).unionByName(shapes.select(*columns)).unionByName(bare.select(*columns))
     return latest_per_key(found, ["case_id"], F.desc("p"), F.asc_nulls_last("v"), F.asc("x")).select("case_id", "stronger_id")
@@ -232,7 +235,7 @@ def stronger_cases(weaker: DataFrame, stronger: DataFrame) -> DataFrame:
 def label_cases(applications: DataFrame) -> DataFrame:
     """case_id, label_class, stronger_id and first_decision_date of applications.
 
-    Columns: case_id, external_ref, priority, borough_id, units, route, decision, decision_type, status, use, valid_date, decision_date, description, ring.
+    Columns: case_id, external_ref, priority, borough_id, units, route, decision, decision_type, status, use, valid_date, decision_date, description, shape.
     Only cases of a strictly higher priority that are already positive or negative make another one a duplicate, so priorities are labelled
     from the highest down, one join for each.
     """
@@ -241,15 +244,20 @@ def label_cases(applications: DataFrame) -> DataFrame:
         "normalized": normalized_decision(F.col("decision"), F.col("status")), "irrelevant": irrelevance(F.col("route"), F.col("decision_type"), F.col("use")),
     })
     label = lambda duplicate: case_class(duplicate, F.col("irrelevant"), F.col("template"), F.col("normalized"), F.col("valid_date"), F.col("decision_date"), F.col("status"))
-    priorities = [r[0] for r in cases.select("priority").distinct().orderBy(F.desc("priority")).limit(64).collect()]  # a handful of source kinds
-    done = None
-    for priority in priorities:
-        level = cases.where(F.col("priority") == priority)
+    cases = written(cases, "cases")
+    done, priority = None, cases.agg(F.max("priority")).first()[0]
+    while True:  # a round for each kind of source; cases without a priority come last
+        level = cases.where(F.col("priority").eqNullSafe(F.lit(priority)))
         if done is None:
             found = level.withColumn("stronger_id", F.lit(None).cast(level.schema["case_id"].dataType))
         else:
             known = stronger_cases(level, done.where(F.col("label_class").isin("POSITIVE", "NEGATIVE")))
             found = level.join(known, "case_id", "left")
         labelled = found.withColumn("label_class", label(F.col("stronger_id").isNotNull()))
-        done = written(labelled if done is None else done.unionByName(labelled), "labels")
+        before, done = done, written(labelled if done is None else done.unionByName(labelled), "labels")
+        if before is not None:
+            superseded(before)
+        if priority is None:
+            break
+        priority = cases.where(F.col("priority") < priority).agg(F.max("priority")).first()[0]
     return done.select("case_id", "label_class", "stronger_id", F.col("decision_date").alias("first_decision_date"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .ranges import running
 
 #: Schedules of the two fits, readiness, and distances beyond which a case is unlike training.
 FIT = {"steps": 2400, "rate": 0.18, "cut": 0.55, "at": (800, 1600), "l2": 0.04}
@@ -151,11 +152,12 @@ def calibration(rows: DataFrame, p: str = "probability", y: str = "label") -> Da
 
 
 def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at place round((n - 1) share) of the sorted values, halves to the even place: a row number on a total order."""
-    n = rows.where(F.col(value).isNotNull()).agg(F.count("*")).scalar()
+    """The value at place round((n - 1) share) of the sorted values, halves to the even place: from counts of the values before."""
     spread = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("times"))
-    upto = spread.withColumn("upto", F.sum("times").over(Window.orderBy(value)))
-    return upto.where(F.col("upto") > F.bround((n - 1) * F.lit(share), 0)).agg(F.min(value).alias("percentile"))
+    different, n = spread.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    before = running(spread, [F.col(value)], {"before": F.col("times")}, different)
+    place = F.bround((F.lit(n) - 1) * F.lit(share), 0)
+    return before.where(F.col("before") + F.col("times") > place).agg(F.min(value).alias("percentile"))
 
 
 def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vector: str = "vector", block: int = 5_000) -> DataFrame:

@@ -17,27 +17,27 @@ def within_authorities(listings: DataFrame, boundaries: DataFrame, required: lis
     """
     wanted = boundaries.where(F.col("lpa_id").isin(*required))
     missing = len(set(required)) - wanted.select("lpa_id").distinct().count()
-    points = listings.where("spot is not null").select("listing_id", F.array("spot").alias("ring"))
+    points = listings.where("spot is not null").select("listing_id", G.point_shape(F.col("spot")).alias("shape"))
     pairs = G.near_pairs(points, wanted, "listing_id", "lpa_id", 0.001)
-    hits = pairs.where(G.contains(F.col("right_ring"), F.get("left_ring", F.lit(0)))).select(F.col("left_id").alias("listing_id")).distinct().withColumn("__in", F.lit(True))
+    hits = pairs.where(G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))).select(F.col("left_id").alias("listing_id")).distinct().withColumn("__in", F.lit(True))
     joined = listings.join(hits, "listing_id", "left")
     reason = N.first_that_holds([(F.lit(missing > 0), "BOUNDARY_MISSING"), (F.col("spot").isNull(), "NO_COORDINATES"), (F.col("__in").isNull(), "OUTSIDE_AUTHORITIES")], None)
     return joined.withColumn("reason", reason).withColumn("passes", F.col("reason").isNull()).drop("__in")
 
 
 def build(clusters: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """site_id, ring, source_type, geometry_hash, area_sqm, geom_confidence, status, borough_id and crossing of clusters.
+    """site_id, shape, source_type, geometry_hash, area_sqm, geom_confidence, status, borough_id and crossing of clusters.
 
-    clusters: site_id, polygon, box, official, titles (rings or null) and spot. Clusters without any geometry give no site.
+    clusters: site_id, polygon, box, official, titles (shapes or null) and spot. Clusters without any geometry give no site.
     """
     chosen = planning.cluster_geometry(*(F.col(c) for c in ("polygon", "box", "official", "titles", "spot")))
-    sites = clusters.withColumn("g", chosen).where("g is not null").select("site_id", "g.ring", "g.source_type")
-    sites = sites.withColumns({"geometry_hash": G.geometry_hash(F.col("ring")), "area_sqm": G.area(F.col("ring")), "geom_confidence": G.confidence(F.col("source_type"), F.col("ring"))})
+    sites = clusters.withColumn("g", chosen).where("g is not null").select("site_id", "g.shape", "g.source_type")
+    sites = sites.withColumns({"geometry_hash": G.geometry_hash(F.col("shape")), "area_sqm": G.area(F.col("shape")), "geom_confidence": G.confidence(F.col("source_type"), F.col("shape"))})
     pairs = G.near_pairs(sites, boundaries, "site_id", "lpa_id", 0.001, cell=5_000.0)
     names = boundaries.select(F.col("lpa_id").alias("right_id"), F.col("name").alias("lpa_name"))
     shares = pairs.withColumn("sqm", G.pair_overlap()).join(names, "right_id")
-    shares = shares.where((F.col("sqm") > 0) | (G.is_point(F.col("left_ring")) & G.contains(F.col("right_ring"), F.get("left_ring", F.lit(0)))))
-    found = shares.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), "lpa_name", "sqm", F.coalesce(F.try_divide(F.col("sqm"), G.area(F.col("left_ring"))), F.lit(0.0)).alias("pct"))
+    shares = shares.where((F.col("sqm") > 0) | (G.is_point(F.col("left_shape")) & G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))))
+    found = shares.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), "lpa_name", "sqm", F.coalesce(F.try_divide(F.col("sqm"), G.area(F.col("left_shape"))), F.lit(0.0)).alias("pct"))
     links = planning.lpa_shares(found).where("is_primary").select("site_id", "borough_id", "crossing")
     out = sites.join(links, "site_id", "left")
     return out.withColumn("status", G.site_status(F.col("geom_confidence"), F.coalesce(F.col("crossing") == "MATERIAL", F.lit(False))))

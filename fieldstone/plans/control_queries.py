@@ -75,7 +75,7 @@ def authority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(key.alias("listing_id"), spot.alias("spot"))
     n = F.col("n_nationkey")
     x, y = n % 5 * 500.0 + 0.5, F.floor(n / 5) * 300.0 + 0.5
-    lpas = table(spark, sf_dir, "nation").select(n.cast("string").alias("lpa_id"), G.box_ring(x, y, x + 500, y + 300).alias("ring"))
+    lpas = table(spark, sf_dir, "nation").select(n.cast("string").alias("lpa_id"), G.box_shape(x, y, x + 500, y + 300).alias("shape"))
     return sites.within_authorities(rows, lpas, ["3", "7", "12"]).select("listing_id", "reason")
 
 
@@ -99,7 +99,7 @@ def site_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS site_id, CAST(p_size * 4 AS DOUBLE) AS perimeter, floor(CAST(p_size * p_size AS DOUBLE) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS area, CASE WHEN p_size > 0 THEN 0.785398::DOUBLE END AS compactness FROM part""")
 def geometry_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, w = F.col("p_partkey"), F.col("p_size").cast("double")
-    rows = table(spark, sf_dir, "part").select(key.alias("site_id"), G.box_ring(F.lit(0), F.lit(0), w, w).alias("ring"))
+    rows = table(spark, sf_dir, "part").select(key.alias("site_id"), G.box_shape(F.lit(0), F.lit(0), w, w).alias("shape"))
     return features.geometry_features(rows).select("site_id", F.col("site_perimeter_m").alias("perimeter"), F.col("site_area_sqm").alias("area"), F.col("site_compactness").alias("compactness"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import control, health, latest, ranking, scoring
+from ..operators import control, health, latest, listings, ranking, scoring
 from .registry import query, table
 
 TODAY = "1998-06-01"
@@ -240,7 +240,7 @@ def snapshot_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.agg(F.count("*").alias("blob_count"), F.countDistinct("content_hash").alias("hash_count"))
 
 
-@query("""SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at, max(CASE WHEN n = 1 THEN value END) AS value FROM r GROUP BY 1, 2""")
 def merged_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.max_by("value", "event_id").alias("value"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return listings.merge_observations(rows, ("user_id", "event_type"), at="ts", tie="event_id").drop("event_id")

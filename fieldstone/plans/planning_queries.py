@@ -36,7 +36,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("case_id"), key.cast("string").alias("external_ref"), F.when(key % 2 == 0, 100).otherwise(50).alias("priority"), (F.col("o_custkey") % 25).cast("int").alias("borough_id"), units.alias("units"),
         F.when(units >= 10, "OUTLINE").otherwise("FULL").alias("route"), decision.alias("decision"), F.when(key % 11 == 0, "COMMERCIAL").otherwise("FULL_RESIDENTIAL").alias("decision_type"),
         F.when(key % 13 == 0, "WITHDRAWN").otherwise("PENDING").alias("status"), F.lit(None).cast("string").alias("use"), F.col("o_orderdate").cast("date").alias("valid_date"),
-        F.date_add(F.col("o_orderdate").cast("date"), (key % 900).cast("int")).alias("decision_date"), F.concat(F.lit("scheme "), key.cast("string")).alias("description"), G.box_ring(x, y, x + 20, y + 20).alias("ring"),
+        F.date_add(F.col("o_orderdate").cast("date"), (key % 900).cast("int")).alias("decision_date"), F.concat(F.lit("scheme "), key.cast("string")).alias("description"), G.box_shape(x, y, x + 20, y + 20).alias("shape"),
     )
 
 
@@ -92,9 +92,9 @@ def nearby_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as decided cases around suppliers as ten-metre sites, in three distance bands."""
     day = F.lit("2000-01-01").cast("date")
     x, y = (F.col("s_suppkey") % 40 * 200).cast("double"), (F.col("s_suppkey") % 30 * 100).cast("double")
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), G.box_ring(x, y, x + 10, y + 10).alias("ring"), day.alias("as_of"), F.lit("t").alias("template"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), G.box_shape(x, y, x + 10, y + 10).alias("shape"), day.alias("as_of"), F.lit("t").alias("template"))
     key = F.col("c_custkey")
-    near = table(spark, sf_dir, "customer").select(key.alias("case_id"), F.array(G.point(key % 400 * 20, key % 290 * 10)).alias("ring"), F.when(key % 3 == 0, "POSITIVE").when(key % 3 == 1, "NEGATIVE").otherwise("CENSORED").alias("label_class"), F.lit("t").alias("template"), day.alias("decision_date"))
+    near = table(spark, sf_dir, "customer").select(key.alias("case_id"), G.point_shape(G.point(key % 400 * 20, key % 290 * 10)).alias("shape"), F.when(key % 3 == 0, "POSITIVE").when(key % 3 == 1, "NEGATIVE").otherwise("CENSORED").alias("label_class"), F.lit("t").alias("template"), day.alias("decision_date"))
     found = features.nearby_history(own, near)
     return found.select("site_id", *(f"{name}_{word}_{lo}_{hi}m" for name, (lo, hi) in features.BANDS.items() for word in ("approved", "refused")))
 
@@ -109,12 +109,12 @@ def lpa_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as square sites over suppliers as rectangular authorities."""
     key = F.col("p_partkey")
     x, y, w = key % 50 * 100.0, key % 40 * 100.0, F.col("p_size").cast("double") * 4
-    own = table(spark, sf_dir, "part").select(key.alias("site_id"), G.box_ring(x, y, x + w, y + w).alias("ring"))
+    own = table(spark, sf_dir, "part").select(key.alias("site_id"), G.box_shape(x, y, x + w, y + w).alias("shape"))
     s = F.col("s_suppkey")
     lx, ly = s % 20 * 250.0, F.floor(s / 20) % 20 * 200.0
-    lpas = table(spark, sf_dir, "supplier").select(s.alias("lpa_id"), G.box_ring(lx, ly, lx + 250, ly + 200).alias("ring"))
+    lpas = table(spark, sf_dir, "supplier").select(s.alias("lpa_id"), G.box_shape(lx, ly, lx + 250, ly + 200).alias("shape"))
     pairs = G.near_pairs(own, lpas, "site_id", "lpa_id", 0.0, cell=250.0)
-    found = pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), F.col("right_id").cast("string").alias("lpa_name"), G.pair_overlap().alias("sqm"), G.area(F.col("left_ring")).alias("area"))
+    found = pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), F.col("right_id").cast("string").alias("lpa_name"), G.pair_overlap().alias("sqm"), G.area(F.col("left_shape")).alias("area"))
     shares = planning.lpa_shares(found.where("sqm > 0").withColumn("pct", F.col("sqm") / F.col("area")))
     return shares.select("site_id", "lpa_id", N.round_half_up(F.col("sqm"), 2).alias("sqm"), "is_primary", "crossing", "borough_id")
 
@@ -178,12 +178,13 @@ def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.normalize_url(url).alias("url"))
 
 
-@query("""WITH p AS (SELECT page_id, html FROM pages), t AS (SELECT page_id, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS h1 FROM p),
-c AS (SELECT page_id, nullif(trim(regexp_replace(regexp_replace(h1, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS h1, nullif(trim(regexp_replace(regexp_replace(title, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title FROM t)
-SELECT page_id, coalesce(h1, title) AS headline FROM c WHERE coalesce(h1, title) NOT LIKE '%&%'""")
+PLAIN_SQL = "nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&pound;', '£'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS h1 FROM pages)
+SELECT page_id, coalesce({PLAIN_SQL.format("h1")}, {PLAIN_SQL.format("title")}) AS headline FROM t""")
 def html_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", H.headline(F.col("html")).alias("headline"))
-    return found.where(~F.col("headline").contains("&"))
+    return table(spark, sf_dir, "pages").select("page_id", H.headline(F.col("html")).alias("headline"))
 
 
 @query("""WITH a AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>')) AS anchor FROM pages) SELECT url, count(*) AS link_count FROM a GROUP BY 1""")

@@ -28,12 +28,19 @@ def coverage_rows(spark: SparkSession, path: str) -> DataFrame:
     return documents(spark, path).select("path", F.explode(F.from_json(listed, COVERAGE)).alias("row")).select("path", "row.*")
 
 
-def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """GeoJSON features: properties (DDL fields) and ring, from polygons and points."""
-    item = "array<string>"
-    each = documents(spark, path).select("path", "content_hash", F.posexplode(F.from_json(F.get_json_object("value", "$.features"), item)).alias("position", "feature"))
+def features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """GeoJSON features: properties (DDL fields) and shape (repaired), from polygons of any number of parts and holes, and points.
+
+    lines: for layers of any size that have each feature in a line of its own; content_hash is then the feature's, and position its place in the reading.
+    """
+    if lines:
+        text = F.regexp_replace(F.trim("value"), ",$", "")
+        each = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), text.alias("feature")).where(F.get_json_object("feature", "$.type") == "Feature")
+        each = each.select("path", F.sha2("feature", 256).alias("content_hash"), F.monotonically_increasing_id().alias("position"), "feature")
+    else:
+        each = documents(spark, path).select("path", "content_hash", F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("position", "feature"))
     inner = F.from_json(F.get_json_object("feature", "$.properties"), properties)
-    return each.select("path", "content_hash", "position", inner.alias("p"), G.ring_from_geojson(F.get_json_object("feature", "$.geometry")).alias("ring")).select("path", "content_hash", "position", "p.*", "ring")
+    return each.select("path", "content_hash", "position", inner.alias("p"), G.repaired(G.shape_from_geojson(F.get_json_object("feature", "$.geometry"))).alias("shape")).select("path", "content_hash", "position", "p.*", "shape")
 
 
 def boundary_id(borough_id: Column, lpa_id: Column, slug: Column, name: Column, gss_code: Column, feature_id: Column, geometry: Column) -> Column:
@@ -41,14 +48,16 @@ def boundary_id(borough_id: Column, lpa_id: Column, slug: Column, name: Column,
     return F.coalesce(*(T.filled(F.trim(c)) for c in (borough_id, lpa_id, slug)), T.slug(name), T.filled(gss_code), T.filled(feature_id), F.concat(F.lit("lpa_"), F.substring(F.sha2(geometry, 256), 1, 12)))
 
 
-def delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A table with a header; names trimmed and in lower case, all values text."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def delimited(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """A table with a header; names trimmed and in lower case, all values text. line_breaks: values may hold some, so each file is one task."""
+    rows = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"')
     return rows.toDF(*[c.strip().lower() for c in rows.columns])
 
 
 def feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of a feed: csv, or json as an array or under rows, items or results."""
+    """Rows of a feed: csv, json as an array or under rows, items or results, or jsonl with one object in a line, which may be of any size."""
+    if kind == "jsonl":
+        return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"), F.from_json("value", "map<string,string>").alias("row")).where("row is not null")
     if kind == "csv":
         return delimited(spark, path)
     if kind != "json":
@@ -72,10 +81,15 @@ def sales(rows: DataFrame) -> DataFrame:
 
 
 def polygons_with_point(spark: SparkSession, path: str, row_tag: str, positions: str, x: float, y: float) -> DataFrame:
-    """GML rows whose ring holds a point: boxes first, then the ring. positions names the field of 'x y x y ...' texts."""
+    """GML rows whose shape holds a point: boxes first, then the shape. positions names the field of 'x y x y ...' texts."""
     rows = spark.read.format("xml").option("rowTag", row_tag).load(path)
     numbers = F.transform(F.split(F.trim(F.col(positions)), r"\s+"), lambda v: v.try_cast("double"))
     at = F.sequence(F.lit(0), (F.size(numbers) / 2 - 1).cast("int"))
-    ringed = rows.withColumn("ring", F.transform(at, lambda i: G.point(F.get(numbers, i * 2), F.get(numbers, i * 2 + 1)))).withColumn("box", G.bounds(F.col("ring")))
+    ringed = rows.withColumn("shape", F.array(F.transform(at, lambda i: G.point(F.get(numbers, i * 2), F.get(numbers, i * 2 + 1))))).withColumn("box", G.bounds(F.col("shape")))
     near = ringed.where(F.lit(x).between(F.col("box.minx"), F.col("box.maxx")) & F.lit(y).between(F.col("box.miny"), F.col("box.maxy")))
-    return near.where(G.contains(F.col("ring"), G.point(F.lit(x), F.lit(y)))).drop("box")
+    return near.where(G.contains(F.col("shape"), G.point(F.lit(x), F.lit(y)))).drop("box")
+
+
+def union_with_point(spark: SparkSession, path: str, row_tag: str, positions: str, x: float, y: float) -> DataFrame:
+    """The union of all polygons_with_point(), one row; none without hits."""
+    return G.union_shapes(polygons_with_point(spark, path, row_tag, positions, x, y).withColumn("everything", F.lit(1)), "everything").select("shape")

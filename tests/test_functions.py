@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import json
 import math
 import random
 import uuid
@@ -12,6 +13,7 @@ from fieldstone.functions import geo as G
 from fieldstone.functions import html as H
 from fieldstone.functions import numeric as N
 from fieldstone.functions import text as T
+from fieldstone.functions.shapes import dissolve, overlaps
 
 
 def one(spark, value, column, kind="string"):
@@ -86,24 +88,24 @@ def test_html(spark):
     assert one(spark, "<urlset><url><loc> http://a/1 </loc></url><url><loc>http://a/2?x=1&amp;y=2</loc></url></urlset>", H.sitemap_urls) == ["http://a/1", "http://a/2?x=1&y=2"]
 
 
-def shape(*corners):
+def ring(*corners):
     return [{"x": float(x), "y": float(y)} for x, y in corners]
 
 
-def ring_row(spark, ring, column):
-    return one(spark, ring, column, G.RING)
+def ring_row(spark, corners, column):
+    return one(spark, [corners], column, G.SHAPE)
 
 
 def test_measures(spark):
-    square = shape((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))
+    square = ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))
     assert ring_row(spark, square, G.area) == 100 and ring_row(spark, square[::-1], G.area) == 100 and ring_row(spark, square, G.perimeter) == 40
-    assert ring_row(spark, square, G.compactness) == pytest.approx(math.pi / 4) and ring_row(spark, shape((1, 1)), G.area) == 0
+    assert ring_row(spark, square, G.compactness) == pytest.approx(math.pi / 4) and ring_row(spark, ring((1, 1)), G.area) == 0
     assert ring_row(spark, square, G.geometry_hash) == ring_row(spark, square[2:-1][::-1] + square[:2][::-1], G.geometry_hash)
     for p, inside, distance in (((5, 5), True, 0), ((15, 5), False, 5), ((13, 14), False, 5), ((-3, 5), False, 3)):
         at = G.point(F.lit(p[0]), F.lit(p[1]))
         assert ring_row(spark, square, lambda r: G.contains(r, at)) == inside and ring_row(spark, square, lambda r: G.distance_to(r, at)) == pytest.approx(distance)
-    assert one(spark, "POLYGON ((0 0, 10 0, 10 10, 0 0))", lambda c: G.area(G.ring_from_wkt(c))) == 50 and one(spark, "LINESTRING (0 0, 1 1)", G.ring_from_wkt) is None
-    assert one(spark, '{"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]]]}', lambda c: G.area(G.ring_from_geojson(c))) == 8
+    assert one(spark, "POLYGON ((0 0, 10 0, 10 10, 0 0))", lambda c: G.area(G.shape_from_wkt(c))) == 50 and one(spark, "LINESTRING (0 0, 1 1)", G.shape_from_wkt) is None
+    assert one(spark, '{"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]]]}', lambda c: G.area(G.shape_from_geojson(c))) == 8
 
 
 def test_overlap_of_simple_polygons():
@@ -111,11 +113,11 @@ def test_overlap_of_simple_polygons():
 
     def star(cx, cy):
         """A simple polygon that need not be convex."""
-        return shape(*((cx + chance.uniform(2, 9) * math.cos(a), cy + chance.uniform(2, 9) * math.sin(a)) for a in (2 * math.pi * i / 9 for i in range(9))))
+        return ring(*((cx + chance.uniform(2, 9) * math.cos(a), cy + chance.uniform(2, 9) * math.sin(a)) for a in (2 * math.pi * i / 9 for i in range(9))))
 
-    def inside(ring, x, y):
+    def inside(corners, x, y):
         hit = np.zeros(x.shape, bool)
-        for a, b in zip(ring, ring[1:] + ring[:1]):
+        for a, b in zip(corners, corners[1:] + corners[:1]):
             cross = (a["y"] > y) != (b["y"] > y)
             if a["y"] != b["y"]:
                 hit ^= cross & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
@@ -123,11 +125,57 @@ def test_overlap_of_simple_polygons():
 
     step = 0.02
     x, y = np.meshgrid(np.arange(-10, 20, step), np.arange(-10, 20, step))
+    shared = lambda a, b: overlaps([G.corners([a])], [G.corners([b])])[0]
     for _ in range(12):
         a, b = star(0, 0), star(chance.uniform(-6, 6), chance.uniform(-6, 6))
-        assert G.polygon_overlap(a, b) == pytest.approx((inside(a, x, y) & inside(b, x, y)).sum() * step**2, abs=0.4)
-    square = shape((0, 0), (10, 0), (10, 10), (0, 10))
-    assert G.polygon_overlap(square, shape((5, 5), (15, 5), (15, 15), (5, 15))) == pytest.approx(25) and G.polygon_overlap(square, shape((10, 0), (20, 0), (20, 9))) == 0
+        assert shared(a, b) == pytest.approx((inside(a, x, y) & inside(b, x, y)).sum() * step**2, abs=0.4)
+    square = ring((0, 0), (10, 0), (10, 10), (0, 10))
+    assert shared(square, ring((5, 5), (15, 5), (15, 15), (5, 15))) == pytest.approx(25) and shared(square, ring((10, 0), (20, 0), (20, 9))) == 0
+
+
+def test_shapes_of_several_rings(spark):
+    """Parts and holes from text: nothing of them is lost."""
+    wkt = ["POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", "MULTIPOLYGON (((0 0, 0 10, 10 10, 10 0, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2)), ((20 0, 30 0, 30 10, 20 0)))",
+           "GEOMETRYCOLLECTION (POINT (1 1), POLYGON Z ((0 0 5, 4 0 5, 4 4 5, 0 0 5)), LINESTRING (0 0, 9 9), MULTIPOINT ((1 1), (2 2)))", "POINT Z (3 4 9)", "POLYGON EMPTY", "LINESTRING (0 0, 1 1)", "POLYGON ((0 0, x 1, 2 2, 0 0))", None]
+    rows = spark.createDataFrame([(w,) for w in wkt], "w string").select(G.shape_from_wkt(F.col("w")).alias("s")).select("s", G.area(F.col("s")).alias("area"), G.perimeter(F.col("s")).alias("perimeter"), G.contains(F.col("s"), G.point(F.lit(3), F.lit(3))).alias("holds")).collect()
+    assert [r.s is None for r in rows] == [False] * 4 + [True] * 4
+    assert [r.area for r in rows[:4]] == [96, 146, 8, 0] and [r.holds for r in rows[:4]] == [False, False, True, False] and rows[0].perimeter == 48
+    assert [len(r.s) for r in rows[:4]] == [2, 3, 1, 1] and rows[3].s[0][0].x == 3
+    square, hole = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], [[2, 2], [4, 2], [4, 4], [2, 4], [2, 2]]
+    geo = [{"type": "Polygon", "coordinates": [square, hole]}, {"type": "MultiPolygon", "coordinates": [[square, hole], [[[20, 0], [30, 0], [30, 10], [20, 0]]]]},
+           {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 1]}, {"type": "Polygon", "coordinates": [hole]}]}, {"type": "Point", "coordinates": [1, 2]}, {"type": "Polygon", "coordinates": []}]
+    rows = spark.createDataFrame([(json.dumps(g),) for g in geo], "g string").select(G.shape_from_geojson(F.col("g")).alias("s")).select("s", G.area(F.col("s")).alias("area"), G.distance_to(F.col("s"), G.point(F.lit(3), F.lit(3))).alias("gap")).collect()
+    assert [r.area for r in rows[:4]] == [96, 146, 4, 0] and [r.gap for r in rows[:3]] == [1, 1, 0] and rows[4].s is None
+    same = "MULTIPOLYGON (((20 0, 30 0, 30 10, 20 0)), ((0 10, 10 10, 10 0, 0 0, 0 10), (2 4, 2 2, 4 2, 4 4, 2 4)))"
+    assert one(spark, same, lambda c: G.geometry_hash(G.shape_from_wkt(c))) == one(spark, wkt[1], lambda c: G.geometry_hash(G.shape_from_wkt(c)))
+
+
+def test_repair_and_union(spark):
+    area = lambda text: one(spark, text, lambda c: G.area(G.repaired(G.shape_from_wkt(c))))
+    assert area("POLYGON ((0 0, 10 10, 10 0, 0 10, 0 0))") == 50 and area("MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0)), ((5 5, 15 5, 15 15, 5 15, 5 5)))") == 175
+    assert area("POLYGON ((0 0, 5 0, 9 0, 0 0))") is None and one(spark, "POINT (1 1)", lambda c: F.size(G.repaired(G.shape_from_wkt(c)))) == 1
+    rows = [("a", f"POLYGON (({x} 0, {x + 10} 0, {x + 10} 10, {x} 10, {x} 0))") for x in (0, 10, 20, 25)] + [("a", "POINT (99 9)"), ("b", "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"), ("b", "POLYGON ((20 0, 30 10, 30 0, 20 10, 20 0))"), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, w string").select("k", G.shape_from_wkt(F.col("w")).alias("shape"))
+    got = {r.k: (r.area, r.rings) for r in G.union_shapes(df, "k").select("k", G.area(F.col("shape")).alias("area"), F.size("shape").alias("rings")).collect()}
+    assert got == {"a": (350, 1), "b": (pytest.approx(122), 4)}
+
+
+def test_union_and_overlap_add_up():
+    """Area of either is area of both less what they share, for shapes with holes."""
+    chance = random.Random(6)
+    size = lambda rings: sum(float(r[:, 0] @ np.roll(r[:, 1], -1) - r[:, 1] @ np.roll(r[:, 0], -1)) / 2 for r in rings)
+
+    def star(cx, cy, n=9, least=4, most=9):
+        return np.array([(cx + r * math.cos(a), cy + r * math.sin(a)) for a, r in ((2 * math.pi * i / n, chance.uniform(least, most)) for i in range(n))])
+
+    for _ in range(100):
+        x, y = chance.uniform(-6, 6), chance.uniform(-6, 6)
+        a, b = [star(0, 0), star(0, 0, 5, 1, 2)[::-1]], [star(x, y), star(x, y, 4, 1, 2)[::-1]]
+        whole = dissolve([*a, *b])
+        assert size(whole) <= size(a) + size(b) + 1e-6
+        outer = dissolve([a[0], b[0]])
+        assert size(outer) == pytest.approx(size(a[:1]) + size(b[:1]) - overlaps([a[:1]], [b[:1]])[0], abs=1e-3)
+        assert overlaps([a], [b])[0] == pytest.approx(overlaps([b], [a])[0], abs=1e-6) and overlaps([a], [a])[0] == pytest.approx(size(a), abs=1e-6)
 
 
 def test_grid_of_a_known_place(spark):
@@ -138,8 +186,8 @@ def test_grid_of_a_known_place(spark):
 
 def test_near_pairs_are_complete_and_single(spark):
     chance = random.Random(9)
-    boxes = [(i, shape((x, y), (x + w, y), (x + w, y + w), (x, y + w))) for i in range(120) for x, y, w in [(chance.uniform(-500, 500), chance.uniform(-500, 500), chance.choice([1, 30, 200]))]]
-    df = spark.createDataFrame(boxes, f"id int, ring {G.RING}")
+    boxes = [(i, [ring((x, y), (x + w, y), (x + w, y + w), (x, y + w))]) for i in range(120) for x, y, w in [(chance.uniform(-500, 500), chance.uniform(-500, 500), chance.choice([1, 30, 200]))]]
+    df = spark.createDataFrame(boxes, f"id int, shape {G.SHAPE}")
     got = sorted((r.left_id, r.right_id) for r in G.near_pairs(df, df, "id", "id", 20.0, cell=50.0).collect())
-    gap = lambda a, b: max(max(min(p[k] for p in b) - max(p[k] for p in a), min(p[k] for p in a) - max(p[k] for p in b)) for k in "xy")
+    gap = lambda a, b: max(max(min(p[k] for p in b[0]) - max(p[k] for p in a[0]), min(p[k] for p in a[0]) - max(p[k] for p in b[0])) for k in "xy")
     assert got == sorted((i, j) for i, a in boxes for j, b in boxes if gap(a, b) <= 20)

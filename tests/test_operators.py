@@ -20,11 +20,11 @@ def days(n):
 
 def ring(x, y, w, h=None):
     h = h or w
-    return [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    return [[{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]]
 
 
 def spot(x, y):
-    return [{"x": float(x), "y": float(y)}]
+    return [[{"x": float(x), "y": float(y)}]]
 
 
 def test_as_of_joins_agree(spark):
@@ -89,7 +89,7 @@ def test_json_sources(spark, tmp_path):
     geo = {"features": [{"properties": {"name": "A"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 0]]]}}, {"properties": {"name": "B"}, "geometry": {"type": "Point", "coordinates": [1, 1]}}]}
     (tmp_path / "g.json").write_text(json.dumps(geo))
     rows = readers.features(spark, str(tmp_path / "g.json"), "name string").orderBy("position").collect()
-    assert [(r.name, len(r.ring)) for r in rows] == [("A", 4), ("B", 1)]
+    assert [(r.name, [len(x) for x in r.shape]) for r in rows] == [("A", [3]), ("B", [1])]
     for i, text in enumerate(('[{"a": "1"}]', '{"items": [{"a": "1"}]}')):
         (tmp_path / f"f{i}.json").write_text(text)
         assert readers.feed(spark, str(tmp_path / f"f{i}.json"), "json").first().row == {"a": "1"}
@@ -103,9 +103,9 @@ def test_gml_rows_that_hold_a_point(spark, tmp_path):
 
 
 def test_spatial_matches(spark):
-    own = spark.createDataFrame([("s", ring(0, 0, 10))], f"site_id string, ring {G.RING}")
-    others = [("in", ring(5, 5, 10)), ("touch", ring(10, 0, 5)), ("far", ring(100, 0, 5)), ("point", spot(3, 3)), ("near", spot(40, 5)), ("off", spot(80, 5)), ("triangle", [*spot(0, 0), *spot(10, 0), *spot(0, 10)])]
-    got = planning.spatial_matches(own, spark.createDataFrame(others, f"feature_id string, ring {G.RING}"), 50.0)
+    own = spark.createDataFrame([("s", ring(0, 0, 10))], f"site_id string, shape {G.SHAPE}")
+    others = [("in", ring(5, 5, 10)), ("touch", ring(10, 0, 5)), ("far", ring(100, 0, 5)), ("point", spot(3, 3)), ("near", spot(40, 5)), ("off", spot(80, 5)), ("triangle", [[*spot(0, 0)[0], *spot(10, 0)[0], *spot(0, 10)[0]]])]
+    got = planning.spatial_matches(own, spark.createDataFrame(others, f"feature_id string, shape {G.SHAPE}"), 50.0)
     rows = {r.feature_id: (r.link_type, round(r.overlap_sqm, 6), round(r.overlap_pct, 6), r.distance_m) for r in got.collect()}
     assert rows == {
         "in": ("POLYGON_INTERSECTS", 25, 0.25, 0), "touch": ("POLYGON_INTERSECTS", 0, 0, 0), "point": ("POINT_WITHIN_SITE", 0, 0, 0), "near": ("POINT_NEAR_SITE", 0, 0, 30), "triangle": ("POLYGON_INTERSECTS", 50, 0.5, 0),
@@ -114,7 +114,7 @@ def test_spatial_matches(spark):
 
 def test_title_candidates(spark):
     s = spark.createDataFrame([(1, "12 high street camden", None), (2, "flat 3 12 high street camden london", None), (3, None, {"x": 5.0, "y": 5.0}), (4, "7 elm road", None)], "site_id int, address string, spot struct<x:double,y:double>")
-    t = spark.createDataFrame([("A", "12 high street camden", ring(0, 0, 10)), ("B", "12 high street", ring(50, 50, 10))], f"title_number string, address string, ring {G.RING}")
+    t = spark.createDataFrame([("A", "12 high street camden", ring(0, 0, 10)), ("B", "12 high street", ring(50, 50, 10))], f"title_number string, address string, shape {G.SHAPE}")
     got = {(r.site_id, r.title_number): r.score for r in planning.title_candidates(s, t).collect()}
     assert got == {(1, "A"): 0.95, (1, "B"): 0.8, (2, "A"): 0.8, (2, "B"): 0.8, (3, "A"): 1.0}
 
@@ -127,12 +127,12 @@ def test_decisions(spark, decision, status, want):
 def test_labels_of_duplicates_by_priority(spark):
     base = dict(borough_id="b", units=3, route="FULL", decision="Approved", decision_type="FULL_RESIDENTIAL", status="DONE", use=None, description="three flats", valid_date=DAY, decision_date=days(100))
     rows = [
-        base | dict(case_id=1, priority=100, ring=ring(0, 0, 10)), base | dict(case_id=2, priority=50, valid_date=days(45), ring=ring(2, 0, 10)), base | dict(case_id=3, priority=50, valid_date=days(46), ring=ring(0, 0, 10)),
-        base | dict(case_id=4, priority=50, ring=ring(40, 0, 10)), base | dict(case_id=5, priority=50, ring=spot(30, 5), description="other"), base | dict(case_id=6, priority=50, ring=spot(500, 5)),
-        base | dict(case_id=7, priority=100, decision_date=days(700), ring=ring(0, 100, 10)), base | dict(case_id=8, priority=50, ring=ring(0, 100, 10)), base | dict(case_id=9, priority=100, decision="Refused", ring=ring(900, 0, 10)),
-        base | dict(case_id=10, priority=50, route="PRIOR_APPROVAL", ring=ring(0, 0, 10)), base | dict(case_id=11, priority=50, ring=spot(600, 600), description="none alike"),
+        base | dict(case_id=1, priority=100, shape=ring(0, 0, 10)), base | dict(case_id=2, priority=50, valid_date=days(45), shape=ring(2, 0, 10)), base | dict(case_id=3, priority=50, valid_date=days(46), shape=ring(0, 0, 10)),
+        base | dict(case_id=4, priority=50, shape=ring(40, 0, 10)), base | dict(case_id=5, priority=50, shape=spot(30, 5), description="other"), base | dict(case_id=6, priority=50, shape=spot(500, 5)),
+        base | dict(case_id=7, priority=100, decision_date=days(700), shape=ring(0, 100, 10)), base | dict(case_id=8, priority=50, shape=ring(0, 100, 10)), base | dict(case_id=9, priority=100, decision="Refused", shape=ring(900, 0, 10)),
+        base | dict(case_id=10, priority=50, route="PRIOR_APPROVAL", shape=ring(0, 0, 10)), base | dict(case_id=11, priority=50, shape=spot(600, 600), description="none alike"),
     ]
-    schema = f"case_id int, external_ref string, priority int, borough_id string, units int, route string, decision string, decision_type string, status string, use string, valid_date date, decision_date date, description string, ring {G.RING}"
+    schema = f"case_id int, external_ref string, priority int, borough_id string, units int, route string, decision string, decision_type string, status string, use string, valid_date date, decision_date date, description string, shape {G.SHAPE}"
     names = [x.strip().split()[0] for x in schema.split(", ")]
     df = spark.createDataFrame([tuple((r | dict(external_ref=str(r["case_id"])))[n] for n in names) for r in rows], schema)
     got = {r.case_id: (r.label_class, r.stronger_id) for r in planning.label_cases(df).collect()}
@@ -265,9 +265,9 @@ def test_state_logs(spark):
 
 def test_site_build(spark):
     null = None
-    schema = f"site_id string, polygon {G.RING}, box {G.RING}, official {G.RING}, titles {G.RING}, spot struct<x:double,y:double>"
+    schema = f"site_id string, polygon {G.SHAPE}, box {G.SHAPE}, official {G.SHAPE}, titles {G.SHAPE}, spot struct<x:double,y:double>"
     rows = [("a", ring(0, 0, 10), ring(0, 0, 99), null, null, null), ("b", null, null, null, null, {"x": 5.0, "y": 5.0}), ("c", ring(95, 0, 100), null, null, null, null), ("d", null, null, null, null, null)]
-    lpas = spark.createDataFrame([("l1", "One", ring(-50, -50, 150, 500)), ("l2", "Two", ring(100, -50, 150, 500))], f"lpa_id string, name string, ring {G.RING}")
+    lpas = spark.createDataFrame([("l1", "One", ring(-50, -50, 150, 500)), ("l2", "Two", ring(100, -50, 150, 500))], f"lpa_id string, name string, shape {G.SHAPE}")
     got = {r.site_id: (r.source_type, r.borough_id, r.crossing, r.status) for r in sites.build(spark.createDataFrame(rows, schema), lpas).collect()}
     assert got == {"a": ("SOURCE_POLYGON", "l1", "NONE", "ACTIVE"), "b": ("POINT_ONLY", "l1", "NONE", "INSUFFICIENT_GEOMETRY"), "c": ("SOURCE_POLYGON", None, "MATERIAL", "MANUAL_REVIEW")}
     held = spark.createDataFrame([("a", 1, "old")], "site_id string, revision int, geometry_hash string")
