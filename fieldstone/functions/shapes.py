@@ -95,8 +95,6 @@ def crossings(edges: np.ndarray) -> list[np.ndarray]:
 def repair(rings: list[np.ndarray]) -> list[np.ndarray]:
     """Rings that neither cross nor lie in others of their kind as they are, else the outline of all rings."""
     areas = np.array([x @ np.roll(y, -1) - y @ np.roll(x, -1) for x, y in (r.T for r in rings)])
-    if len(rings) == 1 and not areas[0]:
-        return []
     edges = np.concatenate([np.zeros((0, 4)), *(np.concatenate([r, np.roll(r, -1, axis=0)], axis=1) for r in rings)])
     if areas.all() and boxes_apart([r for r, a in zip(rings, areas, strict=True) if a > 0]) and boxes_apart([r for r, a in zip(rings, areas, strict=True) if a < 0]) and not any(map(len, crossings(edges))):
         return rings

@@ -165,13 +165,17 @@ def shared_key_edges(keyed: DataFrame, score: float, reason: str) -> DataFrame:
 
 
 def cluster_edges(listings: DataFrame) -> DataFrame:
-    """left_id, right_id, score and reason of accepted links: stars for shared urls and document hashes, scored pairs for addresses and places."""
+    """left_id, right_id, score and reason of accepted links: stars for shared urls, document hashes and listings that are alike in full, scored pairs for addresses and places."""
+    alike = F.struct("address", F.array_sort("words").alias("words"), "price", "lat", "lon")
+    same = listings.where("address is not null and size(words) > 0").select("id", alike.alias("key"))
+    twins = shared_key_edges(same, 0.92, "address")  # the score of equal words and places; equal prices add to it
+    singles = listings.join(twins.select(F.col("right_id").alias("id")), "id", "left_anti")
     urls = listings.where("url is not null").select("id", F.col("url").alias("key"))
     hashes = listings.select("id", F.explode(F.array_distinct("hashes")).alias("key"))
-    pairs = candidate_pairs(listings).withColumn("score", pair_score()).where(F.col("score") >= ACCEPT)
+    pairs = candidate_pairs(singles).withColumn("score", pair_score()).where(F.col("score") >= ACCEPT)
     reason = F.when(F.col("l.address") == F.col("r.address"), "address").otherwise("coordinates")
     scored = pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score", reason.alias("reason"))
-    return shared_key_edges(urls, 0.995, "url").unionByName(shared_key_edges(hashes, 0.98, "document_hash")).unionByName(scored)
+    return shared_key_edges(urls, 0.995, "url").unionByName(shared_key_edges(hashes, 0.98, "document_hash")).unionByName(twins).unionByName(scored)
 
 
 def clusters(listings: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Approval model: transform statistics, encoding, logistic fit, calibration, leave-one-out, support checks, explanation.
 
-Statistics over rows are Spark aggregations. The fits are fixed gradient schedules on one template's training cases, of which there are dozens to thousands; each
-(template, held-out fold) is a group of its own, so the refits run beside each other.
+Statistics over rows are Spark aggregations. The fits are fixed gradient schedules on a template's different training vectors with their counts, a bounded
+number of them; blocks of held-out folds are groups of their own, so the refits run beside each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..sources.scratch import written
 from .ranges import running
 
 #: Schedules of the two fits, readiness, and distances beyond which a case is unlike training.
@@ -21,8 +23,8 @@ FIT = {"steps": 2400, "rate": 0.18, "cut": 0.55, "at": (800, 1600), "l2": 0.04}
 PLATT = {"steps": 1600, "rate": 0.14, "cut": 0.6, "at": (600, 1200), "l2": 0.02}
 LEAST_ROWS, LEAST_OF_CLASS = 7, 3
 MEDIUM_DISTANCE, HIGH_DISTANCE = 1.8, 3.0
-#: Folds that a template's refits are cut to when it has more rows; up to that, each row is a fold.
-MOST_FOLDS = 200
+#: Folds that a template's refits are cut to when it has more rows (up to that, each row is a fold), folds that a task fits, and different vectors that a fit takes.
+MOST_FOLDS, FOLD_BLOCK, MOST_VECTORS = 200, 25, 50_000
 
 
 def transform_spec(rows: DataFrame, numeric: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -63,61 +65,87 @@ def encoded(spec: dict[str, dict], category_spec: dict[str, list[str]], booleans
     return F.array(*parts), names
 
 
-def descend(x: np.ndarray, y: np.ndarray, start: np.ndarray, steps: int, rate: float, cut: float, at: tuple[int, ...], l2: float) -> np.ndarray:
-    """Full-batch gradient descent on log loss; the first place is the intercept, which isn't shrunk."""
-    w = start.copy()
+def descend(x: np.ndarray, y: np.ndarray, n: np.ndarray, start: np.ndarray, steps: int, rate: float, cut: float, at: tuple[int, ...], l2: float) -> np.ndarray:
+    """Full-batch gradient descent on log loss; the first place is the intercept, which isn't shrunk.
+
+    One model for each column of start and of n, which says how often each row counts in it. x is the rows of all models, or a stack of one for each.
+    """
+    w, total = start.copy(), np.maximum(n.sum(axis=0), 1)
+    forward, back = ("ij,jk->ik", "ij,ik->jk") if x.ndim == 2 else ("kij,jk->ik", "kij,ik->jk")
     for step in range(steps):
         if step in at:
             rate *= cut
-        z = x @ w
-        p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
-        slope = x.T @ (p - y) / len(y)
+        z = x @ w if x.ndim == 2 else np.einsum(forward, x, w)
+        e = np.exp(-np.abs(z))
+        gap = n * (np.where(z >= 0, 1.0, e) / (1 + e) - y[:, None])
+        slope = (x.T @ gap if x.ndim == 2 else np.einsum(back, x, gap)) / total
         slope[1:] += l2 * w[1:]
         w -= rate * slope
     return w
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Intercept and coefficients."""
-    return descend(np.column_stack([np.ones(len(x)), x]), y, np.zeros(x.shape[1] + 1), **FIT)
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and coefficients; with several columns in n, a column of them for each."""
+    counts = np.ones((len(y), 1)) if n is None else n
+    w = descend(np.column_stack([np.ones(len(x)), x]), y, counts, np.zeros((x.shape[1] + 1, counts.shape[1])), **FIT)
+    return w[:, 0] if n is None else w
+
+
+def fit_platt(p: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """a and b of sigmoid(a + b logit(p)); begins at 0 and 1. With n, p has a column for each of its models."""
+    counts = np.ones((len(y), 1)) if n is None else n
+    q = np.clip(p.reshape(len(y), -1), 1e-6, 1 - 1e-6)
+    logit = np.log(q / (1 - q)).T
+    w = descend(np.stack([np.ones_like(logit), logit], axis=2), y, counts, np.repeat([[0.0], [1.0]], counts.shape[1], axis=1), **PLATT)
+    return w[:, 0] if n is None else w
+
 
+def compressed(rows: DataFrame, *columns: str) -> DataFrame:
+    """template, vector, label, columns and n, how often they occur: equal rows meet before they reach a fit.
 
-def fit_platt(p: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """a and b of sigmoid(a + b logit(p)); begins at 0 and 1."""
-    q = np.clip(p, 1e-6, 1 - 1e-6)
-    return descend(np.column_stack([np.ones(len(q)), np.log(q / (1 - q))]), y, np.array([0.0, 1.0]), **PLATT)
+    Of a template with more than MOST_VECTORS different ones, about so many by a hash of the vector.
+    """
+    counted = written(rows.groupBy("template", "vector", "label", *columns).agg(F.count("*").alias("n")), "training")
+    different = counted.groupBy("template").agg(F.count("*").alias("__different"))  # a row for each template
+    part = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < F.lit(float(MOST_VECTORS << 30)) / F.col("__different")
+    return counted.join(different, "template").where(part).drop("__different")
 
 
 def models(rows: DataFrame) -> DataFrame:
     """template, weights (intercept first), platt and n from training rows (template, vector, label)."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(group["vector"].tolist(), float), group["label"].to_numpy(float)
-        w = fit_logistic(x, y)
+        group = group.sort_values(["label", "vector"], key=lambda c: c.map(tuple) if c.name == "vector" else c)
+        x, y, n = np.array(group["vector"].tolist(), float), group["label"].to_numpy(float), group["n"].to_numpy(float)[:, None]
+        w = fit_logistic(x, y, n)
         p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
-        return pd.DataFrame({"template": group["template"].iloc[:1], "weights": [w.tolist()], "platt": [fit_platt(p, y).tolist()], "n": [len(y)]})
+        return pd.DataFrame({"template": group["template"].iloc[:1], "weights": [w[:, 0].tolist()], "platt": [fit_platt(p, y, n)[:, 0].tolist()], "n": [int(n.sum())]})
 
-    return rows.select("template", "vector", "label").groupBy("template").applyInPandas(fit, "template string, weights array<double>, platt array<double>, n long")
+    return compressed(rows).groupBy("template").applyInPandas(fit, "template string, weights array<double>, platt array<double>, n long")
 
 
 def cross_validated(rows: DataFrame) -> DataFrame:
-    """template, case_id, label and probability by a model that didn't see the case: one refit for each case, or for each of MOST_FOLDS folds."""
-    size = rows.groupBy("template").agg(F.least(F.count("*"), F.lit(MOST_FOLDS)).alias("folds"))
-    place = F.row_number().over(Window.partitionBy("template").orderBy("case_id")) - 1
-    marked = rows.select("template", "case_id", "vector", "label", place.alias("place")).join(F.broadcast(size), "template").withColumn("fold", F.col("place") % F.col("folds"))
-    spread = marked.withColumn("held", F.explode(F.sequence(F.lit(0), (F.col("folds") - 1).cast("int"))))
+    """template, case_id, label and probability by a model that didn't see the case: one refit for each case, or for each of MOST_FOLDS folds of a larger template."""
+    size = rows.groupBy("template").agg(F.count("*").alias("size"))
+    sized = rows.select("template", "case_id", "vector", "label").join(size, "template")
+    few = sized.where(F.col("size") <= MOST_FOLDS).withColumn("fold", F.row_number().over(Window.partitionBy("template").orderBy("case_id")) - 1)
+    many = sized.where(F.col("size") > MOST_FOLDS).withColumn("fold", F.pmod(F.xxhash64("case_id"), F.lit(MOST_FOLDS)).cast("int"))
+    marked = written(few.unionByName(many).drop("size"), "folds")
+    folds = marked.select("template", "fold").distinct().withColumn("block", F.floor(F.col("fold") / FOLD_BLOCK).cast("int"))
+    blocks = folds.groupBy("template", "block").agg(F.array_sort(F.collect_list("fold")).alias("held"))
+    spread = compressed(marked, "fold").join(blocks, "template")
 
     def refit(group: pd.DataFrame) -> pd.DataFrame:
-        out = (group["fold"] == group["held"]).to_numpy()
-        x, y = np.array(group["vector"].tolist(), float), group["label"].to_numpy(float)
-        w = fit_logistic(x[~out], y[~out]) if len(y[~out]) else np.zeros(x.shape[1] + 1)
-        raw = lambda v: 1 / (1 + np.exp(-(w[0] + v @ w[1:])))
-        a, b = fit_platt(raw(x[~out]), y[~out]) if len(y[~out]) else (0.0, 1.0)
-        q = np.clip(raw(x[out]), 1e-6, 1 - 1e-6)
-        return pd.DataFrame({"template": group["template"][out], "case_id": group["case_id"][out], "label": group["label"][out], "probability": 1 / (1 + np.exp(-(a + b * np.log(q / (1 - q)))))})
+        held = np.array(group["held"].iloc[0])
+        x, y, fold = np.array(group["vector"].tolist(), float), group["label"].to_numpy(float), group["fold"].to_numpy()
+        n = group["n"].to_numpy(float)[:, None] * (fold[:, None] != held)
+        w = fit_logistic(x, y, n)
+        platt = fit_platt(1 / (1 + np.exp(-(w[0] + x @ w[1:]))), y, n)
+        return pd.DataFrame({"template": group["template"].iloc[0], "fold": held, "weights": w.T.tolist(), "platt": platt.T.tolist()})
 
-    kind = rows.schema["case_id"].dataType.simpleString()
-    return spread.groupBy("template", "held").applyInPandas(refit, f"template string, case_id {kind}, label int, probability double")
+    fits = spread.groupBy("template", "block").applyInPandas(refit, "template string, fold int, weights array<double>, platt array<double>")
+    scored = marked.join(fits, ["template", "fold"]).withColumn("raw", raw_probability(F.col("weights"), F.col("vector")))
+    return scored.select("template", "case_id", "label", calibrated(F.col("platt"), F.col("raw")).alias("probability"))
 
 
 def raw_probability(weights: Column, vector: Column) -> Column:
@@ -160,26 +188,74 @@ def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
     return before.where(F.col("before") + F.col("times") > place).agg(F.min(value).alias("percentile"))
 
 
-def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vector: str = "vector", block: int = 5_000) -> DataFrame:
-    """key and the distance to the nearest training vector of another id, by blocks of rows against blocks of training rows."""
-    cut = lambda df, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    n_a, n_b = max(1, -(-rows.count() // block)), max(1, -(-training.count() // block))
-    a = rows.select(key, vector, cut(rows, n_a).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("other"))
-    b = training.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))).alias("part"), cut(training, n_b).alias("other"))
+def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vector: str = "vector", size: int = 500, most_lists: int = 1024) -> DataFrame:
+    """key and the distance to the nearest training vector of another id.
+
+    Training vectors lie in lists around centroids, with the list's reach. A row's nearest list gives a bound; of the other lists only those that can hold
+    something nearer, by the triangle inequality, are looked through. The result is exact whatever the centroids are.
+    """
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    known = written(training.select(key, vector, F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("draw")), "known")
+    n = known.count()
+    lists = max(1, min(most_lists, n // size))
+    middle = np.array([r[0] for r in known.where(F.col("draw") < int(min(1.0, 4 * lists / max(1, n)) * (1 << 30))).orderBy("draw", key).select(vector).limit(lists).collect()] or [r[0] for r in known.select(vector).limit(1).collect()], float)
+    if not len(middle):
+        return rows.select(key, F.lit(None).cast("double").alias("nearest_distance")).where("false")
+    shared = spark.sparkContext.broadcast(middle)
+
+    def gaps(found: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((found**2).sum(axis=1)[:, None] + (shared.value**2).sum(axis=1) - 2 * found @ shared.value.T, 0))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                gap = gaps(np.array(f[vector].tolist(), float))
+                yield pd.DataFrame({key: f[key], vector: f[vector], "list": gap.argmin(axis=1).astype(np.int32), "gap": gap.min(axis=1)})
+
+    schema = f"{key} {kind}, {vector} array<double>, list int, gap double"
+    placed = written(known.select(key, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(place, schema), "lists")
+    reach = {r["list"]: (r["reach"], r["n"]) for r in placed.groupBy("list").agg(F.max("gap").alias("reach"), F.count("*").alias("n")).collect()}  # a row for each list
+    about = spark.sparkContext.broadcast(np.array([reach.get(i, (-np.inf, 0))[0] for i in range(len(middle))]))
+    parts = F.broadcast(spark.createDataFrame([(i, -(-x[1] // (8 * size))) for i, x in reach.items()], "list int, parts int"))
+    pieces = placed.join(parts, "list").select("list", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("piece"), key, vector)
+
+    def probes(first: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                gap = gaps(np.array(f[vector].tolist(), float).reshape(len(f), -1)) if len(f) else np.zeros((0, len(about.value)))
+                gap[:, ~np.isfinite(about.value)] = np.inf
+                nearest = gap.argmin(axis=1)
+                if first:
+                    who, which = np.arange(len(f)), nearest
+                else:
+                    can = gap - about.value <= f["bound"].to_numpy(float)[:, None] * (1 + 1e-9) + 1e-6
+                    can[np.arange(len(f)), nearest] = False
+                    who, which = np.nonzero(can & np.isfinite(gap))
+                yield pd.DataFrame({key: f[key].to_numpy()[who], vector: f[vector].to_numpy()[who], "list": which.astype(np.int32)})
+
+        return run
 
     def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({key: [], "nearest_distance": []})
-        x, y, ids = np.array(left[vector].tolist(), float), np.array(right[vector].tolist(), float), right[key].to_numpy()
-        found = []
-        for own, v in zip(left[key], x, strict=True):
+        y, ids, found = np.array(right[vector].tolist(), float), right[key].to_numpy(), []
+        for own, v in zip(left[key], left[vector], strict=True):
             gap = np.sqrt(((y - v) ** 2).sum(axis=1))
             gap[ids == own] = np.inf
             found.append(gap.min())
         return pd.DataFrame({key: left[key], "nearest_distance": found})
 
-    met = a.groupBy("part", "other").cogroup(b.groupBy("part", "other")).applyInPandas(least, f"{key} {rows.schema[key].dataType.simpleString()}, nearest_distance double")
-    return met.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")).where("nearest_distance < double('infinity')")
+    def look(asked: DataFrame, first: bool) -> DataFrame:
+        probed = asked.mapInPandas(probes(first), f"{key} {kind}, {vector} array<double>, list int").join(parts, "list")
+        probed = probed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = probed.groupBy("list", "piece").cogroup(pieces.groupBy("list", "piece")).applyInPandas(least, f"{key} {kind}, nearest_distance double")
+        return written(met.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")), "nearest")
+
+    asked = rows.select(key, F.col(vector).cast("array<double>").alias(vector))
+    near = look(asked, True)
+    bound = asked.join(near.select(key, F.col("nearest_distance").alias("bound")), key)
+    both = near.unionByName(look(bound, False))
+    return both.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")).where("nearest_distance < double('infinity')")
 
 
 def support_status(distance: Column, template_support: Column, borough_support: Column, medium: float = MEDIUM_DISTANCE, high: float = HIGH_DISTANCE) -> Column:

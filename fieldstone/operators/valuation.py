@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,21 @@ def tiered_summary(comps: DataFrame, tiers: list[Column], n: int = COMPS) -> Dat
     )
 
 
+def tiered_lookup(sites: DataFrame, comps: DataFrame, tiers: list[dict[str, str]], n: int = COMPS) -> DataFrame:
+    """tiered_summary() for tiers that are equalities: each maps columns of sites (with site_id) to those of comps.
+
+    The n newest of each key are found once, and sites meet those only: at most n rows for each site and tier.
+    """
+    newest, facts = (F.desc_nulls_last("evidence_date"), F.asc("comp_ref")), ("evidence_date", "comp_ref", "value_low", "value_mid", "value_high")
+    met = []
+    for i, tier in enumerate(tiers):
+        top = top_per_key(comps.where(reduce(and_, [F.col(c).isNotNull() for c in tier.values()])), list(tier.values()), n, *newest)
+        top = top.select(*(F.col(c).alias(f"__{c}") for c in tier.values()), *facts)
+        met.append(sites.join(top, reduce(and_, [F.col(s) == F.col(f"__{c}") for s, c in tier.items()])).select("site_id", F.lit(i).alias("tier"), *facts))
+    every = reduce(DataFrame.unionByName, met)
+    return tiered_summary(every, [F.col("tier") == i for i in range(len(tiers))], n)
+
+
 def apportion(rows: DataFrame, keys: list[str], units: str, share: str, name: str) -> DataFrame:
     """Whole units of each name: floors, and one more to the largest remainders (ties by name) until all units are given.
 
@@ -129,11 +147,13 @@ def expected_uplift(p: Column, uplift_mid: Column) -> Column:
 
 
 def active_assumptions(rows: DataFrame, sets: DataFrame, at: str, default: str = ASSUMPTIONS["version"]) -> DataFrame:
-    """rows with version, the set that came into force last by their day, or the default before any did."""
-    spans = sets.withColumn("until", F.lead("effective_from").over(Window.orderBy("effective_from", "version")))
-    in_force = (F.col(at) >= F.col("effective_from")) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
-    known = rows.join(spans, in_force, "left")
-    return known.select(*rows.columns, F.coalesce("version", F.lit(default)).alias("version"))
+    """rows with version, the set that came into force last by their day, or the default before any did.
+
+    The sets (versions of a table kept by hand) are read once and make one expression, so rows need no join.
+    """
+    known = sets.groupBy("effective_from").agg(F.max("version").alias("version")).orderBy("effective_from").collect()
+    version = F.coalesce(*(F.when(F.col(at) >= F.lit(r["effective_from"]), r["version"]) for r in reversed(known)), F.lit(default))
+    return rows.withColumn("version", version)
 
 
 def latest_run(runs: DataFrame, key: str = "assessment_id") -> DataFrame:

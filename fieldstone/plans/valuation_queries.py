@@ -54,8 +54,8 @@ def land_comp_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("comp_ref"), "p_brand", "p_size", (key % 25).alias("p_nation"), F.date_add(F.lit("2000-01-01").cast("date"), (key % 300).cast("int")).alias("evidence_date"),
         F.when(key % 3 != 0, price * 0.5).alias("value_low"), price.alias("value_mid"), F.when(key % 4 != 0, price * 2.0).alias("value_high"),
     )
-    same = F.col("p_brand") == F.col("brand")
-    return valuation.tiered_summary(c.join(p, F.col("size") == F.col("p_size")), [same & (F.col("p_nation") == F.col("nation")), same, F.lit(True)])
+    tiers = [{"size": "p_size", "brand": "p_brand", "nation": "p_nation"}, {"size": "p_size", "brand": "p_brand"}, {"size": "p_size"}]
+    return valuation.tiered_lookup(c, p, tiers)
 
 
 @query("""WITH i AS (SELECT CAST(c_nationkey AS VARCHAR) AS borough_id, date_trunc('month', o_orderdate)::DATE AS period_month, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*) AS DOUBLE) AS v

@@ -40,7 +40,8 @@ def features(spark: SparkSession, path: str, properties: str, lines: bool = Fals
     else:
         each = documents(spark, path).select("path", "content_hash", F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("position", "feature"))
     inner = F.from_json(F.get_json_object("feature", "$.properties"), properties)
-    return each.select("path", "content_hash", "position", inner.alias("p"), G.repaired(G.shape_from_geojson(F.get_json_object("feature", "$.geometry"))).alias("shape")).select("path", "content_hash", "position", "p.*", "shape")
+    read = each.withColumns({"p": inner, "shape": G.shape_from_geojson(F.get_json_object("feature", "$.geometry"))})
+    return read.select("path", "content_hash", "position", "p.*", G.repaired(F.col("shape")).alias("shape"))
 
 
 def boundary_id(borough_id: Column, lpa_id: Column, slug: Column, name: Column, gss_code: Column, feature_id: Column, geometry: Column) -> Column:
