@@ -84,10 +84,26 @@ def test_html(spark):
     assert "no" not in one(spark, PAGE, H.text_content).split() and "£450,000" in one(spark, PAGE, H.text_content)
     pages = spark.createDataFrame([("http://x.y/lots/1", PAGE)], "url string, html string")
     assert [r.target for r in H.links(pages).orderBy("position").collect()] == ["http://x.y/docs/site-plan.pdf", "http://x.y/lots/docs/b.pdf", "http://x.y/lots/b.html", "http://x.y/docs/site-plan.pdf"]
-    assert {(r.target.split("/")[-1], r.label, r.kind) for r in H.document_links(pages).collect()} == {("site-plan.pdf", "The plan", "MAP"), ("b.pdf", "Sales brochure", "BROCHURE")}
+    assert {(r.target.split("/")[-1], r.label, r.kind) for r in H.document_links(pages).collect()} == {("site-plan.pdf", "click here", "BROCHURE"), ("b.pdf", "Sales brochure", "BROCHURE")}
     assert one(spark, "<urlset><url><loc> http://a/1 </loc></url><url><loc>http://a/2?x=1&amp;y=2</loc></url></urlset>", H.sitemap_urls) == ["http://a/1", "http://a/2?x=1&y=2"]
 
 
+def test_document_links_by_target_or_label(spark):
+    a = lambda href, label: f'<a href="{href}">{label}</a>'
+    html = a("x.pdf", "") + a("x.pdf", "Details") + a("x.pdf", "Floor plan") + a("get?id=1", "Brochure (.PDF)") + a("pdf.php?3", "View") + a("common_conditions.pdf", "C") + a("y.pdf", "Terms_and_conditions") + a("about", "About")
+    rows = H.document_links(spark.createDataFrame([("http://a/b", html)], "url string, html string")).orderBy("position").collect()
+    assert [(r.target, r.label, r.kind) for r in rows] == [("http://a/x.pdf", "Floor plan", "MAP"), ("http://a/get?id=1", "Brochure (.PDF)", "BROCHURE"), ("http://a/pdf.php?3", "View", "BROCHURE")]
+
+
+def test_places_and_records_of_pages(spark):
+    for html, want in (('x "long_lat":"{\\"lat\\":51.5,\\"lng\\":-0.12}"', (51.5, -0.12)), ("<i data-lat='51.25' data-lon='0.5'>", (51.25, 0.5)), ("near 51.501, -0.125 and", (51.501, -0.125)), ("nowhere", None)):
+        found = one(spark, html, H.place)
+        assert (found and (found.lat, found.lon)) == want
+    ld = '<script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">[{"name": " X "}, 3, {"name": "Y"}]</script><script type="application/ld+json">{bad</script>'
+    assert len(one(spark, ld, H.json_ld)) == 3 and one(spark, ld, lambda c: H.first_field(H.json_ld(c), "$.name")) == "X" and one(spark, "<p>", H.json_ld) == []
+    assert one(spark, "<h1>EPC rating</h1><h1>Land</h1>", H.headline) == "Land"
+
+
 def ring(*corners):
     return [{"x": float(x), "y": float(y)} for x, y in corners]
 

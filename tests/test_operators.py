@@ -1,13 +1,16 @@
 import datetime as dt
 import json
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldstone.functions import geo as G
-from fieldstone.operators import assessments, comparables, components, control, features, latest, listings, planning, ranking, readback, scenarios, scoring, sites, valuation
+from fieldstone.operators import assessments, comparables, components, control, features, latest, listings, planning, ranges, ranking, readback, scenarios, scoring, sites, valuation
 from fieldstone.sources import readers
 from fieldstone.streaming import jobs
 
@@ -364,3 +367,71 @@ def test_permissions(spark):
     assert brown.where(planning.active_brownfield(F.col("p"), F.col("i"), F.col("t"), F.lit(None).cast("date"), F.col("e"), F.lit(DAY)) != F.col("want")).count() == 0
     over = spark.createDataFrame([(0.1, 1.0, True), (0.05, 100.0, True), (0.05, 99.0, False), (None, None, False)], "p double, s double, want boolean")
     assert over.where(planning.material_overlap(F.col("p"), F.col("s"), F.lit(None).cast("boolean"), F.lit(False)) != F.col("want")).count() == 0
+
+
+def test_running_sums_and_percentiles_by_ranges(spark, monkeypatch):
+    chance = np.random.default_rng(3)
+    values = [(int(v), int(w)) for v, w in zip(chance.integers(0, 400, 3000), chance.integers(0, 9, 3000))]
+    df = spark.createDataFrame([(i, v, w) for i, (v, w) in enumerate(values)], "id int, v int, w int").repartition(6)
+    few = {r.id: r.s for r in ranges.running(df, [F.col("v"), F.col("id")], {"s": F.col("w")}, 3000).collect()}
+    middle = scoring.nearest_rank(df, "v", 0.5).first().percentile
+    monkeypatch.setattr(ranges, "FEW_ROWS", 5)
+    assert {r.id: r.s for r in ranges.running(df, [F.col("v"), F.col("id")], {"s": F.col("w")}, 3000).collect()} == few
+    order, total = sorted(range(3000), key=lambda i: (values[i][0], i)), 0
+    for i in order:
+        assert few[i] == total
+        total += values[i][1]
+    assert scoring.nearest_rank(df, "v", 0.5).first().percentile == middle == sorted(v for v, _ in values)[round(2999 * 0.5)]
+    assert scoring.nearest_rank(df.where("false"), "v", 0.5).first().percentile is None
+
+
+@pytest.mark.parametrize("n", [1, 40, 900])
+def test_nearest_distance_is_exact(spark, n):
+    chance = np.random.default_rng(n)
+    x = np.round(chance.normal(size=(n, 5)) + 3 * chance.integers(0, 4, (n, 1)), 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    got = {r.id: r.nearest_distance for r in scoring.nearest_distance(df, df, size=40).collect()}
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.where(np.eye(n) > 0, np.inf, 0)
+    assert got == pytest.approx({i: gap[i].min() for i in range(n) if np.isfinite(gap[i].min())})
+    assert scoring.nearest_distance(df, df.where("false")).count() == 0
+
+
+def test_cases_of_any_priority_are_labelled(spark):
+    base = dict(external_ref="x", borough_id="b", units=3, route="FULL", decision="Approved", decision_type="RESIDENTIAL", status="x", use=None, valid_date=DAY, decision_date=days(9), description="homes", shape=None)
+    rows = [base | dict(case_id=i, priority=None if i % 80 == 0 else i % 80, units=i % 4 + 1, description=f"homes {i}") for i in range(160)]
+    schema = f"case_id int, external_ref string, priority int, borough_id string, units int, route string, decision string, decision_type string, status string, use string, valid_date date, decision_date date, description string, shape {G.SHAPE}"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ", 13)) for r in rows if r["priority"] in (None, 1, 70, 71)], schema)
+    assert {r.case_id: r.label_class for r in planning.label_cases(df).collect()} == dict.fromkeys((0, 80, 1, 81, 70, 150, 71, 151), "POSITIVE")
+
+
+def test_counted_vectors_fit_like_repeated_ones():
+    chance = np.random.default_rng(5)
+    x, y, n = chance.normal(size=(12, 2)), chance.integers(0, 2, 12).astype(float), chance.integers(1, 4, 12)
+    w = scoring.fit_logistic(x, y, n[:, None].astype(float))[:, 0]
+    assert w == pytest.approx(scoring.fit_logistic(np.repeat(x, n, axis=0), np.repeat(y, n)), abs=1e-9)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert scoring.fit_platt(p, y, n[:, None].astype(float))[:, 0] == pytest.approx(scoring.fit_platt(np.repeat(p, n), np.repeat(y, n)), abs=1e-9)
+
+
+def test_large_templates_are_held_out_by_folds(spark):
+    chance = np.random.default_rng(8)
+    x = np.round(chance.normal(size=(260, 2)), 1)
+    rows = [("t", i, v.tolist(), int(v[0] + chance.normal() > 0)) for i, v in enumerate(x)]
+    got = scoring.cross_validated(spark.createDataFrame(rows, "template string, case_id int, vector array<double>, label int")).collect()
+    assert sorted(r.case_id for r in got) == list(range(260)) and all(0 < r.probability < 1 for r in got)
+    assert np.mean([(r.probability > 0.5) == r.label for r in got]) > 0.7
+
+
+def test_alike_listings_make_a_star(spark):
+    same = ("1 high street", ["land", "plot"], 100.0, None, None)
+    rows = [(i, f"u{i}", [], *same) for i in range(30)] + [(90, "v", [], "1 high street", ["plot", "land"], 101.0, None, None), (91, "w", [], "1 high street", [], None, None, None), (92, "x", [], "1 high street", [], None, None, None)]
+    df = spark.createDataFrame(rows, "id int, url string, hashes array<string>, address string, words array<string>, price double, lat double, lon double")
+    edges = listings.cluster_edges(df)
+    assert sorted((r.left_id, r.right_id) for r in edges.collect()) == [(0, i) for i in range(1, 30)] + [(0, 90)]
+    assert {r.id: r.cluster_root for r in listings.clusters(df, edges).collect()} == dict.fromkeys([*range(30), 90], 0) | {91: 91, 92: 92}
+
+
+def test_entry_without_what_the_corpus_operators_need():
+    code = "import sys, re; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; names = e.queries(); assert len(names) > 60 and not any(re.match(r'op[0-9]+_|pipeline', n) for n in names); assert e.oracle_sql().keys() <= names.keys()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
