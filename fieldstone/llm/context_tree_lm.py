@@ -37,8 +37,8 @@ TOP, MOST_GROWN = 3, 100_000
 MOST_SENT = 1 << 21
 #: Words that go to all executors, at most: the most frequent ones.
 MOST_WORDS = 1 << 17
-#: A task hands its counts on when it holds about so many different sequences or words.
-MOST_HELD = 3_000_000
+#: A task hands its counts on when it holds about so many different sequences, or words.
+MOST_HELD, MOST_WORDS_HELD = 3_000_000, 300_000
 END = b"\n"
 
 
@@ -109,7 +109,7 @@ def count_corpus(docs: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
                 settle()
             if held and len(held[0][0]) > MOST_HELD:
                 yield seq_rows()
-            if len(words) > MOST_HELD // 3:
+            if len(words) > MOST_WORDS_HELD:
                 yield word_rows()
         settle()
         if held:
@@ -409,8 +409,8 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     del hot, common
     extra = [c for c in docs.columns if c.startswith("__")]
     kind = docs.schema[key].dataType.simpleString()
-    names = ["row_id", "row_key", *extra, "n_tokens", "known", "base", "bits", "n_bytes", "rare", "rare_seqs"]
-    schema = ", ".join(["row_id long", f"row_key {kind}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra), "n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>, rare_seqs array<long>"])
+    names = ["row_id", "row_key", *extra, "n_tokens", "known", "base", "bits", "n_bytes", "rare", "rare_times", "rare_seqs"]
+    schema = ", ".join(["row_id long", f"row_key {kind}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra), "n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>, rare_times array<long>, rare_seqs array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, times = shared.value
@@ -427,19 +427,20 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 n_tokens.append(len(words))
                 known.append(len(words) - len(unknown))
                 base.append(sum(y for y in found if y is not None) if unknown else sum(found))
-                rare.append(unknown)
+                rare.append(Counter(unknown))  # a word that fills a text is one row of the join
             seq, begins = sequences(coded, DEPTH)
             value, missing = model.find(seq)
             bits = segment_sum(np.where(missing, 0, value), begins)
             left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)])[begins].astype(np.int32)), pa.array(seq[missing].view(np.int64)))
-            columns = [pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(bits), pa.array(np.diff(begins)), pa.array(rare, pa.list_(pa.binary())), left]
+            columns = [pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(bits), pa.array(np.diff(begins)), pa.array([list(x) for x in rare], pa.list_(pa.binary())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64())), left]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2 + len(extra))), *columns], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).alias("row_key"), *extra, F.col(text).cast("string").alias("text"))
     scored = written(rows.mapInArrow(run, schema), "scored")
-    rare = scored.where(F.size("rare") > 0).select("row_id", F.explode("rare").alias("word"))
+    rare = scored.where(F.size("rare") > 0).select("row_id", F.explode(F.arrays_zip("rare", "rare_times")).alias("x")).select("row_id", F.col("x.rare").alias("word"), F.col("x.rare_times").alias("times"))
     found = rare.join(word_counts.where(F.col("n") < least), "word", "left")
-    sums = found.groupBy("row_id").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total))).alias("rare_base"), F.count("n").alias("rare_known"))
+    logs, held = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total)), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
+    sums = found.groupBy("row_id").agg(F.sum(F.col("times") * logs).alias("rare_base"), F.sum(held).alias("rare_known"))
     rare_seqs = scored.where(F.size("rare_seqs") > 0).select("row_id", F.explode("rare_seqs").alias("seq"))
     others = scores.where(F.col("n") < least_sent).select("seq", "score")
     unseen = sequence_scores(sequence_counts, top, rare_seqs.select("seq").distinct().join(others, "seq", "left_anti"))
