@@ -1,7 +1,8 @@
 """A training corpus from raw documents: language ID, near-dedup, decontamination, secret scan, source mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and hands the reread table on. All but the last return
-the columns of documents.
+the columns of documents. Nulls in any column are kept as they are: a null text has no letter and goes at the first stage; a row without doc_id is judged by
+its text like any other, and of near duplicates it is kept only if no row of its class has an id. Extra columns go through all stages.
 """
 
 from __future__ import annotations
