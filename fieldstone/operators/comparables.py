@@ -55,3 +55,13 @@ def comparable_members(sites: DataFrame, cases: DataFrame, linked: DataFrame | N
     order = Window.partitionBy("site_id", "outcome").orderBy("tier", F.desc("score"), F.asc_nulls_first("decided"), F.asc_nulls_first("valid"), "case_id")
     every = reduce(DataFrame.unionByName, tiers)
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("site_id", "outcome", "rank", "tier", "case_id", "score")
+
+
+def match_details(pairs: DataFrame) -> DataFrame:
+    """pairs (columns own and case, structs as in comparable_members(), and as_of) with what is alike and how far apart they are."""
+    own, case = (lambda c: F.col(f"own.{c}")), (lambda c: F.col(f"case.{c}"))
+    decided = F.coalesce(case("decision_date"), case("valid_date"))
+    return pairs.withColumns({
+        "borough_match": F.coalesce(own("borough_id") == case("borough_id"), F.lit(False)), "proposal_form_match": F.coalesce(own("form") == case("form"), F.lit(False)),
+        "units_delta": case("units") - own("units"), "site_area_delta_sqm": F.round(case("area") - own("area"), 3), "years_since_decision": F.round(F.datediff("as_of", decided) / 365.25, 3),
+    })

@@ -215,6 +215,27 @@ def surplus_rows(rows: DataFrame, before: Column, policy: Column, key: str = "id
     return first_per_id(rows.where(before), key, position).where(policy)
 
 
+def surplus_listings(rows: DataFrame, feed_url: str) -> DataFrame:
+    """rows of a surplus register (disposal_id, sale_status, property_name, contract_name, land_usage, land_area, floor_area, property_number, street, town, postcode)
+    with status, listing_type, address and url.
+    """
+    area = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    text = F.lower(F.concat_ws(" ", *(T.filled(F.col(c)) for c in ("property_name", "contract_name", "land_usage"))))
+    kind = N.first_that_holds(
+        [
+            ((area("land_area") > 0) & (area("floor_area") <= 0), "LAND"), (text.contains("development") | text.contains("redevelop"), "REDEVELOPMENT_SITE"),
+            (F.lower("land_usage").contains("surplus land"), "LAND"),
+        ],
+        "LAND_WITH_BUILDING",
+    )
+    address = T.normalize_space(F.concat_ws(", ", *(T.filled(F.trim(F.col(c))) for c in ("property_number", "street", "town", "postcode"))))
+    mark = "&" if "?" in feed_url else "?"
+    return rows.withColumns({
+        "status": F.when(F.lower("sale_status") == "under offer", "UNDER_OFFER").otherwise("LIVE"), "listing_type": kind, "address": address,
+        "url": F.concat(F.lit(f"{feed_url}{mark}disposal_id="), F.url_encode(F.col("disposal_id").cast("string"))),
+    })
+
+
 def crawl_candidates(pages: DataFrame, sitemaps: DataFrame, allow: str, most: int) -> DataFrame:
     """source, url and position of pages to fetch: links of seed pages (source, url, html), then locations of sitemaps (source, xml), that match a pattern.
 

@@ -167,6 +167,21 @@ def drivers(rows: DataFrame, key: str, coefficients: dict[str, float], n: int =
     return signed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(key, "direction", "rank", "feature", "contribution")
 
 
+def explanations(contributions: DataFrame, missing: DataFrame, links: DataFrame, key: str, unknowns: int = 8, most_links: int = 12) -> DataFrame:
+    """key with arrays of its drivers() up and down, of the first missing features by name, and of the first evidence links by position that lead anywhere.
+
+    missing: key, feature. links: key, position, topic, source_label, source_url, source_snapshot_id, raw_asset_id.
+    """
+    way = lambda name: F.array_sort(F.collect_list(F.when(F.col("direction") == name, F.struct("rank", "feature", F.round("contribution", 6).alias("contribution"))))).alias(name)
+    known = contributions.groupBy(key).agg(way("positive"), way("negative"))
+    first = missing.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("feature"))).where(F.col("n") <= unknowns)
+    first = first.groupBy(key).agg(F.array_sort(F.collect_list("feature")).alias("unknowns"))
+    leading = links.where(F.coalesce("source_url", "source_snapshot_id", "raw_asset_id").isNotNull())
+    cut = leading.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("position"))).where(F.col("n") <= most_links)
+    cut = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "topic", "source_label", "source_url", "source_snapshot_id", "raw_asset_id"))).alias("evidence_links"))
+    return known.join(first, key, "left").join(cut, key, "left")
+
+
 def losses(rows: DataFrame, groups: list[str] | None = None, p: str = "probability", y: str = "label") -> DataFrame:
     """brier, log_loss (probabilities kept off 0 and 1) and case_count."""
     q = N.probability(F.col(p))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import assessments, comparables, health, latest, planning, readback, scenarios, schedule, scoring, valuation
+from ..operators import assessments, comparables, health, latest, listings, planning, readback, scenarios, schedule, scoring, valuation
 from ..sources.scratch import written
 from ..streaming import jobs as streams
 from .registry import query, table
@@ -196,3 +196,42 @@ def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     decision = planning.normalized_decision(F.when(won, "Granted subject to conditions"), F.lit("pending"))
     label = planning.case_class(F.lit(False), irrelevant, F.lit("t"), decision, day, F.date_add(day, (k % 900).cast("int")), F.lit("pending"))
     return table(spark, sf_dir, "orders").select(k.alias("case_id"), F.when(won, "GRANTED").otherwise("NONE").alias("want"), label.alias("label_class"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS k, s_name AS n FROM supplier) SELECT k AS id, CASE WHEN k % 4 = 0 THEN 'UNDER_OFFER' ELSE 'LIVE' END AS status, CASE WHEN k % 5 = 0 THEN 'LAND' WHEN k % 3 = 0 THEN 'REDEVELOPMENT_SITE' WHEN k % 2 = 0 THEN 'LAND' ELSE 'LAND_WITH_BUILDING' END AS listing_type,
+  CASE WHEN k % 7 = 0 THEN '' ELSE k || ', ' END || 'High St, London' AS address, 'http://feed?x=1&disposal_id=' || k || '%2F7' AS url FROM t""")
+def surplus_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A surplus register's rows as listings."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), F.concat(k.cast("string"), F.lit("/7")).alias("disposal_id"), F.when(k % 4 == 0, "Under Offer").otherwise("On sale").alias("sale_status"), F.when(k % 3 == 0, "Redevelopment plot").alias("property_name"), F.lit("").alias("contract_name"),
+        F.when(k % 2 == 0, "Surplus land").otherwise("Office").alias("land_usage"), F.when(k % 5 == 0, "1.5").alias("land_area"), F.when(k % 5 == 0, "n/a").otherwise("200").alias("floor_area"), F.when(k % 7 == 0, " ").otherwise(k.cast("string")).alias("property_number"),
+        F.lit("High St").alias("street"), F.lit("London").alias("town"), F.lit(None).cast("string").alias("postcode"),
+    )
+    return listings.surplus_listings(rows, "http://feed?x=1").select("id", "status", "listing_type", "address", "url")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT k, least(5, count(*)) AS ups, min(n) AS lowest, least(8, 2 * count(*)) AS gaps, count(*) FILTER (WHERE n % 2 = 0) AS links FROM l GROUP BY 1)
+SELECT k AS run_id, ups AS positive_count, 'f' || m AS strongest, 0 AS negative_count, gaps AS unknown_count, 'a' || lowest AS first_unknown, nullif(links, 0) AS link_count FROM p JOIN (SELECT k AS j, max(n) AS m FROM l GROUP BY 1) ON j = k""")
+def explanation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers, unknowns and evidence links of each run in one row, cut to what a reader is shown."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(k.alias("run_id"), n.alias("n")).distinct()
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("n")))
+    up = rows.select("run_id", F.lit("positive").alias("direction"), first.alias("rank"), F.concat(F.lit("f"), F.col("n").cast("string")).alias("feature"), (F.col("n") / 10.0).alias("contribution")).where("rank <= 5 and contribution > 0")
+    gaps = rows.select("run_id", F.explode(F.array(F.concat(F.lit("a"), F.col("n").cast("string")), F.concat(F.lit("b"), F.col("n").cast("string")))).alias("feature"))
+    links = rows.select("run_id", F.col("n").alias("position"), F.lit("t").alias("topic"), F.lit("s").alias("source_label"), F.when(F.col("n") % 2 == 0, "http://x").alias("source_url"), F.lit(None).cast("string").alias("source_snapshot_id"), F.lit(None).cast("string").alias("raw_asset_id"))
+    found = scoring.explanations(up, gaps, links, "run_id")
+    size = lambda c: F.size(c).cast("long")
+    return found.select("run_id", size("positive").alias("positive_count"), F.get("positive", F.lit(0))["feature"].alias("strongest"), F.size("negative").alias("negative_count"), size("unknowns").alias("unknown_count"), F.get("unknowns", F.lit(0)).alias("first_unknown"), F.when(F.col("evidence_links").isNotNull(), size("evidence_links")).alias("link_count"))
+
+
+@query("""SELECT c_custkey AS site_id, c_nationkey = s_nationkey AS borough_match, CAST(s_suppkey % 9 - c_custkey % 7 AS BIGINT) AS units_delta, (s_suppkey % 11) * 1.5::DOUBLE - 4.0::DOUBLE AS site_area_delta_sqm, floor(date_diff('day', DATE '1995-01-01', DATE '1999-01-01') / 365.25::DOUBLE * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS years_since_decision FROM customer JOIN supplier ON s_suppkey = c_custkey % 90 + 1""")
+def match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sites and their comparables have in common, and how far apart they are."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), s == c % 90 + 1)
+    own = F.struct(F.col("c_nationkey").alias("borough_id"), F.lit("f").alias("form"), (c % 7).alias("units"), F.lit(4.0).alias("area"))
+    case = F.struct(F.col("s_nationkey").alias("borough_id"), F.lit("f").alias("form"), (s % 9).alias("units"), (s % 11 * 1.5).alias("area"), F.lit("1995-01-01").cast("date").alias("decision_date"), F.lit(None).cast("date").alias("valid_date"))
+    found = comparables.match_details(both.select(c.alias("site_id"), own.alias("own"), case.alias("case"), F.lit("1999-01-01").cast("date").alias("as_of")))
+    return found.select("site_id", "borough_match", "units_delta", "site_area_delta_sqm", "years_since_decision")
