@@ -311,11 +311,11 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, w
     """Candidate pairs of rows (each with a column shape) whose boxes come within a distance: an equi-join on grid cells, each pair once.
 
     A pair is taken in the one cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct. Ids and boxes
-    meet in the cells; shapes are joined to the pairs that are left. Ids must be unique on each side.
+    meet in the cells; shapes are joined to the pairs that are left. An id may have several shapes, each a row of its own; rows alike in both count once.
     """
     def described(df: DataFrame, key: str, side: str) -> DataFrame:
-        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), F.col("shape").alias(f"{side}_shape"))
-        return own.withColumns({f"{side}_box": bounds(F.col(f"{side}_shape")), f"{side}_is_box": is_box(F.col(f"{side}_shape"))})
+        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), F.xxhash64("shape").alias(f"{side}_mark"), F.col("shape").alias(f"{side}_shape"))
+        return own.dropDuplicates([f"{side}_id", f"{side}_mark"]).withColumns({f"{side}_box": bounds(F.col(f"{side}_shape")), f"{side}_is_box": is_box(F.col(f"{side}_shape"))})
 
     a, b = described(left, left_id, "left"), described(right, right_id, "right")
     meet = [
@@ -326,4 +326,5 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, w
     in_cells = a.drop("left_shape").withColumn("cell", F.explode(cells(F.col("left_box"), cell, within)))
     others = b.drop("right_shape").withColumn("cell", F.explode(cells(F.col("right_box"), cell)))
     pairs = in_cells.join(others, "cell").where(meet[0] & meet[1] & (F.col("cell.cx") == corner[0]) & (F.col("cell.cy") == corner[1])).drop("cell")
-    return pairs.join(a.select("left_id", "left_shape"), "left_id").join(b.select("right_id", "right_shape"), "right_id")
+    whole = pairs.join(a.select("left_id", "left_mark", "left_shape"), ["left_id", "left_mark"]).join(b.select("right_id", "right_mark", "right_shape"), ["right_id", "right_mark"])
+    return whole.drop("left_mark", "right_mark")

@@ -194,6 +194,14 @@ def test_union_and_overlap_add_up():
         assert overlaps([a], [b])[0] == pytest.approx(overlaps([b], [a])[0], abs=1e-6) and overlaps([a], [a])[0] == pytest.approx(size(a), abs=1e-6)
 
 
+def test_pairs_of_ids_with_several_shapes(spark):
+    box = lambda x, w: [ring((x, 0), (x + w, 0), (x + w, 10), (x, 10))]
+    a = spark.createDataFrame([("s", box(0, 10))], f"id string, shape {G.SHAPE}")
+    b = spark.createDataFrame([("t", box(5, 10)), ("t", box(-4, 6)), ("t", box(-4, 6)), ("t", box(50, 5)), ("u", None)], f"id string, shape {G.SHAPE}")
+    got = G.near_pairs(a, b, "id", "id", 0.0).select("right_id", G.pair_overlap().alias("sqm")).collect()
+    assert sorted((r.right_id, r.sqm) for r in got) == [("t", 20.0), ("t", 50.0)]
+
+
 def test_grid_of_a_known_place(spark):
     """The example of a public guide to the grid: 52 39 27.2531 N, 1 43 4.5177 E in Airy terms; here through WGS84, to some metres."""
     p = spark.range(1).select(G.to_grid(F.lit(-0.1276), F.lit(51.5072)).alias("p")).first().p
