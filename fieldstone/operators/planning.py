@@ -210,25 +210,25 @@ def stronger_cases(weaker: DataFrame, stronger: DataFrame) -> DataFrame:
     Same borough, units and route (with a span of days the join key), valid within 45 days, and overlapping by half of the smaller polygon, or, with a point on either
     side, within 30 m or of the same description.
     """
-    sized = lambda df: df.withColumns({"box": G.bounds(F.col("shape")), "is_box": G.is_box(F.col("shape"))})
+    sized = lambda df: df.withColumns({"box": G.bounds(F.col("shape")), "is_box": F.coalesce(G.is_box(F.col("shape")), F.lit(False)), "area": G.area(F.col("shape"))})
     # the span of days is a key too: a case looks into its own span and those before and after
     span = F.floor(F.unix_date("valid_date") / CASE_DAYS)
     a = sized(weaker).withColumn("span", F.explode(F.array(span - 1, span, span + 1))).alias("a")
     b = sized(stronger).withColumn("span", span).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("borough_id", "units", "route", "span")]
     near = a.join(b, [*on, N.dates_close(F.col("a.valid_date"), F.col("b.valid_date"), CASE_DAYS)])
+    bare = F.col("a.shape").isNull() | F.col("b.shape").isNull()
     points = G.is_point(F.col("a.shape")) | G.is_point(F.col("b.shape"))
+    boxes = F.col("a.is_box") & F.col("b.is_box")
     gap = F.least(G.distance_to(F.col("a.shape"), G.first_corner(F.col("b.shape"))), G.distance_to(F.col("b.shape"), G.first_corner(F.col("a.shape"))))
     same_text = F.col("a.signature") == F.col("b.signature")
-    both = near.where(F.col("a.shape").isNotNull() & F.col("b.shape").isNotNull())
-    spots = both.where(points & ((gap <= CASE_M) | same_text))
-    boxes = F.col("a.is_box") & F.col("b.is_box")
-    other = G.overlap_area(F.when(~boxes, F.col("a.shape")), F.when(~boxes, F.col("b.shape")))
-    shapes = both.where(~points).withColumn("shared", F.when(boxes, G.box_overlap(F.col("a.box"), F.col("b.box"))).otherwise(other))
-    shapes = shapes.where((F.col("shared") > 0) & ((F.col("shared") >= 0.5 * F.least(G.area(F.col("a.shape")), G.area(F.col("b.shape")))) | same_text)).drop("shared")
-    bare = near.where((F.col("a.shape").isNull() | F.col("b.shape").isNull()) & same_text)
-    columns = [F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("stronger_id"), F.col("b.priority").alias("p"), F.col("b.valid_date").alias("v"), F.col("b.external_ref").alias("x")]
-    found = spots.select(*columns).unionByName(shapes.select(*columns)).unionByName(bare.select(*columns))
+    # one pass over the pairs: only general polygons have anything for the batch function to do
+    general = ~bare & ~points & ~boxes
+    other = G.overlap_area(F.when(general, F.col("a.shape")), F.when(general, F.col("b.shape")))
+    sized_pairs = near.withColumn("shared", F.when(boxes, G.box_overlap(F.col("a.box"), F.col("b.box"))).otherwise(other))
+    alike = (F.col("shared") > 0) & ((F.col("shared") >= 0.5 * F.least(F.col("a.area"), F.col("b.area"))) | same_text)
+    same = sized_pairs.where(F.when(bare, same_text).when(points, (gap <= CASE_M) | same_text).otherwise(alike))
+    found = same.select(F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("stronger_id"), F.col("b.priority").alias("p"), F.col("b.valid_date").alias("v"), F.col("b.external_ref").alias("x"))
     return latest_per_key(found, ["case_id"], F.desc("p"), F.asc_nulls_last("v"), F.asc("x")).select("case_id", "stronger_id")
 
 
