@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from . import (
+    centroid_clustering,
     context_tree_lm,
     decontamination,
+    filter_audit,
     language_id,
+    line_dedup,
     quality_classifier,
     secret_scan,
     simhash_dedup,
@@ -15,7 +18,10 @@ from . import (
     vector_search,
 )
 
-MODULES = (token_counts, context_tree_lm, source_mixing, vector_search, language_id, quality_classifier, decontamination, simhash_dedup, secret_scan, toxicity)
+MODULES = (
+    token_counts, context_tree_lm, source_mixing, vector_search, language_id, quality_classifier, decontamination, simhash_dedup, secret_scan, toxicity, filter_audit, centroid_clustering,
+    line_dedup,
+)
 
 
 def queries() -> dict:
