@@ -197,8 +197,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     """docs with common lines only in the largest id that holds them, and n_lines (before) and n_dropped."""
     index, keys = index_of(docs, key, text, least_points, least_docs, batches, fanout)
     common = written(index.common(), "common")
-    # both sides are read from files, so that a hot key's partition can be split
-    again = keys.join(common, "line_key").where(F.col(key) < F.col("last"))
+    # merged at every size; both sides are read from files, so that a hot key's partition can be split
+    again = keys.join(common.hint("merge"), "line_key").where(F.col(key) < F.col("last"))
     drops = written(again.groupBy(F.col(key).alias("__id")).agg(F.collect_set("line_key").alias("__drops")), "drops")  # at most a document's own lines
 
     @F.pandas_udf("text binary, n_lines long, n_dropped long")
@@ -207,7 +207,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
     names = {x: x + "_" * next(i for i in range(len(docs.columns) + 1) if x + "_" * i not in docs.columns) for x in ("n_lines", "n_dropped")}
-    joined = docs.join(drops, F.col(f"`{key}`") == F.col("__id"), "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("string").cast("binary"), F.col("__drops")))
+    joined = docs.join(drops.hint("merge"), F.col(f"`{key}`") == F.col("__id"), "left").withColumn("__cut", cut(F.col(f"`{text}`").cast("string").cast("binary"), F.col("__drops")))
     kept = F.when(F.col("__cut.n_dropped") > 0, F.col("__cut.text").cast("string")).otherwise(F.col(f"`{text}`").cast("string"))
     return joined.select(*(kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns), *(F.col(f"__cut.{x}").alias(y) for x, y in names.items()))
 
