@@ -6,6 +6,9 @@ similarity 0 and gets no fingerprint. The others do; the blocks of an item's fin
 floor(radius / blocks) bits, which finds every fingerprint within the radius. Candidates are then compared by weighted
 Jaccard similarity of their five-word shingles (a shingle weighs more the fewer items have it).
 
+A benchmark beyond a bound is searched in parts. Weights are those of the whole benchmark all the same: a part knows how many items have the shingles of
+its own items; how many have the others is joined to the windows that may be similar enough, in whatever way the others weigh. So parts change nothing.
+
 Words are in lower case (A-Z) and split at ASCII white space. Items with fewer than five words have no shingle: they match where the same words
 follow each other. Null and empty texts match nothing. Equal items each match. An empty benchmark leaves all documents alone. Repeated rows are judged row by row.
 """
@@ -104,9 +107,9 @@ class BlockIndex:
 
 
 class Benchmark:
-    """Items in the form that windows are held against."""
+    """Items in the form that windows are held against. Of a part of a benchmark: shared has the shingles that several items of the whole have, in order, how many have each, and the whole's number of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, shared: tuple[np.ndarray, np.ndarray, int] | None = None):
         self.threshold, self.words = threshold, WordTable(word_hashes)
         every: list[tuple[int, object, np.ndarray]] = []
         short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
@@ -124,7 +127,14 @@ class Benchmark:
         self.hashes, self.times = (np.concatenate([np.zeros(0, kind), *(x[i] for x in sets)]) for i, kind in ((0, np.uint64), (1, np.int64)))
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in sets])]).astype(np.int64)
         self.known, holders = np.unique(self.hashes, return_counts=True)
-        self.weights, self.other = np.log(1 + len(every) / holders), math.log(1 + len(every))
+        n = len(every)
+        if shared is not None:
+            several, counts, n = shared
+            holders = np.ones(len(self.known), np.int64)
+            at = np.minimum(np.searchsorted(several, self.known), max(0, len(several) - 1))
+            same = several[at] == self.known if len(several) else np.zeros(len(self.known), bool)
+            holders[same] = counts[at[same]]
+        self.weights, self.other = np.log(1 + n / holders), math.log(1 + n)
         self.totals = np.add.reduceat(self.times * self.weights_of(self.hashes), self.ends[:-1]) if every else np.zeros(0)
         self.shelf = np.zeros(1 << 20, bool)
         self.shelf[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -164,11 +174,18 @@ class Benchmark:
 
     def matches(self, texts: Iterable[str | None]) -> list[list[tuple[int, float, int, int, int]]]:
         """For each text, (item_id, similarity, first word, words, differing bits) of each item that some window of it matches, at its best window."""
+        return self.looked_through(texts, lambda x: x, self.best_windows)
+
+    def possible_matches(self, texts: Iterable[str | None]) -> list[list[tuple]]:
+        """For each text, its possible_windows(); those of items too short for a shingle are sure."""
+        return self.looked_through(texts, lambda x: (x[0], 1.0, 1.0, *x[2:], [], []), self.possible_windows)
+
+    def looked_through(self, texts: Iterable[str | None], short: Callable, whole: Callable) -> list[list[tuple]]:
         words, offsets = flat([split_words(x) for x in texts])
         out: list[list[tuple]] = [[] for _ in range(len(offsets) - 1)]
         hashes = self.words.rows(words)
         for i, match in self.short_matches(hashes, offsets):
-            out[i].append(match)
+            out[i].append(short(match))
         shingles = shingle_hashes(hashes)
         if not len(shingles) or not len(self.known):
             return out
@@ -180,11 +197,11 @@ class Benchmark:
         hits, own = hits[inside], own[inside]
         for i in np.unique(own).tolist():
             lo, hi = offsets[i], offsets[i + 1] - SHINGLE_WORDS + 1
-            out[i] += self.best_windows(shingles[lo:hi], hits[own == i] - lo)
+            out[i] += whole(shingles[lo:hi], hits[own == i] - lo)
         return out
 
-    def best_windows(self, shingles: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int, int]]:
-        """matches() of one text from its shingles and the places of those that items have."""
+    def near_windows(self, shingles: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(start, length, fingerprint, items) of the windows of a text within the radius of items, from its shingles and the places of those that items have; shorter windows first."""
         places, lengths, prints = [], [], []
         sizes = self.lengths[self.lengths <= len(shingles)]
         if len(sizes) < len(self.lengths):  # some items are longer: they are held against the whole text
@@ -199,7 +216,6 @@ class Benchmark:
                     places.append(part)
                     lengths.append(np.full(len(part), length))
                     prints.append(window_prints(shingles, part, length))
-        best: dict[int, tuple] = {}
         for part in range(len(places)) if sum(map(len, places)) > 1 << 16 else ([None] if places else []):
             some = slice(None) if part is None else slice(part, part + 1)
             starts, sizes, found = (np.concatenate(x[some]) for x in (places, lengths, prints))
@@ -208,13 +224,37 @@ class Benchmark:
             who, items = who[same], items[same]
             edges = np.flatnonzero(np.diff(who, prepend=-1))  # pairs come in order of their windows
             for w, own in zip(who[edges].tolist(), np.split(items, edges[1:]) if len(edges) else [], strict=True):
-                start, length = int(starts[w]), int(sizes[w])
-                for item, score in zip(own.tolist(), self.similarities(shingles[start : start + length], own), strict=True):
-                    item_id = self.ids[item]
-                    if score >= self.threshold and (item_id not in best or score > best[item_id][0]):
-                        best[item_id] = (score, start, length + SHINGLE_WORDS - 1, int(found[w] ^ self.index.prints[item]).bit_count())
+                yield int(starts[w]), int(sizes[w]), int(found[w]), own
+
+    def best_windows(self, shingles: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """matches() of one text from its shingles and the places of those that items have."""
+        best: dict[int, tuple] = {}
+        for start, length, own_print, own in self.near_windows(shingles, hits):
+            for item, score in zip(own.tolist(), self.similarities(shingles[start : start + length], own), strict=True):
+                item_id = self.ids[item]
+                if score >= self.threshold and (item_id not in best or round(score, 12) > round(best[item_id][0], 12)):  # of windows that tie, the first
+                    best[item_id] = (score, start, length + SHINGLE_WORDS - 1, (own_print ^ int(self.index.prints[item])).bit_count())
         return [(x, *found) for x, found in sorted(best.items())]
 
+    def possible_windows(self, shingles: np.ndarray, hits: np.ndarray) -> list[tuple]:
+        """(item_id, both, rest, first word, words, differing bits, hashes, times) of windows that may be similar enough: their similarity is both / (rest + the weights of hashes, each so many times)."""
+        out, least = [], math.log(2)  # what a shingle that all items have weighs
+        for start, length, own_print, own in self.near_windows(shingles, hits):
+            hashes, times = np.unique(shingles[start : start + length], return_counts=True)
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            known = self.known[at] == hashes
+            total = float((times * self.weights[at])[known].sum())
+            for item in own.tolist():
+                theirs = slice(self.ends[item], self.ends[item + 1])
+                place = np.minimum(np.searchsorted(self.hashes[theirs], hashes), self.ends[item + 1] - self.ends[item] - 1)
+                same = self.hashes[theirs][place] == hashes
+                both = float((np.minimum(times, self.times[theirs][place]) * self.weights[at])[same].sum())
+                rest = total + float(self.totals[item]) - both
+                if both >= self.threshold * (rest + least * times[~known].sum()) - 1e-9:
+                    bits = (own_print ^ int(self.index.prints[item])).bit_count()
+                    out.append((self.ids[item], both, rest, start, length + SHINGLE_WORDS - 1, bits, hashes[~known].view(np.int64).tolist(), times[~known].tolist()))
+        return out
+
 
 def parts_of(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
     """The items in parts of bounded size: mostly one."""
@@ -225,45 +265,111 @@ def parts_of(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
-def shelves(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> Iterator[Callable[[], Benchmark]]:
-    """For each part of the benchmark, a function that gives it ready for search in a Python worker."""
-    for part in parts_of(benchmark, item, text):
-        rows = [(r[0], r[1]) for r in part.orderBy("item_id", "text").toArrow().to_pandas().itertuples(index=False)]
-        shared, version = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
-        yield lambda shared=shared, version=version: kept("benchmark", version, lambda: Benchmark(shared.value))
+def shared_shingles(items: DataFrame) -> tuple[DataFrame, int]:
+    """hash and n of the shingles that several items (item_id, text) have, and the number of items that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found, _ = flat([[*np.unique(x).view(np.int64).tolist(), None] for t in batch.column(0).to_pylist() if len(x := shingle_hashes(word_hashes(split_words(t))))])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["hash"])
+
+    counted = items.select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n"))  # the null one counts items
+    counted = written(counted.where("n > 1 or hash is null"), "shared")
+    whole = counted.where("hash is null").first()
+    return counted.where("hash is not null"), whole["n"] if whole else 0
+
+
+def own_shingles(part: DataFrame, shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of shared, the rows of shingles that a part's items have, in order: no more than the part, which is bounded, has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_hashes(word_hashes(split_words(t))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64))], names=["hash"])
+
+    rows = shared.join(part.select("text").mapInArrow(run, "hash long").distinct(), "hash").toArrow()
+    hashes, n = rows.column("hash").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def ready_for(spark: SparkSession, part: DataFrame, shared: tuple[np.ndarray, np.ndarray, int] | None = None) -> Callable[[], Benchmark]:
+    """A function that gives a part of the benchmark ready for search in a Python worker."""
+    rows = [(r[0], r[1]) for r in part.orderBy("item_id", "text").toArrow().to_pandas().itertuples(index=False)]
+    sent, version = spark.sparkContext.broadcast((rows, shared)), uuid.uuid4().hex
+    return lambda: kept("benchmark", version, lambda: Benchmark(sent.value[0], shared=sent.value[1]))
+
+
+def matches_in_parts(rows: DataFrame, parts: list[DataFrame], item_kind: str) -> DataFrame:
+    """row_no, item_id, similarity, start_word, n_words and hamming from rows (row_no, text; each row_no once) and all parts of a benchmark."""
+    spark, every = rows.sparkSession, parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    shared, n = shared_shingles(every)
+    schema = f"row_no long, item_id {item_kind}, both double, rest double, start_word long, n_words long, hamming long, hashes array<long>, times array<long>"
+    names, out = [x.split()[0] for x in schema.split(", ")], None
+    for part in parts:
+        ready = ready_for(spark, part, (*own_shingles(part, shared), n))
+
+        def run(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
+            found = ready()
+            for batch in slices(batches):
+                numbers = batch.column(0).to_pylist()
+                got = [(i, *x) for i, own in zip(numbers, found.possible_matches(batch.column(1).to_pylist()), strict=True) for x in own]
+                if got:
+                    kinds = [None] * 7 + [pa.list_(pa.int64())] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+
+        one = written(rows.select("row_no", "text").mapInArrow(run, schema), "possible")  # a worker holds one part at a time
+        out = one if out is None else out.unionByName(one)
+    place = ["row_no", "item_id", "start_word", "n_words"]
+    other = out.select(*place, F.explode(F.arrays_zip("hashes", "times")).alias("x")).select(*place, F.col("x.hashes").alias("hash"), F.col("x.times").alias("times"))
+    weighed = other.join(shared, "hash", "left").groupBy(*place).agg(F.sum(F.col("times") * F.log(1 + n / F.coalesce("n", F.lit(1)))).alias("others"))
+    scored = out.drop("hashes", "times").join(weighed, place, "left").withColumn("similarity", F.col("both") / (F.col("rest") + F.coalesce("others", F.lit(0.0))))
+    best = scored.where(F.col("similarity") >= SIMILARITY).groupBy("row_no", "item_id").agg(
+        F.max_by(F.struct("similarity", "start_word", "n_words", "hamming"), F.struct(F.round("similarity", 12), -F.col("n_words"), -F.col("start_word"))).alias("best")
+    )
+    return best.select("row_no", "item_id", "best.*")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number __row for each row."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item_id, similarity, start_word, n_words and hamming of each document and item that it holds."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    chosen, out = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text")), None
+    chosen, parts = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text")), parts_of(benchmark, item, item_text)
     names = ["row_key", "item_id", "similarity", "start_word", "n_words", "hamming"]
-    for ready in shelves(docs, benchmark, item, item_text):
+    if len(parts) > 1:
+        rows = numbered(chosen).withColumnRenamed("__row", "row_no")
+        return rows.select("row_no", "row_key").join(matches_in_parts(rows, parts, item_kind), "row_no").select(*names).withColumnRenamed("row_key", key)
+    ready = ready_for(docs.sparkSession, parts[0])
 
-        def run(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
-            found = ready()
-            for batch in slices(batches):
-                who, rows = [], []
-                for i, got in enumerate(found.matches(batch.column(1).to_pylist())):
-                    who += [i] * len(got)
-                    rows += got
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), *(pa.array(x) for x in columns)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ready()
+        for batch in slices(batches):
+            who, rows = [], []
+            for i, got in enumerate(found.matches(batch.column(1).to_pylist())):
+                who += [i] * len(got)
+                rows += got
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), *(pa.array(x) for x in columns)], names=names)
 
-        part = chosen.mapInArrow(run, f"row_key {kind}, item_id {item_kind}, similarity double, start_word long, n_words long, hamming long")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("row_key", key)
+    return chosen.mapInArrow(run, f"row_key {kind}, item_id {item_kind}, similarity double, start_word long, n_words long, hamming long").withColumnRenamed("row_key", key)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, all columns."""
-    every = list(shelves(docs, benchmark, item, item_text))
-    for n, ready in enumerate(every, 1):
-        docs = docs.where(~holds_item(ready)(F.col(text).cast("string")))
-        if n < len(every):  # a worker holds one part of a large benchmark at a time
-            docs = written(docs, "clean")
-    return docs
+    parts = parts_of(benchmark, item, item_text)
+    if len(parts) == 1:
+        return docs.where(~holds_item(ready_for(docs.sparkSession, parts[0]))(F.col(text).cast("string")))
+    rows = numbered(docs)
+    chosen = rows.select(F.col("__row").alias("row_no"), F.col(text).cast("string").alias("text"))
+    found = matches_in_parts(chosen, parts, benchmark.schema[item].dataType.simpleString()).select(F.col("row_no").alias("__row")).distinct()
+    return rows.join(found, "__row", "left_anti").drop("__row").select(*docs.columns)
 
 
 def holds_item(ready: Callable[[], Benchmark]) -> Callable[[Column], Column]:

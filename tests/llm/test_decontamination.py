@@ -113,6 +113,33 @@ def test_large_benchmarks_are_searched_in_parts(spark, odd_docs, monkeypatch):
     assert sorted(r.doc_id or 0 for r in M.keep_clean(odd_docs, benchmark).collect()) == [0, 2, 3, 4, 5, 6, 7]
 
 
+def test_parts_change_nothing(spark, monkeypatch):
+    """Items that share shingles across parts: the same rows and similarities with one part and with many."""
+    chance = random.Random(21)
+    openings = [texts(chance, 9) for _ in range(3)]
+    items = [(i, f"{chance.choice(openings)} {texts(chance, chance.choice([6, 9, 14]))} {chance.choice(openings)}") for i in range(60)] + [(70, "two words"), (71, None), (72, openings[0])]
+    docs = []
+    for i, (_, item) in enumerate(items[:60]):
+        words = item.split()
+        if i % 3:
+            words[-1 - i % 5] = "changed"
+        if i % 4 == 3:
+            words += openings[i % 3].split()
+        docs.append((i, " ".join([texts(chance, 20), *words, chance.choice(openings), "two words" if i % 9 == 0 else ""])))
+    docs += [(0, docs[0][1]), (100, texts(chance, 200)), (101, None), (None, docs[5][1])]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        rows = M.find_matches(df, benchmark).collect()
+        return sorted((r.doc_id or -1, r.item_id, round(r.similarity, 9), r.start_word, r.n_words, r.hamming) for r in rows), sorted(r.doc_id or -1 for r in M.keep_clean(df, benchmark).collect())
+
+    one = found()
+    monkeypatch.setattr(M, "MOST_ITEMS", 16)
+    assert len(M.parts_of(benchmark, "item_id", "text")) == 8
+    many = found()
+    assert one == many and len(one[0]) > 60 and any(r[2] < 0.99 for r in one[0]) and 100 in one[1]
+
+
 def test_items_without_a_shingle_match_their_words():
     benchmark = M.Benchmark([(1, "Not a shingle"), (2, "two words"), (3, "not a shingle"), (4, "five words make one shingle")])
     got = benchmark.matches(["here is NOT a\nshingle and not a shingle", "two", "words two words", "not a", None, "five words make one shingle"])
