@@ -26,12 +26,14 @@ LEDGER = "sha string, rules string, n_assign long, n_access long, n_hex long, ba
 FINDINGS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 VERSIONS = "path string, sha string"
 BASE = ("assign", "access", "hex")
-#: Patterns by kind; those of BASE come first. Fixed values.
+#: What stands between the lines of a key, also where line ends are written out.
+GAP = r"(?:\\[nr]|\s)*+"
+#: Patterns by kind; those of BASE come first. A private key is its BEGIN line, the headers and base64 that follow, and its END line, if that is next. Fixed values.
 PATTERNS = {
     "assign": r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?s:.*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|.*)",
+    "private_key": rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{GAP}(?:(?:Proc-Type|DEK-Info): [^\r\n]*|[A-Za-z0-9+/=]{{16,}}|[A-Za-z0-9+/]+={{1,2}}))*+(?:{GAP}[A-Za-z0-9+/=]{{0,76}}{GAP}-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
     "code_host": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
     "chat": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "web_token": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",

@@ -86,6 +86,16 @@ def test_private_keys_go_whole(spark, tmp_path):
     assert out == {1: "before [secret] after", 2: "[secret] and [secret] end", 3: "left open [secret]"}
 
 
+def test_prose_after_a_begin_line_stays(spark, tmp_path):
+    mark, body = "-----BEGIN RSA PRIVATE KEY-----", "MIIEow" + "Q" * 58
+    prose = "is how such a file begins; never commit one. " * 12
+    pem = f"{mark}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{body}\nabc1"
+    rows = [f"{mark} {prose}", f"x {pem}\n-----END RSA PRIVATE KEY-----\n{prose}", f"x {pem}==\n{prose}", f"{mark}\\n{body}\\nab==\\n-----END RSA PRIVATE KEY-----\\n{prose}", f"{mark}\n{prose}\n{mark}\n{body}", mark * 3000 + "A" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in M.redact(docs, M.Ledger(spark, str(tmp_path)).update(docs)).collect()}
+    assert out == {0: f"[secret] {prose}", 1: f"x [secret]\n{prose}", 2: f"x [secret]\n{prose}", 3: f"[secret]\\n{prose}", 4: f"[secret]\n{prose}\n[secret]", 5: "[secret]" * 3000}
+
+
 def test_odd_rows_and_redaction(spark, odd_docs, no_docs, tmp_path):
     ledger = M.Ledger(spark, str(tmp_path))
     assert M.findings(no_docs, ledger.update(no_docs)).count() == 0
