@@ -45,7 +45,14 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is near 1: no square is lost or infinite, and cosines stay exactly what they are."""
+    _, power = np.frexp(np.abs(rows).max(axis=1, initial=0.0))
+    return np.ldexp(rows, -power[:, None])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -261,7 +268,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
         return run
 
     def hold(queries: pa.Table, found: pa.Table) -> pa.Table:
-        a, b = matrix(queries.column("vector"), size), matrix(found.column("vector"), size)
+        a, b = scaled(matrix(queries.column("vector"), size)), scaled(matrix(found.column("vector"), size))
         la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         turn = shared.value.turn
         ra, rb = a / la[:, None] @ turn, b / lb[:, None] @ turn

@@ -101,3 +101,16 @@ def test_scan_abandons_only_far_candidates():
         total += 6
         assert len(near) == 6
     assert hits / total > 0.97
+
+
+def test_tiny_and_huge_vectors_take_part(spark):
+    chance = np.random.default_rng(6)
+    plain = chance.normal(size=(300, 8))
+    sizes = np.array([1.0, 1e-200, 1e200, 5e-310])[np.arange(300) % 4]
+    rows = [(i, v, 0) for i, v in enumerate((plain * sizes[:, None]).tolist())]
+    got = found(M.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 10 < 4))
+    want = brute([(i, v) for i, v in enumerate(plain.tolist())], lambda i: i % 10 < 4)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.99
+    exact = {q: dict(x) for q, x in brute(list(enumerate(plain.tolist())), lambda i: i % 10 < 4, 300).items()}
+    # subnormal components have few digits left
+    assert all(s == pytest.approx(exact[q][i], abs=1e-12 if q % 4 < 3 and i % 4 < 3 else 1e-6) for q, x in got.items() for i, s in x)
