@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import numeric as N
 from ..functions import text as T
+from ..sources.scratch import written
 from .components import connected_components
 from .latest import latest_per_key, top_per_key
+from .resolution import NEAR_M, link, links
 
 #: Fixed values.
 ALIASES = {
@@ -26,7 +28,6 @@ ALIASES = {
     "lon": ("lon", "longitude"),
 }
 BUILD_TYPES, BUILD_STATUSES = ("LAND", "LAND_WITH_BUILDING", "REDEVELOPMENT_SITE"), ("LIVE", "AUCTION")
-NEAR_M, ACCEPT = 75.0, 0.82
 CLUSTER_NAMESPACE = T.namespace("listing-cluster")
 
 
@@ -123,26 +124,11 @@ def merge_observations(seen: DataFrame, keys: tuple[str, ...] = ("source_id", "s
     return seen.groupBy(*keys).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), *(F.max_by(c, last).alias(c) for c in rest))
 
 
-def pair_score(l: str = "l", r: str = "r") -> Column:
-    """How sure it is that two listings are one: of columns url, hashes, address, words, price, lat, lon of both sides; null below all rules."""
-    a = lambda c: F.col(f"{l}.{c}")
-    b = lambda c: F.col(f"{r}.{c}")
-    alike = T.jaccard(a("words"), b("words"))
-    both_placed = a("lat").isNotNull() & a("lon").isNotNull() & b("lat").isNotNull() & b("lon").isNotNull()
-    near = F.coalesce(N.haversine_m(a("lat"), a("lon"), b("lat"), b("lon")) <= NEAR_M, F.lit(False))
-    base = F.lit(0.72) + F.when(alike >= 0.75, 0.12).otherwise(0.0)
-    base = base + F.when(N.prices_close(a("price"), b("price")), 0.10).otherwise(0.0)
-    base = base + F.when(~both_placed | near, 0.08).otherwise(0.0)
-    return (
-        F.when(a("url") == b("url"), 0.995)
-        .when(F.coalesce(F.arrays_overlap(a("hashes"), b("hashes")), F.lit(False)), 0.98)
-        .when(a("address") == b("address"), F.least(base, F.lit(0.995)))
-        .when(both_placed & near & (alike >= 0.85), 0.84)
-    )
-
-
 def candidate_pairs(listings: DataFrame, highest_lat: float = 61.0) -> DataFrame:
-    """l and r (listing structs, l.id < r.id) that share an address or a neighbourhood, each pair once, from an equi-join on keys."""
+    """l and r (listing structs, l.id < r.id) of all pairs that share an address or a neighbourhood, each once, from an equi-join on keys.
+
+    For reports on pairs: as many as there are, so quadratic in an address. Clusters, confidences and reasons come from resolution.links, which are not.
+    """
     whole = listings.select(F.struct("id", "url", "hashes", "address", "words", "price", "lat", "lon").alias("me"))
     step_lat = NEAR_M / 111_000.0 * 1.02
     step_lon = step_lat / math.cos(math.radians(highest_lat))
@@ -161,32 +147,29 @@ def shared_key_edges(keyed: DataFrame, score: float, reason: str) -> DataFrame:
     """Edges from each row (id, key) to the first id of its key: they join a key's rows without pairing them all."""
     first = keyed.groupBy("key").agg(F.min("id").alias("left_id"))
     joined = keyed.withColumnRenamed("id", "right_id").join(first, "key").where("left_id <> right_id")
-    return joined.select("left_id", "right_id", F.lit(score).alias("score"), F.lit(reason).alias("reason"))
+    return joined.select("left_id", "right_id", F.lit(score).alias("score"), F.array(F.lit(reason)).alias("reasons"))
 
 
-def cluster_edges(listings: DataFrame) -> DataFrame:
-    """left_id, right_id, score and reason of accepted links: stars for shared urls, document hashes and listings that are alike in full, scored pairs for addresses and places."""
-    alike = F.struct("address", F.array_sort("words").alias("words"), "price", "lat", "lon")
-    same = listings.where("address is not null and size(words) > 0").select("id", alike.alias("key"))
-    twins = shared_key_edges(same, 0.92, "address")  # the score of equal words and places; equal prices add to it
-    singles = listings.join(twins.select(F.col("right_id").alias("id")), "id", "left_anti")
-    urls = listings.where("url is not null").select("id", F.col("url").alias("key"))
-    hashes = listings.select("id", F.explode(F.array_distinct("hashes")).alias("key"))
-    pairs = candidate_pairs(singles).withColumn("score", pair_score()).where(F.col("score") >= ACCEPT)
-    reason = F.when(F.col("l.address") == F.col("r.address"), "address").otherwise("coordinates")
-    scored = pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "score", reason.alias("reason"))
-    return shared_key_edges(urls, 0.995, "url").unionByName(shared_key_edges(hashes, 0.98, "document_hash")).unionByName(twins).unionByName(scored)
+def accepted_pairs(listings: DataFrame) -> DataFrame:
+    """left_id, right_id, score and reasons of all pairs of candidate_pairs that are links."""
+    judged = candidate_pairs(listings).withColumn("link", link()).where("link is not null")
+    return judged.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "link.score", "link.reasons")
 
 
 def clusters(listings: DataFrame, edges: DataFrame) -> DataFrame:
     """id, cluster_root, confidence and reasons of each listing; one that joins no other is sure of itself."""
     roots = connected_components(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
-    ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id"), "score", "reason")
+    ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id"), "score", F.explode("reasons").alias("reason"))
     own = ends.groupBy("id").agg(F.max("score").alias("confidence"), F.array_sort(F.collect_set("reason")).alias("reasons"))
     joined = listings.select("id").join(roots, F.col("id") == F.col("node"), "left").join(own, "id", "left")
     return joined.select("id", F.coalesce("root", "id").alias("cluster_root"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("reasons", F.array(F.lit("singleton"))).alias("reasons"))
 
 
+def resolved(listings: DataFrame) -> DataFrame:
+    """id, cluster_root, confidence and reasons of listings (id, url, hashes, address, words, price, lat, lon)."""
+    return clusters(listings, written(links(listings), "links"))
+
+
 def cluster_keys(members: DataFrame) -> DataFrame:
     """cluster_root, key and cluster_id: a stable id of the sorted members."""
     listed = members.groupBy("cluster_root").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids"))

@@ -113,8 +113,8 @@ def lpa_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     lx, ly = s % 20 * 250.0, F.floor(s / 20) % 20 * 200.0
     lpas = table(spark, sf_dir, "supplier").select(s.alias("lpa_id"), G.box_shape(lx, ly, lx + 250, ly + 200).alias("shape"))
-    pairs = G.near_pairs(own, lpas, "site_id", "lpa_id", 0.0, cell=250.0)
-    found = pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), F.col("right_id").cast("string").alias("lpa_name"), G.pair_overlap().alias("sqm"), G.area(F.col("left_shape")).alias("area"))
+    pairs = G.shared_areas(G.near_pairs(own, lpas, "site_id", "lpa_id", 0.0, cell=250.0))
+    found = pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), F.col("right_id").cast("string").alias("lpa_name"), "sqm", F.col("left_area").alias("area"))
     shares = planning.lpa_shares(found.where("sqm > 0").withColumn("pct", F.col("sqm") / F.col("area")))
     return shares.select("site_id", "lpa_id", N.round_half_up(F.col("sqm"), 2).alias("sqm"), "is_primary", "crossing", "borough_id")
 
@@ -152,7 +152,36 @@ def listing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"), F.concat(F.lit("u"), key.cast("string")).alias("url"), F.array().cast("array<string>").alias("hashes"), F.concat(F.lit("road "), (key % 20).cast("string")).alias("address"), F.array(F.concat(F.lit("w"), (key % 4).cast("string"))).alias("words"),
         F.col("s_acctbal").alias("price"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
     )
-    return listings.cluster_edges(rows).select("left_id", "right_id")
+    return listings.accepted_pairs(rows).select("left_id", "right_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 < 2 THEN 'u' || s_suppkey // 30 ELSE 'v' || s_suppkey END AS url, CASE WHEN s_suppkey % 7 = 0 THEN 'h' || s_suppkey // 14 END AS h,
+  CASE WHEN s_suppkey % 5 > 0 THEN 'road ' || (s_suppkey // 3 % 17) END AS address, s_suppkey % 4 AS w, CASE WHEN s_suppkey % 11 > 0 THEN floor(abs(s_acctbal) / 400) * 100 END AS price, CASE s_suppkey % 3 WHEN 0 THEN 51.5::DOUBLE WHEN 1 THEN 51.5004::DOUBLE + s_suppkey // 30 * 0.01::DOUBLE END AS lat FROM supplier),
+w AS (SELECT *, list_distinct(['land', 'plot', 'with', 'view', 'x' || (w // 2), 'y' || (w // 3)]) AS words FROM s),
+p AS (SELECT l.id AS a, r.id AS b, l.url = r.url AS same_url, coalesce(l.h = r.h, false) AS same_doc, coalesce(l.address = r.address, false) AS addressed, len(list_intersect(l.words, r.words))::DOUBLE / len(list_distinct(l.words || r.words)) AS sim,
+  coalesce(greatest(l.price, r.price) > 0 AND abs(l.price - r.price) / greatest(l.price, r.price) <= 0.05::DOUBLE, false) AS close,
+  coalesce(abs(l.lat - r.lat) * 111194.926644::DOUBLE <= 75, false) AS near, l.lat IS NULL OR r.lat IS NULL AS absent FROM w l JOIN w r ON l.id < r.id),
+q AS (SELECT *, greatest(CASE WHEN same_url THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN same_doc THEN 0.98::DOUBLE ELSE 0.0::DOUBLE END,
+  CASE WHEN addressed THEN 0.72::DOUBLE + CASE WHEN sim >= 0.75 THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN close THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN near OR absent THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END) AS first FROM p),
+e AS (SELECT a, b, least(CASE WHEN first < 0.82 THEN 0.84::DOUBLE ELSE first END, 0.995::DOUBLE) AS score, list_filter([CASE WHEN same_url THEN 'canonical_url_exact' END, CASE WHEN first < 0.82 THEN 'coordinates_close' END, CASE WHEN addressed AND (near OR absent) THEN 'coordinates_consistent' END,
+  CASE WHEN same_doc THEN 'document_hash_exact' END, CASE WHEN addressed AND close THEN 'guide_price_close' END, CASE WHEN first < 0.82 OR addressed AND sim >= 0.75 THEN 'headline_similarity' END, CASE WHEN addressed THEN 'normalized_address_exact' END], lambda x: x IS NOT NULL) AS reasons
+  FROM q WHERE first >= 0.82 OR near AND sim >= 0.85),
+d AS (SELECT a, b, score, reasons FROM e UNION ALL SELECT b, a, score, reasons FROM e),
+c AS (SELECT id, id AS reach FROM s UNION SELECT c.id, d.b FROM c JOIN d ON c.reach = d.a),
+m AS (SELECT a AS id, max(score) AS confidence, list_distinct(flatten(list(reasons))) AS reasons FROM d GROUP BY 1)
+SELECT id, min(reach) AS cluster_root, round(coalesce(any_value(confidence), 1.0::DOUBLE), 3) AS confidence, coalesce(array_to_string(list_sort(any_value(reasons)), ','), 'singleton') AS reasons FROM c LEFT JOIN m USING (id) GROUP BY 1""")
+def resolved_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as listings with urls, documents, addresses, headlines, prices and places: clusters, confidences and reasons."""
+    key, blank = F.col("s_suppkey"), F.lit(None)
+    text = lambda letter, of: F.concat(F.lit(letter), F.floor(of).cast("string"))
+    words = F.array_distinct(F.array(*map(F.lit, ("land", "plot", "with", "view")), text("x", key % 4 / 2), text("y", key % 4 / 3)))
+    lat = F.when(key % 3 == 0, 51.5).when(key % 3 == 1, F.lit(51.5004) + F.floor(key / 30) * 0.01)
+    rows = table(spark, sf_dir, "supplier").select(
+        key.alias("id"), F.when(key % 9 < 2, text("u", key / 30)).otherwise(text("v", key)).alias("url"), F.when(key % 7 == 0, F.array(text("h", key / 14))).alias("hashes"),
+        F.when(key % 5 > 0, F.concat(F.lit("road "), (F.floor(key / 3) % 17).cast("string"))).alias("address"), words.alias("words"), F.when(key % 11 > 0, F.floor(F.abs("s_acctbal") / 400) * 100).otherwise(blank).alias("price"),
+        lat.alias("lat"), F.when(lat.isNotNull(), -0.1).alias("lon"),
+    )
+    return listings.resolved(rows).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("""WITH k AS (SELECT DISTINCT lower(text) AS t FROM documents), g AS (SELECT lower(text) AS t, min(doc_id) AS root FROM documents GROUP BY 1) SELECT doc_id, root FROM documents JOIN g ON lower(text) = t""")
