@@ -1,7 +1,8 @@
 """Approval model: transform statistics, encoding, logistic fit, calibration, leave-one-out, support checks, explanation.
 
-Statistics over rows are Spark aggregations. The fits are fixed gradient schedules on a template's different training vectors with their counts, a bounded
-number of them; blocks of held-out folds are groups of their own, so the refits run beside each other.
+Statistics over rows are Spark aggregations. The fits are fixed gradient schedules on a template's different training vectors with their counts; blocks of
+held-out cases are groups of their own, so the refits run beside each other. A template too large for that is fitted by Newton steps on sums over all its
+rows (refits): to the optimum, which the schedule has reached there to about 1e-8.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..sources.scratch import written
+from . import refits
 from .ranges import running
 
 #: Schedules of the two fits, readiness, and distances beyond which a case is unlike training.
@@ -23,8 +25,8 @@ FIT = {"steps": 2400, "rate": 0.18, "cut": 0.55, "at": (800, 1600), "l2": 0.04}
 PLATT = {"steps": 1600, "rate": 0.14, "cut": 0.6, "at": (600, 1200), "l2": 0.02}
 LEAST_ROWS, LEAST_OF_CLASS = 7, 3
 MEDIUM_DISTANCE, HIGH_DISTANCE = 1.8, 3.0
-#: Folds that a template's refits are cut to when it has more rows (up to that, each row is a fold), folds that a task fits, and different vectors that a fit takes.
-MOST_FOLDS, FOLD_BLOCK, MOST_VECTORS = 200, 25, 50_000
+#: Cases of a template whose refits follow the schedule (larger ones are refitted by sums), refits of a task, and different vectors of a template that a task fits.
+SCHEDULED, FOLD_BLOCK, MOST_VECTORS = 200, 25, 50_000
 
 
 def transform_spec(rows: DataFrame, numeric: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -101,14 +103,16 @@ def fit_platt(p: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> np.n
 
 
 def compressed(rows: DataFrame, *columns: str) -> DataFrame:
-    """template, vector, label, columns and n, how often they occur: equal rows meet before they reach a fit.
+    """template, vector, label, columns and n, how often they occur: equal rows meet before they reach a fit."""
+    return rows.groupBy("template", "vector", "label", *columns).agg(F.count("*").alias("n"))
 
-    Of a template with more than MOST_VECTORS different ones, about so many by a hash of the vector.
-    """
-    counted = written(rows.groupBy("template", "vector", "label", *columns).agg(F.count("*").alias("n")), "training")
-    different = counted.groupBy("template").agg(F.count("*").alias("__different"))  # a row for each template
-    part = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < F.lit(float(MOST_VECTORS << 30)) / F.col("__different")
-    return counted.join(different, "template").where(part).drop("__different")
+
+def by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of templates with up to `most` rows, and those of larger ones."""
+    held = written(rows, "sized")
+    size = written(held.groupBy("template").agg(F.count("*").alias("__size")), "sizes")
+    small, large = (size.where(test).select("template") for test in (F.col("__size") <= most, F.col("__size") > most))
+    return held.join(small, "template", "left_semi"), held.join(large, "template", "left_semi")
 
 
 def models(rows: DataFrame) -> DataFrame:
@@ -121,16 +125,20 @@ def models(rows: DataFrame) -> DataFrame:
         p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
         return pd.DataFrame({"template": group["template"].iloc[:1], "weights": [w[:, 0].tolist()], "platt": [fit_platt(p, y, n)[:, 0].tolist()], "n": [int(n.sum())]})
 
-    return compressed(rows).groupBy("template").applyInPandas(fit, "template string, weights array<double>, platt array<double>, n long")
+    small, large = by_size(compressed(rows), MOST_VECTORS)
+    schema = f"template {small.schema['template'].dataType.simpleString()}, weights array<double>, platt array<double>, n long"
+    out = small.groupBy("template").applyInPandas(fit, schema)
+    if large.isEmpty():
+        return out
+    fits = refits.whole_fits(large, FIT["l2"])
+    platts = refits.whole_fits(large, PLATT["l2"], {k: w for k, (w, _, _) in fits.items()})
+    return out.unionByName(rows.sparkSession.createDataFrame([(k, w.tolist(), platts[k][0].tolist(), int(n)) for k, (w, _, n) in fits.items()], schema))
 
 
 def cross_validated(rows: DataFrame) -> DataFrame:
-    """template, case_id, label and probability by a model that didn't see the case: one refit for each case, or for each of MOST_FOLDS folds of a larger template."""
-    size = rows.groupBy("template").agg(F.count("*").alias("size"))
-    sized = rows.select("template", "case_id", "vector", "label").join(size, "template")
-    few = sized.where(F.col("size") <= MOST_FOLDS).withColumn("fold", F.row_number().over(Window.partitionBy("template").orderBy("case_id")) - 1)
-    many = sized.where(F.col("size") > MOST_FOLDS).withColumn("fold", F.pmod(F.xxhash64("case_id"), F.lit(MOST_FOLDS)).cast("int"))
-    marked = written(few.unionByName(many).drop("size"), "folds")
+    """template, case_id, label and probability by the model of all other cases of its template; null if those are of one class and many."""
+    small, large = by_size(rows.select("template", "case_id", "vector", "label"), SCHEDULED)
+    marked = written(small.withColumn("fold", F.row_number().over(Window.partitionBy("template").orderBy("case_id")) - 1), "folds")
     folds = marked.select("template", "fold").distinct().withColumn("block", F.floor(F.col("fold") / FOLD_BLOCK).cast("int"))
     blocks = folds.groupBy("template", "block").agg(F.array_sort(F.collect_list("fold")).alias("held"))
     spread = compressed(marked, "fold").join(blocks, "template")
@@ -143,9 +151,13 @@ def cross_validated(rows: DataFrame) -> DataFrame:
         platt = fit_platt(1 / (1 + np.exp(-(w[0] + x @ w[1:]))), y, n)
         return pd.DataFrame({"template": group["template"].iloc[0], "fold": held, "weights": w.T.tolist(), "platt": platt.T.tolist()})
 
-    fits = spread.groupBy("template", "block").applyInPandas(refit, "template string, fold int, weights array<double>, platt array<double>")
-    scored = marked.join(fits, ["template", "fold"]).withColumn("raw", raw_probability(F.col("weights"), F.col("vector")))
-    return scored.select("template", "case_id", "label", calibrated(F.col("platt"), F.col("raw")).alias("probability"))
+    kind = rows.schema["template"].dataType.simpleString()
+    fits = spread.groupBy("template", "block").applyInPandas(refit, f"template {kind}, fold int, weights array<double>, platt array<double>")
+    scored = marked.join(fits, ["template", "fold"]).select("template", "case_id", "label", "vector", "weights", "platt")
+    if not large.isEmpty():
+        other = refits.left_out(compressed(large), FIT["l2"], PLATT["l2"])
+        scored = scored.unionByName(large.join(other, ["template", "vector", "label"]).select(*scored.columns))
+    return scored.select("template", "case_id", "label", calibrated(F.col("platt"), raw_probability(F.col("weights"), F.col("vector"))).alias("probability"))
 
 
 def raw_probability(weights: Column, vector: Column) -> Column:
