@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .shapes import dissolve, overlaps, repair
+from ..sources.scratch import superseded, written
+from .shapes import dissolve, overlaps, pieces, repair
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 SHAPE_TYPE = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
+#: Corners from which on a polygon is cut into pieces before it meets others; shapes that are united at once, at most, and corners, beyond two shapes.
+MOST_CORNERS, FAN, MOST_UNITED = 256, 64, 20_000
 POLYGON_SOURCES_HIGH, POLYGON_SOURCES_MEDIUM = ("SOURCE_POLYGON", "ANALYST_DRAWN"), ("SOURCE_MAP_DIGITISED", "TITLE_UNION")
 
 
@@ -194,12 +197,17 @@ def box_distance(box: Column, p: Column) -> Column:
 
 
 def pair_overlap() -> Column:
-    """Shared square metres of a row of near_pairs(): built in for two boxes, else by overlap_area()."""
+    """Shared square metres of a row of near_pairs(): built in for two boxes, else by overlap_area(). Of a pair in pieces, sum it as shared_areas() does."""
     boxes = F.col("left_is_box") & F.col("right_is_box")
     other = overlap_area(F.when(~boxes, F.col("left_shape")), F.when(~boxes, F.col("right_shape")))
     return F.when(boxes, box_overlap(F.col("left_box"), F.col("right_box"))).otherwise(other)
 
 
+def shared_areas(pairs: DataFrame) -> DataFrame:
+    """PAIR, left_area and sqm (shared square metres) of the pairs of near_pairs(), all pieces together."""
+    return pairs.withColumn("sqm", pair_overlap()).groupBy(*PAIR).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"))
+
+
 def pair_distance() -> Column:
     """Metres from the left polygon of a row of near_pairs() to the right point."""
     p = first_corner(F.col("right_shape"))
@@ -239,15 +247,58 @@ def repaired(shape: Column) -> Column:
     return F.when(plain, shape).otherwise(made_simple(F.when(~plain, shape)))
 
 
-def union_shapes(rows: DataFrame, key: str, shape: str = "shape", parts: int = 16) -> DataFrame:
-    """key and the union of its shapes, in two steps, so that a key's many shapes don't meet in one task."""
-    split = rows.where(F.col(shape).isNotNull() & ~is_point(F.col(shape))).select(key, repaired(F.col(shape)).alias("shape"), F.pmod(F.xxhash64(shape), F.lit(parts)).alias("part"))
-    gathered = lambda df, *keys: df.groupBy(*keys).agg(dissolved_all(F.col("shape")).alias("shape"))
-    return gathered(gathered(split, key, "part").where("shape is not null"), key)
+def space_order(shape: Column) -> Column:
+    """The place of a shape's middle on a Z-shaped curve over squares of one metre."""
+    box = bounds(shape)
 
+    def spread(low: Column, high: Column) -> Column:
+        v = F.pmod(F.floor((low + high) / 2) + (1 << 30), F.lit(1 << 31))
+        for step, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask))
+        return v
 
-def dissolved_all(shape: Column) -> Column:
-    return dissolved(F.flatten(F.collect_list(shape)))
+    return spread(box["minx"], box["maxx"]).bitwiseOR(F.shiftleft(spread(box["miny"], box["maxy"]), 1))
+
+
+def union_shapes(rows: DataFrame, key: str, shape: str = "shape", fan: int = FAN) -> DataFrame:
+    """key and the union of its shapes (points left out), by a tree: in each round neighbours in space order, `fan` at most, become one shape.
+
+    Rounds are dealt out by ranges of key and space order, so a key may have any number of shapes; those that repeat count once.
+    """
+    own = rows.where(F.col(shape).isNotNull() & ~is_point(F.col(shape))).select(F.col(key).alias("key"), repaired(F.col(shape)).alias("shape")).where("shape is not null")
+    placed = lambda df: df.select("key", "shape", space_order(F.col("shape")).alias("z"), F.xxhash64("shape").alias("mark"))
+    held = written(placed(own).dropDuplicates(["key", "mark"]), "shapes")
+    kind = held.schema["key"].dataType.simpleString()
+
+    def unite(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        group: list[tuple[object, list[np.ndarray]]] = []
+        size = 0
+
+        def settle() -> pa.RecordBatch:
+            rings = [r for _, x in group for r in x]
+            return pa.RecordBatch.from_arrays([pa.array([group[0][0]], key_type), as_shapes([dissolve(rings) if len(group) > 1 else rings])], names=["key", "shape"])
+
+        for batch in batches:
+            key_type = batch.schema.field("key").type
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for own_key, rings in zip(part.column("key").to_pylist(), part.column("shape").to_pylist(), strict=True):
+                    if group and (own_key != group[0][0] or len(group) >= fan or (len(group) > 1 and size > MOST_UNITED)):
+                        yield settle()
+                        group, size = [], 0
+                    group.append((own_key, corners(rings)))
+                    size += sum(map(len, group[-1][1]))
+        if group:
+            yield settle()
+
+    while True:
+        most, n = held.groupBy("key").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+        if most <= fan:
+            break
+        dealt = held.repartitionByRange(max(1, n // (16 * fan)), "key", "z", "mark").sortWithinPartitions("key", "z", "mark")
+        last, held = held, written(placed(dealt.select("key", "shape").mapInArrow(unite, f"key {kind}, shape {SHAPE}")), "shapes")
+        superseded(last)
+    return held.groupBy("key").agg(dissolved(F.flatten(F.collect_list("shape"))).alias("shape")).withColumnRenamed("key", key)  # `fan` shapes at most
 
 
 def within(inner: Column, outer: Column) -> Column:
@@ -307,15 +358,36 @@ def cells(box: Column, size: float, margin: float = 0.0) -> Column:
     return F.flatten(F.transform(F.sequence(lo(box["minx"]), hi(box["maxx"])), lambda x: F.transform(F.sequence(lo(box["miny"]), hi(box["maxy"])), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+@F.arrow_udf(ArrayType(SHAPE_TYPE))
+def cut_up(shapes: pa.Array) -> pa.Array:
+    found = [None if x is None else as_shapes(pieces(corners(x), MOST_CORNERS)).to_pylist() for x in shapes.to_pylist()]
+    return pa.array(found, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+
+
+def in_pieces(shape: Column) -> Column:
+    """The shape as an array of pieces of at most about MOST_CORNERS corners that together are the shape; mostly of itself alone."""
+    many = F.size(F.flatten(shape)) > MOST_CORNERS
+    found = cut_up(F.when(many, shape))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(shape))
+
+
+#: What tells apart the pairs of near_pairs(): ids and hashes of the whole shapes.
+PAIR = ["left_id", "left_mark", "right_id", "right_mark"]
+
+
 def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, within: float, cell: float = 1000.0) -> DataFrame:
     """Candidate pairs of rows (each with a column shape) whose boxes come within a distance: an equi-join on grid cells, each pair once.
 
     A pair is taken in the one cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct. Ids and boxes
     meet in the cells; shapes are joined to the pairs that are left. An id may have several shapes, each a row of its own; rows alike in both count once.
+
+    Large polygons meet in pieces, as rows of their own with the same PAIR: a shared area is the sum over a pair's rows, a distance the least of
+    them, and a point is within if it is within any. left_area and right_area are those of the whole shapes.
     """
     def described(df: DataFrame, key: str, side: str) -> DataFrame:
-        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), F.xxhash64("shape").alias(f"{side}_mark"), F.col("shape").alias(f"{side}_shape"))
-        return own.dropDuplicates([f"{side}_id", f"{side}_mark"]).withColumns({f"{side}_box": bounds(F.col(f"{side}_shape")), f"{side}_is_box": is_box(F.col(f"{side}_shape"))})
+        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), F.xxhash64("shape").alias(f"{side}_mark"), "shape", area(F.col("shape")).alias(f"{side}_area"))
+        each = own.dropDuplicates([f"{side}_id", f"{side}_mark"]).select(f"{side}_id", f"{side}_mark", f"{side}_area", F.posexplode(in_pieces(F.col("shape"))).alias(f"{side}_piece", f"{side}_shape"))
+        return written(each.withColumns({f"{side}_box": bounds(F.col(f"{side}_shape")), f"{side}_is_box": is_box(F.col(f"{side}_shape"))}), f"{side}-shapes")
 
     a, b = described(left, left_id, "left"), described(right, right_id, "right")
     meet = [
@@ -326,5 +398,6 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, w
     in_cells = a.drop("left_shape").withColumn("cell", F.explode(cells(F.col("left_box"), cell, within)))
     others = b.drop("right_shape").withColumn("cell", F.explode(cells(F.col("right_box"), cell)))
     pairs = in_cells.join(others, "cell").where(meet[0] & meet[1] & (F.col("cell.cx") == corner[0]) & (F.col("cell.cy") == corner[1])).drop("cell")
-    whole = pairs.join(a.select("left_id", "left_mark", "left_shape"), ["left_id", "left_mark"]).join(b.select("right_id", "right_mark", "right_shape"), ["right_id", "right_mark"])
-    return whole.drop("left_mark", "right_mark")
+    keys = [[f"{side}_id", f"{side}_mark", f"{side}_piece"] for side in ("left", "right")]
+    whole = pairs.join(a.select(*keys[0], "left_shape"), keys[0]).join(b.select(*keys[1], "right_shape"), keys[1])
+    return whole.drop("left_piece", "right_piece")

@@ -70,8 +70,9 @@ def band_counts(pairs: DataFrame) -> DataFrame:
 
 def nearby_history(sites: DataFrame, cases: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """band_counts() of labelled cases (case_id, shape, label_class, template, decision_date) within 500 m of sites (site_id, shape, as_of, template), linked ones left out."""
-    near = G.near_pairs(sites, cases, "site_id", "case_id", 500.0, cell=1000.0)
-    pairs = near.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("case_id"), G.pair_distance().alias("distance_m"))
+    spots = cases.withColumn("shape", G.point_shape(G.first_corner(F.col("shape"))))
+    near = G.near_pairs(sites, spots, "site_id", "case_id", 500.0, cell=1000.0).withColumn("distance_m", G.pair_distance()).groupBy(*G.PAIR).agg(F.min("distance_m").alias("distance_m"))
+    pairs = near.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("case_id"), "distance_m")
     if linked is not None:
         pairs = pairs.join(linked.select("site_id", "case_id"), ["site_id", "case_id"], "left_anti")
     full = pairs.join(sites.select("site_id", "as_of", F.col("template").alias("own")), "site_id").join(cases.select("case_id", "label_class", "template", "decision_date"), "case_id")

@@ -9,6 +9,7 @@ from ..functions import geo as G
 from ..functions import numeric as N
 from ..functions import text as T
 from ..sources.scratch import superseded, written
+from .containment import contained
 from .latest import effective_on, latest_per_key
 
 #: Fixed values.
@@ -34,13 +35,14 @@ def spatial_matches(sites: DataFrame, features: DataFrame, near_m: float = 0.0,
     """
     pairs = G.near_pairs(sites, features, site_id, feature_id, max(near_m, 0.001))
     own, other = F.col("left_shape"), F.col("right_shape")
-    polygons = pairs.where(~G.is_point(other) & ~G.is_point(own)).withColumn("sqm", G.pair_overlap()).withColumn("distance_m", F.lit(0.0))
-    corners = F.exists(F.flatten(own), lambda p: G.distance_to(other, p) <= 0.001) | F.exists(F.flatten(other), lambda p: G.distance_to(own, p) <= 0.001)
-    touching = polygons.where((F.col("sqm") > 0) | corners).withColumn("link_type", F.lit("POLYGON_INTERSECTS"))
-    points = pairs.where(G.is_point(other)).withColumn("sqm", F.lit(0.0)).withColumn("distance_m", G.pair_distance())
-    points = points.where(F.col("distance_m") <= near_m).withColumn("link_type", F.when(F.col("distance_m") == 0, "POINT_WITHIN_SITE").otherwise("POINT_NEAR_SITE"))
-    out = touching.unionByName(points)
-    share = F.coalesce(F.try_divide(F.col("sqm"), G.area(own)), F.lit(0.0))
+    sqm, corner = G.pair_overlap(), lambda a, b: F.exists(F.flatten(a), lambda p: G.distance_to(b, p) <= 0.001)
+    polygons = pairs.where(~G.is_point(other) & ~G.is_point(own)).withColumn("sqm", sqm).withColumn("meets", F.when(F.col("sqm") > 0, True).otherwise(corner(own, other) | corner(other, own)))
+    whole = polygons.groupBy(*G.PAIR).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"), F.max("meets").alias("meets"))
+    touching = whole.where("meets").withColumns({"distance_m": F.lit(0.0), "link_type": F.lit("POLYGON_INTERSECTS")})
+    points = pairs.where(G.is_point(other)).withColumn("distance_m", G.pair_distance()).groupBy(*G.PAIR).agg(F.first("left_area").alias("left_area"), F.min("distance_m").alias("distance_m"))
+    points = points.where(F.col("distance_m") <= near_m).withColumn("sqm", F.lit(0.0)).withColumn("link_type", F.when(F.col("distance_m") == 0, "POINT_WITHIN_SITE").otherwise("POINT_NEAR_SITE"))
+    out = touching.drop("meets").unionByName(points)
+    share = F.coalesce(F.try_divide("sqm", "left_area"), F.lit(0.0))
     return out.select(F.col("left_id").alias(site_id), F.col("right_id").alias(feature_id), "link_type", F.col("sqm").alias("overlap_sqm"), share.alias("overlap_pct"), "distance_m")
 
 
@@ -62,26 +64,20 @@ def lpa_shares(overlaps: DataFrame) -> DataFrame:
 
 
 def title_candidates(sites: DataFrame, titles: DataFrame) -> DataFrame:
-    """site_id, title_number and score of titles by address (equal .95, one within the other .8) or by the site's point (1.0); the best of each, .75 or more.
-
-    Part addresses meet through their shared words' prefixes: an address within another one shares its first three words somewhere in it.
-    """
-    s = sites.select("site_id", "address", "spot").withColumn("words", F.split("address", " "))
-    t = titles.select("title_number", "address", "shape").withColumn("words", F.split("address", " "))
-    equal = s.join(t, "address").select("site_id", "title_number", F.lit(0.95).alias("score"))
-
-    def starts(df: DataFrame) -> DataFrame:
-        return df.where("address is not null").withColumn("key", F.array_join(F.slice("words", 1, 3), " "))
-
-    def runs(df: DataFrame) -> DataFrame:
-        at = F.sequence(F.lit(1), F.size("words"))
-        return df.where("address is not null").withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice("words", i, n), " ")))))))
-
-    inner = starts(s).alias("s").join(runs(t).alias("t"), "key").where(F.col("t.address").contains(F.col("s.address"))).select("site_id", "title_number", F.lit(0.8).alias("score"))
-    outer = starts(t).alias("t").join(runs(s).alias("s"), "key").where(F.col("s.address").contains(F.col("t.address"))).select("site_id", "title_number", F.lit(0.8).alias("score"))
+    """site_id, title_number and score of titles by address (equal .95, one within the other .8) or by the site's point (1.0); the best of each, .75 or more."""
+    s = sites.select("site_id", "address", "spot")
+    t = titles.select("title_number", "address", "shape")
+    own, theirs = s.where("address <> ''").select("site_id", "address"), t.where("address <> ''").select("title_number", "address")
+    equal = own.join(theirs, "address").select("site_id", "title_number", F.lit(0.95).alias("score"))
+    as_part, as_whole = (lambda df: df.select(F.col("address").alias("part"))), (lambda df: df.select(F.col("address").alias("whole")))
+    inner = contained(as_part(own), as_whole(theirs)).toDF("site_address", "title_address")
+    outer = contained(as_part(theirs), as_whole(own)).toDF("title_address", "site_address")
+    pairs = written(inner.unionByName(outer), "within")  # of different addresses; their sites and titles join them
+    partly = own.join(pairs, F.col("address") == F.col("site_address")).drop("address").join(theirs, F.col("address") == F.col("title_address"))
+    partly = partly.select("site_id", "title_number", F.lit(0.8).alias("score"))
     spots = G.near_pairs(s.where("spot is not null").withColumn("shape", G.point_shape(F.col("spot"))), t.where("shape is not null"), "site_id", "title_number", 0.001)
     within = spots.where(G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))).select(F.col("left_id").alias("site_id"), F.col("right_id").alias("title_number"), F.lit(1.0).alias("score"))
-    every = equal.unionByName(inner).unionByName(outer).unionByName(within)
+    every = equal.unionByName(partly).unionByName(within)
     return every.groupBy("site_id", "title_number").agg(F.max("score").alias("score")).where(F.col("score") >= TITLE_SCORE)
 
 

@@ -35,9 +35,10 @@ def build(clusters: DataFrame, boundaries: DataFrame) -> DataFrame:
     sites = sites.withColumns({"geometry_hash": G.geometry_hash(F.col("shape")), "area_sqm": G.area(F.col("shape")), "geom_confidence": G.confidence(F.col("source_type"), F.col("shape"))})
     pairs = G.near_pairs(sites, boundaries, "site_id", "lpa_id", 0.001, cell=5_000.0)
     names = boundaries.select(F.col("lpa_id").alias("right_id"), F.col("name").alias("lpa_name"))
-    shares = pairs.withColumn("sqm", G.pair_overlap()).join(names, "right_id")
-    shares = shares.where((F.col("sqm") > 0) | (G.is_point(F.col("left_shape")) & G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))))
-    found = shares.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), "lpa_name", "sqm", F.coalesce(F.try_divide(F.col("sqm"), G.area(F.col("left_shape"))), F.lit(0.0)).alias("pct"))
+    spot = G.is_point(F.col("left_shape")) & G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))
+    each = pairs.withColumn("sqm", G.pair_overlap()).groupBy(*G.PAIR).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"), F.max(spot).alias("spot"))
+    shares = each.where("sqm > 0 or spot").join(names, "right_id")
+    found = shares.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("lpa_id"), "lpa_name", "sqm", F.coalesce(F.try_divide("sqm", "left_area"), F.lit(0.0)).alias("pct"))
     links = planning.lpa_shares(found).where("is_primary").select("site_id", "borough_id", "crossing")
     out = sites.join(links, "site_id", "left")
     return out.withColumn("status", G.site_status(F.col("geom_confidence"), F.coalesce(F.col("crossing") == "MATERIAL", F.lit(False))))

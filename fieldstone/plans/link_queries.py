@@ -96,8 +96,24 @@ def holed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     own = table(spark, sf_dir, "supplier").select(k.alias("site_id"), G.box_shape(k % 40 * 100, F.lit(0), k % 40 * 100 + 13, F.lit(9)).alias("shape"))
     parts = wkt_parts(spark, sf_dir).select("part_id", G.shape_from_wkt(F.col("wkt")).alias("shape"))
-    pairs = G.near_pairs(own, parts, "site_id", "part_id", 0.0, cell=100.0)
-    return pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("part_id"), F.floor(G.pair_overlap() * 10 + 0.5).cast("long").alias("sqm_x10")).where("sqm_x10 > 0")
+    pairs = G.shared_areas(G.near_pairs(own, parts, "site_id", "part_id", 0.0, cell=100.0))
+    return pairs.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("part_id"), F.floor(F.col("sqm") * 10 + 0.5).cast("long").alias("sqm_x10")).where("sqm_x10 > 0")
+
+
+@query("""WITH c AS (SELECT n_nationkey AS k, n_nationkey * 400 + i AS x, 5 + (i * 7 + n_nationkey) % 11 AS h FROM nation, (SELECT unnest(range(300)) AS i)),
+p AS (SELECT p_partkey AS part_id, p_partkey % 10000 AS lo, p_partkey % 10000 + p_size AS hi, 1 + p_partkey % 20 AS h FROM part)
+SELECT part_id, k AS nation, CAST(sum(least(p.h, c.h)) AS DOUBLE) AS sqm FROM p JOIN c ON c.x >= p.lo AND c.x < p.hi GROUP BY 1, 2""")
+def skyline_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What boxes share with outlines of some 600 corners, which meet them in pieces."""
+    k, p = F.col("n_nationkey"), F.col("p_partkey")
+    left = lambda i: k * 400 + i
+    height = lambda i: F.lit(5) + (i * 7 + k) % 11
+    roofs = F.flatten(F.transform(F.sequence(F.lit(299), F.lit(0)), lambda i: F.array(G.point(left(i) + 1, height(i)), G.point(left(i), height(i)))))
+    skylines = table(spark, sf_dir, "nation").select(k.alias("nation"), F.array(F.concat(F.array(G.point(left(F.lit(0)), F.lit(0)), G.point(left(F.lit(300)), F.lit(0))), roofs)).alias("shape"))
+    x = p % 10_000
+    own = table(spark, sf_dir, "part").select(p.alias("part_id"), G.box_shape(x, F.lit(0), x + F.col("p_size"), 1 + p % 20).alias("shape"))
+    pairs = G.shared_areas(G.near_pairs(own, skylines, "part_id", "nation", 0.0, cell=100.0))
+    return pairs.select(F.col("left_id").alias("part_id"), F.col("right_id").alias("nation"), N.round_half_up(F.col("sqm"), 3).alias("sqm")).where("sqm > 0")
 
 
 @query("""WITH b AS (SELECT c_nationkey AS owner, c_custkey % 500 * 4 AS lo, c_custkey % 500 * 4 + 3 + c_custkey % 4 AS hi FROM customer), m AS (SELECT *, max(hi) OVER (PARTITION BY owner ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b)
@@ -120,7 +136,7 @@ def repaired_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT s_suppkey AS site_id, CASE s_suppkey % 3 WHEN 0 THEN (s_suppkey % 90) || ' high road' WHEN 1 THEN 'flat 2 ' || (s_suppkey % 90) || ' high road' END AS a, CASE WHEN s_suppkey % 3 = 2 THEN s_suppkey * 3 % 1000 END AS p FROM supplier),
 t AS (SELECT c_custkey AS title, (c_custkey % 200) || CASE WHEN c_custkey % 2 = 0 THEN ' high road' ELSE ' high road camden' END AS a, c_custkey * 10 % 1000 AS x FROM customer),
-m AS (SELECT site_id, title, 0.95::DOUBLE AS score FROM s JOIN t ON s.a = t.a UNION ALL SELECT site_id, title, 0.8::DOUBLE FROM s JOIN t ON contains(' ' || t.a || ' ', ' ' || s.a || ' ') OR contains(' ' || s.a || ' ', ' ' || t.a || ' ') UNION ALL SELECT site_id, title, 1.0::DOUBLE FROM s JOIN t ON p >= x AND p < x + 10)
+m AS (SELECT site_id, title, 0.95::DOUBLE AS score FROM s JOIN t ON s.a = t.a UNION ALL SELECT site_id, title, 0.8::DOUBLE FROM s JOIN t ON contains(t.a, s.a) OR contains(s.a, t.a) UNION ALL SELECT site_id, title, 1.0::DOUBLE FROM s JOIN t ON p >= x AND p < x + 10)
 SELECT site_id, title AS title_number, max(score) AS score FROM m GROUP BY 1, 2""")
 def title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of sites by equal address, by one address within the other, or by the site's point."""

@@ -100,4 +100,4 @@ def gml_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = whole(table(spark, sf_dir, "nation"), F.concat(F.lit("<parcel><id>"), k.cast("string"), F.lit("</id><pos>"), pos, F.lit("</pos></parcel>")), "<all>", "</all>", "gml")
     hits = readers.polygons_with_point(spark, path, "parcel", "pos", 30.0, 5.0).agg(F.count("*").alias("hits"))
     union = readers.union_with_point(spark, path, "parcel", "pos", 30.0, 5.0).select(N.round_half_up(G.area(F.col("shape")), 3).alias("area"))
-    return union.join(hits, F.lit(True))
+    return union.withColumn("one", F.lit(1)).join(hits.withColumn("one", F.lit(1)), "one").drop("one")  # a row each

@@ -3,6 +3,7 @@ import hashlib
 import json
 import math
 import random
+import time
 import uuid
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from fieldstone.functions import geo as G
 from fieldstone.functions import html as H
 from fieldstone.functions import numeric as N
+from fieldstone.functions import shapes
 from fieldstone.functions import text as T
 from fieldstone.functions.shapes import dissolve, overlaps
+from fieldstone.operators import planning
 
 
 def one(spark, value, column, kind="string"):
@@ -215,3 +218,99 @@ def test_near_pairs_are_complete_and_single(spark):
     got = sorted((r.left_id, r.right_id) for r in G.near_pairs(df, df, "id", "id", 20.0, cell=50.0).collect())
     gap = lambda a, b: max(max(min(p[k] for p in b[0]) - max(p[k] for p in a[0]), min(p[k] for p in a[0]) - max(p[k] for p in b[0])) for k in "xy")
     assert got == sorted((i, j) for i, a in boxes for j, b in boxes if gap(a, b) <= 20)
+
+
+def wavy(corners, seed=3, size=1000.0, noise=0.002):
+    chance = np.random.default_rng(seed)
+    turn = np.sort(chance.random(corners)) * 2 * np.pi
+    far = size * (1 + noise * chance.normal(size=corners))
+    return np.stack([far * np.cos(turn), far * np.sin(turn)], axis=1)
+
+
+def signed_area(rings):
+    return sum((x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2 for x, y in (r.T for r in rings))
+
+
+def as_rows(rings):
+    return [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
+
+
+def test_large_rings_are_repaired_soon():
+    ring = wavy(20_000)
+    began = time.time()
+    assert shapes.repair([ring])[0] is ring and time.time() - began < 2
+    bow = np.concatenate([ring[:5000], ring[5000:10_000][::-1], ring[10_000:]])  # a quarter runs backwards
+    out = shapes.repair([bow])
+    assert signed_area(shapes.dissolve(out)) == pytest.approx(signed_area(out), rel=1e-9) and time.time() - began < 20
+
+
+def test_crossings_are_those_of_all_pairs():
+    chance = np.random.default_rng(2)
+    for n in (0, 1, 40, 700):
+        a = chance.normal(size=(n, 2))
+        edges = np.concatenate([a, a + chance.normal(size=(n, 2)) * chance.choice([0.02, 0.3, 3.0], size=(n, 1))], axis=1)
+        edges[::7, 2] = edges[::7, 0]
+        got = {(min(i, j), max(i, j)) for x, y in shapes.near_edges(edges) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        for i in range(n):
+            d, u = edges[:, 2:] - edges[:, :2], edges[i, 2:] - edges[i, :2]
+            base, gap = u[0] * d[:, 1] - u[1] * d[:, 0], edges[:, :2] - edges[i, :2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t, s = (gap[:, 0] * d[:, 1] - gap[:, 1] * d[:, 0]) / base, (gap[:, 0] * u[1] - gap[:, 1] * u[0]) / base
+            assert {(min(i, j), max(i, j)) for j in np.flatnonzero((base != 0) & (t > 0) & (t < 1) & (s > 0) & (s < 1)).tolist()} <= got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_outlines_of_tangles_keep_their_area(seed):
+    steps = np.random.default_rng(seed).normal(size=(400, 2))
+    walk = np.cumsum(steps, axis=0) - np.linspace(0, 1, 400)[:, None] * steps.sum(axis=0)
+    out = shapes.dissolve([walk])
+    assert signed_area(shapes.dissolve(out)) == pytest.approx(signed_area(out), rel=1e-7)
+    grid = np.random.default_rng(9).uniform(walk.min(axis=0), walk.max(axis=0), size=(300, 2))
+
+    def winds(rings, p):
+        total = 0.0
+        for r in rings:
+            a = np.arctan2(*(r - p).T)
+            total += ((np.diff(np.append(a, a[0])) + np.pi) % (2 * np.pi) - np.pi).sum()
+        return round(total / (2 * np.pi)) != 0
+
+    assert all(winds([walk], p) == winds(out, p) for p in grid)
+
+
+def test_pieces_make_up_the_whole():
+    outer, hole = wavy(3000), wavy(900, seed=5, size=300.0)[::-1]
+    found = shapes.pieces([outer, hole], 200)
+    assert len(found) > 15 and max(sum(map(len, x)) for x in found) < 400
+    assert sum(map(signed_area, found)) == pytest.approx(signed_area([outer, hole]), rel=1e-9)
+    assert shapes.overlaps(found[:-1], found[1:]).max() < 1e-3
+    assert shapes.pieces([outer], 3000)[0][0] is outer
+
+
+def test_large_polygons_meet_in_pieces(spark):
+    """A boundary of 6,000 corners against many sites: areas, distances and containment as for the whole polygon."""
+    outer, hole = wavy(6000), wavy(500, seed=5, size=300.0)[::-1]
+    chance = np.random.default_rng(8)
+    spots = chance.uniform(-1200, 1200, size=(120, 2))
+    boxes = [np.array([(x, y), (x + w, y), (x + w, y + w), (x, y + w)]) for (x, y), w in zip(spots, chance.uniform(1, 300, 120), strict=True)]
+    kind = f"id int, shape {G.SHAPE}"
+    whole, own = spark.createDataFrame([(1, as_rows([outer, hole]))], kind), spark.createDataFrame([(i, as_rows([b])) for i, b in enumerate(boxes)], kind)
+    rows = G.near_pairs(own, whole, "id", "id", 0.0)
+    got = {r.left_id: r.sqm for r in G.shared_areas(rows).collect()}
+    want = shapes.overlaps([[b] for b in boxes], [[outer, hole]] * 120)
+    assert all(got.get(i, 0.0) == pytest.approx(w, abs=1e-6 * max(1.0, w)) for i, w in enumerate(want)) and (want > 0).sum() > 60
+    assert rows.select(F.max(F.size(F.flatten("right_shape")))).first()[0] < 600
+    matches = planning.spatial_matches(whole.withColumnRenamed("id", "site_id"), spark.createDataFrame([(i, as_rows([np.array([p])])) for i, p in enumerate(spots)], kind.replace("id", "feature_id")), 50.0)
+    exact = spark.createDataFrame([(i, as_rows([outer, hole]), {"x": float(x), "y": float(y)}) for i, (x, y) in enumerate(spots)], f"id int, shape {G.SHAPE}, p struct<x:double,y:double>")
+    exact = {r.id: r.d for r in exact.select("id", G.distance_to(F.col("shape"), F.col("p")).alias("d")).collect()}
+    found = {r.feature_id: r.distance_m for r in matches.collect()}
+    assert found == pytest.approx({i: d for i, d in exact.items() if d <= 50.0}, abs=1e-6) and 0.0 in found.values() and max(found.values()) > 1
+
+
+def test_union_of_many_shapes_under_one_key(spark):
+    """A tree of unions: 3,000 boxes and wedges of one key, some repeated, against one union of all."""
+    rows = [("a", i, i % 60 * 10.0, i // 60 * 10.0) for i in range(2990)] + [("a", 7, 70.0, 0.0)] * 10 + [("b", 1, 0.0, 0.0), (None, 1, 5.0, 5.0)]
+    ring = lambda i, x, y: np.array([(x, y), (x + 11, y), (x + 11, y + 11 if i % 3 else y + 5.0), (x, y + 11)])
+    df = spark.createDataFrame([(k, as_rows([ring(i, x, y)])) for k, i, x, y in rows], f"owner string, shape {G.SHAPE}").repartition(5)
+    got = {r.owner: r.area for r in G.union_shapes(df, "owner", fan=8).select("owner", G.area(F.col("shape")).alias("area")).collect()}
+    want = signed_area(shapes.dissolve([ring(i, x, y) for k, i, x, y in rows if k == "a"]))
+    assert got == {"a": pytest.approx(want, rel=1e-9), "b": 121.0, None: 121.0}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldstone.functions import geo as G
-from fieldstone.operators import assessments, comparables, components, control, features, latest, listings, planning, ranges, ranking, readback, scenarios, scoring, sites, valuation
+from fieldstone.operators import assessments, comparables, components, containment, control, features, latest, listings, planning, ranges, ranking, readback, refits, resolution, scenarios, scoring, sites, valuation
 from fieldstone.sources import readers
 from fieldstone.streaming import jobs
 
@@ -61,11 +61,12 @@ def test_listing_resolution(spark):
         (7, "u7", [], None, ["garden", "plot", "kent"], None, 51.502, -0.1), (8, None, None, None, None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "id int, url string, hashes array<string>, address string, words array<string>, price double, lat double, lon double")
-    edges = listings.cluster_edges(df)
-    assert {(r.left_id, r.right_id, r.reason) for r in edges.collect()} == {(1, 2, "url"), (1, 3, "document_hash"), (1, 4, "address"), (1, 5, "address"), (4, 5, "address"), (1, 6, "coordinates")}
+    edges = resolution.links(df)
+    assert {(r.left_id, r.right_id) for r in edges.collect()} <= {(1, 2), (1, 3), (1, 4), (1, 5), (4, 5), (1, 6)}
     members = listings.clusters(df, edges)
     got = {r.id: (r.cluster_root, r.reasons) for r in members.collect()}
-    assert [got[i][0] for i in range(1, 9)] == [1, 1, 1, 1, 1, 1, 7, 8] and got[8][1] == ["singleton"] and got[1][1] == ["address", "coordinates", "document_hash", "url"]
+    assert [got[i][0] for i in range(1, 9)] == [1, 1, 1, 1, 1, 1, 7, 8] and got[8][1] == ["singleton"]
+    assert got[1][1] == ["canonical_url_exact", "coordinates_close", "coordinates_consistent", "document_hash_exact", "guide_price_close", "headline_similarity", "normalized_address_exact"]
     keys = listings.cluster_keys(members).collect()
     assert len({k.cluster_id for k in keys}) == 3 and keys == listings.cluster_keys(members).collect()
 
@@ -116,10 +117,20 @@ def test_spatial_matches(spark):
 
 
 def test_title_candidates(spark):
-    s = spark.createDataFrame([(1, "12 high street camden", None), (2, "flat 3 12 high street camden london", None), (3, None, {"x": 5.0, "y": 5.0}), (4, "7 elm road", None)], "site_id int, address string, spot struct<x:double,y:double>")
-    t = spark.createDataFrame([("A", "12 high street camden", ring(0, 0, 10)), ("B", "12 high street", ring(50, 50, 10))], f"title_number string, address string, shape {G.SHAPE}")
+    s = spark.createDataFrame([(1, "12 high street camden", None), (2, "flat 3 12 high street camden london", None), (3, None, {"x": 5.0, "y": 5.0}), (4, "7 elm road", None), (5, "1 high road", None), (6, "", None)], "site_id int, address string, spot struct<x:double,y:double>")
+    t = spark.createDataFrame([("A", "12 high street camden", ring(0, 0, 10)), ("B", "12 high street", ring(50, 50, 10)), ("C", "flat 11 high road", ring(70, 50, 10)), ("D", "elm", None), ("E", None, ring(90, 90, 5)), ("F", "", None)], f"title_number string, address string, shape {G.SHAPE}")
     got = {(r.site_id, r.title_number): r.score for r in planning.title_candidates(s, t).collect()}
-    assert got == {(1, "A"): 0.95, (1, "B"): 0.8, (2, "A"): 0.8, (2, "B"): 0.8, (3, "A"): 1.0}
+    assert got == {(1, "A"): 0.95, (1, "B"): 0.8, (2, "A"): 0.8, (2, "B"): 0.8, (3, "A"): 1.0, (5, "C"): 0.8, (4, "D"): 0.8}
+
+
+def test_strings_within_strings(spark):
+    chance = random.Random(3)
+    word = lambda n: "".join(chance.choice("ab 1é") for _ in range(n))
+    parts = [word(chance.randrange(0, 9)) for _ in range(150)] + ["a", "a", "zz", "zzzzz"]
+    wholes = [word(chance.randrange(0, 25)) for _ in range(150)] + ["a"]
+    want = {(p, w) for p in parts for w in wholes if p and p in w and p != w}
+    got = containment.contained(spark.createDataFrame([(x,) for x in [*parts, None]], "part string"), spark.createDataFrame([(x,) for x in [*wholes, None]], "whole string")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
 @pytest.mark.parametrize("decision,status,want", [("Conditional Grant", "x", "APPROVED"), ("Disapproved", None, "APPROVED"), ("REFUSED", None, "REFUSED"), ("", "withdrawn by applicant", "WITHDRAWN"), (None, None, "")])
@@ -413,21 +424,68 @@ def test_counted_vectors_fit_like_repeated_ones():
     assert scoring.fit_platt(p, y, n[:, None].astype(float))[:, 0] == pytest.approx(scoring.fit_platt(np.repeat(p, n), np.repeat(y, n)), abs=1e-9)
 
 
-def test_large_templates_are_held_out_by_folds(spark):
-    chance = np.random.default_rng(8)
-    x = np.round(chance.normal(size=(260, 2)), 1)
-    rows = [("t", i, v.tolist(), int(v[0] + chance.normal() > 0)) for i, v in enumerate(x)]
-    got = scoring.cross_validated(spark.createDataFrame(rows, "template string, case_id int, vector array<double>, label int")).collect()
-    assert sorted(r.case_id for r in got) == list(range(260)) and all(0 < r.probability < 1 for r in got)
-    assert np.mean([(r.probability > 0.5) == r.label for r in got]) > 0.7
+def optimum(x, y, l2, start, n=None):
+    """Newton's method on all rows, by the book."""
+    one, w, n = np.column_stack([np.ones(len(x)), x]), np.array(start, float), np.ones(len(y)) if n is None else n
+    shrink = np.append(0.0, np.full(len(w) - 1, l2))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-one @ w))
+        w = w - np.linalg.solve((one * (n * p * (1 - p))[:, None]).T @ one / n.sum() + np.diag(shrink), one.T @ (n * (p - y)) / n.sum() + shrink * w)
+    return w
+
+
+def logit(p):
+    q = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(q / (1 - q))
+
+
+def test_refits_of_large_templates_leave_each_case_out(spark, monkeypatch):
+    """300 and 240 cases, many equal, in blocks of few rows and models: each probability is that of a plain refit without the case."""
+    monkeypatch.setattr(refits, "ROW_BLOCK", 90)
+    monkeypatch.setattr(refits, "MODEL_BLOCK", 50)
+    chance, rows, want = np.random.default_rng(8), [], {}
+    for template, size, places in (("t", 300, 2), ("u", 240, 5)):
+        x = np.round(chance.normal(size=(size, places)), 1)
+        x[-40:] = x[:40]
+        y = (x[:, 0] - 0.3 * x[:, 1] + chance.normal(size=size) > 0).astype(int)
+        rows += [(template, i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+        for i in range(0, size, 9):
+            a, b = np.delete(x, i, 0), np.delete(y, i)
+            w = optimum(a, b, 0.04, np.zeros(places + 1))
+            platt = optimum(logit(1 / (1 + np.exp(-(w[0] + a @ w[1:]))))[:, None], b, 0.02, [0.0, 1.0])
+            want[template, i] = 1 / (1 + np.exp(-(platt[0] + platt[1] * logit(1 / (1 + np.exp(-(w[0] + x[i] @ w[1:])))))))
+            if i == 9:  # the schedule gets there too, at this size
+                assert scoring.fit_logistic(a, b) == pytest.approx(w, abs=1e-6)
+    df = spark.createDataFrame([*rows, ("few", 1, [0.0], 1), ("few", 2, [1.0], 0), ("few", 3, [2.0], 0)], "template string, case_id int, vector array<double>, label int")
+    got = {(r.template, r.case_id): r.probability for r in scoring.cross_validated(df).collect()}
+    assert len(got) == 543 and {k: got[k] for k in want} == pytest.approx(want, abs=1e-9)
+
+
+def test_whole_fits_of_large_templates(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_VECTORS", 100)
+    chance = np.random.default_rng(4)
+    x = chance.normal(size=(500, 3))
+    y = (x[:, 0] + chance.normal(size=500) > 0.8).astype(int)
+    df = spark.createDataFrame([("big" if i < 450 else "small", v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "template string, vector array<double>, label int")
+    got = {r.template: r for r in scoring.models(df).collect()}
+    w = optimum(x[:450], y[:450], 0.04, np.zeros(4))
+    assert got["big"].weights == pytest.approx(w, abs=1e-9) and got["big"].n == 450
+    assert got["big"].platt == pytest.approx(optimum((w[0] + x[:450] @ w[1:])[:, None], y[:450], 0.02, [0.0, 1.0]), abs=1e-9)
+    assert got["big"].weights == pytest.approx(scoring.fit_logistic(x[:450], y[:450]), abs=1e-6) and got["small"].weights == pytest.approx(scoring.fit_logistic(x[450:], y[450:]), abs=1e-12)
+
+
+def test_large_templates_of_one_class_have_no_refits(spark):
+    rows = [("t", i, [float(i % 7)], int(i == 0)) for i in range(230)]
+    got = {r.case_id: r.probability for r in scoring.cross_validated(spark.createDataFrame(rows, "template string, case_id int, vector array<double>, label int")).collect()}
+    assert got[0] is None and all(0 < got[i] < 1 for i in range(1, 230))
 
 
 def test_alike_listings_make_a_star(spark):
     same = ("1 high street", ["land", "plot"], 100.0, None, None)
     rows = [(i, f"u{i}", [], *same) for i in range(30)] + [(90, "v", [], "1 high street", ["plot", "land"], 101.0, None, None), (91, "w", [], "1 high street", [], None, None, None), (92, "x", [], "1 high street", [], None, None, None)]
     df = spark.createDataFrame(rows, "id int, url string, hashes array<string>, address string, words array<string>, price double, lat double, lon double")
-    edges = listings.cluster_edges(df)
-    assert sorted((r.left_id, r.right_id) for r in edges.collect()) == [(0, i) for i in range(1, 30)] + [(0, 90)]
+    edges = resolution.links(df)
+    assert {(r.left_id, r.right_id) for r in edges.collect()} >= {(0, i) for i in range(1, 30)} and edges.count() < 60
     assert {r.id: r.cluster_root for r in listings.clusters(df, edges).collect()} == dict.fromkeys([*range(30), 90], 0) | {91: 91, 92: 92}
 
 
