@@ -1,14 +1,17 @@
 """Column functions on listing and planning text: normalising, parsing, keyword rules, ids and hashes.
 
-All are built-in expressions, so they stay in generated code. Null in gives null out unless a docstring says otherwise.
+All are built-in expressions, so they stay in generated code, but for the last step of canonical JSON. Null in gives null out unless a docstring says otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, MapType, StringType, StructType, TimestampNTZType, TimestampType
 
 #: Address abbreviations, written out when a space stands on both sides.
 ADDRESS_WORDS = {"rd": "road", "st": "street", "ave": "avenue", "ln": "lane", "ct": "court"}
@@ -163,13 +166,40 @@ def yes(col: Column) -> Column:
     return ~F.coalesce(F.lower(F.trim(col)), F.lit("")).isin("", "false", "0", "0.0", "null", "[]", "{}")
 
 
-def canonical_json(*cols: Column | str) -> Column:
-    """The columns as JSON in the order given, nulls kept."""
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-
-
-def content_hash(*cols: Column | str) -> Column:
-    return F.sha2(canonical_json(*cols), 256)
+def json_ready(col: Column, kind: DataType) -> Column:
+    """The column with what JSON has no form for as text: decimals, dates and times (those of a time zone in UTC, with its offset)."""
+    match kind:
+        case DecimalType() | DateType():
+            return col.cast("string")
+        case TimestampType() | TimestampNTZType():
+            zone = "" if isinstance(kind, TimestampNTZType) else "+00:00"
+            plain = F.to_utc_timestamp(col, F.current_timezone()) if zone else col
+            whole = F.date_format(plain, "yyyy-MM-dd HH:mm:ss")
+            return F.concat(whole, F.when(F.date_format(plain, "SSSSSS") == "000000", "").otherwise(F.date_format(plain, ".SSSSSS")), F.lit(zone))
+        case ArrayType():
+            return F.transform(col, lambda x: json_ready(x, kind.elementType))
+        case MapType():
+            return F.transform_values(col, lambda _, x: json_ready(x, kind.valueType))
+        case StructType():
+            return F.when(col.isNotNull(), F.named_struct(*(x for f in kind.fields for x in (F.lit(f.name), json_ready(col[f.name], f.dataType)))))
+    return col
+
+
+@F.pandas_udf(StringType())
+def sorted_keys(texts: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys, no blanks, ASCII escapes and numbers in their shortest form."""
+    return texts.map(lambda x: json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")), na_action="ignore")
+
+
+def canonical_json(df: DataFrame, *columns: str) -> Column:
+    """An object of columns of df as canonical JSON: equal values give equal texts whatever the order of columns, fields and map keys; nulls are kept."""
+    parts = [x for c in columns for x in (F.lit(c), json_ready(F.col(f"`{c}`"), df.schema[c].dataType))]
+    return sorted_keys(F.to_json(F.named_struct(*parts), {"ignoreNullFields": "false"}))
+
+
+def content_hash(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of canonical_json()."""
+    return F.sha2(canonical_json(df, *columns), 256)
 
 
 def uuid5(namespace_hex: str, name: Column) -> Column:

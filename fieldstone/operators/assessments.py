@@ -46,7 +46,7 @@ def valued(runs: DataFrame) -> DataFrame:
 
 def run_keys(requests: DataFrame) -> DataFrame:
     """requests (site_id, scenario_id, as_of) with the key under which a repeated request is the same run."""
-    return requests.withColumn("idempotency_key", control.idempotency_key("site_id", "scenario_id", "as_of"))
+    return requests.withColumn("idempotency_key", control.idempotency_key(requests, "site_id", "scenario_id", "as_of"))
 
 
 def new_runs(requests: DataFrame, held: DataFrame) -> DataFrame:

@@ -29,3 +29,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         before = state
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def extended_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and root of the nodes whose root is new: kept roots (node, root; a component's smallest node may be missing, as its own root) and further edges (a, b).
+
+    Edges are brought to the roots of their ends, and only these are joined anew. A component that no edge touches has no row here, and its rows aren't rewritten.
+    """
+    new = written(edges.where("a <> b").select("a", "b").distinct(), "new-edges")
+    ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = written(ends.join(roots.select("node", F.col("root").alias("held")), "node", "left").select("node", F.coalesce("held", "node").alias("root")), "ends")
+    at = lambda side: own.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    between = new.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    moved = written(connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("to")), "moved")  # roots that are roots no more
+    kept = roots.join(moved, "root").select("node", F.col("to").alias("root"))
+    fresh = own.select(F.col("node")).join(roots.select("node"), "node", "left_anti").join(moved.withColumnRenamed("root", "node"), "node").select("node", F.col("to").alias("root"))
+    return kept.unionByName(fresh).where("node <> root").distinct()

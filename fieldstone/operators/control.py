@@ -52,7 +52,7 @@ def redacted(rows: DataFrame, columns: list[str], when: Column) -> DataFrame:
 
 def replay(ledger: DataFrame, runs: DataFrame, columns: list[str], score: str = "probability", tolerance: float = 1e-9) -> DataFrame:
     """run_id and REPLAY_OK, HASH_MISMATCH, SCORE_MISMATCH or MISSING: each ledger row against the run worked out anew."""
-    now = runs.select("run_id", T.content_hash(*columns).alias("now_hash"), F.col(score).alias("now_score"))
+    now = runs.select("run_id", T.content_hash(runs, *columns).alias("now_hash"), F.col(score).alias("now_score"))
     joined = ledger.select("run_id", "payload_hash", F.col(score).alias("then_score")).join(now, "run_id", "left")
     status = N.first_that_holds(
         [
@@ -65,15 +65,15 @@ def replay(ledger: DataFrame, runs: DataFrame, columns: list[str], score: str =
 
 
 def ledger_rows(runs: DataFrame, columns: list[str], score: str = "probability") -> DataFrame:
-    return runs.select("run_id", T.content_hash(*columns).alias("payload_hash"), score)
+    return runs.select("run_id", T.content_hash(runs, *columns).alias("payload_hash"), score)
 
 
 def append_ledger(ledger: DataFrame, runs: DataFrame, columns: list[str]) -> DataFrame:
     return append_unseen(ledger_rows(runs, columns), ledger, "payload_hash")
 
 
-def idempotency_key(*parts: Column | str) -> Column:
-    return T.content_hash(*parts)
+def idempotency_key(requests: DataFrame, *parts: str) -> Column:
+    return T.content_hash(requests, *parts)
 
 
 def evidence(packs: list[DataFrame]) -> DataFrame:
@@ -91,5 +91,5 @@ def evidence_packs(rows: DataFrame) -> DataFrame:
 
 def audit_manifest(runs: DataFrame, columns: list[str], folder: str = "audit") -> DataFrame:
     """run_id, manifest, manifest_hash and path of each run's export."""
-    out = runs.select("run_id", T.canonical_json(*columns).alias("manifest")).withColumn("manifest_hash", F.sha2("manifest", 256))
+    out = runs.select("run_id", T.canonical_json(runs, *columns).alias("manifest")).withColumn("manifest_hash", F.sha2("manifest", 256))
     return out.withColumn("path", F.concat_ws("/", F.lit(folder), "run_id", F.concat("manifest_hash", F.lit(".json"))))

@@ -12,9 +12,9 @@ from ..functions import html as H
 from ..functions import numeric as N
 from ..functions import text as T
 from ..sources.scratch import written
-from .components import connected_components
+from .components import connected_components, extended_components
 from .latest import latest_per_key, top_per_key
-from .resolution import NEAR_M, link, links
+from .resolution import NEAR_M, cells, link, links
 
 #: Fixed values.
 ALIASES = {
@@ -170,6 +170,42 @@ def resolved(listings: DataFrame) -> DataFrame:
     return clusters(listings, written(links(listings), "links"))
 
 
+def sharing(listings: DataFrame, new: DataFrame) -> DataFrame:
+    """The listings that have an address, url, document or neighbourhood in common with one of the new ones."""
+    def keys(df: DataFrame, around: bool) -> DataFrame:
+        place = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), cells(F.col("lat").cast("double"), F.col("lon").cast("double"), around))
+        named = [F.when(F.col(c) != "", F.array(F.xxhash64(F.lit(c), c))) for c in ("address", "url")]
+        documents = F.transform("hashes", lambda h: F.xxhash64(F.lit("document"), h))
+        none = F.array().cast("array<bigint>")
+        return df.select("id", F.explode(F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (*named, documents, place))))).alias("key"))
+
+    touched = keys(listings, False).join(written(keys(new, True).select("key").distinct(), "keys"), "key", "left_semi").select("id").distinct()
+    return listings.join(touched, "id", "left_semi")
+
+
+def extended(held: DataFrame, listings: DataFrame, new: DataFrame) -> DataFrame:
+    """What of held (id, cluster_root, confidence, reasons of listings) changes, and the rows of the new listings, when these are added.
+
+    Only listings that share something with a new one are looked at again, and only their links are judged; clusters that no new link touches keep their rows.
+    """
+    whole = written(sharing(listings, new).unionByName(new.select(*listings.columns)), "touched")
+    edges = written(links(whole), "links")
+    roots = held.select(F.col("id").alias("node"), F.col("cluster_root").alias("root"))
+    moved = extended_components(roots, edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("__root"))
+    ends = edges.select(F.explode(F.array("left_id", "right_id")).alias("id"), "score", F.explode("reasons").alias("reason"))
+    said = ends.groupBy("id").agg(F.max("score").alias("__score"), F.collect_set("reason").alias("__reasons"))
+    before = held.unionByName(new.select("id", F.col("id").alias("cluster_root"), F.lit(1.0).alias("confidence"), F.array(F.lit("singleton")).alias("reasons")))
+    alone, none = F.array_contains("reasons", "singleton"), F.array().cast("array<string>")
+    now = before.join(moved, "id", "left").join(said, "id", "left").join(new.select("id", F.lit(True).alias("__new")), "id", "left")
+    linked = F.col("__score").isNotNull()
+    after = now.select(
+        "id", F.coalesce("__root", "cluster_root").alias("cluster_root"), F.when(linked & alone, F.col("__score")).when(linked, F.greatest("confidence", "__score")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(linked, F.array_sort(F.array_union(F.when(alone, none).otherwise(F.col("reasons")), F.col("__reasons")))).otherwise(F.col("reasons")).alias("reasons"),
+        F.struct("cluster_root", "confidence", "reasons").alias("was"), F.coalesce("__new", F.lit(False)).alias("new"),
+    )
+    return after.where(F.col("new") | (F.col("was") != F.struct("cluster_root", "confidence", "reasons"))).drop("was", "new")
+
+
 def cluster_keys(members: DataFrame) -> DataFrame:
     """cluster_root, key and cluster_id: a stable id of the sorted members."""
     listed = members.groupBy("cluster_root").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids"))

@@ -11,6 +11,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import comparables, features, latest, listings, planning, scoring
 from ..operators.components import connected_components
+from ..sources.scratch import written
 from .registry import query, table
 
 
@@ -155,7 +156,20 @@ def listing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.accepted_pairs(rows).select("left_id", "right_id")
 
 
-@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 < 2 THEN 'u' || s_suppkey // 30 ELSE 'v' || s_suppkey END AS url, CASE WHEN s_suppkey % 7 = 0 THEN 'h' || s_suppkey // 14 END AS h,
+def supplier_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as listings with urls, documents, addresses, headlines, prices and places."""
+    key, blank = F.col("s_suppkey"), F.lit(None)
+    text = lambda letter, of: F.concat(F.lit(letter), F.floor(of).cast("string"))
+    words = F.array_distinct(F.array(*map(F.lit, ("land", "plot", "with", "view")), text("x", key % 4 / 2), text("y", key % 4 / 3)))
+    lat = F.when(key % 3 == 0, 51.5).when(key % 3 == 1, F.lit(51.5004) + F.floor(key / 30) * 0.01)
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("id"), F.when(key % 9 < 2, text("u", key / 30)).otherwise(text("v", key)).alias("url"), F.when(key % 7 == 0, F.array(text("h", key / 14))).alias("hashes"),
+        F.when(key % 5 > 0, F.concat(F.lit("road "), (F.floor(key / 3) % 17).cast("string"))).alias("address"), words.alias("words"), F.when(key % 11 > 0, F.floor(F.abs("s_acctbal") / 400) * 100).otherwise(blank).alias("price"),
+        lat.alias("lat"), F.when(lat.isNotNull(), -0.1).alias("lon"),
+    )
+
+
+RESOLVED_SQL = """WITH RECURSIVE s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 < 2 THEN 'u' || s_suppkey // 30 ELSE 'v' || s_suppkey END AS url, CASE WHEN s_suppkey % 7 = 0 THEN 'h' || s_suppkey // 14 END AS h,
   CASE WHEN s_suppkey % 5 > 0 THEN 'road ' || (s_suppkey // 3 % 17) END AS address, s_suppkey % 4 AS w, CASE WHEN s_suppkey % 11 > 0 THEN floor(abs(s_acctbal) / 400) * 100 END AS price, CASE s_suppkey % 3 WHEN 0 THEN 51.5::DOUBLE WHEN 1 THEN 51.5004::DOUBLE + s_suppkey // 30 * 0.01::DOUBLE END AS lat FROM supplier),
 w AS (SELECT *, list_distinct(['land', 'plot', 'with', 'view', 'x' || (w // 2), 'y' || (w // 3)]) AS words FROM s),
 p AS (SELECT l.id AS a, r.id AS b, l.url = r.url AS same_url, coalesce(l.h = r.h, false) AS same_doc, coalesce(l.address = r.address, false) AS addressed, len(list_intersect(l.words, r.words))::DOUBLE / len(list_distinct(l.words || r.words)) AS sim,
@@ -169,19 +183,24 @@ e AS (SELECT a, b, least(CASE WHEN first < 0.82 THEN 0.84::DOUBLE ELSE first END
 d AS (SELECT a, b, score, reasons FROM e UNION ALL SELECT b, a, score, reasons FROM e),
 c AS (SELECT id, id AS reach FROM s UNION SELECT c.id, d.b FROM c JOIN d ON c.reach = d.a),
 m AS (SELECT a AS id, max(score) AS confidence, list_distinct(flatten(list(reasons))) AS reasons FROM d GROUP BY 1)
-SELECT id, min(reach) AS cluster_root, round(coalesce(any_value(confidence), 1.0::DOUBLE), 3) AS confidence, coalesce(array_to_string(list_sort(any_value(reasons)), ','), 'singleton') AS reasons FROM c LEFT JOIN m USING (id) GROUP BY 1""")
+SELECT id, min(reach) AS cluster_root, round(coalesce(any_value(confidence), 1.0::DOUBLE), 3) AS confidence, coalesce(array_to_string(list_sort(any_value(reasons)), ','), 'singleton') AS reasons FROM c LEFT JOIN m USING (id) GROUP BY 1"""
+
+
+@query(RESOLVED_SQL)
 def resolved_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as listings with urls, documents, addresses, headlines, prices and places: clusters, confidences and reasons."""
-    key, blank = F.col("s_suppkey"), F.lit(None)
-    text = lambda letter, of: F.concat(F.lit(letter), F.floor(of).cast("string"))
-    words = F.array_distinct(F.array(*map(F.lit, ("land", "plot", "with", "view")), text("x", key % 4 / 2), text("y", key % 4 / 3)))
-    lat = F.when(key % 3 == 0, 51.5).when(key % 3 == 1, F.lit(51.5004) + F.floor(key / 30) * 0.01)
-    rows = table(spark, sf_dir, "supplier").select(
-        key.alias("id"), F.when(key % 9 < 2, text("u", key / 30)).otherwise(text("v", key)).alias("url"), F.when(key % 7 == 0, F.array(text("h", key / 14))).alias("hashes"),
-        F.when(key % 5 > 0, F.concat(F.lit("road "), (F.floor(key / 3) % 17).cast("string"))).alias("address"), words.alias("words"), F.when(key % 11 > 0, F.floor(F.abs("s_acctbal") / 400) * 100).otherwise(blank).alias("price"),
-        lat.alias("lat"), F.when(lat.isNotNull(), -0.1).alias("lon"),
-    )
-    return listings.resolved(rows).withColumn("reasons", F.array_join("reasons", ","))
+    """Clusters of listings with their confidences and reasons."""
+    return listings.resolved(supplier_listings(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(RESOLVED_SQL)
+def extended_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters, made from two thirds of the listings first and then extended by the others; only changed rows are written again."""
+    every = supplier_listings(spark, sf_dir)
+    first, later = (written(every.where(F.col("id") % 3 != 1), "first"), written(every.where(F.col("id") % 3 == 1), "later"))
+    held = written(listings.resolved(first), "held")
+    changed = listings.extended(held, first, later)
+    both = held.withColumn("import_no", F.lit(1)).unionByName(changed.withColumn("import_no", F.lit(2)))
+    return latest.last_wins(both, ["id"], "import_no").drop("import_no").withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("""WITH k AS (SELECT DISTINCT lower(text) AS t FROM documents), g AS (SELECT lower(text) AS t, min(doc_id) AS root FROM documents GROUP BY 1) SELECT doc_id, root FROM documents JOIN g ON lower(text) = t""")

@@ -88,7 +88,7 @@ def streamed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "event_type", F.col("first_seen_at").cast("timestamp_ntz"), F.col("last_seen_at").cast("timestamp_ntz"), "times_seen")
 
 
-@query("""SELECT sha256('{"site_id":' || site || ',"scenario_id":' || s || ',"as_of":"' || strftime(d, '%Y-%m-%d') || '"}') AS idempotency_key, site AS site_id FROM (SELECT DISTINCT o_custkey AS site, o_custkey % 7 AS s, CAST(date_trunc('year', o_orderdate) AS DATE) AS d FROM orders) WHERE (site, s, d) NOT IN (SELECT o_custkey, o_custkey % 7, CAST(date_trunc('year', o_orderdate) AS DATE) FROM orders WHERE o_orderkey % 3 = 0)""")
+@query("""SELECT sha256('{"as_of":"' || strftime(d, '%Y-%m-%d') || '","scenario_id":' || s || ',"site_id":' || site || '}') AS idempotency_key, site AS site_id FROM (SELECT DISTINCT o_custkey AS site, o_custkey % 7 AS s, CAST(date_trunc('year', o_orderdate) AS DATE) AS d FROM orders) WHERE (site, s, d) NOT IN (SELECT o_custkey, o_custkey % 7, CAST(date_trunc('year', o_orderdate) AS DATE) FROM orders WHERE o_orderkey % 3 = 0)""")
 def assessment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of assessments that no held run answers yet, each once."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("site_id"), (F.col("o_custkey") % 7).alias("scenario_id"), F.trunc("o_orderdate", "year").alias("as_of"))

@@ -81,13 +81,24 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH m AS (SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","note":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE '"x"' END || '}' AS manifest FROM orders) SELECT o_orderkey AS run_id, sha256(manifest) AS manifest_hash, 'audit/' || o_orderkey || '/' || sha256(manifest) || '.json' AS path FROM m""")
+@query("""WITH m AS (SELECT o_orderkey, '{"note":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE '"x"' END || ',"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS manifest FROM orders) SELECT o_orderkey AS run_id, sha256(manifest) AS manifest_hash, 'audit/' || o_orderkey || '/' || sha256(manifest) || '.json' AS path FROM m""")
 def audit_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     runs = table(spark, sf_dir, "orders").select(k.alias("run_id"), k, F.col("o_orderstatus").alias("status"), F.when(k % 2 == 1, "x").alias("note"))
     return control.audit_manifest(runs, ["o_orderkey", "status", "note"]).select("run_id", "manifest_hash", "path")
 
 
+@query("""SELECT o_orderkey AS run_id, sha256('{"case":{"code":"' || o_orderstatus || '","key":' || o_orderkey || '},"flags":{"late":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"open":null},"price":' || o_totalprice::VARCHAR || ',"rates":[0.5,' || (o_orderkey % 8 / 8.0::DOUBLE)::VARCHAR || '],"when":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}') AS payload_hash FROM orders""")
+def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of nested payloads as canonical JSON: sorted keys, compact, numbers in their shortest form."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("run_id"), F.col("o_orderdate").cast("date").alias("when"), F.array(F.lit(0.5), k % 8 / 8.0).alias("rates"), F.col("o_totalprice").alias("price"),
+        F.create_map(F.lit("open"), F.lit(None).cast("boolean"), F.lit("late"), k % 2 == 0).alias("flags"), F.struct(k.alias("key"), F.col("o_orderstatus").alias("code")).alias("case"),
+    )
+    return rows.select("run_id", T.content_hash(rows, "when", "rates", "price", "flags", "case").alias("payload_hash"))
+
+
 @query("""SELECT p_partkey AS pack_id, p_partkey % 5 NOT IN (0, 1, 2) AS complete FROM part""")
 def citation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")

@@ -1,4 +1,5 @@
 import datetime
+import decimal
 import hashlib
 import json
 import math
@@ -48,9 +49,27 @@ def test_url(spark, url, want):
     assert one(spark, url, T.normalize_url) == want
 
 
+def test_canonical_json_is_that_of_sorted_compact_dumps(spark):
+    day, moment = datetime.date(2024, 2, 29), datetime.datetime(2024, 2, 29, 13, 5, 7, 120)
+    rows = [
+        (1, "plain", 0.1, True, {"b": 1, "a": None}, [3, None], ("x", 1e16, decimal.Decimal("12.50")), day, moment),
+        (2, 'q"uo\\te\n\t\x01\x7f é😀', 1e-5, False, {"é": 2, "z": 3, "A": 4}, [], ("", -0.0, None), None, datetime.datetime(2024, 1, 1)),
+        (2**60 + 1, None, 123456789.123, None, {}, None, None, day, None), (4, "", 1e22, None, None, [0], ("y", 5.684341886080802e-14, decimal.Decimal("-1.00")), None, None),
+    ]
+    schema = "z long, b string, f double, t boolean, m map<string,int>, a array<int>, s struct<s2:string,s1:double,s0:decimal(9,2)>, d date, w timestamp_ntz"
+    df = spark.createDataFrame(rows, schema)
+    names = ["w", "z", "b", "f", "t", "m", "a", "s", "d"]
+    got = {r.z: r for r in df.select("z", T.canonical_json(df, *names).alias("text"), T.content_hash(df, *reversed(names)).alias("hash")).collect()}
+    for z, b, f, t, m, a, st, d, w in rows:
+        payload = {"z": z, "b": b, "f": f, "t": t, "m": m, "a": a, "s": st and dict(zip(("s2", "s1", "s0"), st, strict=True)), "d": d, "w": w}
+        want = json.dumps(payload, sort_keys=True, separators=(",", ":"), default=str)
+        assert got[z].text == want and got[z].hash == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_ids_and_hashes(spark):
     assert one(spark, "listing-1", lambda c: T.uuid5(uuid.NAMESPACE_URL.hex, c)) == str(uuid.uuid5(uuid.NAMESPACE_URL, "listing-1"))
-    assert one(spark, None, lambda c: T.content_hash(c)) == hashlib.sha256(b'{"v":null}').hexdigest()
+    df = spark.createDataFrame([(None,)], "v string")
+    assert df.select(T.content_hash(df, "v").alias("x")).first().x == hashlib.sha256(b'{"v":null}').hexdigest()
     path = one(spark, "a b/c" + "x" * 100, lambda c: T.storage_path(F.lit("My Source"), F.lit("id1"), c))
     assert path.startswith("my-source/id1/a-b-c") and len(path.split("/")[-1]) == 64
 

@@ -60,21 +60,42 @@ def found(df):
     return {r.id: (r.cluster_root, r.confidence, r.reasons) for r in df.collect()}
 
 
-@pytest.mark.parametrize(("seed", "addresses", "prices"), [(1, 3, 9), (3, 1, 200)])
-def test_clusters_scores_and_reasons_are_those_of_all_pairs(spark, seed, addresses, prices):
+def some_rows(seed, addresses, prices, n=260):
     chance = random.Random(seed)
     words = [f"w{i}" for i in range(9)]
     rows = []
-    for i in range(260):
+    for i in range(n):
         place = chance.choice([(None, None), (51.5, -0.1), (51.5004, -0.1), (51.5009, -0.1), (51.5 + chance.random() / 50, -0.1), (51.5, None)])
         rows.append((
             i, chance.choice([f"u{i}", f"u{i}", f"u{i}", None, "", f"u{i // 20}"]), chance.choice([None, [], [], [f"h{i % 40}", f"g{i}"]]), chance.choice([None, "", *[f"{k} high road" for k in range(addresses)] * 3]),
             chance.choice([None, [], chance.sample(words, 4), words[: chance.randrange(1, 9)], words[:5]]), chance.choice([None, 0.0, 100.0 * 1.013 ** chance.randrange(prices)]), *place,
         ))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "addresses", "prices"), [(1, 3, 9), (3, 1, 200)])
+def test_clusters_scores_and_reasons_are_those_of_all_pairs(spark, seed, addresses, prices):
+    rows = some_rows(seed, addresses, prices)
     got, want = found(listings.resolved(spark.createDataFrame(rows, SCHEMA))), brute(rows)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_added_listings_change_only_what_they_touch(spark):
+    rows = some_rows(5, 60, 40, 160)
+    rows = [(*r[:6], *((52 + r[0] / 10, 0.5) if r[6] else (None, None))) if r[0] % 4 else r for r in rows]
+    random.Random(2).shuffle(rows)
+    df = lambda some: spark.createDataFrame(some, SCHEMA)
+    held = found(listings.resolved(df(rows[:90])))
+    for before, to in ((90, 100), (100, 160)):
+        kept = spark.createDataFrame([(i, *x) for i, x in held.items()], "id int, cluster_root int, confidence double, reasons array<string>")
+        changed = found(listings.extended(kept, df(rows[:before]), df(rows[before:to])))
+        assert all(changed[i] != held.get(i) for i in changed) and {r[0] for r in rows[before:to]} <= changed.keys()
+        held |= changed
+        want = brute(rows[:to])
+        assert {i: (held[i], want[i]) for i in want if held[i] != want[i]} == {}
+        assert len(changed) < to / 2 or to == 160
+
+
 def test_equal_listings_at_one_price(spark):
     row = ("1 high road", ["land", "plot"], 100.0, 51.5, -0.1)
     rows = [(1, "a", [], *row), (2, "b", [], *row), (3, "c", [], "1 high road", ["other"], 400.0, None, None)]
