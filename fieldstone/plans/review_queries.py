@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import assessments, comparables, health, latest, listings, planning, readback, scenarios, schedule, scoring, valuation
-from ..sources.scratch import written
+from ..sources.scratch import shared_dir, written
 from ..streaming import jobs as streams
+from ..streaming import leases
 from .registry import query, table
 
 
@@ -75,6 +78,31 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(claim, "claim").unionByName(named(only, "only")).unionByName(failed)
 
 
+@query("""WITH j AS (SELECT s_suppkey AS id, s_suppkey % 6 AS k, s_suppkey % 50 AS due FROM supplier), r AS (SELECT * FROM (VALUES (0, 'SUCCEEDED', 1, 3, 2), (1, 'QUEUED', 1, 3, 2), (2, 'DEAD', 3, 7, 8), (3, 'QUEUED', 1, 3, 31), (4, 'SUCCEEDED', 2, 5, 41), (5, 'QUEUED', 0, 1, 0)) v(k, status, attempts, changes, minutes))
+SELECT id AS job_id, status, attempts, changes::BIGINT AS changes, TIMESTAMP '2024-01-01' + to_minutes(due + minutes) AS last_at FROM j JOIN r USING (k)""")
+def job_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as jobs whose events come as a stream of files in no order, with a restart: leases run out, failed jobs are tried again, the third failure is the last."""
+    minute = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("job_id") % 50 + n) * 60)
+    plans = [
+        [(0, "ENQUEUED"), (1, "CLAIMED"), (2, "SUCCEEDED")], [(0, "ENQUEUED"), (1, "CLAIMED"), (2, "FAILED")], [(0, "ENQUEUED"), *((3 * i + j, e) for i in range(3) for j, e in ((1, "CLAIMED"), (2, "FAILED")))],
+        [(0, "ENQUEUED"), (1, "CLAIMED")], [(0, "ENQUEUED"), (1, "CLAIMED"), (40, "CLAIMED"), (41, "SUCCEEDED")], [(0, "ENQUEUED"), (1, "FAILED")],
+    ]
+    jobs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("job_id"))
+    each = [F.when(F.col("job_id") % 6 == k, F.array(*(F.struct(minute(F.lit(n)).alias("at"), F.lit(e).alias("event")) for n, e in plan))) for k, plan in enumerate(plans)]
+    events = jobs.select("job_id", F.explode(F.coalesce(*each)).alias("e")).select("job_id", "e.at", "e.event")
+    home = f"{shared_dir(spark)}/leases-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("job_id", "at"), F.lit(2))
+    clock = events.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("job_id"), (F.col("at") + F.expr("interval 3 days")).alias("at"), F.lit("ENQUEUED").alias("event"))
+    with leases.store(spark):
+        for arrival in (events.where(part == 0), events.where(part == 1), clock):
+            arrival.write.mode("append").parquet(f"{home}/events")
+            found = leases.changes(streams.read(spark, f"{home}/events", events.schema), late="1 day")
+            streams.drain(found.writeStream.format("parquet").option("path", f"{home}/changes").option("checkpointLocation", f"{home}/state").outputMode("append"))
+    done = spark.read.parquet(f"{home}/changes").where("job_id >= 0")
+    last = F.max_by(F.struct("status", "attempts"), F.struct("at", "attempts")).alias("last")
+    return done.groupBy("job_id").agg(last, F.count("*").alias("changes"), F.max("at").cast("timestamp_ntz").alias("last_at")).select("job_id", "last.status", "last.attempts", "changes", "last_at")
+
+
 @query("""SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS times_seen FROM events GROUP BY 1, 2""")
 def streamed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream of files until all are in: first and last sighting, whatever order they came in."""
