@@ -1,6 +1,6 @@
-"""Regular-expression reading of well-formed listing pages: text, titles, metadata, links.
+"""Listing pages: text, titles, metadata, JSON-LD, links and places.
 
-These are columns and not a DOM: nested or broken markup is read as it stands.
+Markup is read once a page by markup.page(), a struct whose fields the *_of functions take; what a page's source says in other ways, by patterns.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .markup import links_within, page, selected_texts
 from .text import coordinates, filled, normalize_space, normalize_url
 
-#: Entities that text content turns back.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&pound;": "£", "&amp;": "&"}
 #: Marks of documents that belong to no single listing, marks of documents, and marks of maps.
 GENERIC_MARKERS = ("common_conditions", "common auction conditions", "auction_notices", "auction notices", "terms_and_conditions")
 DOCUMENT_MARKERS, MAP_MARKERS = (".pdf", "pdf.php"), ("map", "site plan", "floor plan", "floorplan")
@@ -29,40 +28,40 @@ PLACE_PATTERNS = (
 )
 
 
-def unescape(col: Column) -> Column:
-    for entity, plain in ENTITIES.items():
-        col = F.replace(col, F.lit(entity), F.lit(plain))
-    return col
-
-
-def inner_text(html: Column) -> Column:
-    return normalize_space(unescape(F.regexp_replace(html, r"<[^>]*>", " ")))
+def text_of(parts: Column) -> Column:
+    return normalize_space(parts["text"])
 
 
 def text_content(html: Column) -> Column:
     """The page's text without scripts, styles and noscript parts."""
-    return inner_text(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " "))
+    return text_of(page(html))
+
 
+def element_text(html: Column, selector: str) -> Column:
+    """Text of the first element that a selector fits."""
+    return normalize_space(F.get(selected_texts(html, selector), F.lit(0)))
 
-def element_text(html: Column, tag: str) -> Column:
-    """Text of the first element of this tag."""
-    return inner_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+
+def meta_of(parts: Column, name: str) -> Column:
+    return normalize_space(F.try_element_at(parts["metas"], F.lit(name)))
 
 
 def meta_content(html: Column, name: str) -> Column:
     """content of the first meta tag with this name or property."""
-    found = F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\b(?:name|property)\s*=\s*["']{name}["'])[^>]*\bcontent\s*=\s*["']([^"']*)["']""", 1)
-    return normalize_space(unescape(found))
+    return meta_of(page(html), name)
 
 
-def json_ld(html: Column) -> Column:
-    """The page's JSON-LD records as JSON texts: all blocks, and the elements of those that are arrays; blocks that are no JSON give none."""
-    pattern = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
-    blocks = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.trim)
+def json_ld_of(parts: Column) -> Column:
+    blocks = F.transform(parts["records"], F.trim)
     records = F.transform(blocks, lambda b: F.when(b.startswith("["), F.from_json(b, "array<string>")).otherwise(F.array(b)))
     return F.filter(F.flatten(F.filter(records, lambda r: r.isNotNull())), lambda r: r.startswith("{") & F.json_object_keys(r).isNotNull())
 
 
+def json_ld(html: Column) -> Column:
+    """The page's JSON-LD records as JSON texts: all blocks, and the elements of those that are arrays; blocks that are no JSON give none."""
+    return json_ld_of(page(html))
+
+
 def first_field(records: Column, *paths: str) -> Column:
     """The first filled text at the paths (joined with blanks) of JSON records."""
     texts = F.transform(records, lambda r: normalize_space(F.concat_ws(" ", *(F.get_json_object(r, p) for p in paths))))
@@ -86,12 +85,11 @@ def absolute_url(link: Column, base: Column) -> Column:
     )
 
 
-def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, position (from 0), target and label of each link of each page, in page order."""
-    anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
-    found = pages.select(F.col(url).alias("url"), F.posexplode(anchors).alias("position", "anchor"))
-    href = F.trim(F.regexp_extract("anchor", r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))
-    link = F.struct(normalize_url(absolute_url(unescape(href), F.col("url"))).alias("target"), inner_text(F.col("anchor")).alias("label"))
+def links(pages: DataFrame, url: str = "url", html: str = "html", scope: str | None = None) -> DataFrame:
+    """url, position (from 0), target and label of each link of each page, in page order; with a scope, of those in elements that this selector fits."""
+    every = page(F.col(html))["links"] if scope is None else links_within(F.col(html), scope)
+    found = pages.select(F.col(url).alias("url"), F.posexplode(every).alias("position", "anchor"))
+    link = F.struct(normalize_url(absolute_url(F.trim("anchor.href"), F.col("url"))).alias("target"), normalize_space(F.col("anchor.label")).alias("label"))
     # unfolded as a row of its own, so that tests on it don't repeat the expressions that make it
     return found.select("url", "position", F.explode(F.array(link)).alias("link")).select("url", "position", "link.target", "link.label")
 
@@ -113,23 +111,27 @@ def document_links(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
 def sitemap_urls(xml: Column) -> Column:
     """The locations of a sitemap, in order."""
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), unescape)
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
 
 
 def saying(headline_text: Column) -> Column:
     return F.when(~F.lower(headline_text).isin(*GENERIC_HEADLINES), headline_text)
 
 
-def first_heading(html: Column) -> Column:
-    """Text of the first h1 that says something."""
-    texts = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1>"), F.lit(1)), inner_text)
-    return F.get(F.filter(texts, lambda t: t.isNotNull() & ~F.lower(t).isin(*GENERIC_HEADLINES)), F.lit(0))
+def headline_of(parts: Column) -> Column:
+    headings = F.transform(parts["headings"], normalize_space)
+    first = F.get(F.filter(headings, lambda t: t.isNotNull() & ~F.lower(t).isin(*GENERIC_HEADLINES)), F.lit(0))
+    return F.coalesce(saying(meta_of(parts, "og:title")), first, saying(normalize_space(parts["title"])))
 
 
 def headline(html: Column) -> Column:
     """og:title, else the first h1, else the title; those that say nothing are passed over."""
-    return F.coalesce(saying(meta_content(html, "og:title")), first_heading(html), saying(element_text(html, "title")))
+    return headline_of(page(html))
+
+
+def description_of(parts: Column) -> Column:
+    return F.coalesce(meta_of(parts, "og:description"), meta_of(parts, "description"), filled(text_of(parts)))
 
 
 def description(html: Column) -> Column:
-    return F.coalesce(meta_content(html, "og:description"), meta_content(html, "description"), filled(text_content(html)))
+    return description_of(page(html))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions.markup import page
 from ..sources.scratch import written
 from .components import connected_components, extended_components
 from .latest import latest_per_key, top_per_key
@@ -53,13 +54,13 @@ def from_table(rows: DataFrame, source: str) -> DataFrame:
 
 def from_pages(pages: DataFrame) -> DataFrame:
     """Listings from pages (url, html): JSON-LD, then metadata, then headings, then text."""
-    whole = H.text_content(F.col("html"))
-    ld = H.json_ld(F.col("html"))
+    pages = pages.withColumn("__page", page(F.col("html")))
+    whole, ld = H.text_of(F.col("__page")), H.json_ld_of(F.col("__page"))
     field = lambda *paths: H.first_field(ld, *paths)
     place = H.place(F.col("html"))
     out = pages.select(
         T.normalize_url(F.col("url")).alias("source_listing_id"), T.normalize_url(F.col("url")).alias("url"),
-        F.coalesce(H.saying(field("$.name")), H.headline(F.col("html"))).alias("headline"), F.coalesce(field("$.description"), H.description(F.col("html"))).alias("description"),
+        F.coalesce(H.saying(field("$.name")), H.headline_of(F.col("__page"))).alias("headline"), F.coalesce(field("$.description"), H.description_of(F.col("__page"))).alias("description"),
         F.coalesce(field("$.address.streetAddress", "$.address.addressLocality", "$.address.postalCode"), T.postcode(whole)).alias("address"),
         F.coalesce(field("$.geo.latitude").try_cast("double"), place["lat"]).alias("lat"), F.coalesce(field("$.geo.longitude").try_cast("double"), place["lon"]).alias("lon"),
         F.coalesce(field("$.offers.price").try_cast("double").cast("long"), T.parse_price(whole)).alias("price_gbp"), T.price_basis(whole).alias("price_basis"),
@@ -255,12 +256,12 @@ def surplus_listings(rows: DataFrame, feed_url: str) -> DataFrame:
     })
 
 
-def crawl_candidates(pages: DataFrame, sitemaps: DataFrame, allow: str, most: int) -> DataFrame:
-    """source, url and position of pages to fetch: links of seed pages (source, url, html), then locations of sitemaps (source, xml), that match a pattern.
+def crawl_candidates(pages: DataFrame, sitemaps: DataFrame, allow: str, most: int, scope: str | None = None) -> DataFrame:
+    """source, url and position of pages to fetch: links of seed pages (source, url, html), all or those that a selector holds, then locations of sitemaps (source, xml), that match a pattern.
 
     Each URL once, at its first place; at most `most` of a source.
     """
-    linked = H.links(pages).select(F.col("url").alias("seed"), "target", "position").join(pages.select("source", F.col("url").alias("seed")), "seed")
+    linked = H.links(pages, scope=scope).select(F.col("url").alias("seed"), "target", "position").join(pages.select("source", F.col("url").alias("seed")), "seed")
     linked = linked.select("source", F.col("target").alias("url"), F.lit(0).alias("part"), "seed", "position")
     listed = sitemaps.select("source", F.posexplode(H.sitemap_urls(F.col("xml"))).alias("position", "url"))
     listed = listed.select("source", T.normalize_url(F.col("url")).alias("url"), F.lit(1).alias("part"), F.lit("").alias("seed"), "position")

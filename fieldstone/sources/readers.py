@@ -22,10 +22,15 @@ def envelope(spark: SparkSession, path: str, field: str, item: str) -> DataFrame
     return found.select("path", "content_hash", F.posexplode("rows").alias("position", "row")).select("path", "content_hash", "position", "row.*")
 
 
-def coverage_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The coverage that a document claims, from its meta or metadata."""
+def coverage_rows(spark: SparkSession, path: str, boroughs: DataFrame | None = None) -> DataFrame:
+    """The coverage that a document claims, from its meta or metadata. With boroughs (borough_id), a row of any other one is an error."""
     listed = F.coalesce(F.get_json_object("value", "$.meta.coverage"), F.get_json_object("value", "$.metadata.coverage"))
-    return documents(spark, path).select("path", F.explode(F.from_json(listed, COVERAGE)).alias("row")).select("path", "row.*")
+    rows = documents(spark, path).select("path", F.explode(F.from_json(listed, COVERAGE)).alias("row")).select("path", "row.*")
+    if boroughs is None:
+        return rows
+    known = boroughs.select(F.col("borough_id").cast("string").alias("borough_id"), F.lit(True).alias("__known")).distinct()
+    unknown = F.raise_error(F.concat(F.lit("Coverage row references unknown borough '"), F.coalesce("borough_id", F.lit("")), F.lit("'.")))
+    return rows.join(known, "borough_id", "left").where(F.coalesce(F.col("__known"), unknown.cast("boolean"))).select(*rows.columns)
 
 
 def features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:

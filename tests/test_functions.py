@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from fieldstone.functions import geo as G
 from fieldstone.functions import html as H
+from fieldstone.functions import markup
 from fieldstone.functions import numeric as N
 from fieldstone.functions import shapes
 from fieldstone.functions import text as T
 from fieldstone.functions.shapes import dissolve, overlaps
-from fieldstone.operators import planning
+from fieldstone.operators import listings, planning
 
 
 def one(spark, value, column, kind="string"):
@@ -333,3 +334,29 @@ def test_union_of_many_shapes_under_one_key(spark):
     got = {r.owner: r.area for r in G.union_shapes(df, "owner", fan=8).select("owner", G.area(F.col("shape")).alias("area")).collect()}
     want = signed_area(shapes.dissolve([ring(i, x, y) for k, i, x, y in rows if k == "a"]))
     assert got == {"a": pytest.approx(want, rel=1e-9), "b": 121.0, None: 121.0}
+
+
+def test_markup_is_read_as_a_tree():
+    html = """<html><head><title>A &amp; B</title><meta name=Description content='d "q"'><meta property="og:title" content=T></head><body>
+      <!-- <a href="/no">no</a> --><ul class="lots big"><li>one<li id=x>two <b>bold</b><ul><li>in</ul></ul>
+      <div id=main><div class=card><div>deep <a href=/p?a=1&amp;b=2>L &pound;5 &mdash; x</a></div>after</div><p>x<p>y</div><br/><a href='out' title="a > b">o</a>
+      <script>var a = "<a href=/script>";</script><script type="application/ld+json">{"name": "x < y"}</script><noscript><a href=/ns>ns</a></noscript></span></body>"""
+    tree = markup.Tree(html)
+    texts = lambda selector: [" ".join(t.split()) for t in tree.texts(tree.select(selector))]
+    assert texts("ul.lots > li") == ["one", "two bold in"] and texts("ul.big.lots li li") == ["in"] and texts("li#x b") == ["bold"]
+    assert texts("#main .card") == ["deep L £5 — x after"] and texts("#main > p, title") == ["A & B", "x", "y"] and texts("a[title], [href=out]") == ["o"] and texts(".none *") == []
+    found = markup.page_of(html)
+    assert [x["href"] for x in found["links"]] == ["/p?a=1&b=2", "out", "/ns"] and found["title"] == "A & B" and dict(found["metas"]) == {"description": 'd "q"', "og:title": "T"}
+    assert found["records"] == ['{"name": "x < y"}'] and "script" not in found["text"] and "ns" not in found["text"].split() and markup.page_of(None) is None and markup.page_of("")["links"] == []
+    with pytest.raises(ValueError):
+        markup.compounds("a:hover")
+
+
+def test_links_of_a_scope(spark):
+    html = "<nav><a href=/home>Home</a></nav><div class=results><div><a href='/lot/1'>One</a></div><a class=x href=/lot/2>Two</a></div>"
+    pages = spark.createDataFrame([("s", "http://a.b/list", html), ("s", "http://a.b/none", None)], "source string, url string, html string")
+    assert [r.target for r in H.links(pages, scope=".results").orderBy("position").collect()] == ["http://a.b/lot/1", "http://a.b/lot/2"]
+    assert [r.label for r in H.links(pages, scope="a.x, nav > a").orderBy("position").collect()] == ["Home", "Two"]
+    maps = spark.createDataFrame([("s", "<loc>http://a.b/lot/3</loc>")], "source string, xml string")
+    found = listings.crawl_candidates(pages, maps, "http://a.b/.*", 9, scope="div.results").orderBy("place")
+    assert [r.url for r in found.collect()] == ["http://a.b/lot/1", "http://a.b/lot/2", "http://a.b/lot/3"]

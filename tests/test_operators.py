@@ -90,6 +90,10 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(doc))
     rows = readers.envelope(spark, str(tmp_path / "d.json"), "sales", "struct<ref:string,price:int>").orderBy("position").collect()
     assert [(r.ref, r.price) for r in rows] == [("a", 5), ("b", 6)] and readers.coverage_rows(spark, str(tmp_path / "d.json")).first().borough_id == "camden"
+    known = spark.createDataFrame([("camden",), ("barnet",)], "borough_id string")
+    assert readers.coverage_rows(spark, str(tmp_path / "d.json"), known).count() == readers.coverage_rows(spark, str(tmp_path / "d.json")).count()
+    with pytest.raises(Exception, match="unknown borough 'camden'"):
+        readers.coverage_rows(spark, str(tmp_path / "d.json"), known.where("borough_id = 'barnet'")).count()
     geo = {"features": [{"properties": {"name": "A"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 0]]]}}, {"properties": {"name": "B"}, "geometry": {"type": "Point", "coordinates": [1, 1]}}]}
     (tmp_path / "g.json").write_text(json.dumps(geo))
     rows = readers.features(spark, str(tmp_path / "g.json"), "name string").orderBy("position").collect()
