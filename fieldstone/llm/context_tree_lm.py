@@ -6,7 +6,7 @@ P(s) = w KT(s) + (1 - w) P(longer). The sum of log P over a text is its code len
 
 Sequence counts are gathered over the whole training text by Spark, and the tree keeps every context: it grows with the text. Contexts of
 TOP bytes are dealt out with all the longer ones below them, so that a task grows whole branches; only the shorter ones pass through the
-driver, from sums. Each sequence's score is a row of a written table. The most frequent go to all executors; the others are joined by
+driver, from sums. A branch with many sequences is cut into the branches below it, and its upper levels are tables of their sums. Each sequence's score is a row of a written table. The most frequent go to all executors; the others are joined by
 shuffle, and so are sequences that training never had, which are scored in the branch they would belong to.
 
 A text is its words in lower case (A-Z), each followed by a space, the last by the end mark. Null and empty texts are the end mark alone.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, kept, segment_sum, slices, table, written
@@ -33,6 +33,8 @@ DEPTH = 6
 MOST_CONTEXTS = 1 << 15
 #: Length of the contexts whose branches are dealt out, and sequences of which a task grows the branches at once (more if one branch has more).
 TOP, MOST_GROWN = 3, 100_000
+#: Sequences of a branch beyond which it is dealt out by contexts of SPLIT bytes and grown by those of SPLIT + 1, which have 65,536 sequences at most.
+LARGE_BRANCH, SPLIT = 400_000, 4
 #: Sequences whose scores go to all executors, at most: the most frequent ones.
 MOST_SENT = 1 << 21
 #: Words that go to all executors, at most: the most frequent ones.
@@ -336,57 +338,181 @@ def whole_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield seq.view(np.uint64), n
 
 
-def branch_levels(seq: np.ndarray, n: np.ndarray) -> tuple[list[Level], tuple[np.ndarray, ...]]:
-    """Tree.branches() of whole branches, from TOP on."""
-    return Tree.branches([merged(seq & np.uint64((1 << (8 * d + 8)) - 1), n) for d in range(TOP, DEPTH + 1)], TOP)
+def branch_levels(seq: np.ndarray, n: np.ndarray, first: int = TOP) -> tuple[list[Level], tuple[np.ndarray, ...]]:
+    """Tree.branches() of whole branches, from contexts of `first` bytes on."""
+    return Tree.branches([merged(seq & np.uint64((1 << (8 * d + 8)) - 1), n) for d in range(first, DEPTH + 1)], first)
 
 
-def dealt(seqs: DataFrame) -> DataFrame:
+def context(size: int) -> Column:
+    """The last `size` bytes before a sequence's own."""
+    return F.col("seq").bitwiseAND(F.lit((1 << (8 * size + 8)) - 256))
+
+
+def dealt(seqs: DataFrame, size: int = TOP) -> DataFrame:
     """branch, seq and n, each branch in one task and in order."""
-    branch = F.col("seq").bitwiseAND(F.lit((1 << (8 * TOP + 8)) - 256)).alias("branch")
-    return seqs.select(branch, "seq", "n").repartition("branch").sortWithinPartitions("branch")
+    return seqs.select(context(size).alias("branch"), "seq", "n").repartition("branch").sortWithinPartitions("branch")
 
 
-def top_levels(counts: DataFrame) -> list[Level]:
-    """The levels of contexts of fewer than TOP bytes. To the driver come the decisions of the longest of these, whose number has a bound."""
+SUMS = "key long, zeros double, ones double, longer double"
+
+
+def sums_above(counts: DataFrame, first: int) -> DataFrame:
+    """SUMS of the decisions after contexts of first - 1 bytes, from the branches of contexts of `first` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, n in whole_branches(batches):
-            keys, *sums = branch_levels(seq, n)[1]
-            unique, place = np.unique(keys & np.uint64((1 << (8 * TOP)) - 1), return_inverse=True)
+            keys, *sums = branch_levels(seq, n, first)[1]
+            unique, place = np.unique(keys & np.uint64((1 << (8 * first)) - 1), return_inverse=True)
             columns = [np.bincount(place, x, len(unique)) for x in sums]
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *(pa.array(x) for x in columns)], names=["key", "zeros", "ones", "longer"])
 
-    found = dealt(counts).mapInArrow(run, "key long, zeros double, ones double, longer double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer"))).toArrow()
+    return dealt(counts, first).mapInArrow(run, SUMS).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer")))
+
+
+def mixed(zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight of a context's own estimate, that, and the log of the mixture, where all longer contexts are in the tree."""
+    own = log_kt(zeros, ones)
+    total = np.logaddexp(own, longer) + np.log(0.5)
+    return np.exp(own + np.log(0.5) - total), (ones + 0.5) / (zeros + ones + 1), total
+
+
+@dataclass
+class Split:
+    """The large branches (a table of contexts of TOP bytes; None without any), and weight, own, zeros, ones and total of the decisions after contexts of TOP to SPLIT bytes in them."""
+
+    large: DataFrame | None
+    levels: dict[int, DataFrame]
+
+
+def split_branches(counts: DataFrame) -> Split:
+    sizes = counts.groupBy(context(TOP).alias("branch")).agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > LARGE_BRANCH).select("branch"), "large")
+    if large.isEmpty():
+        return Split(None, {})
+    sums, levels = sums_above(counts.withColumn("branch", context(TOP)).join(large, "branch", "left_semi"), SPLIT + 1), {}
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weight, own, total = mixed(*(batch.column(i).to_numpy() for i in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(weight), pa.array(own), pa.array(total)], names=["key", "zeros", "ones", "weight", "own", "total"])
+
+    for depth in range(SPLIT, TOP - 1, -1):
+        levels[depth] = written(sums.mapInArrow(mix, "key long, zeros double, ones double, weight double, own double, total double"), "level")
+        shorter = F.col("key").bitwiseAND(F.lit((1 << (8 * depth)) - 1)).alias("key")
+        sums = levels[depth].groupBy(shorter).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("longer"))
+    return Split(large, levels)
+
+
+def top_levels(counts: DataFrame, split: Split) -> list[Level]:
+    """The levels of contexts of fewer than TOP bytes. To the driver come the decisions of the longest of these, whose number has a bound."""
+    if split.large is None:
+        found = sums_above(counts, TOP)
+    else:
+        small = sums_above(counts.withColumn("branch", context(TOP)).join(split.large, "branch", "left_anti"), TOP)
+        above = F.col("key").bitwiseAND(F.lit((1 << (8 * TOP)) - 1)).alias("key")
+        found = small.unionByName(split.levels[TOP].select(above, "zeros", "ones", F.col("total").alias("longer")))
+        found = found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer")))
+    found = found.toArrow()
     keys, zeros, ones, longer = (found.column(i).to_numpy() for i in range(4))
     by = np.argsort(keys)
     keys, zeros, ones, longer = keys[by].view(np.uint64), zeros[by], ones[by], longer[by]
     levels: list[Level] = []
     for depth in range(TOP - 1, -1, -1):
-        own = log_kt(zeros, ones)
-        total = np.logaddexp(own, longer) + np.log(0.5)
-        weight = np.exp(own + np.log(0.5) - total)
+        weight, own, total = mixed(zeros, ones, longer)
         mask = np.uint64((1 << (8 * depth + 8)) - 1)
-        levels.insert(0, Level(keys, weight.astype(np.float32), ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), np.full(len(keys), 0.5, np.float32), np.unique(keys >> np.uint64(8)), mask))
+        levels.insert(0, Level(keys, weight.astype(np.float32), own.astype(np.float32), np.full(len(keys), 0.5, np.float32), np.unique(keys >> np.uint64(8)), mask))
         keys, place = np.unique(keys & (mask >> np.uint64(8)), return_inverse=True)
         zeros, ones, longer = (np.bincount(place, x, len(keys)) for x in (zeros, ones, total))
     return levels
 
 
-def sequence_scores(counts: DataFrame, top: list[Level], asked: DataFrame | None = None) -> DataFrame:
+SCORES = "seq long, n long, score float"
+
+
+def scored_rows(levels: list[Level], seq: np.ndarray, n: np.ndarray, first: int, unseen: bool) -> pa.RecordBatch | None:
+    """The scores of the training sequences of whole branches of `first` bytes, or of those not in training, by the levels above and their own."""
+    wanted = n == 0 if unseen else n > 0
+    if not wanted.any():
+        return None
+    own, _ = branch_levels(seq[n > 0], n[n > 0], first)
+    score = Tree([*levels, *own], []).log2(seq[wanted], DEPTH).astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array(seq[wanted].view(np.int64)), pa.array(n[wanted]), pa.array(score)], names=["seq", "n", "score"])
+
+
+def large_scores(seqs: DataFrame, split: Split, shared, unseen: bool) -> DataFrame:
+    """sequence_scores() of the sequences in large branches: dealt by contexts of SPLIT bytes, each after the decisions above it, and grown by those of one byte more, some at once."""
+    pairs = seqs.select(context(TOP).alias("top"), context(SPLIT).alias("branch")).distinct()
+    at = lambda size: F.col("key").bitwiseAND(F.lit((1 << (8 * size + 8)) - 256))
+    parts = [seqs.select(context(SPLIT).alias("branch"), F.lit(DEPTH).alias("depth"), context(SPLIT + 1).alias("place"), "seq", "n", F.lit(0.0).alias("weight"), F.lit(0.0).alias("own"))]
+    for depth, level in split.levels.items():
+        held = level.withColumn("top", at(TOP)).join(pairs, "top")
+        held = held if depth < SPLIT else held.where(at(SPLIT) == F.col("branch"))
+        parts.append(held.select("branch", F.lit(depth).alias("depth"), F.lit(0).cast("long").alias("place"), F.col("key").alias("seq"), F.lit(0).cast("long").alias("n"), "weight", "own"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.repartition("branch").sortWithinPartitions("branch", "depth", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        now: int | None = None
+
+        def settle(whole: bool) -> Iterator[pa.RecordBatch]:
+            """Scores the sequences held, all or those before the last place."""
+            if not held:
+                return
+            place, seq, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = len(seq) if whole else int(np.searchsorted(place, place[-1]))
+            held[:] = [(place[cut:], seq[cut:], n[cut:])] if cut < len(seq) else []
+            if not cut:
+                return
+            levels = list(shared.value)
+            for depth in range(TOP, SPLIT + 1):
+                keys, weight, own = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(zip(*above[depth], strict=True) if above.get(depth) else ((),) * 3, (np.uint64, np.float64, np.float64), strict=True))
+                by = np.argsort(keys)
+                half = np.full(len(keys), 0.5, np.float32)
+                levels.append(Level(keys[by], weight[by].astype(np.float32), own[by].astype(np.float32), half, keys[:0], np.uint64((1 << (8 * depth + 8)) - 1)))
+            found = scored_rows(levels, seq[:cut].view(np.uint64), n[:cut], SPLIT + 1, unseen)
+            if found is not None:
+                yield found
+
+        for batch in batches:
+            branch, depth, place, seq, n, weight, own = (batch.column(i).to_numpy() for i in range(7))
+            edges = np.flatnonzero((np.diff(branch, prepend=branch[:1]) != 0) | (np.diff(depth, prepend=depth[:1]) != 0)) if len(branch) else []
+            for lo, hi in zip([0, *edges], [*edges, len(branch)], strict=True):
+                if lo == hi:
+                    continue
+                if branch[lo] != now:
+                    yield from settle(True)
+                    above, now = {}, int(branch[lo])
+                if depth[lo] < DEPTH:
+                    above.setdefault(int(depth[lo]), []).append((seq[lo:hi].view(np.uint64), weight[lo:hi], own[lo:hi]))
+                    continue
+                held.append((place[lo:hi], seq[lo:hi], n[lo:hi]))
+                if sum(len(x[0]) for x in held) > MOST_GROWN:
+                    yield from settle(False)
+        yield from settle(True)
+
+    return rows.mapInArrow(run, SCORES)
+
+
+def sequence_scores(counts: DataFrame, top: list[Level], split: Split, asked: DataFrame | None = None) -> DataFrame:
     """seq, n and score (binary log probability) of each training sequence, or those of `asked` (seq), none of which is in training."""
     shared, unseen = counts.sparkSession.sparkContext.broadcast(top), asked is not None
     seqs = counts if asked is None else counts.unionByName(asked.select("seq", F.lit(0).cast("long").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, n in whole_branches(batches):
-            wanted = n == 0 if unseen else n > 0
-            if wanted.any():
-                levels, _ = branch_levels(seq[n > 0], n[n > 0])
-                score = Tree([*shared.value, *levels], []).log2(seq[wanted], DEPTH).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(seq[wanted].view(np.int64)), pa.array(n[wanted]), pa.array(score)], names=["seq", "n", "score"])
+            found = scored_rows(shared.value, seq, n, TOP, unseen)
+            if found is not None:
+                yield found
 
-    return written(dealt(seqs).mapInArrow(run, "seq long, n long, score float"), "scores")
+    if split.large is None:
+        return written(dealt(seqs).mapInArrow(run, SCORES), "scores")
+    marked = seqs.withColumn("top", context(TOP))
+    small, large = (marked.join(split.large.withColumnRenamed("branch", "top"), "top", how).drop("top") for how in ("left_anti", "left_semi"))
+    return written(dealt(small).mapInArrow(run, SCORES).unionByName(large_scores(large, split, shared, unseen)), "scores")
 
 
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,8 +521,9 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     counts = written(count_corpus(training, text), "counts")
     sequence_counts, word_counts = counts.where("seq is not null").select("seq", "n"), counts.where("word is not null").select("word", "n")
     n, v = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = top_levels(sequence_counts)
-    scores = sequence_scores(sequence_counts, top)
+    split = split_branches(sequence_counts)
+    top = top_levels(sequence_counts, split)
+    scores = sequence_scores(sequence_counts, top, split)
     least_sent = least_count(scores, "n", MOST_SENT)
     sent = scores.where(F.col("n") >= least_sent).select("seq", "score").toArrow()
     hot = Slots(sent.column("seq").to_numpy().view(np.uint64), sent.column("score").to_numpy())
@@ -443,7 +570,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     sums = found.groupBy("row_id").agg(F.sum(F.col("times") * logs).alias("rare_base"), F.sum(held).alias("rare_known"))
     rare_seqs = scored.where(F.size("rare_seqs") > 0).select("row_id", F.explode("rare_seqs").alias("seq"))
     others = scores.where(F.col("n") < least_sent).select("seq", "score")
-    unseen = sequence_scores(sequence_counts, top, rare_seqs.select("seq").distinct().join(others, "seq", "left_anti"))
+    unseen = sequence_scores(sequence_counts, top, split, rare_seqs.select("seq").distinct().join(others, "seq", "left_anti"))
     seq_sums = rare_seqs.join(others.unionByName(unseen.select("seq", "score")), "seq").groupBy("row_id").agg(F.sum(F.col("score").cast("double")).alias("rare_bits"))
     bits = F.col("bits") + F.coalesce("rare_bits", F.lit(0.0))
     return scored.join(sums, "row_id", "left").join(seq_sums, "row_id", "left").select(

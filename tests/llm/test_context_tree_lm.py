@@ -165,3 +165,28 @@ def test_query_tree_keeps_every_context(spark, monkeypatch):
         for i, text in enumerate([*texts, "zebra abba", "", None]):
             bits = whole.score(M.sequences([M.encoded(text)[1]], M.DEPTH)[0]).astype(float).sum()
             assert got[i].score == pytest.approx(bits * math.log10(2), rel=1e-4)
+
+
+@pytest.mark.parametrize("large", [1 << 30, 12])
+def test_query_path_matches_recursion(spark, monkeypatch, large):
+    """Scores of the query's own path, with branches whole and cut, by recursion over dictionaries that keep every context."""
+    monkeypatch.setattr(M, "LARGE_BRANCH", large)
+    monkeypatch.setattr(M, "MOST_GROWN", 40)
+    monkeypatch.setattr(M, "MOST_SENT", 30)
+    chance = random.Random(12)
+    words = ["the", "then", "there", "she", "sea", "seat", "ea"]
+    texts = [" ".join(chance.choice(words) + chance.choice(["", "", chance.choice("abcdr")]) for _ in range(chance.randint(0, 25))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "zebra then abba", "", None])), "doc_id long, text string")
+    training = docs.where("doc_id < 30")
+    counts = M.count_corpus(training, "text").where("seq is not null").select("seq", "n")
+    split = M.split_branches(counts)
+    assert (split.large is None) == (large > 12) and (split.large is None or split.large.count() > 5)
+    slow = SlowTree([M.encoded(t)[1] for t in texts[:30]], M.DEPTH, 1 << 30)
+    got = {r.doc_id: r for r in M.score_texts(docs, training).collect()}
+    for i, text in enumerate([*texts, "zebra then abba", "", None]):
+        if i % 3 and i < 40:
+            continue
+        line = M.encoded(text)[1]
+        whole = M.END * M.DEPTH + line
+        bits = sum(slow.log2(whole[j - M.DEPTH : j], whole[j]) for j in range(M.DEPTH, len(whole)))
+        assert got[i].score == pytest.approx(bits * math.log10(2), rel=2e-4)
