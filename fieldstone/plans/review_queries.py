@@ -161,17 +161,17 @@ def encoded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", *(F.get("v", F.lit(i)).alias(name) for i, name in ((0, "z"), (1, "missing"), (2, "f"), (4, "flag"))))
 
 
-@query("""WITH s AS (SELECT c_custkey AS site, c_nationkey AS b FROM customer WHERE c_custkey % 10 = 0), c AS (SELECT s_suppkey AS id, s_nationkey AS b, DATE '1995-01-01' + CAST(s_suppkey % 900 AS INTEGER) AS d FROM supplier), j AS (SELECT site, id, row_number() OVER (PARTITION BY site ORDER BY 25.0::DOUBLE + 10.0::DOUBLE * exp(-date_diff('day', d, DATE '1999-01-01') / 365.25::DOUBLE / 6.0::DOUBLE) DESC, id) AS n FROM s JOIN c USING (b) WHERE NOT (site % 100 = 0 AND id % 2 = 0)) SELECT site AS site_id, id AS case_id, CAST(n AS INTEGER) AS rank FROM j WHERE n <= 3""")
+@query("""WITH s AS (SELECT c_custkey AS site, c_nationkey AS b FROM customer), c AS (SELECT s_suppkey AS id, s_nationkey AS b, DATE '1995-01-01' + CAST(s_suppkey % 900 AS INTEGER) AS d FROM supplier), j AS (SELECT site, id, row_number() OVER (PARTITION BY site ORDER BY 25.0::DOUBLE + 10.0::DOUBLE * exp(-date_diff('day', d, DATE '1999-01-01') / 365.25::DOUBLE / 6.0::DOUBLE) DESC, id) AS n FROM s JOIN c USING (b) WHERE NOT (site % 100 = 0 AND id % 2 = 0)) SELECT site AS site_id, id AS case_id, CAST(n AS INTEGER) AS rank FROM j WHERE n <= 3""")
 def unlinked_comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparables of sites without the cases that are linked to the site itself."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     like = {"form": F.lit("f"), "units": F.lit(5), "area": F.lit(100.0), "archetype": F.lit("k"), "tokens": F.array(F.lit("x")), "template": F.lit("t")}
-    own = table(spark, sf_dir, "customer").where(c % 10 == 0).select(c.alias("site_id"), F.col("c_nationkey").cast("string").alias("borough_id"), F.lit("1999-01-01").cast("date").alias("as_of"), *(v.alias(n) for n, v in like.items()))
+    own = table(spark, sf_dir, "customer").select(c.alias("site_id"), F.col("c_nationkey").cast("string").alias("borough_id"), F.lit("1999-01-01").cast("date").alias("as_of"), *(v.alias(n) for n, v in like.items()))
     cases = table(spark, sf_dir, "supplier").select(
         s.alias("case_id"), F.col("s_nationkey").cast("string").alias("borough_id"), F.date_add(F.lit("1995-01-01").cast("date"), (s % 900).cast("int")).alias("decision_date"), F.lit(None).cast("date").alias("valid_date"), F.lit("POSITIVE").alias("label_class"),
         F.lit(None).cast("string").alias("review_status"), *(v.alias(n) for n, v in (like | {"form": F.lit("g"), "archetype": F.lit("m")}).items()),
     )
-    linked = own.where("site_id % 100 = 0").select("site_id").join(cases.where("case_id % 2 = 0").select("case_id"), F.lit(True))
+    linked = own.where("site_id % 100 = 0").select("site_id", "borough_id").join(cases.where("case_id % 2 = 0").select("case_id", "borough_id"), "borough_id").drop("borough_id")
     return comparables.comparable_members(own, cases, linked).select("site_id", "case_id", "rank")
 
 

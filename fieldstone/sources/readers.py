@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import text as T
+from .sheets import spreadsheet
 
 COVERAGE = "array<struct<borough_id:string,source_family:string,coverage_status:string,freshness_status:string,coverage_note:string,gap_reason:string>>"
 
@@ -61,13 +62,15 @@ def delimited(spark: SparkSession, path: str, line_breaks: bool = False) -> Data
 
 
 def feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of a feed: csv, json as an array or under rows, items or results, or jsonl with one object in a line, which may be of any size."""
+    """Rows of a feed: csv, xlsx, json as an array or under rows, items or results, or jsonl with one object in a line, which may be of any size."""
     if kind == "jsonl":
         return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"), F.from_json("value", "map<string,string>").alias("row")).where("row is not null")
     if kind == "csv":
         return delimited(spark, path)
+    if kind == "xlsx":
+        return spreadsheet(spark, path)
     if kind != "json":
-        raise ValueError(f"no reader for {kind}; turn spreadsheets into csv or json first")
+        raise ValueError(f"no reader for {kind}")
     whole = documents(spark, path)
     rows = F.coalesce(*(F.from_json(F.get_json_object("value", p), "array<map<string,string>>") for p in ("$.rows", "$.items", "$.results", "$")))
     return whole.select("path", F.posexplode(rows).alias("position", "row"))
