@@ -27,6 +27,8 @@ LEAST_ROWS, LEAST_OF_CLASS = 7, 3
 MEDIUM_DISTANCE, HIGH_DISTANCE = 1.8, 3.0
 #: Cases of a template whose refits follow the schedule (larger ones are refitted by sums), refits of a task, and different vectors of a template that a task fits.
 SCHEDULED, FOLD_BLOCK, MOST_VECTORS = 200, 25, 50_000
+#: Rows that are held against a piece of a list of training vectors at once.
+ROW_GROUP = 8192
 
 
 def transform_spec(rows: DataFrame, numeric: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -273,13 +275,18 @@ def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vect
         return pd.DataFrame({key: left[key], "nearest_distance": found})
 
     def look(asked: DataFrame, first: bool) -> DataFrame:
-        probed = asked.mapInPandas(probes(first), f"{key} {kind}, {vector} array<double>, list int").join(parts, "list")
-        probed = probed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        met = probed.groupBy("list", "piece").cogroup(pieces.groupBy("list", "piece")).applyInPandas(least, f"{key} {kind}, nearest_distance double")
+        probed = written(asked.mapInPandas(probes(first), f"{key} {kind}, {vector} array<double>, list int"), "probes")
+        # rows that look into one list come in groups, as its vectors come in pieces
+        groups = F.broadcast(probed.groupBy("list").agg(F.ceil(F.count("*") / ROW_GROUP).cast("int").alias("groups")))  # a row for each list
+        left = probed.join(parts, "list").join(groups, "list").select(key, vector, "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"), F.pmod(F.xxhash64(key), F.col("groups")).cast("int").alias("row_group"))
+        right = pieces.join(groups, "list").select("list", "piece", key, vector, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("row_group"))
+        met = left.groupBy("list", "piece", "row_group").cogroup(right.groupBy("list", "piece", "row_group")).applyInPandas(least, f"{key} {kind}, nearest_distance double")
         return written(met.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")), "nearest")
 
     asked = rows.select(key, F.col(vector).cast("array<double>").alias(vector))
     near = look(asked, True)
+    if lists == 1:  # there is no other list
+        return near.where("nearest_distance < double('infinity')")
     bound = asked.join(near.select(key, F.col("nearest_distance").alias("bound")), key)
     both = near.unionByName(look(bound, False))
     return both.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")).where("nearest_distance < double('infinity')")
