@@ -28,6 +28,11 @@ PLACE_PATTERNS = (
 )
 
 
+def whole_entities(html: Column) -> Column:
+    """The page with ampersands that begin no entity with a semicolon as text: a name that was cut off or isn't ended stays as it is written."""
+    return F.regexp_replace(html, r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
 def text_of(parts: Column) -> Column:
     return normalize_space(parts["text"])
 

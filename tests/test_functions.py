@@ -360,3 +360,9 @@ def test_links_of_a_scope(spark):
     maps = spark.createDataFrame([("s", "<loc>http://a.b/lot/3</loc>")], "source string, xml string")
     found = listings.crawl_candidates(pages, maps, "http://a.b/.*", 9, scope="div.results").orderBy("place")
     assert [r.url for r in found.collect()] == ["http://a.b/lot/1", "http://a.b/lot/2", "http://a.b/lot/3"]
+
+
+def test_an_entity_that_is_cut_off_stays_as_it_is_written(spark):
+    read = lambda text: one(spark, text, lambda c: H.headline(H.whole_entities(c)))
+    assert read("<title>A &amp;&amp</title>") == "A &&amp" and read("<h1>B &amp; &lt;c&gt; &#39;d&#x27; & e &ltf</h1>") == "B & <c> 'd' & e &ltf"
+    assert one(spark, "<h1>A &amp</h1>", H.headline) == "A &"
