@@ -204,8 +204,8 @@ def pair_overlap() -> Column:
 
 
 def shared_areas(pairs: DataFrame) -> DataFrame:
-    """PAIR, left_area and sqm (shared square metres) of the pairs of near_pairs(), all pieces together."""
-    return pairs.withColumn("sqm", pair_overlap()).groupBy(*PAIR).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"))
+    """PAIR, or MARKS, left_area and sqm (shared square metres) of the pairs of near_pairs(), or near_shapes(), all pieces together."""
+    return pairs.withColumn("sqm", pair_overlap()).groupBy(*(c for c in PAIR if c in pairs.columns)).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"))
 
 
 def pair_distance() -> Column:
@@ -371,25 +371,32 @@ def in_pieces(shape: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(shape))
 
 
-#: What tells apart the pairs of near_pairs(): ids and hashes of the whole shapes.
+#: What tells apart the pairs of near_pairs(), ids and marks of the whole shapes, and those of near_shapes().
 PAIR = ["left_id", "left_mark", "right_id", "right_mark"]
+MARKS = ["left_mark", "right_mark"]
 
 
-def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, within: float, cell: float = 1000.0) -> DataFrame:
-    """Candidate pairs of rows (each with a column shape) whose boxes come within a distance: an equi-join on grid cells, each pair once.
+def mark(shape: Column) -> Column:
+    """What tells apart different shapes: two hashes, 128 bits together."""
+    return F.struct(F.xxhash64(shape).alias("a"), F.xxhash64(F.lit(1), shape).alias("b"))
+
+
+def near_shapes(left: DataFrame, right: DataFrame, within: float, cell: float = 1000.0) -> DataFrame:
+    """Candidate pairs of different shapes (rows' column shape) whose boxes come within a distance: an equi-join on grid cells, each pair once.
 
-    A pair is taken in the one cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct. Ids and boxes
-    meet in the cells; shapes are joined to the pairs that are left. An id may have several shapes, each a row of its own; rows alike in both count once.
+    Rows of one shape count once, so the work follows the different shapes; with_ids() gives what was found to their rows. A pair is taken in the one
+    cell that holds the lower left corner of the two boxes' shared part, so nothing has to be made distinct. Marks and boxes meet in the cells; shapes
+    are joined to the pairs that are left.
 
-    Large polygons meet in pieces, as rows of their own with the same PAIR: a shared area is the sum over a pair's rows, a distance the least of
+    Large polygons meet in pieces, as rows of their own with the same MARKS: a shared area is the sum over a pair's rows, a distance the least of
     them, and a point is within if it is within any. left_area and right_area are those of the whole shapes.
     """
-    def described(df: DataFrame, key: str, side: str) -> DataFrame:
-        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), F.xxhash64("shape").alias(f"{side}_mark"), "shape", area(F.col("shape")).alias(f"{side}_area"))
-        each = own.dropDuplicates([f"{side}_id", f"{side}_mark"]).select(f"{side}_id", f"{side}_mark", f"{side}_area", F.posexplode(in_pieces(F.col("shape"))).alias(f"{side}_piece", f"{side}_shape"))
+    def described(df: DataFrame, side: str) -> DataFrame:
+        own = df.where(F.size("shape") >= 1).select(mark(F.col("shape")).alias(f"{side}_mark"), "shape").dropDuplicates([f"{side}_mark"]).withColumn(f"{side}_area", area(F.col("shape")))
+        each = own.select(f"{side}_mark", f"{side}_area", F.posexplode(in_pieces(F.col("shape"))).alias(f"{side}_piece", f"{side}_shape"))
         return written(each.withColumns({f"{side}_box": bounds(F.col(f"{side}_shape")), f"{side}_is_box": is_box(F.col(f"{side}_shape"))}), f"{side}-shapes")
 
-    a, b = described(left, left_id, "left"), described(right, right_id, "right")
+    a, b = described(left, "left"), described(right, "right")
     meet = [
         (F.col("left_box.minx") - within <= F.col("right_box.maxx")) & (F.col("right_box.minx") <= F.col("left_box.maxx") + within),
         (F.col("left_box.miny") - within <= F.col("right_box.maxy")) & (F.col("right_box.miny") <= F.col("left_box.maxy") + within),
@@ -398,6 +405,22 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, w
     in_cells = a.drop("left_shape").withColumn("cell", F.explode(cells(F.col("left_box"), cell, within)))
     others = b.drop("right_shape").withColumn("cell", F.explode(cells(F.col("right_box"), cell)))
     pairs = in_cells.join(others, "cell").where(meet[0] & meet[1] & (F.col("cell.cx") == corner[0]) & (F.col("cell.cy") == corner[1])).drop("cell")
-    keys = [[f"{side}_id", f"{side}_mark", f"{side}_piece"] for side in ("left", "right")]
+    keys = [[f"{side}_mark", f"{side}_piece"] for side in ("left", "right")]
     whole = pairs.join(a.select(*keys[0], "left_shape"), keys[0]).join(b.select(*keys[1], "right_shape"), keys[1])
     return whole.drop("left_piece", "right_piece")
+
+
+def with_ids(found: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """found (MARKS and what was measured) for each pair of rows of these shapes: left_id and right_id are added. Rows alike in id and shape count once."""
+    for df, key, side in ((left, left_id, "left"), (right, right_id, "right")):
+        own = df.where(F.size("shape") >= 1).select(F.col(key).alias(f"{side}_id"), mark(F.col("shape")).alias(f"{side}_mark")).distinct()
+        found = found.join(own, f"{side}_mark")
+    return found
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, within: float, cell: float = 1000.0) -> DataFrame:
+    """The pairs of near_shapes() for each pair of rows, with left_id and right_id: an id may have several shapes, each a row of its own.
+
+    As many rows as there are pairs, each with its shapes: what depends on shapes alone is better measured on near_shapes() first.
+    """
+    return with_ids(near_shapes(left, right, within, cell), left, right, left_id, right_id)

@@ -33,15 +33,16 @@ def spatial_matches(sites: DataFrame, features: DataFrame, near_m: float = 0.0,
 
     Polygons match where they meet, even if they only touch; points within the site or within near_m of it.
     """
-    pairs = G.near_pairs(sites, features, site_id, feature_id, max(near_m, 0.001))
+    pairs = G.near_shapes(sites, features, max(near_m, 0.001))
     own, other = F.col("left_shape"), F.col("right_shape")
     sqm, corner = G.pair_overlap(), lambda a, b: F.exists(F.flatten(a), lambda p: G.distance_to(b, p) <= 0.001)
     polygons = pairs.where(~G.is_point(other) & ~G.is_point(own)).withColumn("sqm", sqm).withColumn("meets", F.when(F.col("sqm") > 0, True).otherwise(corner(own, other) | corner(other, own)))
-    whole = polygons.groupBy(*G.PAIR).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"), F.max("meets").alias("meets"))
+    whole = polygons.groupBy(*G.MARKS).agg(F.first("left_area").alias("left_area"), F.sum("sqm").alias("sqm"), F.max("meets").alias("meets"))
     touching = whole.where("meets").withColumns({"distance_m": F.lit(0.0), "link_type": F.lit("POLYGON_INTERSECTS")})
-    points = pairs.where(G.is_point(other)).withColumn("distance_m", G.pair_distance()).groupBy(*G.PAIR).agg(F.first("left_area").alias("left_area"), F.min("distance_m").alias("distance_m"))
+    points = pairs.where(G.is_point(other)).withColumn("distance_m", G.pair_distance()).groupBy(*G.MARKS).agg(F.first("left_area").alias("left_area"), F.min("distance_m").alias("distance_m"))
     points = points.where(F.col("distance_m") <= near_m).withColumn("sqm", F.lit(0.0)).withColumn("link_type", F.when(F.col("distance_m") == 0, "POINT_WITHIN_SITE").otherwise("POINT_NEAR_SITE"))
-    out = touching.drop("meets").unionByName(points)
+    # written, so that giving them to their rows, of which there may be very many, is all that is left to do
+    out = G.with_ids(written(touching.drop("meets").unionByName(points), "matches"), sites, features, site_id, feature_id)
     share = F.coalesce(F.try_divide("sqm", "left_area"), F.lit(0.0))
     return out.select(F.col("left_id").alias(site_id), F.col("right_id").alias(feature_id), "link_type", F.col("sqm").alias("overlap_sqm"), share.alias("overlap_pct"), "distance_m")
 
