@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import numeric as N
+from ..sources.scratch import written
 from .latest import decided_by, effective_on, known_by
 
 #: Distance bands in metres; both ends count, so a case at 50 m is in two.
@@ -57,27 +58,43 @@ def on_site_history(links: DataFrame) -> DataFrame:
     )
 
 
-def band_counts(pairs: DataFrame) -> DataFrame:
-    """Decided cases near a site by band and outcome: pairs with site_id, as_of, distance_m, label_class, same_template."""
-    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+def band_counts(pairs: DataFrame, keys: tuple[str, ...] = ("site_id", "as_of"), weight: Column | None = None) -> DataFrame:
+    """Decided cases near a site by band and outcome: pairs with site_id, as_of (or other keys), distance_m, label_class, same_template; a pair may stand for several."""
+    n = F.lit(1) if weight is None else weight
+    count = lambda test: F.sum(F.when(F.coalesce(test, F.lit(False)), n).otherwise(0))
     out = []
     for name, (low, high) in BANDS.items():
         for label, word in ((APPROVED, "approved"), (REFUSED, "refused")):
             out.append(count(F.col("distance_m").between(low, high) & (F.col("label_class") == label)).alias(f"{name}_{word}_{low}_{high}m"))
     out.append(count((F.col("distance_m") <= 500) & (F.col("label_class") == APPROVED) & F.col("same_template")).alias("same_template_positive_500m"))
-    return pairs.groupBy("site_id", "as_of").agg(*out)
+    return pairs.groupBy(*keys).agg(*out, *([] if weight is None else [F.sum(weight).alias("pairs")]))
 
 
 def nearby_history(sites: DataFrame, cases: DataFrame, linked: DataFrame | None = None) -> DataFrame:
-    """band_counts() of labelled cases (case_id, shape, label_class, template, decision_date) within 500 m of sites (site_id, shape, as_of, template), linked ones left out."""
+    """band_counts() of labelled cases (case_id, shape, label_class, template, decision_date) within 500 m of sites (site_id, shape, as_of, template), linked ones left out.
+
+    Sites of one place, day and template have the same counts, and cases of one spot, outcome, template and day count as one with their number: these
+    meet, not their rows. Of sites with links, what the linked cases add to the counts is taken off again.
+    """
+    place, spot = ["left_mark", "as_of", "own"], ["right_mark", "label_class", "template", "decision_date"]
     spots = cases.withColumn("shape", G.point_shape(G.first_corner(F.col("shape"))))
-    near = G.near_pairs(sites, spots, "site_id", "case_id", 500.0, cell=1000.0).withColumn("distance_m", G.pair_distance()).groupBy(*G.PAIR).agg(F.min("distance_m").alias("distance_m"))
-    pairs = near.select(F.col("left_id").alias("site_id"), F.col("right_id").alias("case_id"), "distance_m")
+    near = G.near_shapes(sites, spots, 500.0, cell=1000.0).withColumn("distance_m", G.pair_distance()).groupBy(*G.MARKS).agg(F.min("distance_m").alias("distance_m"))
+    near = written(near.where(F.col("distance_m") <= 500), "near")
+    own = sites.select("site_id", G.mark(F.col("shape")).alias("left_mark"), "as_of", F.col("template").alias("own"))
+    theirs = spots.select("case_id", G.mark(F.col("shape")).alias("right_mark"), *spot[1:])
+    decided = decided_by(F.col("decision_date"), F.col("as_of"))
+    alike = (F.col("own") == F.col("template")).alias("same_template")
+
+    full = near.join(own.select(*place).distinct(), "left_mark").join(theirs.groupBy(*spot).agg(F.count("*").alias("n")), "right_mark").where(decided)
+    known = band_counts(full.select(*place, "distance_m", "label_class", alike, "n"), tuple(place), F.col("n"))
+    on = [F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}")) for c in place]
+    counts = own.alias("o").join(known.alias("k"), on).select("o.site_id", "o.as_of", *(F.col(f"k.{c}") for c in known.columns if c not in place))
     if linked is not None:
-        pairs = pairs.join(linked.select("site_id", "case_id"), ["site_id", "case_id"], "left_anti")
-    full = pairs.join(sites.select("site_id", "as_of", F.col("template").alias("own")), "site_id").join(cases.select("case_id", "label_class", "template", "decision_date"), "case_id")
-    kept = full.where((F.col("distance_m") <= 500) & decided_by(F.col("decision_date"), F.col("as_of")))
-    return band_counts(kept.withColumn("same_template", F.col("own") == F.col("template")))
+        pairs = linked.select("site_id", "case_id").distinct().join(own, "site_id").join(theirs, "case_id").join(near, G.MARKS).where(decided)
+        off = band_counts(pairs.select("site_id", "as_of", "distance_m", "label_class", alike), weight=F.lit(1))
+        counts = counts.unionByName(off.select("site_id", "as_of", *((-F.col(c)).alias(c) for c in off.columns[2:])))
+    values = [c for c in counts.columns if c not in ("site_id", "as_of")]
+    return counts.groupBy("site_id", "as_of").agg(*(F.sum(c).alias(c) for c in values)).where("pairs > 0").drop("pairs")
 
 
 def designation_profile(matches: DataFrame) -> DataFrame:
