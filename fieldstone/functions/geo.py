@@ -9,7 +9,7 @@ triangles' overlaps; that, repair and union run on Arrow batches.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +225,16 @@ def as_shapes(found: Iterable[list[np.ndarray]]) -> pa.Array:
     return pa.array(rows, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
+def each_once(found: Iterable[list[np.ndarray]], work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """What work gives for each polygon, in order; those that repeat are worked out once."""
+    done: dict[tuple[bytes, ...], list[np.ndarray]] = {}
+    for rings in found:
+        key = tuple(r.tobytes() for r in rings)
+        if key not in done:
+            done[key] = work(rings)
+        yield done[key]
+
+
 @F.arrow_udf(DoubleType())
 def overlap_area(left: pa.Array, right: pa.Array) -> pa.Array:
     """Shared square metres of two polygons; 0 if either is a point."""
@@ -238,7 +248,7 @@ def dissolved(shapes: pa.Array) -> pa.Array:
 
 @F.arrow_udf(SHAPE_TYPE)
 def made_simple(shapes: pa.Array) -> pa.Array:
-    return as_shapes(repair(corners(x)) for x in shapes.to_pylist())
+    return as_shapes(each_once(map(corners, shapes.to_pylist()), repair))
 
 
 def repaired(shape: Column) -> Column:

@@ -25,3 +25,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores: a small file of very many rows would be the work of one or two tasks."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)

@@ -366,3 +366,10 @@ def test_an_entity_that_is_cut_off_stays_as_it_is_written(spark):
     read = lambda text: one(spark, text, lambda c: H.headline(H.whole_entities(c)))
     assert read("<title>A &amp;&amp</title>") == "A &&amp" and read("<h1>B &amp; &lt;c&gt; &#39;d&#x27; & e &ltf</h1>") == "B & <c> 'd' & e &ltf"
     assert one(spark, "<h1>A &amp</h1>", H.headline) == "A &"
+
+
+def test_repeated_shapes_are_repaired_once():
+    calls = []
+    shapes = [[np.array([(0, 0), (w, w), (w, 0), (0, w)], float)] for w in (1, 2, 1, 2, 1)]
+    got = list(G.each_once(shapes, lambda rings: calls.append(1) or rings))
+    assert len(calls) == 2 and [float(x[0].max()) for x in got] == [1, 2, 1, 2, 1]
