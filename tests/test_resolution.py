@@ -121,3 +121,22 @@ def test_empty_tables(spark):
     assert listings.resolved(spark.createDataFrame([], SCHEMA)).count() == 0
     lone = [(1, None, None, None, None, None, None, None), (2, "", [], "", [], 0.0, None, 1.0)]
     assert found(listings.resolved(spark.createDataFrame(lone, SCHEMA))) == brute(lone)
+
+
+def test_accepted_pairs_are_those_of_the_rule(spark):
+    chance = random.Random(5)
+    pick = lambda *of: chance.choice(of)
+    rows = [(i, pick("u1", "u2", "", None, f"v{i}"), pick([], None, ["h1"]), pick("a", "b", None), pick(["x", "y"], ["x"]), pick(None, 100.0, 103.0, 400.0), *pick((None, None), (51.5, -0.1), (51.5004, -0.1), (51.6, None))) for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, url string, hashes array<string>, address string, words array<string>, price double, lat double, lon double")
+    judged = listings.candidate_pairs(df).withColumn("link", resolution.link()).where("link is not null")
+    want = sorted((r.a, r.b, r.score, r.reasons) for r in judged.selectExpr("l.id a", "r.id b", "link.score", "link.reasons").collect())
+    got = sorted((r.left_id, r.right_id, r.score, r.reasons) for r in listings.accepted_pairs(df).collect())
+    assert got == want and len(got) > 100
+    copies = spark.range(40).selectExpr("id", "concat('u', id) url", "array('h') hashes", "'a' address", "array('x') words", "1.0d price", "null lat", "null lon").selectExpr("id", "url", "hashes", "address", "words", "price", "cast(lat as double) lat", "cast(lon as double) lon")
+    seen = []
+    one = listings.candidate_pairs
+    listings.candidate_pairs = lambda of, **kw: seen.append(of.count()) or one(of, **kw)
+    try:
+        assert listings.accepted_pairs(copies).count() == 40 * 39 // 2 and seen == [1, 0]
+    finally:
+        listings.candidate_pairs = one
