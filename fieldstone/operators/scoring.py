@@ -29,6 +29,8 @@ MEDIUM_DISTANCE, HIGH_DISTANCE = 1.8, 3.0
 SCHEDULED, FOLD_BLOCK, MOST_VECTORS = 200, 25, 50_000
 #: Rows that are held against a piece of a list of training vectors at once.
 ROW_GROUP = 8192
+#: Rows of a table of probes that are made at once.
+PROBES = 1 << 15
 
 
 def transform_spec(rows: DataFrame, numeric: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -249,9 +251,12 @@ def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vect
     pieces = placed.join(parts, "list").select("list", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("piece"), key, vector)
 
     def probes(first: bool):
+        # a row may look into all lists: as many rows at once as give PROBES
+        step = max(1, PROBES // len(middle))
+
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                gap = gaps(np.array(f[vector].tolist(), float).reshape(len(f), -1)) if len(f) else np.zeros((0, len(about.value)))
+            for f in (whole.iloc[at : at + step] for whole in frames for at in range(0, len(whole), step)):
+                gap = gaps(np.array(f[vector].tolist(), float))
                 gap[:, ~np.isfinite(about.value)] = np.inf
                 nearest = gap.argmin(axis=1)
                 if first:

@@ -528,3 +528,12 @@ def test_sites_of_one_description_are_compared_once(spark):
     assert all(got[i, "POSITIVE"] == [(0, 1), (0, 3), (0, 5)] and got[i, "NEGATIVE"] == [(0, 13), (1, 12)] for i in range(1, 8)) and len(got) == 20
     met = comparables.descriptions(sites).distinct().count()
     assert met == 2
+
+
+def test_probes_come_in_bounded_tables(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PROBES", 25)
+    rows = np.random.default_rng(4).normal(size=(120, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id int, vector array<double>")
+    gaps = np.linalg.norm(rows[:, None] - rows[None], axis=2) + np.where(np.eye(120), np.inf, 0)
+    got = {r.id: r.nearest_distance for r in scoring.nearest_distance(df, df, size=10).collect()}
+    assert len(got) == 120 and all(abs(got[i] - gaps[i].min()) < 1e-9 for i in got)
