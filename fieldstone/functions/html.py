@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .markup import links_within, page, selected_texts
+from .markup import links_within, page, page_links, selected_texts
 from .text import coordinates, filled, normalize_space, normalize_url
 
 #: Marks of documents that belong to no single listing, marks of documents, and marks of maps.
@@ -92,7 +92,7 @@ def absolute_url(link: Column, base: Column) -> Column:
 
 def links(pages: DataFrame, url: str = "url", html: str = "html", scope: str | None = None) -> DataFrame:
     """url, position (from 0), target and label of each link of each page, in page order; with a scope, of those in elements that this selector fits."""
-    every = page(F.col(html))["links"] if scope is None else links_within(F.col(html), scope)
+    every = page_links(F.col(html)) if scope is None else links_within(F.col(html), scope)
     found = pages.select(F.col(url).alias("url"), F.posexplode(every).alias("position", "anchor"))
     link = F.struct(normalize_url(absolute_url(F.trim("anchor.href"), F.col("url"))).alias("target"), normalize_space(F.col("anchor.label")).alias("label"))
     # unfolded as a row of its own, so that tests on it don't repeat the expressions that make it

@@ -8,6 +8,7 @@ import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +374,13 @@ def test_repeated_shapes_are_repaired_once():
     shapes = [[np.array([(0, 0), (w, w), (w, 0), (0, w)], float)] for w in (1, 2, 1, 2, 1)]
     got = list(G.each_once(shapes, lambda rings: calls.append(1) or rings))
     assert len(calls) == 2 and [float(x[0].max()) for x in got] == [1, 2, 1, 2, 1]
+
+
+def test_pages_are_read_some_at_once(spark):
+    pages = [None if i % 50 == 7 else f"<title>{i}</title><a href='/{i}'>l {i}</a><a>no</a>" for i in range(2 * markup.SOME + 3)]
+    most = []
+    got = markup.in_parts(pa.array(pages), lambda texts: most.append(len(texts)) or pa.array(texts), pa.string())
+    assert got.to_pylist() == pages and max(most) == markup.SOME
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(pages)], "id int, html string").coalesce(1)
+    rows = df.select("id", markup.page(F.col("html"))["links"].alias("a"), markup.page_links(F.col("html")).alias("b")).collect()
+    assert len(rows) == len(pages) and all(r.a == r.b for r in rows) and rows[9].b[0].href == "/9"
