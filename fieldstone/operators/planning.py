@@ -66,20 +66,32 @@ def lpa_shares(overlaps: DataFrame) -> DataFrame:
 
 def title_candidates(sites: DataFrame, titles: DataFrame) -> DataFrame:
     """site_id, title_number and score of titles by address (equal .95, one within the other .8) or by the site's point (1.0); the best of each, .75 or more."""
-    s = sites.select("site_id", "address", "spot")
-    t = titles.select("title_number", "address", "shape")
-    own, theirs = s.where("address <> ''").select("site_id", "address"), t.where("address <> ''").select("title_number", "address")
-    equal = own.join(theirs, "address").select("site_id", "title_number", F.lit(0.95).alias("score"))
+    # rows alike but for their ids have the same matches: these are found and scored once, then given to the rows
+    s, own_rows = kinds(sites.select("site_id", "address", "spot"), "site_id")
+    t, their_rows = kinds(titles.select("title_number", "address", "shape"), "title_number")
+    own, theirs = s.where("address <> ''").select("site", "address"), t.where("address <> ''").select("title", "address")
+    equal = own.join(theirs, "address").select("site", "title", F.lit(0.95).alias("score"))
     as_part, as_whole = (lambda df: df.select(F.col("address").alias("part"))), (lambda df: df.select(F.col("address").alias("whole")))
     inner = contained(as_part(own), as_whole(theirs)).toDF("site_address", "title_address")
     outer = contained(as_part(theirs), as_whole(own)).toDF("title_address", "site_address")
     pairs = written(inner.unionByName(outer), "within")  # of different addresses; their sites and titles join them
     partly = own.join(pairs, F.col("address") == F.col("site_address")).drop("address").join(theirs, F.col("address") == F.col("title_address"))
-    partly = partly.select("site_id", "title_number", F.lit(0.8).alias("score"))
-    spots = G.near_pairs(s.where("spot is not null").withColumn("shape", G.point_shape(F.col("spot"))), t.where("shape is not null"), "site_id", "title_number", 0.001)
-    within = spots.where(G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))).select(F.col("left_id").alias("site_id"), F.col("right_id").alias("title_number"), F.lit(1.0).alias("score"))
+    partly = partly.select("site", "title", F.lit(0.8).alias("score"))
+    spots = G.near_pairs(s.where("spot is not null").withColumn("shape", G.point_shape(F.col("spot"))), t.where("shape is not null"), "site", "title", 0.001)
+    within = spots.where(G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))).select(F.col("left_id").alias("site"), F.col("right_id").alias("title"), F.lit(1.0).alias("score"))
     every = equal.unionByName(partly).unionByName(within)
-    return every.groupBy("site_id", "title_number").agg(F.max("score").alias("score")).where(F.col("score") >= TITLE_SCORE)
+    best = written(every.groupBy("site", "title").agg(F.max("score").alias("score")).where(F.col("score") >= TITLE_SCORE), "titles")
+    out = best.join(own_rows, "site").join(their_rows, "title").select("site_id", "title_number", "score")
+    several = [not rows.groupBy(key).count().where("count > 1").isEmpty() for rows, key in ((own_rows, "site_id"), (their_rows, "title_number"))]
+    return out.groupBy("site_id", "title_number").agg(F.max("score").alias("score")) if any(several) else out
+
+
+def kinds(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The different rows without their id, numbered in a column named as the id's first word, and the ids with these numbers."""
+    name = key.split("_")[0]
+    of = rows.select(key, F.struct(*(c for c in rows.columns if c != key)).alias("of"))
+    found = written(of.select("of").distinct().withColumn(name, F.monotonically_increasing_id()), f"{name}-kinds")
+    return found.select(name, "of.*"), written(of.join(found, "of").select(key, name).distinct(), f"{name}-ids")
 
 
 def cluster_geometry(polygon: Column, box: Column, official: Column, titles: Column, spot: Column) -> Column:

@@ -537,3 +537,13 @@ def test_probes_come_in_bounded_tables(spark, monkeypatch):
     gaps = np.linalg.norm(rows[:, None] - rows[None], axis=2) + np.where(np.eye(120), np.inf, 0)
     got = {r.id: r.nearest_distance for r in scoring.nearest_distance(df, df, size=10).collect()}
     assert len(got) == 120 and all(abs(got[i] - gaps[i].min()) < 1e-9 for i in got)
+
+
+def test_titles_of_rows_alike_are_found_once(spark):
+    s = spark.createDataFrame([(i, "1 high road", None) for i in range(20)] + [(99, None, {"x": 5.0, "y": 5.0}), (99, "1 high road", None)], "site_id int, address string, spot struct<x:double,y:double>")
+    t = spark.createDataFrame([(i, "1 high road", ring(0, 0, 10)) for i in range(30)] + [(77, "flat 1 high road", None)], f"title_number int, address string, shape {G.SHAPE}")
+    different, ids = planning.kinds(s, "site_id")
+    assert different.count() == 2 and ids.count() == 22
+    got = {(r.site_id, r.title_number): r.score for r in planning.title_candidates(s, t).collect()}
+    assert got == {(i, j): 0.95 for i in range(20) for j in range(30)} | {(99, j): 1.0 for j in range(30)} | {(i, 77): 0.8 for i in (*range(20), 99)}
+    assert planning.title_candidates(s, t).count() == len(got)
