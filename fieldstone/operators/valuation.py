@@ -98,6 +98,19 @@ def apportion(rows: DataFrame, keys: list[str], units: str, share: str, name: st
     return out.withColumn("unit_count", (F.col("__floor") + F.when(F.col("__n") <= F.col("__left"), 1).otherwise(0)).cast("long")).drop("__floor", "__rest", "__left", "__n")
 
 
+def kind_counts(rows: DataFrame, mixes: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """template, units, unit_type and unit_count of the different templates and numbers of units of rows, by apportion(): rows that are alike in both have the same counts."""
+    shares = [(template, name, share) for template, mix in (mixes or MIXES).items() for name, share in mix.items()]
+    mix = rows.sparkSession.createDataFrame(shares, "template string, unit_type string, share double")
+    return apportion(rows.select("template", "units").distinct().join(F.broadcast(mix), "template"), ["template", "units"], "units", "share", "unit_type")
+
+
+def of_kind(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """rows with what kinds (template, units) say of them. Kinds go to all executors, so that rows stay where they are: for schemes, whose units are bounded by template."""
+    near = kinds.withColumnsRenamed({"template": "__template", "units": "__units"})
+    return rows.join(F.broadcast(near), F.col("template").eqNullSafe(F.col("__template")) & F.col("units").eqNullSafe(F.col("__units"))).drop("__template", "__units")
+
+
 def areas(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Net and gross internal area of unit counts (keys, unit_type, unit_count)."""
     sqm = F.col("unit_count") * by_name(F.col("unit_type"), UNIT_SQM, OTHER_UNIT_SQM)

@@ -95,17 +95,17 @@ k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rest DESC, u
 counts AS (SELECT o_orderkey, template, units, o_custkey, o_totalprice, unit_type, CAST(whole + CASE WHEN n <= over THEN 1 ELSE 0 END AS BIGINT) AS unit_count FROM k)"""
 
 
-def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, each under a key of its own, as schemes of 1 to 49 units."""
     units = (F.col("o_orderkey") % 49 + 1).cast("int")
     template = F.when(units <= 4, "resi_1_4_full").when(units <= 9, "resi_5_9_full").otherwise("resi_10_49_outline")
-    mix = spark.createDataFrame([(t, u, s) for t, shares in valuation.MIXES.items() for u, s in shares.items()], "template string, unit_type string, share double")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", units.alias("units"), template.alias("template"), "o_custkey", "o_totalprice")
-    return valuation.apportion(rows.join(F.broadcast(mix), "template"), ["o_orderkey"], "units", "share", "unit_type")
+    return table(spark, sf_dir, "orders").select("o_orderkey", units.alias("units"), template.alias("template"), "o_custkey", "o_totalprice")
 
 
 @query(f"WITH {MIX_SQL} SELECT o_orderkey, unit_type, unit_count FROM counts")
 def unit_mix_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_counts(spark, sf_dir).select("o_orderkey", "unit_type", "unit_count")
+    rows = schemes(spark, sf_dir)
+    return valuation.of_kind(rows, valuation.kind_counts(rows).select("template", "units", "unit_type", "unit_count")).select("o_orderkey", "unit_type", "unit_count")
 
 
 RESIDUAL_SQL = f"""{MIX_SQL},
@@ -118,8 +118,8 @@ e AS (SELECT *, greatest(gdv - (subtotal * (1.0::DOUBLE + 0.06::DOUBLE) + gdv *
 
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = unit_counts(spark, sf_dir)
-    sized = valuation.areas(counts, ["o_orderkey", "template", "units", "o_custkey", "o_totalprice"])
+    schemed = schemes(spark, sf_dir)
+    sized = valuation.of_kind(schemed, valuation.areas(valuation.kind_counts(schemed), ["template", "units"]))
     borough = F.when(F.col("o_custkey") % 3 == 0, "camden").when(F.col("o_custkey") % 3 == 1, "southwark").otherwise("islington")
     rows = sized.withColumns({"borough": borough, "ppsm": (4000 + F.col("o_custkey") % 50 * 100).cast("double")})
     return rows.withColumn("land", valuation.land_value(F.col("nsa"), F.col("gia"), F.col("ppsm"), F.col("template"), F.col("borough"), F.col("units")))

@@ -241,6 +241,18 @@ def test_apportionment(spark):
     assert all(sum(v) == n for n, v in got.items()) and got[1] == [0, 1, 0] and got[10] == [3, 5, 2]
 
 
+def test_kinds_have_the_counts_of_their_rows(spark):
+    rows = [(i, u, "resi_1_4_full" if u and u <= 4 else "resi_5_9_full" if u and u <= 9 else "resi_10_49_outline") for i, u in enumerate([*range(1, 50)] * 2 + [None, None])]
+    df = spark.createDataFrame(rows, "k int, units int, template string")
+    shares = spark.createDataFrame([(t, n, s) for t, mix in valuation.MIXES.items() for n, s in mix.items()], "template string, unit_type string, share double")
+    columns = ["k", "units", "template", "unit_type", "unit_count"]
+    want = valuation.apportion(df.join(shares, "template"), ["k"], "units", "share", "unit_type").select(*columns)
+    kinds = valuation.kind_counts(df)
+    got = valuation.of_kind(df, kinds).select(*columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert kinds.count() == 4 * 2 + 5 * 3 + 40 * 3 + 3  # of 1 to 4, 5 to 9 and 10 to 49 units, and of none given
+
+
 def test_assessment_valuation(spark):
     columns = dict(run_id=1, nsa=500.0, gia=575.0, template="resi_5_9_full", borough_id="camden", units=7, price_low=7000.0, price_mid=8000.0, price_high=9000.0, basis_gbp=500_000.0, second_low=1e6, second_mid=3e6, second_high=4e6, sales_count=6, land_count=3, policy_known=True, is_stable=True, probability=0.5)
     df = spark.createDataFrame([tuple(columns.values()), *[(2, None, *list(columns.values())[2:])]], "run_id int, nsa double, gia double, template string, borough_id string, units int, price_low double, price_mid double, price_high double, basis_gbp double, second_low double, second_mid double, second_high double, sales_count int, land_count int, policy_known boolean, is_stable boolean, probability double")

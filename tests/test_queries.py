@@ -43,6 +43,12 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["divergence_quality", "residual_valuation", "unit_mix_apportion"])
+def test_valuations_leave_orders_where_they_are(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and "hashpartitioning(o_orderkey" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
