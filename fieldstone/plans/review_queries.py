@@ -12,7 +12,7 @@ from ..operators import assessments, comparables, health, latest, listings, plan
 from ..sources.scratch import shared_dir, written
 from ..streaming import jobs as streams
 from ..streaming import leases
-from .registry import query, table
+from .registry import dealt, query, table
 
 
 @query("""WITH r AS (SELECT l_orderkey AS case_id, arg_max(l_linenumber, l_linenumber) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1)
@@ -244,7 +244,9 @@ SELECT k AS run_id, ups AS positive_count, 'f' || m AS strongest, 0 AS negative_
 def explanation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers, unknowns and evidence links of each run in one row, cut to what a reader is shown."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select(k.alias("run_id"), n.alias("n")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(k.alias("run_id"), n.alias("n"))
+    known = written(dealt(lines, ["run_id", "n"], lines.count()).distinct(), "lines")
+    rows = dealt(known, ["run_id"], known.count())
     first = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("n")))
     up = rows.select("run_id", F.lit("positive").alias("direction"), first.alias("rank"), F.concat(F.lit("f"), F.col("n").cast("string")).alias("feature"), (F.col("n") / 10.0).alias("contribution")).where("rank <= 5 and contribution > 0")
     gaps = rows.select("run_id", F.explode(F.array(F.concat(F.lit("a"), F.col("n").cast("string")), F.concat(F.lit("b"), F.col("n").cast("string")))).alias("feature"))

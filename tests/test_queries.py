@@ -2,11 +2,13 @@
 
 import datetime
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fieldstone.plans import registry
 from fieldstone.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +51,15 @@ def test_valuations_leave_orders_where_they_are(spark, name):
     assert "hashpartitioning(" in plan and "hashpartitioning(o_orderkey" not in plan
 
 
+def test_explanations_come_in_tasks_of_bounded_size(spark, views, monkeypatch):
+    monkeypatch.setattr(registry, "TASK_ROWS", 500)
+    n = views.sql("SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)").fetchall()[0][0]
+    got = QUERIES["explanation_payloads"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {int(x) for x in re.findall(r"hashpartitioning\(run_id#\d+L?, (\d+)\)", plan)} == {-(-n // 500)}
+    assert sorted(got.select("run_id", "unknown_count").collect()) == sorted(views.sql(f"SELECT run_id, unknown_count FROM ({ORACLE['explanation_payloads']})").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
