@@ -140,3 +140,9 @@ def test_accepted_pairs_are_those_of_the_rule(spark):
         assert listings.accepted_pairs(copies).count() == 40 * 39 // 2 and seen == [1, 0]
     finally:
         listings.candidate_pairs = one
+
+
+def test_facts_of_a_link_are_worked_out_once(spark):
+    df = spark.createDataFrame(some_rows(3, 5, 20, 40), SCHEMA)
+    plan = resolution.links(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("arrays_overlap(") == 1 and "RepartitionByExpression" in plan
