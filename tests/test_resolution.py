@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from fieldstone.operators import listings, resolution
+from fieldstone.operators import kinds, listings, resolution
 
 SCHEMA = "id int, url string, hashes array<string>, address string, words array<string>, price double, lat double, lon double"
 
@@ -142,6 +142,19 @@ def test_accepted_pairs_are_those_of_the_rule(spark):
         listings.candidate_pairs = one
 
 
+def test_pairs_of_listings_alike_come_in_blocks_on_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(kinds, "BLOCK", 3)
+    chance = random.Random(6)
+    pick = lambda *of: chance.choice(of)
+    rows = [(i, pick("u1", "u2", "", None, f"v{i}", f"w{i}"), [], pick("a", "a", "b"), pick(["x"], ["y"]), pick(100.0, 103.0, 400.0), None, None) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, url string, hashes array<string>, address string, words array<string>, price double, lat double, lon double")
+    brute = listings.candidate_pairs(df).withColumn("link", resolution.link()).where("link is not null")
+    want = sorted((r.a, r.b, r.score, r.reasons) for r in brute.selectExpr("l.id a", "r.id b", "link.score", "link.reasons").collect())
+    found = listings.accepted_pairs(df)
+    assert sorted((r.left_id, r.right_id, r.score, r.reasons) for r in found.collect()) == want and len(want) > 500
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_facts_of_a_link_are_worked_out_once(spark):
     df = spark.createDataFrame(some_rows(3, 5, 20, 40), SCHEMA)
     plan = resolution.links(df)._jdf.queryExecution().optimizedPlan().toString()
