@@ -10,6 +10,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..sources.scratch import superseded, written
 from .containment import contained
+from .kinds import blocks, pairs_within
 from .latest import effective_on, latest_per_key
 
 #: Fixed values.
@@ -81,9 +82,22 @@ def title_candidates(sites: DataFrame, titles: DataFrame) -> DataFrame:
     within = spots.where(G.contains(F.col("right_shape"), G.first_corner(F.col("left_shape")))).select(F.col("left_id").alias("site"), F.col("right_id").alias("title"), F.lit(1.0).alias("score"))
     every = equal.unionByName(partly).unionByName(within)
     best = written(every.groupBy("site", "title").agg(F.max("score").alias("score")).where(F.col("score") >= TITLE_SCORE), "titles")
-    out = best.join(own_rows, "site").join(their_rows, "title").select("site_id", "title_number", "score")
-    several = [not rows.groupBy(key).count().where("count > 1").isEmpty() for rows, key in ((own_rows, "site_id"), (their_rows, "title_number"))]
-    return out.groupBy("site_id", "title_number").agg(F.max("score").alias("score")) if any(several) else out
+    # an id with several kinds may meet another one by several scores; all others have one and stay where they are made
+    own_blocks, theirs_blocks = blocks(with_several(own_rows, "site_id"), "site", "site_id", "several"), blocks(with_several(their_rows, "title_number"), "title", "title_number", "several")
+    end = lambda df, kind, key: df.select(kind, F.col("ids").alias(key), F.col("block").alias(f"{kind}_block"), F.col("several").alias(f"{kind}_several"))
+    met = best.join(end(own_blocks, "site", "site_id"), "site").join(end(theirs_blocks, "title", "title_number"), "title")
+    several = F.col("site_several") | F.col("title_several")
+    of = lambda some: pairs_within(some, ["site", "title", "site_block", "title_block", "site_several", "title_several"], "site_id", "title_number", "score")
+    once = of(met.where(~several))
+    if not any(df.where("several").limit(1).count() for df in (own_blocks, theirs_blocks)):
+        return once
+    return once.unionByName(of(met.where(several)).groupBy("site_id", "title_number").agg(F.max("score").alias("score")))
+
+
+def with_several(ids: DataFrame, key: str) -> DataFrame:
+    """ids with `several`: whether the key has several rows."""
+    many = written(ids.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit(True).alias("several")), "several")
+    return ids.join(many, key, "left").fillna({"several": False})
 
 
 def kinds(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

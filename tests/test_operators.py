@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldstone.functions import geo as G
-from fieldstone.operators import assessments, comparables, components, containment, control, features, latest, listings, planning, ranges, ranking, readback, refits, resolution, scenarios, scoring, sites, valuation
+from fieldstone.operators import assessments, comparables, components, containment, control, features, kinds, latest, listings, planning, ranges, ranking, readback, refits, resolution, scenarios, scoring, sites, valuation
 from fieldstone.sources import readers
 from fieldstone.streaming import jobs
 
@@ -559,3 +559,19 @@ def test_titles_of_rows_alike_are_found_once(spark):
     got = {(r.site_id, r.title_number): r.score for r in planning.title_candidates(s, t).collect()}
     assert got == {(i, j): 0.95 for i in range(20) for j in range(30)} | {(99, j): 1.0 for j in range(30)} | {(i, 77): 0.8 for i in (*range(20), 99)}
     assert planning.title_candidates(s, t).count() == len(got)
+
+
+def test_titles_come_in_blocks_on_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(kinds, "BLOCK", 4)
+    monkeypatch.setattr(kinds, "AT_ONCE", 2)
+    s = spark.createDataFrame([(i, f"{i % 2 + 1} high road", None) for i in range(50)], "site_id int, address string, spot struct<x:double,y:double>")
+    t = spark.createDataFrame([(i, f"{i % 3 + 1} high road", ring(0, 0, 10)) for i in range(60)], f"title_number int, address string, shape {G.SHAPE}")
+    want = sorted((i, j, 0.95) for i in range(50) for j in range(60) if i % 2 == j % 3)
+    found = planning.title_candidates(s, t)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "slice(" in plan and "HashAggregate" not in plan
+    # ids with several rows: the best score of each pair, and each pair once
+    twice = s.unionByName(s.where("site_id < 9").withColumn("address", F.lit(None).cast("string")).withColumn("spot", F.expr("named_struct('x', 5d, 'y', 5d)")))
+    best = {(i, j): 0.95 for i, j, _ in want} | {(i, j): 1.0 for i in range(9) for j in range(60)}
+    assert sorted(map(tuple, planning.title_candidates(twice, t).collect())) == sorted((*k, v) for k, v in best.items())
