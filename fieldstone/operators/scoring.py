@@ -7,6 +7,7 @@ rows (refits): to the optimum, which the schedule has reached there to about 1e-
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,10 +28,10 @@ LEAST_ROWS, LEAST_OF_CLASS = 7, 3
 MEDIUM_DISTANCE, HIGH_DISTANCE = 1.8, 3.0
 #: Cases of a template whose refits follow the schedule (larger ones are refitted by sums), refits of a task, and different vectors of a template that a task fits.
 SCHEDULED, FOLD_BLOCK, MOST_VECTORS = 200, 25, 50_000
-#: Rows that are held against a piece of a list of training vectors at once.
-ROW_GROUP = 8192
-#: Rows of a table of probes that are made at once.
-PROBES = 1 << 15
+#: Values of a block of vectors that meets another one in a task (of 64 values 65,536 vectors, 32 MB), and the least vectors that are worth a further block.
+BLOCK_VALUES, LEAST_BLOCK = 1 << 22, 4096
+#: Rows times lists that are held against each other at once, rows and vectors of a product of matrices, and pairs whose exact distance is taken at once.
+PROBES, TILE_ROWS, TILE, EXACT = 1 << 20, 1024, 4096, 1 << 14
 
 
 def transform_spec(rows: DataFrame, numeric: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -220,81 +221,149 @@ def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
 
 
 def nearest_distance(rows: DataFrame, training: DataFrame, key: str = "id", vector: str = "vector", size: int = 500, most_lists: int = 1024) -> DataFrame:
-    """key and the distance to the nearest training vector of another id.
+    """key and the distance to the nearest training vector of another id. Vectors that are null or hold something not finite take no part.
 
-    Training vectors lie in lists around centroids, with the list's reach. A row's nearest list gives a bound; of the other lists only those that can hold
-    something nearer, by the triangle inequality, are looked through. The result is exact whatever the centroids are.
+    Training vectors lie in lists around centroids, with the list's reach. Blocks of rows meet blocks of lists: first the block of a row's nearest list,
+    which gives a bound, then those whose lists can hold something nearer, by the triangle inequality. A vector so travels once a block and not once a list,
+    and a task holds two blocks at most. Within a block only such lists are looked through. The result is exact whatever the centroids are.
     """
     spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
-    known = written(training.select(key, vector, F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("draw")), "known")
+    types = [df.schema[vector].dataType for df in (rows, training)]
+    array = types[0].simpleString() if types[0] == types[1] and types[0].elementType.simpleString() == "float" else "array<double>"
+    sound = lambda df: df.select(key, F.col(vector).cast(array).alias(vector)).where(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    # equal vectors are one; where they are of several ids, each of their rows has one of another id at distance 0
+    same = sound(training).groupBy(vector).agg(F.min(key).alias("lo"), (F.min(key) != F.max(key)).alias("several"))
+    known = written(same.withColumn("draw", F.pmod(F.xxhash64("lo"), F.lit(1 << 30))), "known")
     n = known.count()
     lists = max(1, min(most_lists, n // size))
-    middle = np.array([r[0] for r in known.where(F.col("draw") < int(min(1.0, 4 * lists / max(1, n)) * (1 << 30))).orderBy("draw", key).select(vector).limit(lists).collect()] or [r[0] for r in known.select(vector).limit(1).collect()], float)
+    middle = np.array([r[0] for r in known.where(F.col("draw") < int(min(1.0, 4 * lists / max(1, n)) * (1 << 30))).orderBy("draw", "lo").select(vector).limit(lists).collect()] or [r[0] for r in known.select(vector).limit(1).collect()], float)
     if not len(middle):
         return rows.select(key, F.lit(None).cast("double").alias("nearest_distance")).where("false")
     shared = spark.sparkContext.broadcast(middle)
+    length = float(np.sqrt((middle**2).sum(axis=1)).max())
+    step = max(1, PROBES // len(middle))  # rows that are held against all lists at once
 
     def gaps(found: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((found**2).sum(axis=1)[:, None] + (shared.value**2).sum(axis=1) - 2 * found @ shared.value.T, 0))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                gap = gaps(np.array(f[vector].tolist(), float))
-                yield pd.DataFrame({key: f[key], vector: f[vector], "list": gap.argmin(axis=1).astype(np.int32), "gap": gap.min(axis=1)})
-
-    schema = f"{key} {kind}, {vector} array<double>, list int, gap double"
-    placed = written(known.select(key, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(place, schema), "lists")
-    reach = {r["list"]: (r["reach"], r["n"]) for r in placed.groupBy("list").agg(F.max("gap").alias("reach"), F.count("*").alias("n")).collect()}  # a row for each list
-    about = spark.sparkContext.broadcast(np.array([reach.get(i, (-np.inf, 0))[0] for i in range(len(middle))]))
-    parts = F.broadcast(spark.createDataFrame([(i, -(-x[1] // (8 * size))) for i, x in reach.items()], "list int, parts int"))
-    pieces = placed.join(parts, "list").select("list", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("piece"), key, vector)
-
-    def probes(first: bool):
-        # a row may look into all lists: as many rows at once as give PROBES
-        step = max(1, PROBES // len(middle))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in (whole.iloc[at : at + step] for whole in frames for at in range(0, len(whole), step)):
-                gap = gaps(np.array(f[vector].tolist(), float))
-                gap[:, ~np.isfinite(about.value)] = np.inf
-                nearest = gap.argmin(axis=1)
-                if first:
-                    who, which = np.arange(len(f)), nearest
-                else:
-                    can = gap - about.value <= f["bound"].to_numpy(float)[:, None] * (1 + 1e-9) + 1e-6
-                    can[np.arange(len(f)), nearest] = False
-                    who, which = np.nonzero(can & np.isfinite(gap))
-                yield pd.DataFrame({key: f[key].to_numpy()[who], vector: f[vector].to_numpy()[who], "list": which.astype(np.int32)})
-
-        return run
+    def some(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for f in (whole.iloc[at : at + step] for whole in frames for at in range(0, len(whole), step)):
+            yield f, np.array(f[vector].tolist(), float)
+
+    def placed(df: DataFrame, filled: np.ndarray, label: str) -> DataFrame:
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f, x in some(frames):
+                gap = np.where(filled, gaps(x), np.inf)
+                yield f.assign(list=gap.argmin(axis=1).astype(np.int32), gap=gap.min(axis=1))
+
+        schema = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in df.schema) + ", list int, gap double"
+        return written(df.mapInPandas(place, schema), label)
+
+    def dealt(df: DataFrame, own: str, rank: dict[int, int]) -> tuple[DataFrame, dict[int, tuple[int, int]], np.ndarray]:
+        """df with `block`, list after list, those of a large list in several; first and last block of each list, and the lists' reaches."""
+        found = {r["list"]: r for r in df.groupBy("list").agg(F.count("*").alias("n"), F.max("gap").alias("reach")).collect()}  # a row for each list
+        total = sum(r["n"] for r in found.values())
+        n_blocks = max(-(-total // max(1, BLOCK_VALUES // middle.shape[1])), min(math.ceil((4 * spark.sparkContext.defaultParallelism) ** 0.5), -(-total // LEAST_BLOCK)), 1)
+        per, start, spans = max(1, -(-total // n_blocks)), 0, []
+        for i in sorted(found, key=rank.get):
+            spans.append((i, start, found[i]["n"]))
+            start += found[i]["n"]
+        at = F.broadcast(spark.createDataFrame(spans, "list int, start bigint, n bigint"))
+        block = F.floor((F.col("start") + F.pmod(F.xxhash64(own), F.col("n"))) / per).cast("int")
+        reach = np.array([found[i]["reach"] if i in found else -np.inf for i in range(len(middle))])
+        return df.join(at, "list").withColumn("block", block).drop("start", "n", "gap"), {i: (a // per, (a + m - 1) // per) for i, a, m in spans}, reach
+
+    along = (middle - middle.mean(axis=0)) @ np.linalg.svd(middle - middle.mean(axis=0), full_matrices=False)[2][0]
+    rank = {int(i): place for place, i in enumerate(np.argsort(along))}  # neighbours lie in one block
+    theirs, spans, reach = dealt(placed(known.drop("draw"), np.full(len(middle), True), "lists"), "lo", rank)
+    about = spark.sparkContext.broadcast(reach)
+    twins = known.where("several").select(vector, F.lit(True).alias("twin"))
+    every = written(sound(rows).join(twins, vector, "left").select(key, vector, F.coalesce("twin", F.lit(False)).alias("twin")), "asked")
+    at_once = every.where("twin").select(key, F.lit(0.0).alias("nearest_distance"))
+    own, held, _ = dealt(placed(every.where("not twin").drop("twin"), np.isfinite(reach), "rows"), key, rank)
+    if not held:
+        return at_once.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance"))
+    own = own.withColumnRenamed("block", "row_block")
+    homes = F.broadcast(spark.createDataFrame([(i, x[0]) for i, x in spans.items()], "list int, block int"))
+    own = own.join(homes, "list")
 
     def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({key: [], "nearest_distance": []})
-        y, ids, found = np.array(right[vector].tolist(), float), right[key].to_numpy(), []
-        for own, v in zip(left[key], left[vector], strict=True):
-            gap = np.sqrt(((y - v) ** 2).sum(axis=1))
-            gap[ids == own] = np.inf
-            found.append(gap.min())
-        return pd.DataFrame({key: left[key], "nearest_distance": found})
-
-    def look(asked: DataFrame, first: bool) -> DataFrame:
-        probed = written(asked.mapInPandas(probes(first), f"{key} {kind}, {vector} array<double>, list int"), "probes")
-        # rows that look into one list come in groups, as its vectors come in pieces
-        groups = F.broadcast(probed.groupBy("list").agg(F.ceil(F.count("*") / ROW_GROUP).cast("int").alias("groups")))  # a row for each list
-        left = probed.join(parts, "list").join(groups, "list").select(key, vector, "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"), F.pmod(F.xxhash64(key), F.col("groups")).cast("int").alias("row_group"))
-        right = pieces.join(groups, "list").select("list", "piece", key, vector, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("row_group"))
-        met = left.groupBy("list", "piece", "row_group").cogroup(right.groupBy("list", "piece", "row_group")).applyInPandas(least, f"{key} {kind}, nearest_distance double")
+            return pd.DataFrame({key: left[key].iloc[:0], "nearest_distance": np.zeros(0)})
+        right = right.sort_values("list", kind="stable")
+        y = np.array(right[vector].tolist(), float)
+        names, begins = np.unique(right["list"].to_numpy(), return_index=True)
+        ends = np.append(begins[1:], len(y))
+        y_half = np.hstack([y, -(y**2).sum(axis=1)[:, None] / 2])
+        xs, best = np.array(left[vector].tolist(), float), left["bound"].to_numpy(float).copy()
+        # rows and vectors of one id, by row
+        alone = pd.DataFrame({"id": right["lo"].to_numpy(), "at": np.arange(len(y))})[~right["several"].to_numpy(bool)]
+        mine = pd.DataFrame({"id": left[key].to_numpy(), "row": np.arange(len(xs))}).merge(alone, on="id").sort_values("row")
+        mine_row, mine_at = mine["row"].to_numpy(), mine["at"].to_numpy()
+
+        def look(x: np.ndarray, who: np.ndarray, bound: np.ndarray, skip: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> None:
+            own_x = x if len(who) == len(x) else x[who]
+            square = (own_x**2).sum(axis=1)
+            score = np.hstack([own_x, np.ones((len(own_x), 1))]) @ y_half[lo:hi].T  # the greater, the nearer
+            inside = (skip[1] >= lo) & (skip[1] < hi)
+            if inside.any():
+                place = np.full(len(x), -1)
+                place[who] = np.arange(len(who))
+                r, c = place[skip[0][inside]], skip[1][inside] - lo
+                score[r[r >= 0], c[r >= 0]] = -np.inf
+            top = score.max(axis=1)
+            error = 1e-12 * (square - 2 * y_half[lo:hi, -1].min())
+            hit = np.flatnonzero(~(square - 2 * top > bound[who] ** 2 + error))  # what can't be compared is looked at, too
+            near = score[hit]
+            r, c = np.nonzero(~(near < (top - error / 2)[hit][:, None]) & (near != -np.inf))
+            for at in range(0, len(r), EXACT):
+                a, b = hit[r[at : at + EXACT]], lo + c[at : at + EXACT]
+                np.fmin.at(bound, who[a], np.sqrt(((y[b] - own_x[a]) ** 2).sum(axis=1)))
+
+        with np.errstate(all="ignore"):
+            for at in range(0, len(xs), TILE_ROWS):
+                x, bound = xs[at : at + TILE_ROWS], best[at : at + TILE_ROWS]
+                inside = slice(*np.searchsorted(mine_row, (at, at + len(x))))
+                skip = mine_row[inside] - at, mine_at[inside]
+                gap = gaps(x)[:, names]
+                nearest, gap = gap.argmin(axis=1), gap - about.value[names] - 1e-6 * (1 + length + np.sqrt((x**2).sum(axis=1)))[:, None]
+                for first in (True, False):
+                    for i, (begin, end) in enumerate(zip(begins, ends, strict=True)):
+                        who = np.flatnonzero(nearest == i if first else (nearest != i) & ~(gap[:, i] > bound * (1 + 1e-9)))
+                        for lo in range(begin, end if len(who) else begin, TILE):
+                            look(x, who, bound, skip, lo, min(end, lo + TILE))
+        nearer = best < left["bound"].to_numpy(float)
+        return pd.DataFrame({key: pd.Series(left[key].to_numpy()[nearer], dtype=left[key].dtype), "nearest_distance": best[nearer]})
+
+    def look_into(asked: DataFrame) -> DataFrame:
+        """asked: key, vector, bound, row_block and block."""
+        pairs = written(asked.select("row_block", "block").distinct(), "pairs")
+        parts = min(4096, 4 * max(1, pairs.count()))
+        left = asked.repartition(parts, "row_block", "block").groupBy("row_block", "block")
+        right = theirs.join(pairs, "block").repartition(parts, "row_block", "block").groupBy("row_block", "block")
+        met = left.cogroup(right).applyInPandas(least, f"{key} {kind}, nearest_distance double")
         return written(met.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")), "nearest")
 
-    asked = rows.select(key, F.col(vector).cast("array<double>").alias(vector))
-    near = look(asked, True)
-    if lists == 1:  # there is no other list
-        return near.where("nearest_distance < double('infinity')")
-    bound = asked.join(near.select(key, F.col("nearest_distance").alias("bound")), key)
-    both = near.unionByName(look(bound, False))
-    return both.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance")).where("nearest_distance < double('infinity')")
+    near = look_into(own.select(key, vector, F.lit(float("inf")).alias("bound"), "row_block", "block"))
+    found = near.unionByName(at_once)
+    last = max(x[1] for x in spans.values())
+    if last:  # there are other blocks
+        begin, end = (np.array([spans.get(i, (0, -1))[side] for i in range(len(middle))]) for side in (0, 1))
+        over = np.array([[a <= b <= z for b in range(last + 1)] for a, z in zip(begin, end, strict=True)], np.float32)  # which lists lie in which blocks
+
+        def further(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f, x in some(frames):
+                slack = 1e-6 * (1 + length + np.sqrt((x**2).sum(axis=1)))
+                can = ~(gaps(x) - about.value - slack[:, None] > f["bound"].to_numpy(float)[:, None] * (1 + 1e-9))
+                blocks = can.astype(np.float32) @ over > 0
+                blocks[np.arange(len(f)), f["block"].to_numpy()] = False
+                yield f[[key, vector, "bound", "row_block"]].assign(blocks=[np.flatnonzero(b).astype(np.int32) for b in blocks])
+
+        bound = near.select(key, F.col("nearest_distance").alias("bound"))
+        bounded = own.join(bound, key, "left").select(key, vector, F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "row_block", "block")
+        rest = written(bounded.mapInPandas(further, f"{key} {kind}, {vector} {array}, bound double, row_block int, blocks array<int>"), "bounded")
+        found = found.unionByName(look_into(rest.select(key, vector, "bound", "row_block", F.explode("blocks").alias("block"))))
+    return found.groupBy(key).agg(F.min("nearest_distance").alias("nearest_distance"))
 
 
 def support_status(distance: Column, template_support: Column, borough_support: Column, medium: float = MEDIUM_DISTANCE, high: float = HIGH_DISTANCE) -> Column:

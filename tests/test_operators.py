@@ -551,6 +551,50 @@ def test_probes_come_in_bounded_tables(spark, monkeypatch):
     assert len(got) == 120 and all(abs(got[i] - gaps[i].min()) < 1e-9 for i in got)
 
 
+def test_vectors_travel_once_a_block(spark, monkeypatch):
+    chance = np.random.default_rng(8)
+    x = chance.normal(size=(300, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    counts, one = {}, scoring.written
+
+    def counted(of, label):
+        out = one(of, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(scoring, "written", counted)
+    got = {r.id: r.nearest_distance for r in scoring.nearest_distance(df, df, size=10).collect()}
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.diag([np.inf] * 300)
+    assert got == pytest.approx({i: gaps[i].min() for i in range(300)}, rel=1e-12)
+    assert max(counts.values()) <= 300  # there were thousands, a row for each list that a vector looks into
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7])
+def test_nearest_distance_in_many_blocks(spark, monkeypatch, offset):
+    for name, value in (("BLOCK_VALUES", 160), ("LEAST_BLOCK", 1), ("TILE_ROWS", 7), ("TILE", 5), ("EXACT", 3), ("PROBES", 50)):
+        monkeypatch.setattr(scoring, name, value)
+    chance = np.random.default_rng(9)
+    x = offset + chance.integers(-2, 3, (200, 4)) * np.where(chance.random((200, 4)) < 0.5, 1.0, 1e-3)
+    x[150:] = x[chance.integers(0, 4, 50)]  # copies, and many of few
+    ids = [f"i{i if i % 11 else i - 1}" for i in range(200)]  # some ids have two vectors
+    odd = [("o1", None), ("o2", [float("nan"), 0.0, 0.0, 0.0]), ("o3", [None, 0.0, 0.0, 0.0]), ("o4", [float("inf"), 0.0, 0.0, 0.0])]
+    schema = "id string, vector array<double>"
+    every = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + odd, schema)
+    some = spark.createDataFrame([(i, v.tolist()) for i, v in list(zip(ids, x, strict=True))[::3]] + odd, schema)
+
+    def brute(rows, training):
+        best = {}
+        for i in rows:
+            gaps = [np.sqrt(((x[i] - x[j]) ** 2).sum()) for j in training if ids[j] != ids[i]]
+            best[ids[i]] = min(gaps + [best.get(ids[i], np.inf)])
+        return best
+
+    for a, b, want in ((every, every, brute(range(200), range(200))), (every, some, brute(range(200), range(0, 200, 3))), (some, every, brute(range(0, 200, 3), range(200)))):
+        assert {r.id: r.nearest_distance for r in scoring.nearest_distance(a, b, size=15).collect()} == want
+    alone = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [5.0, 2.0])], schema)
+    assert scoring.nearest_distance(alone, alone).count() == 0
+
+
 def test_titles_of_rows_alike_are_found_once(spark):
     s = spark.createDataFrame([(i, "1 high road", None) for i in range(20)] + [(99, None, {"x": 5.0, "y": 5.0}), (99, "1 high road", None)], "site_id int, address string, spot struct<x:double,y:double>")
     t = spark.createDataFrame([(i, "1 high road", ring(0, 0, 10)) for i in range(30)] + [(77, "flat 1 high road", None)], f"title_number int, address string, shape {G.SHAPE}")
